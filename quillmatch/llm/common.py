@@ -1,11 +1,7 @@
-"""What the operators share: inputs, text as bytes, staging in the shared folder."""
+"""What the operators share: inputs, and text as bytes."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,58 +11,11 @@ MASK = (1 << 64) - 1
 #: A-Z to a-z, all other bytes as they are; bytes above 0x7F belong to multi-byte characters.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-_STAGED: dict[str, SparkSession] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; a temporary one only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_quillmatch_folder", None) or tempfile.mkdtemp(prefix="quillmatch-")
-        spark._quillmatch_folder = folder
-    return folder.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for path, spark in list(_STAGED.items()):
-        try:
-            _remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            pass
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, and any executor
-    can read it after another is lost. Removed by unstage(), or when Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quillmatch_path = path
-    _STAGED[path] = spark
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Remove a staged table that nothing reads any more."""
-    path = getattr(df, "_quillmatch_path", None)
-    if path and _STAGED.pop(path, None) is not None:
-        _remove(df.sparkSession, path)
-
-
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     """A string column as UTF-8 bytes."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
@@ -79,10 +28,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def batches(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow form of a DDL schema, as mapInArrow returns it."""
     from pyspark.sql.pandas.types import to_arrow_schema
