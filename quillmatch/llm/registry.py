@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import q01_decontamination
+from . import q01_decontamination, q03_lm_scoring, q09_url_filter, q10_near_duplicates
 
-_MODULES = (q01_decontamination,)
+_MODULES = (q01_decontamination, q03_lm_scoring, q09_url_filter, q10_near_duplicates)
 
 
 def queries() -> dict:
