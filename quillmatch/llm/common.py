@@ -40,3 +40,28 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 def id_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
+
+
+def by_text(docs: DataFrame, carry: list[str], extra: str, make) -> DataFrame:
+    """The columns `carry` of docs and those of the DDL `extra`, which a function of texts fills:
+    make() is called once in each task and returns a function from a list of texts (bytes or None)
+    to a list of columns. A carried column that is named as an extra one is replaced."""
+    added = arrow_schema(extra)
+    carry = [c for c in carry if c not in added.names]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), extra])
+
+    def run(it):
+        fill = make()
+        for batch in it:
+            own = [batch.schema.get_field_index(c) for c in carry]
+            new = [pa.array(c, type=f.type) for c, f in zip(fill(texts(batch)), added, strict=True)]
+            schema = pa.schema([*(batch.schema.field(i) for i in own), *added])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), *new], schema=schema)
+
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, ddl)
+
+
+def columns_of(rows: list[tuple], n: int) -> list:
+    """Rows as n columns, also where there are none."""
+    return list(zip(*rows, strict=True)) if rows else [[] for _ in range(n)]
