@@ -1,14 +1,73 @@
-"""A training-data pipeline over documents: each stage calls one operator on all that is left."""
+"""A training-data pipeline over documents: each stage calls one operator on all that is left.
+
+Every stage but the last returns the columns of documents. What a stage keeps is written by run()
+in the shared folder before the next stage reads it, as a driver of the stages would do.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from quillmatch.llm.chosen_path import near_duplicates
+from quillmatch.llm.common import table
+from quillmatch.llm.decontamination import decontaminate
+from quillmatch.llm.language_id import identify
+from quillmatch.llm.packing import pack
+from quillmatch.llm.sentence_spans import dedup_spans
+from quillmatch.plans.staging import staged
+
+#: Documents of a lower score than this have no known language.
+LEAST_LANGUAGE_SCORE = 0.1
+#: Near-duplicates: words of a shingle, and percent of shingles in common.
+SHINGLE_WORDS, SIMILARITY = 5, 80
+
+
+def language(spark, docs, sf_dir):
+    """Documents whose language is known; lang stays what the source says."""
+    own = docs.columns
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    judged = identify(docs, held_out, carry=tuple(c for c in own if c not in ("lang_pred", "score")))
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*own)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """One document of each group of near-duplicates, that of the smallest id."""
+    gone = near_duplicates(docs, k=SHINGLE_WORDS, percent=SIMILARITY).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def substring_dedup(spark, docs, sf_dir):
+    """Repeated sentence spans are taken out; a document of which nothing is left goes. n_chars
+    follows the text."""
+    own = docs.columns
+    rows = dedup_spans(docs)
+    rows = rows.where((F.col("n_removed") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.withColumn("n_chars", chars).select(*own)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents without a passage of the benchmark."""
+    own = docs.columns
+    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=tuple(own))
+    return judged.where(~F.col("contaminated")).select(*own)
+
+
+def packing(spark, docs, sf_dir):
+    """The pieces of all documents in sequences."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("packing", packing)]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     """The rows of the last stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = staged(docs)
     return docs

@@ -8,7 +8,7 @@ that may end here, and a direct comparison confirms.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no
 window; windows that several items share count for each; a null item_id is named "null"; repeated
-rows are judged one by one; other columns of either table are ignored.
+rows are judged one by one; other columns of either table are ignored, or carried on as asked.
 """
 
 from __future__ import annotations
@@ -16,11 +16,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_type, texts
+from .common import by_text, columns_of
 
 #: Word characters stay, A-Z are lower-cased, all else parts words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -119,80 +118,71 @@ def blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[In
     yield index
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
+_RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row for each document: the columns `carry` and n_words, n_hit, n_items, items_sha256,
+    contaminated."""
     indexes = blocks(benchmark, window, block_windows)
     first = next(indexes)
     second = next(indexes, None)
-    rows = docs.select("doc_id", "text")
-    out = f"doc_id {id_type(docs, 'doc_id')}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    if second is None:
-        shared, schema = spark.sparkContext.broadcast(first), arrow_schema(out)
+    if second is not None:
+        return _in_blocks(docs, [first, second], indexes, carry)
+    shared = docs.sparkSession.sparkContext.broadcast(first)
 
-        def judge(it):
-            index = shared.value
-            for batch in it:
-                result = []
-                for text in texts(batch):
-                    w = words(text)
-                    spans, items = index.hits(w)
-                    result.append((len(w), sum(b - a for a, b in spans), len(items), _digest(items), bool(spans)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=f.type) for c, f in zip(zip(*result, strict=True), list(schema)[1:], strict=True))], schema=schema) if result else batch_of(schema)
+    def make():
+        index = shared.value
 
-        return rows.mapInArrow(judge, out)
-    return _in_blocks(rows, [first, second], indexes, out)
+        def judge(batch):
+            out = []
+            for text in batch:
+                w = words(text)
+                spans, items = index.hits(w)
+                out.append((len(w), sum(b - a for a, b in spans), len(items), _digest(items), bool(spans)))
+            return columns_of(out, 5)
 
+        return judge
 
-def batch_of(schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([], type=f.type) for f in schema], schema=schema)
+    return by_text(docs, list(carry), _RESULT, make)
 
 
-def _in_blocks(rows: DataFrame, begun: list[Index], rest: Iterator[Index], out: str) -> DataFrame:
+def _in_blocks(docs: DataFrame, begun: list[Index], rest: Iterator[Index], carry: tuple[str, ...]) -> DataFrame:
     """Each block is searched in a pass of its own that returns only documents with hits; their
-    spans and items are then united by document. No more than one block is in a task's memory."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    keyed = rows.withColumn("_h", F.xxhash64("text"))
-    ddl = f"doc_id {kind}, _h long, starts array<int>, ends array<int>, items array<string>"
-    schema = arrow_schema(ddl)
+    spans and items are then united by document and text. No task holds more than one block."""
+    text_hash = F.xxhash64("text")
+    keyed = docs.select("doc_id", "text", text_hash.alias("_h"))
 
     def searcher(shared):
-        def search(it):
-            for batch in it:
-                found = [(i, *shared.value.hits(words(t))) for i, t in enumerate(texts(batch))]
-                found = [x for x in found if x[1]]
-                take = pa.array([x[0] for x in found], type=pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(2).take(take), pa.array([[a for a, _ in x[1]] for x in found], type=schema.field(2).type), pa.array([[b for _, b in x[1]] for x in found], type=schema.field(3).type), pa.array([sorted(x[2]) for x in found], type=schema.field(4).type)],
-                    schema=schema,
-                )
-
-        return search
-
-    def counted(it):
-        for batch in it:
-            n = [len(words(t)) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, type=pa.int64())], names=["doc_id", "_h", "n_words"])
+        def make():
+            def search(batch):
+                found = [shared.value.hits(words(t)) for t in batch]
+                return columns_of([([a for a, _ in x], [b for _, b in x], sorted(i)) for x, i in found], 3)
+
+            return search
+
+        return make
 
     hits = None
     while begun:
-        part = keyed.mapInArrow(searcher(rows.sparkSession.sparkContext.broadcast(begun.pop(0))), ddl)
+        shared = docs.sparkSession.sparkContext.broadcast(begun.pop(0))
+        part = by_text(keyed, ["doc_id", "_h"], "starts array<int>, ends array<int>, items array<string>", searcher(shared)).where("size(starts) > 0")
         hits = part if hits is None else hits.unionByName(part)
         if not begun and (index := next(rest, None)) is not None:
             begun.append(index)
-    # array_distinct: a repeated row brings the same spans again
+    # a repeated row brings the same spans again
     spans = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))))
     united = hits.groupBy("doc_id", "_h").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
-    length = F.aggregate(
-        "spans",
-        zero,
-        lambda acc, s: F.struct(
-            (acc["n"] + F.greatest(F.lit(0), s["ends"] - F.greatest(acc["to"], s["starts"].cast("long")))).alias("n"), F.greatest(acc["to"], s["ends"].cast("long")).alias("to")
-        ),
-        lambda acc: acc["n"],
-    )
-    united = united.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), length.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    base = keyed.mapInArrow(counted, f"doc_id {kind}, _h long, n_words long")
-    joined = base.join(united, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left")
-    return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.lit(_digest([]))).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+
+    def add(acc, s):
+        fresh = F.greatest(F.lit(0), s["ends"] - F.greatest(acc["to"], s["starts"].cast("long")))
+        return F.struct((acc["n"] + fresh).alias("n"), F.greatest(acc["to"], s["ends"].cast("long")).alias("to"))
+
+    hit = F.aggregate("spans", zero, add, lambda acc: acc["n"])
+    united = united.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), hit.alias("_hit"), F.size("items").cast("long").alias("_items"), F.sha2(F.array_join("items", ","), 256).alias("_sha"))
+    own = [c for c in carry if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
+    base = by_text(docs.select(*dict.fromkeys([*own, "doc_id", "text"]), text_hash.alias("_h")), [*dict.fromkeys([*own, "doc_id"]), "_h"], "n_words long", lambda: lambda batch: [[len(words(t)) for t in batch]])
+    joined = base.join(united, base["doc_id"].eqNullSafe(united["_id"]) & base["_h"].eqNullSafe(united["_k"]), "left")
+    zero = F.lit(0).cast("long")
+    return joined.select(*own, "n_words", F.coalesce("_hit", zero).alias("n_hit"), F.coalesce("_items", zero).alias("n_items"), F.coalesce("_sha", F.lit(_digest([]))).alias("items_sha256"), (F.coalesce("_hit", zero) > 0).alias("contaminated"))

@@ -4,9 +4,20 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import q01_decontamination, q03_lm_scoring, q09_url_filter, q10_near_duplicates
-
-_MODULES = (q01_decontamination, q03_lm_scoring, q09_url_filter, q10_near_duplicates)
+from . import (
+    q01_decontamination,
+    q02_toxicity,
+    q03_lm_scoring,
+    q04_substring_dedup,
+    q05_language_id,
+    q06_packing,
+    q07_fingerprints,
+    q08_token_counts,
+    q09_url_filter,
+    q10_near_duplicates,
+)
+
+_MODULES = (q01_decontamination, q02_toxicity, q03_lm_scoring, q04_substring_dedup, q05_language_id, q06_packing, q07_fingerprints, q08_token_counts, q09_url_filter, q10_near_duplicates)
 
 
 def queries() -> dict:
