@@ -31,11 +31,11 @@ from quillmatch.plans.staging import staged
 from .common import arrow_schema, id_type, texts
 
 LENGTH = 4096
-WIDTH = 4
+WIDTH = 8
 CLOSING_ID = 2
 #: Column generation ends at this share above its lower bound, or after so many columns.
 GAP = 2e-4
-MAX_COLUMNS = 6000
+MAX_COLUMNS = 9000
 #: Ids of whole sequences start here; those of packed remainders are below.
 WHOLE = 1 << 58
 
@@ -70,30 +70,30 @@ class WordEncoder:
 
 def generate(demand: dict[int, int], capacity: int, gap: float = GAP, max_columns: int = MAX_COLUMNS) -> list[tuple[dict[int, int], float]]:
     """Patterns {size: count} of total at most capacity, and how often the relaxed program uses
-    each; their demand is met exactly. Revised simplex with an explicit inverse."""
+    each; their demand is met exactly. Revised simplex with an explicit inverse; it begins with a
+    pattern of each size alone."""
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), dtype=np.int64)
     if not len(sizes):
         return []
     d = np.array([demand[s] for s in sizes.tolist()], dtype=float)
     m = len(sizes)
+    material = float((sizes * d).sum()) / capacity
     columns = [{i: int(capacity // s)} for i, s in enumerate(sizes.tolist())]
     inverse = np.diag([1.0 / c[i] for i, c in enumerate(columns)])
     x = inverse @ d
-    at = np.full(capacity + 1, -1, dtype=np.int64)
-    at[sizes] = np.arange(m)
     for _ in range(max_columns):
-        y = inverse.sum(axis=0)
-        value, pattern = _knapsack(sizes, y, capacity)
         total = x.sum()
-        if value <= 1 + 1e-9 or total - total / value <= gap * total:
+        if total <= (1 + gap) * material:
+            break
+        value, pattern = _knapsack(sizes, inverse.sum(axis=0), capacity)
+        if value <= 1 + 1e-7 or total - total / value <= gap * total:
             break
         a = np.zeros(m)
-        for s, n in pattern.items():
-            a[at[s]] = n
+        for i, n in pattern.items():
+            a[i] = n
         u = inverse @ a
         up = np.flatnonzero(u > 1e-9)
-        ratio = x[up] / u[up]
-        r = up[int(np.argmin(ratio))]
+        r = up[int(np.argmin(x[up] / u[up]))]
         step = x[r] / u[r]
         x = np.maximum(x - step * u, 0)
         x[r] = step
@@ -101,12 +101,12 @@ def generate(demand: dict[int, int], capacity: int, gap: float = GAP, max_column
         u[r] = 0
         inverse -= np.outer(u, row)
         inverse[r] = row
-        columns[r] = {int(at[s]): n for s, n in pattern.items()}
+        columns[r] = pattern
     return [({int(sizes[i]): n for i, n in c.items()}, float(v)) for c, v in zip(columns, x, strict=True)]
 
 
 def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """The most valuable multiset of sizes within capacity."""
+    """The most valuable multiset of sizes, by index, within capacity."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1, dtype=np.int64)
     fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
@@ -123,14 +123,34 @@ def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[floa
         if took[c] < 0:
             c -= 1
         else:
-            s = int(sizes[took[c]])
-            pattern[s] += 1
-            c -= s
+            pattern[int(took[c])] += 1
+            c -= int(sizes[took[c]])
     return float(best[capacity]), dict(pattern)
 
 
+def _largest_first(left: Counter, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Each sequence takes the largest sizes that still fit; equal sequences are made together."""
+    left, used = Counter(left), []
+    rest = sorted((s for s, n in left.items() if n > 0), reverse=True)
+    while rest:
+        room, pattern = capacity, {}
+        for s in rest:
+            if n := min(room // s, left[s]):
+                pattern[s] = n
+                room -= n * s
+        times = min(left[s] // n for s, n in pattern.items())
+        used.append((pattern, times))
+        for s, n in pattern.items():
+            left[s] -= n * times
+        rest = [s for s in rest if left[s] > 0]
+    return used
+
+
 def rounded(demand: dict[int, int], capacity: int, **settings) -> list[tuple[dict[int, int], int]]:
-    """Patterns and whole numbers that meet the demand exactly."""
+    """Patterns and whole numbers that meet the demand exactly: the relaxed program's, rounded
+    down, then once more each by what was cut off, as far as demand remains; the rest is packed
+    largest first. Where the program was ended by its bound on columns, or where few documents
+    leave little to round down, all is packed largest first if that takes fewer sequences."""
     left = Counter({s: n for s, n in demand.items() if n > 0})
     used: list[tuple[dict[int, int], int]] = []
 
@@ -141,23 +161,15 @@ def rounded(demand: dict[int, int], capacity: int, **settings) -> list[tuple[dic
                 left[s] -= n * times
 
     found = sorted(generate(demand, capacity, **settings), key=lambda p: -p[1])
+    full = [p for p in found if sum(s * n for s, n in p[0].items()) >= 0.98 * capacity]
     for pattern, x in found:
         take(pattern, min([int(x + 1e-6), *(left[s] // n for s, n in pattern.items())]))
-    for pattern, x in sorted(found, key=lambda p: -(p[1] % 1)):
+    for pattern, _ in sorted(full, key=lambda p: -(p[1] % 1)):
         if all(left[s] >= n for s, n in pattern.items()):
             take(pattern, 1)
-    # largest first: each sequence is filled with the largest sizes that still fit
-    rest = sorted((s for s, n in left.items() if n > 0), reverse=True)
-    while rest:
-        room, pattern = capacity, {}
-        for s in rest:
-            if n := min(room // s, left[s]):
-                pattern[s] = n
-                room -= n * s
-        times = min(left[s] // n for s, n in pattern.items())
-        take(pattern, times)
-        rest = [s for s in rest if left[s] > 0]
-    return used
+    used += _largest_first(left, capacity)
+    plain = _largest_first(Counter({s: n for s, n in demand.items() if n > 0}), capacity)
+    return min(used, plain, key=lambda patterns: sum(times for _, times in patterns))
 
 
 class Places:
