@@ -1,7 +1,7 @@
 """The engine's queries over the driver's tables, and the same in SQL.
 
-References are documents (whole texts) and turns of conversations, whose token lists are short
-enough to score every pair of theirs in full. Both get ids of fixed width, so that their order as
+References are documents, turns of conversations and, where every pair's whole token lists are
+scored, items of the benchmark. All get ids of fixed width, so that their order as
 strings is that of the numbers.
 """
 
@@ -52,6 +52,11 @@ def turns(spark, d, p: Params = P) -> DataFrame:
     return resolve_duplicates(stats.tokenize(rows, p))
 
 
+def items(spark, d, p: Params = P) -> DataFrame:
+    rows = _table(spark, d, "benchmark").select(F.lpad(F.col("item_id").cast("string"), 8, "0").alias("refID"), F.col("text").alias("body"), F.col("item_id").alias("ord"))
+    return stats.tokenize(rows, p)
+
+
 def _joined(tokens="tokens"):
     return F.array_join(tokens, " ").alias("tokens")
 
@@ -62,6 +67,7 @@ _UPPER = "upper(replace(coalesce(text, ''), 'ß', 'SS'))"
 _SPLIT = rf"list_filter(regexp_split_to_array({_UPPER}, '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')"
 _DOCS = rf"docs AS (SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS refID, doc_id AS ord, {_SPLIT} AS tokens FROM documents)"
 _TURNS = rf"docs AS (SELECT lpad(CAST(conv_id AS VARCHAR), 8, '0') || lpad(CAST(turn AS VARCHAR), 4, '0') AS refID, conv_id * 10000 + turn AS ord, {_SPLIT} AS tokens FROM conversations)"
+_ITEMS = rf"docs AS (SELECT lpad(CAST(item_id AS VARCHAR), 8, '0') AS refID, item_id AS ord, {_SPLIT} AS tokens FROM benchmark)"
 _ROWS = "tok AS (SELECT refID, ord, unnest(range(1, len(tokens) + 1)) AS pos, unnest(tokens) AS token FROM docs)"
 _FREQ = "freq AS (SELECT token, count(*) AS n, min(ord * 10000000 + pos) AS first FROM tok GROUP BY token)"
 _BT = r"bt AS (SELECT refID, token, count(*) AS m FROM tok JOIN freq USING (token) WHERE n BETWEEN 2 AND 6 AND len(token) >= 4 AND NOT regexp_matches(token, '^\p{Nd}+$') GROUP BY 1, 2)"
@@ -75,6 +81,11 @@ _CMP = r"""cmp AS (SELECT docs.refID, coalesce(list(tok.token ORDER BY pos) FILT
   FROM docs LEFT JOIN tok USING (refID) LEFT JOIN freq USING (token) GROUP BY docs.refID)"""
 
 
+# the SQL engine's distance counts bytes, so accented capitals stand as one small letter each
+def _bytes(token: str) -> str:
+    return f"translate({token}, 'ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ', 'abcdefghijklmnopqrst')"
+
+
 def _with(*parts: str, then: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {then}"
 
@@ -140,9 +151,9 @@ def stop_words(spark, d):
 
 
 @query(
-    rf"""WITH t AS (SELECT conv_id, turn, {_SPLIT} AS tokens FROM conversations), p AS (SELECT *, list_position(list_transform(tokens, lambda x: regexp_matches(x, '\p{{Nd}}')), true) AS at FROM t)
+    rf"""WITH t AS (SELECT conv_id, turn, {_SPLIT} AS tokens FROM conversations), p AS (SELECT *, list_position(list_transform(tokens, lambda x: regexp_matches(x, '\p{{Nd}}')), true) AS k FROM t)
 SELECT lpad(CAST(conv_id AS VARCHAR), 8, '0') || lpad(CAST(turn AS VARCHAR), 4, '0') AS refID,
-  array_to_string(CASE WHEN coalesce(at, 0) = 0 THEN tokens ELSE tokens[1:at - 1] END, ' ') AS name, array_to_string(CASE WHEN coalesce(at, 0) = 0 THEN [] ELSE tokens[at:] END, ' ') AS address FROM p"""
+  array_to_string(CASE WHEN coalesce(k, 0) = 0 THEN tokens ELSE tokens[1:k - 1] END, ' ') AS name, array_to_string(CASE WHEN coalesce(k, 0) = 0 THEN [] ELSE tokens[k:] END, ' ') AS address FROM p"""
 )
 def name_address_split(spark, d):
     name, address = split_name_address(F.col("tokens"))
@@ -204,7 +215,7 @@ _CLEAN = rf"clean AS (SELECT token, n, first FROM freq WHERE len(token) >= 3 AND
 _CORR = r"""ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, first) AS r, count(*) OVER () AS k FROM clean
 ), std AS (SELECT token, r, unnest(list_distinct(list_append([token[:i - 1] || token[i + 1:] FOR i IN range(1, len(token) + 1)], token))) AS key FROM ranked WHERE n >= 5 AND r < k
 ), err AS (SELECT token, unnest(list_distinct(list_append([token[:i - 1] || token[i + 1:] FOR i IN range(1, len(token) + 1)], token))) AS key FROM ranked WHERE n <= 3 AND r > 2
-), corr AS (SELECT err.token AS bad, arg_min(std.token, std.r) AS std FROM std JOIN err USING (key) WHERE damerau_levenshtein(std.token, err.token) = 1 GROUP BY 1)"""
+), corr AS (SELECT err.token AS bad, arg_min(std.token, std.r) AS std FROM std JOIN err USING (key) WHERE damerau_levenshtein(translate(std.token, 'ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ', 'abcdefghijklmnopqrst'), translate(err.token, 'ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ', 'abcdefghijklmnopqrst')) = 1 GROUP BY 1)"""
 
 
 def _words(spark) -> DataFrame:
@@ -268,9 +279,10 @@ def block_correction(spark, d):
 
 # --- scoring ---------------------------------------------------------------------------------------
 
-_PAIRS = (_TURNS, _ROWS, _FREQ, _BT, "pairs AS (SELECT a.refID AS refID1, b.refID AS refID2 FROM bt a JOIN bt b ON a.token = b.token AND a.refID < b.refID GROUP BY 1, 2 HAVING sum(least(a.m, b.m)) >= 2 UNION ALL SELECT refID, refID FROM bt GROUP BY 1 HAVING max(m) >= 3 OR (max(m) = 2 AND count(*) >= 2))", _CMP)
+_TURN_PAIRS = (_TURNS, _ROWS, _FREQ, _BT, "pairs AS (SELECT a.refID AS refID1, b.refID AS refID2 FROM bt a JOIN bt b ON a.token = b.token AND a.refID < b.refID GROUP BY 1, 2 HAVING sum(least(a.m, b.m)) >= 2 UNION ALL SELECT refID, refID FROM bt GROUP BY 1 HAVING max(m) >= 3 OR (max(m) = 2 AND count(*) >= 2))", _CMP)
+_PAIRS = (_ITEMS, *_TURN_PAIRS[1:])
 _LISTS = "lists AS (SELECT refID1, refID2, x.tokens AS a, y.tokens AS b FROM pairs JOIN cmp x ON x.refID = refID1 JOIN cmp y ON y.refID = refID2)"
-_SIM = "(CASE WHEN {p} = {q} THEN 1.0::DOUBLE ELSE 1 - damerau_levenshtein({p}, {q})::DOUBLE / greatest(len({p}), len({q})) END)"
+_SIM = "(CASE WHEN {p} = {q} THEN 1.0::DOUBLE ELSE 1 - damerau_levenshtein(" + _bytes("{p}") + ", " + _bytes("{q}") + ")::DOUBLE / greatest(len({p}), len({q})) END)"
 _GREEDY = (
     *_PAIRS,
     _LISTS,
@@ -286,17 +298,17 @@ _KRIS = "kris AS (SELECT refID1, refID2, sum(sim * (m - i + 1) / (m * (m + 1) /
 
 def _scores(spark, d, comparator: str, **changes) -> DataFrame:
     p = P.with_(comparator=comparator, **changes)
-    refs = turns(spark, d)
+    refs = items(spark, d)
     freq = stats.token_frequency(refs)
-    return scoring.score(blocking.candidate_pairs(refs, freq, p), blocking.comparison_tokens(refs, freq, p), p, restricted=False).select("refID1", "refID2", F.round("score", 4).alias("score"))
+    return scoring.score(blocking.candidate_pairs(refs, freq, p), blocking.comparison_tokens(refs, freq, p), p, restricted=False).select("refID1", "refID2", F.round("score", 8).alias("score"))
 
 
-@query(_with(*_PAIRS, _LISTS, then="SELECT refID1, refID2, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE list_sum([least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))) FOR x IN list_distinct(a)]) / sqrt(len(a)::DOUBLE * len(b)) END, 4) AS score FROM lists"))
+@query(_with(*_PAIRS, _LISTS, then="SELECT refID1, refID2, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE list_sum([least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))) FOR x IN list_distinct(a)]) / sqrt(len(a)::DOUBLE * len(b)) END, 8) AS score FROM lists"))
 def cosine_pairs(spark, d):
     return _scores(spark, d, "Cosine")
 
 
-@query(_with(*_GREEDY, _KRIS, then="SELECT refID1, refID2, round(coalesce(score, 0), 4) AS score FROM lists LEFT JOIN kris USING (refID1, refID2)"))
+@query(_with(*_GREEDY, _KRIS, then="SELECT refID1, refID2, round(coalesce(score, 0), 8) AS score FROM lists LEFT JOIN kris USING (refID1, refID2)"))
 def kris_pairs(spark, d):
     return _scores(spark, d, "ScoringMatrixKris")
 
@@ -306,7 +318,7 @@ def kris_pairs(spark, d):
         *_GREEDY,
         "runs AS (SELECT refID1, refID2, step, avg(sim) OVER (PARTITION BY refID1, refID2 ORDER BY step) AS mean FROM steps)",
         "std AS (SELECT refID1, refID2, coalesce(arg_min(mean, step) FILTER (WHERE mean < 0.5), arg_max(mean, step)) AS score FROM runs GROUP BY 1, 2)",
-        then="SELECT refID1, refID2, round(coalesce(score, 0), 4) AS score FROM lists LEFT JOIN std USING (refID1, refID2)",
+        then="SELECT refID1, refID2, round(coalesce(score, 0), 8) AS score FROM lists LEFT JOIN std USING (refID1, refID2)",
     )
 )
 def std_pairs(spark, d):
@@ -319,7 +331,7 @@ def std_pairs(spark, d):
         _LISTS,
         "ix AS (SELECT refID1, refID2, b, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS t FROM lists WHERE len(b) > 0)",
         "best AS (SELECT refID1, refID2, i, list_max([" + _SIM.format(p="t", q="q") + " FOR q IN b]) AS s FROM ix)",
-        then="SELECT refID1, refID2, round(coalesce(avg(s), 0), 4) AS score FROM lists LEFT JOIN best USING (refID1, refID2) GROUP BY 1, 2",
+        then="SELECT refID1, refID2, round(coalesce(avg(s), 0), 8) AS score FROM lists LEFT JOIN best USING (refID1, refID2) GROUP BY 1, 2",
     )
 )
 def monge_pairs(spark, d):
@@ -329,14 +341,14 @@ def monge_pairs(spark, d):
 @query(
     _with(
         *_GREEDY,
-        then="SELECT refID1, refID2, CAST(step AS INTEGER) AS step, a[i] AS token1, b[j] AS token2, round(sim, 4) AS sim, round((m - i + 1) / (m * (m + 1) / 2), 4) AS weight, round(sim * (m - i + 1) / (m * (m + 1) / 2), 4) AS weighted_sim, CAST(i - 1 AS INTEGER) AS row_index, CAST(j - 1 AS INTEGER) AS col_index FROM steps JOIN short USING (refID1, refID2) WHERE sim >= 0.01",
+        then="SELECT refID1, refID2, CAST(step AS INTEGER) AS step, a[i] AS token1, b[j] AS token2, round(sim, 8) AS sim, round((m - i + 1) / (m * (m + 1) / 2), 8) AS weight, round(sim * (m - i + 1) / (m * (m + 1) / 2), 8) AS weighted_sim, CAST(i - 1 AS INTEGER) AS row_index, CAST(j - 1 AS INTEGER) AS col_index FROM steps JOIN short USING (refID1, refID2) WHERE sim >= 0.01",
     )
 )
 def token_match_trace(spark, d):
-    refs = turns(spark, d)
+    refs = items(spark, d)
     freq = stats.token_frequency(refs)
     rows = reports.token_matches(blocking.candidate_pairs(refs, freq, P), refs, freq, P, restricted=False)
-    return rows.select("refID1", "refID2", "step", "token1", "token2", *(F.round(c, 4).alias(c) for c in ("sim", "weight", "weighted_sim")), "row_index", "col_index")
+    return rows.select("refID1", "refID2", "step", "token1", "token2", *(F.round(c, 8).alias(c) for c in ("sim", "weight", "weighted_sim")), "row_index", "col_index")
 
 
 # --- closure, quality, metrics -----------------------------------------------------------------------
@@ -354,21 +366,21 @@ def closure(spark, d):
     return components(o)
 
 
-@query(_with(*_GREEDY, _KRIS, _LINKS, then="SELECT refID1, refID2, round(score, 4) AS score FROM links"))
+@query(_with(*_GREEDY, _KRIS, _LINKS, then="SELECT refID1, refID2, round(score, 8) AS score FROM links"))
 def er_one_iteration(spark, d):
-    refs = turns(spark, d)
-    return one_iteration(refs, stats.token_frequency(refs), P, restricted=False).select("refID1", "refID2", F.round("score", 4).alias("score"))
+    refs = items(spark, d)
+    return one_iteration(refs, stats.token_frequency(refs), P, restricted=False).select("refID1", "refID2", F.round("score", 8).alias("score"))
 
 
 @query(_with(*_GREEDY, _KRIS, _LINKS, _CLUSTERS, then="SELECT clusterID, refID FROM clusters", recursive=True))
 def er_clusters(spark, d):
-    refs = turns(spark, d)
+    refs = items(spark, d)
     return clusters_of(staged(one_iteration(refs, stats.token_frequency(refs), P, restricted=False)))
 
 
 @query()
 def er_full(spark, d):
-    return reports.link_index(resolve(turns(spark, d), P.with_(runGlobalCorrection=True), words=_words(spark)).link)
+    return reports.link_index(resolve(items(spark, d), P.with_(runGlobalCorrection=True), words=_words(spark)).link)
 
 
 def _talks(spark, d) -> DataFrame:
@@ -379,8 +391,8 @@ def _talks(spark, d) -> DataFrame:
 
 
 _TALKS = "talks AS (SELECT refID, min(refID) OVER (PARTITION BY substr(refID, 1, 8)) AS clusterID FROM docs)"
-_HALVES = r"""at AS (SELECT refID, tokens, coalesce(list_position(list_transform(tokens, lambda x: regexp_matches(x, '\p{Nd}')), true), 0) AS at FROM docs
-), halves AS (SELECT refID, CASE WHEN at = 0 THEN tokens ELSE tokens[1:at - 1] END AS name, CASE WHEN at = 0 THEN [] ELSE tokens[at:] END AS address FROM at)"""
+_HALVES = r"""digit AS (SELECT refID, tokens, coalesce(list_position(list_transform(tokens, lambda x: regexp_matches(x, '\p{Nd}')), true), 0) AS k FROM docs
+), halves AS (SELECT refID, CASE WHEN k = 0 THEN tokens ELSE tokens[1:k - 1] END AS name, CASE WHEN k = 0 THEN [] ELSE tokens[k:] END AS address FROM digit)"""
 _QUALITY = """sized AS (SELECT clusterID, count(*) AS size FROM talks GROUP BY 1
 ), occ AS (SELECT clusterID, refID, h, unnest(CASE h WHEN 0 THEN name ELSE address END) AS token FROM talks JOIN halves USING (refID), (VALUES (0), (1)) v(h)
 ), lay AS (SELECT *, row_number() OVER (PARTITION BY clusterID, refID, h, token) AS layer FROM occ
@@ -470,7 +482,7 @@ def ref_capture(spark, d):
     return reports.ref_capture(documents(spark, d))
 
 
-@query(_with(*_PAIRS[:-1], "truth AS (SELECT refID, substr(refID, 1, 8) AS truthID FROM docs WHERE ord % 3 <> 0)", then="SELECT refID1, refID2, array_to_string(x.tokens, ', ') AS tokens1, array_to_string(y.tokens, ', ') AS tokens2, CAST(coalesce(p.truthID = q.truthID, false) AS INTEGER) AS truth FROM pairs JOIN docs x ON x.refID = refID1 JOIN docs y ON y.refID = refID2 LEFT JOIN truth p ON p.refID = refID1 LEFT JOIN truth q ON q.refID = refID2"))
+@query(_with(*_TURN_PAIRS[:-1], "truth AS (SELECT refID, substr(refID, 1, 8) AS truthID FROM docs WHERE ord % 3 <> 0)", then="SELECT refID1, refID2, array_to_string(x.tokens, ', ') AS tokens1, array_to_string(y.tokens, ', ') AS tokens2, CAST(coalesce(p.truthID = q.truthID, false) AS INTEGER) AS truth FROM pairs JOIN docs x ON x.refID = refID1 JOIN docs y ON y.refID = refID2 LEFT JOIN truth p ON p.refID = refID1 LEFT JOIN truth q ON q.refID = refID2"))
 def truth_capture(spark, d):
     refs = turns(spark, d)
     truth = refs.where("ord % 3 <> 0").select("refID", F.substring("refID", 1, 8).alias("truthID"))
@@ -492,18 +504,18 @@ def cluster_json(spark, d):
 
 @query()
 def pair_comparison(spark, d):
-    refs = turns(spark, d)
+    refs = items(spark, d)
     freq = stats.token_frequency(refs)
     return reports.pair_comparison(blocking.candidate_pairs(refs, freq, P), refs, freq, P)
 
 
 @query()
 def report_row(spark, d):
-    result = resolve(turns(spark, d), P.with_(inputFileName="conversations"))
-    truth = result.refs.select("refID", F.substring("refID", 1, 8).alias("truthID"))
+    result = resolve(items(spark, d), P.with_(inputFileName="benchmark"))
+    truth = result.refs.select("refID", F.element_at("tokens", 1).alias("truthID"))
     return reports.report_row(result, metrics.er_metrics(result.link, truth))
 
 
 @query()
 def run_log(spark, d):
-    return reports.run_log(resolve(turns(spark, d), P))
+    return reports.run_log(resolve(items(spark, d), P))
