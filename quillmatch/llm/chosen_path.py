@@ -8,14 +8,17 @@ values there name the children. Two classes of the wanted similarity meet in a l
 depth 4 with probability 0.64, and `trees` independent trees miss them all with probability
 0.36^trees (1e-7 for 16); more similar ones meet more often.
 
-Leaves are compared in two steps, so that a large group of near copies is neither gathered in one
-task nor spelled out as pairs:
-1. Each leaf links its classes to its smallest one; links are confirmed on full sets, and
-   components are formed of them.
-2. Leaves that still hold several components are compared exhaustively: all their pairs from
-   different components whose tokens agree in `least_agreement` or more (a pair of the wanted
-   similarity has fewer with probability below 1e-6) are confirmed on full sets. A leaf beyond
-   `block` classes is dealt out as pairs of blocks, so that no task holds more than two blocks.
+Each class carries a digest of 64 of its tokens, four bits of each, with which a pair that is far
+below the wanted similarity is told at once; a pair of the wanted similarity is five standard
+errors away from that. Leaves are compared in two steps, so that a large group of near copies is
+neither gathered in one task nor spelled out as pairs:
+1. Each leaf links its classes to its smallest one where the digests allow it; links are confirmed
+   on full sets, and components are formed of them.
+2. Leaves that still hold several components, each set of classes once, are compared exhaustively:
+   classes that have a partner in another component by the digests are brought together with their
+   full sets, and those that are similar enough are linked, one link for each two components that
+   it joins. A leaf beyond `block` classes is dealt out as pairs of blocks, so that no task holds
+   more than two blocks.
 
 The sets are not kept: those of the classes that meet are made anew from their texts.
 
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from quillmatch.operators.closure import components
 from quillmatch.plans.staging import staged, unstage
 
-from .common import LOWER, arrow_schema, id_type, mix, texts
+from .common import LOWER, arrow_schema, columns_of, id_type, mix, texts
 
 K = 3
 SIMILARITY = 85  # percent
@@ -43,6 +46,8 @@ TOKENS = 128
 TREES = 16
 DEPTH = 4
 BLOCK = 512
+#: Tokens in a digest, and how many of a digest fit one long.
+DIGEST, PER_LONG = 64, 16
 #: Up to so many ids of meeting classes are broadcast (8 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -132,9 +137,29 @@ def sketch(docs: DataFrame, k: int = K, tokens: int = TOKENS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, ddl)
 
 
-def leaf_rows(reps: DataFrame, similarity: float, trees: int, depth: int) -> DataFrame:
-    """leaf, rep."""
-    ddl = f"leaf long, rep {id_type(reps, 'rep')}"
+def _digests(sig: np.ndarray) -> np.ndarray:
+    """The low four bits of the first tokens, PER_LONG of them in each long."""
+    low = (sig[:, :DIGEST] & np.uint32(15)).astype(np.uint64)
+    out = np.zeros((len(sig), DIGEST // PER_LONG), dtype=np.uint64)
+    for i in range(low.shape[1]):
+        out[:, i // PER_LONG] |= low[:, i] << np.uint64(4 * (i % PER_LONG))
+    return out.view(np.int64)
+
+
+_MINI = [f"m{i}" for i in range(DIGEST // PER_LONG)]
+
+
+def _nibbles(columns: list) -> np.ndarray:
+    """Digest columns of a batch as a matrix of tokens' low bits."""
+    longs = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1).view(np.uint64)
+    shift = np.uint64(4) * np.arange(PER_LONG, dtype=np.uint64)
+    return ((longs[:, :, None] >> shift) & np.uint64(15)).astype(np.uint8).reshape(len(longs), -1)
+
+
+def leaf_rows(reps: DataFrame, similarity: float, trees: int, depth: int, digests: bool) -> DataFrame:
+    """leaf, rep and, if asked for, the digest's columns."""
+    extra = [f"{m} long" for m in _MINI] if digests else []
+    ddl = ", ".join(["leaf long", f"rep {id_type(reps, 'rep')}", *extra])
     schema = arrow_schema(ddl)
 
     def run(it):
@@ -142,12 +167,46 @@ def leaf_rows(reps: DataFrame, similarity: float, trees: int, depth: int) -> Dat
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1)
+            mini = _digests(sig) if digests else None
             for key, has in leaves(sig, trees, depth, similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(key[has].view(np.int64)), batch.column(0).take(pa.array(np.flatnonzero(has)))], schema=schema)
+                rest = [pa.array(np.ascontiguousarray(mini[has, i])) for i in range(len(_MINI))] if digests else []
+                yield pa.RecordBatch.from_arrays([pa.array(key[has].view(np.int64)), batch.column(0).take(pa.array(np.flatnonzero(has))), *rest], schema=schema)
 
     return reps.select("rep", "sig").mapInArrow(run, ddl)
 
 
+def star_links(members: DataFrame, least: float) -> DataFrame:
+    """a, b: each class of a leaf with the leaf's smallest, where their digests agree enough. Rows
+    are sorted by leaf and class, and no leaf is held: only its first row."""
+    kind = id_type(members, "rep")
+    ddl = f"a {kind}, b {kind}"
+    schema = arrow_schema(ddl)
+
+    def run(it):
+        last = None  # leaf, rep and digest of the open leaf's first row
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            leaf, rep = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            bits = _nibbles(batch.columns[2:])
+            new = np.ones(len(leaf), dtype=bool)
+            new[1:] = leaf[1:] != leaf[:-1]
+            reps, at = rep, np.maximum.accumulate(np.where(new, np.arange(len(leaf)), 0))
+            first = bits[at]
+            if last is not None and last[0] == leaf[0]:  # the leaf goes on from the batch before
+                to = int(np.argmax(new[1:])) + 1 if new[1:].any() else len(leaf)
+                first[:to] = last[2]
+                reps = pa.concat_arrays([rep, pa.array([last[1]], type=rep.type)])
+                at[:to] = len(leaf)
+            near = ((bits == first).mean(axis=1) >= least) & (at != np.arange(len(leaf)))
+            keep = np.flatnonzero(near)
+            yield pa.RecordBatch.from_arrays([reps.take(pa.array(at[keep])), rep.take(pa.array(keep))], schema=schema)
+            last = (leaf[-1], reps[int(at[-1])].as_py(), first[-1].copy())
+
+    rows = members.select("leaf", "rep", *_MINI).repartition("leaf").sortWithinPartitions("leaf", "rep")
+    return rows.mapInArrow(run, ddl).where("a <> b").distinct()
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """id, bag: the sets of the documents in ids (a column id), as sorted 64-bit hashes."""
     few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
@@ -190,90 +249,126 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return out
 
 
-def _exhaustive(rows: DataFrame, least: float) -> DataFrame:
-    """a, b: pairs from different components within a block pair (leaf, i, j). rows are grouped by
-    sorting their partition, and a group of at most two blocks is held at a time."""
+def _grouped(it, keys: int):
+    """Groups of consecutive rows that agree in their first columns, as lists of rows."""
+    group: list[tuple] = []
+    for batch in it:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group and group[0][:keys] != row[:keys]:
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
+
+def _other(group: list[tuple], p: int, comp: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which later rows of a block pair (leaf, i, j) are to be compared with row p: those of another
+    component and, as a block meets itself in a group of its own, of the other block."""
+    out = comp != comp[p]
+    out[: p + 1] = False
+    if group[0][1] != group[0][2]:
+        out &= own != own[p]
+    return out
+
+
+def with_partner(blocks: DataFrame, least: float) -> DataFrame:
+    """leaf, i, j, rep, comp, own of the classes with a partner by the digests."""
+    kind = id_type(blocks, "rep")
+    ddl = f"leaf long, i int, j int, rep {kind}, comp {kind}, own int"
+    schema = arrow_schema(ddl)
+
+    def run(it):
+        out: list[tuple] = []
+        shift = np.uint64(4) * np.arange(PER_LONG, dtype=np.uint64)
+        for group in _grouped(it, 3):
+            longs = np.array([r[6:] for r in group], dtype=np.int64).view(np.uint64)
+            bits = ((longs[:, :, None] >> shift) & np.uint64(15)).astype(np.uint8).reshape(len(group), -1)
+            comp, own = np.unique([str(r[4]) for r in group], return_inverse=True)[1], np.array([r[5] for r in group])
+            found = np.zeros(len(group), dtype=bool)
+            for p in range(len(group)):
+                at = np.flatnonzero(_other(group, p, comp, own))
+                if len(at):
+                    at = at[(bits[at] == bits[p]).mean(axis=1) >= least]
+                    if len(at):
+                        found[p] = True
+                        found[at] = True
+            out += [r[:6] for r, f in zip(group, found.tolist(), strict=True) if f]
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns_of(out, 6), schema, strict=True)], schema=schema)
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns_of(out, 6), schema, strict=True)], schema=schema)
+
+    return blocks.mapInArrow(run, ddl)
+
+
+def similar(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: for each two components in a block pair that have a pair of similar full sets, such a
+    pair; rows are leaf, i, j, rep, comp, own, bag."""
     kind = id_type(rows, "rep")
     ddl = f"a {kind}, b {kind}"
     schema = arrow_schema(ddl)
 
-    def pairs(group: list[tuple]):
-        sig = np.frombuffer(b"".join(x[5] for x in group), dtype=np.uint32).reshape(len(group), -1)
-        comp = np.unique([str(x[4]) for x in group], return_inverse=True)[1]
-        own = np.array([x[6] for x in group])
-        i, j = group[0][1], group[0][2]
-        out_a, out_b = [], []
+    def links(group: list[tuple]) -> list[tuple]:
+        bags = [np.frombuffer(r[6], dtype=np.uint64) for r in group]
+        size = np.array([len(x) for x in bags])
+        ids, flat = np.unique(np.concatenate(bags), return_inverse=True)
+        end = np.cumsum(size)
+        comp, own = np.unique([str(r[4]) for r in group], return_inverse=True)[1], np.array([r[5] for r in group])
+        out = []
         for p in range(len(group)):
-            other = comp != comp[p]
-            other[: p + 1] = False
-            if i != j:  # pairs within a block are compared where the block meets itself
-                other &= own != own[p]
-            at = np.flatnonzero(other)
-            if len(at):
-                at = at[(sig[at] == sig[p]).mean(axis=1) >= least]
-                for q in at.tolist():
-                    out_a.append(min(group[p][3], group[q][3]))
-                    out_b.append(max(group[p][3], group[q][3]))
-        return out_a, out_b
+            other = _other(group, p, comp, own)
+            if not other.any():
+                continue
+            mark = np.zeros(len(ids), dtype=np.int64)
+            mark[flat[end[p] - size[p] : end[p]]] = 1
+            total = np.concatenate([[0], np.cumsum(mark[flat])])
+            both = total[end] - total[end - size]
+            for q in np.flatnonzero(other & (100 * both >= percent * (size[p] + size - both))).tolist():
+                if comp[p] != comp[q]:
+                    out.append((min(group[p][3], group[q][3]), max(group[p][3], group[q][3])))
+                    comp[comp == comp[q]] = comp[p]
+        return out
 
     def run(it):
-        group: list[tuple] = []
-        out: tuple[list, list] = ([], [])
-
-        def emptied():
-            batch = pa.RecordBatch.from_arrays([pa.array(out[0], type=schema.field(0).type), pa.array(out[1], type=schema.field(1).type)], schema=schema)
-            out[0].clear()
-            out[1].clear()
-            return batch
-
-        def close():
-            found = pairs(group)
-            out[0].extend(found[0])
-            out[1].extend(found[1])
-
-        for batch in it:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    close()
-                    group = []
-                    if len(out[0]) > 20_000:
-                        yield emptied()
-                group.append(row)
-        if group:
-            close()
-        yield emptied()
+        out: list[tuple] = []
+        for group in _grouped(it, 3):
+            out += links(group)
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns_of(out, 2), schema, strict=True)], schema=schema)
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns_of(out, 2), schema, strict=True)], schema=schema)
 
-    return rows.select("leaf", "i", "j", "rep", "comp", "sig", "own").mapInArrow(run, ddl).distinct()
+    return rows.mapInArrow(run, ddl).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILARITY, tokens: int = TOKENS, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK, least_agreement: float | None = None) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept."""
     similarity = percent / 100
-    # five standard errors of the agreement of `tokens` tokens below the wanted similarity
-    least = similarity - 5 * (similarity * (1 - similarity) / tokens) ** 0.5 if least_agreement is None else least_agreement
+    # five standard errors of the agreement of a digest's tokens below the wanted similarity
+    least = similarity - 5 * (similarity * (1 - similarity) / DIGEST) ** 0.5 if least_agreement is None else least_agreement
     rows = staged(sketch(docs, k, tokens))
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
     reps = staged(classes)
 
-    spread = staged(leaf_rows(reps, similarity, trees, depth))
-    live = spread.groupBy("leaf").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top"), F.count("*").alias("size")).where("pivot < top").drop("top")
-    live = live.withColumnRenamed("leaf", "_leaf")
-    members = staged(spread.join(live, spread["leaf"] == live["_leaf"]).select("leaf", "rep", "pivot", "size"))
-    unstage(spread)
+    live = leaf_rows(reps, similarity, trees, depth, False).groupBy("leaf").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("kind"), F.min("rep").alias("low"), F.max("rep").alias("top")).where("low < top").select(F.col("leaf").alias("_leaf"), "size", "kind")
+    spread = leaf_rows(reps, similarity, trees, depth, True)
+    members = staged(spread.join(live, spread["leaf"] == live["_leaf"]).drop("_leaf"))
 
-    stars = staged(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    stars = staged(star_links(members, least))
     links = confirmed(docs, stars, k, percent)
+    unstage(stars)
     found = staged(components(links))
 
     mixed = staged(_mixed(members, found))
     if not mixed.isEmpty():
-        pairs = _block_pairs(mixed, reps, block, least)
-        rest = staged(pairs.join(stars, ["a", "b"], "left_anti"))
-        more = confirmed(docs, rest, k, percent)
+        near = staged(with_partner(_blocks(mixed, block), least))
+        bags = full_sets(docs, staged(near.select(F.col("rep").alias("id")).distinct()), k).withColumnRenamed("id", "_id")
+        sets = near.join(bags, near["rep"] == bags["_id"]).select("leaf", "i", "j", "rep", "comp", "own", "bag")
+        more = staged(similar(sets.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j"), percent))
         if not more.isEmpty():
             found = staged(components(links.unionByName(more)))
-        unstage(rest)
-    for x in (mixed, members, stars):
+    for x in (mixed, members):
         unstage(x)
 
     named = reps.select("hi", "lo", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.coalesce("component", "rep").alias("component_id"))
@@ -284,18 +379,18 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILARITY, toke
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """leaf, rep, comp, size of leaves of three or more classes that hold several components."""
+    """leaf, rep, comp, size and digest, in leaves of three or more classes that hold several
+    components; of leaves that hold the same classes one is enough."""
     found = found.select(F.col("node").alias("_node"), "component")
-    rows = members.where("size > 2").join(found, members["rep"] == found["_node"], "left").select("leaf", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-    several = rows.groupBy("leaf").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").select(F.col("leaf").alias("_leaf"))
-    return rows.join(several, rows["leaf"] == several["_leaf"], "left_semi")
+    rows = members.where("size > 2").join(found, members["rep"] == found["_node"], "left").select("leaf", "rep", "size", "kind", F.coalesce("component", "rep").alias("comp"), *_MINI)
+    several = rows.groupBy("leaf", "size", "kind").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q")
+    one = several.groupBy("size", "kind").agg(F.min("leaf").alias("_leaf")).select("_leaf")
+    return rows.join(one, rows["leaf"] == one["_leaf"], "left_semi").drop("kind")
 
 
-def _block_pairs(mixed: DataFrame, reps: DataFrame, block: int, least: float) -> DataFrame:
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    rows = mixed.withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+def _blocks(mixed: DataFrame, block: int) -> DataFrame:
+    """leaf, i, j, rep, comp, own and digest: each class in all pairs of its own block."""
+    rows = mixed.withColumn("n", F.ceil(F.col("size") / F.lit(block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    sig = reps.select(F.col("rep").alias("_rep"), "sig")
-    rows = rows.join(sig, rows["rep"] == sig["_rep"]).drop("_rep")
-    return _exhaustive(rows.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j"), least)
+    rows = rows.select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "own", *_MINI)
+    return rows.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j")
