@@ -1,12 +1,12 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 A text's tokens are its words (parted by ASCII white space, A-Z lower-cased) and one end. The tree
-holds contexts of up to `depth` words. A context is a candidate if its relative frequency in the
-training tokens is at least `min_context`, so that there are at most depth/min_context of them at
-any corpus size; words of relative frequency at least `min_symbol` (at most 1/min_symbol of them)
-are the tree's explicit symbols. A candidate is retained if its next-symbol distribution diverges
-from that of its suffix: its count times their relative entropy is at least `divergence` times
-its number of explicit next symbols. Suffixes of retained contexts are kept with them.
+holds contexts of up to two words. A context is a candidate if it occurs at least `min_context`
+times in the training tokens and its suffix is retained; n-grams that occur at least `min_symbol`
+times are its explicit next symbols. Both are counts, so that what is gathered grows with the
+corpus. A candidate is retained if its next-symbol distribution diverges from that of its suffix:
+its count times their relative entropy is at least `divergence` times its number of explicit next
+symbols.
 
 Smoothing: a state s gives an explicit next symbol (count(s, x) - d) / count(s) and the mass it
 leaves over times what its suffix gives; the root gives a known word (count - d) / N and all
@@ -14,8 +14,13 @@ unknown words together the rest, d times the known types over N. So each state's
 the known words and "unknown" sums to 1. A text's score is the sum of log10 probabilities, each
 token in the state of the longest suffix of its history (a start mark opens each text).
 
-Counting covers all training texts: each task counts its words and n-grams before they are
-shuffled. Counts of words above min_symbol are broadcast; those of all others are found by a join.
+Words and n-grams are named by 64-bit hashes. The logarithm of a token's probability is a sum of
+weights: of the word, of its history as states (what they leave over), and of the n-grams that are
+explicit in them (what they give beyond that). So the tree is a table of weights by word and
+n-gram, and scoring is one join with it. Weights of n-grams above `head` of the training tokens
+(at most 1/head of each length) are broadcast; all others are joined. Bitmaps of bounded size
+(`bitmap_bits`) keep back most n-grams that have no weight; those they let through find nothing in
+the join.
 
 Defined results: a null text is empty, its one token is the end; without training texts every
 count is 0 and the tree is its root alone, which gives an unknown token probability 1. Repeated
@@ -24,35 +29,45 @@ rows are scored one by one; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.plans.staging import staged
+from quillmatch.plans.staging import staged, unstage
 
-from .common import LOWER, arrow_schema, id_type, texts
+from .common import LOWER, arrow_schema, id_type, mix, texts
 
 #: The end's name among the words: no word holds a line break.
 END = b"\n"
 
-#: An n-gram is packed in 63 bits: up to three symbols.
+#: An n-gram of a collected tree is packed in 63 bits: up to three symbols.
 _BITS = 21
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SEED = 42  # Spark's own xxhash64
 
 
 @dataclass(frozen=True)
 class Settings:
-    """See the module. All thresholds are relative, so they hold alike at every size."""
+    """See the module. Thresholds from 1 on are counts, those below are shares of the training
+    tokens (which bound what is retained at any corpus size)."""
 
     depth: int = 2
-    min_symbol: float = 2e-5
-    min_context: float = 1e-4
+    min_symbol: float = 3
+    min_context: float = 8
     divergence: float = 2.0
     discount: float = 0.75
+    head: float = 5e-6
+    bitmap_bits: int = 28
+
+    def least(self, threshold: float, n: int) -> int:
+        return max(2, math.ceil(threshold * n if threshold < 1 else threshold))
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -85,51 +100,248 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, ddl).groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _ids(text: bytes | None, symbols: dict[bytes, int]) -> np.ndarray:
-    """Symbols of a text's tokens, 0 for those that are not explicit."""
-    get = symbols.get
-    return np.array([get(w, 0) for w in tokens(text)], dtype=np.int64)
+def _hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, _SEED)
+
+
+#: The start mark's hash; no word holds white space.
+_START = np.uint64(_hash(b" "))
+
+
+def joined_hash(context: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram, of those of its context and of its suffix (or last word)."""
+    return mix(context * _STEP + last)
+
+
+class Hasher:
+    """Word hashes of texts in a row, each opened by the start mark; words are remembered up to a
+    bounded number."""
+
+    def __init__(self, room: int = 200_000):
+        self.room, self.known = room, {}
+
+    def __call__(self, batch: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes, and the size of each text with its start mark."""
+        known = self.known
+        if len(known) > self.room:
+            known.clear()
+        out, size = [], []
+        for text in batch:
+            w = tokens(text)
+            for x in w:
+                if x not in known:
+                    known[x] = _hash(x)
+            out.append(int(_START))
+            out.extend(map(known.__getitem__, w))
+            size.append(len(w) + 1)
+        return np.array(out, dtype=np.uint64), np.array(size, dtype=np.int64)
+
+
+def slices(it, size: int = 1_000_000):
+    """Batches of about so many bytes of text, or one text."""
+    for batch in it:
+        ends = np.cumsum([len(t or b"") for t in texts(batch)])
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            to = max(to, at + 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def hashed_grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the two words and of the three words that end at each place, and whether they lie in
+    one text; the three words' context and suffix are the two words before and here."""
+    two, three = np.zeros_like(h), np.zeros_like(h)
+    start = h == _START
+    has2, has3 = ~start, ~start
+    two[1:] = joined_hash(h[:-1], h[1:])
+    three[1:] = joined_hash(two[:-1], two[1:])
+    has3[1:] &= ~start[:-1]
+    has2[:1] = has3[:1] = False
+    return two, has2, three, has3
+
+
+def bitmap(keys: DataFrame, most_bits: int) -> tuple[int, np.ndarray]:
+    """The bits of a blocked filter over `keys` (a column f), log2 of their number and the bytes. It
+    has 64 parts by the key's top bits, so that each part is made in one place."""
+    n = keys.count()
+    bits = min(most_bits, max(12, math.ceil(math.log2(max(n, 1) * 12))))
+    ddl = "part int, bits binary"
+    schema = arrow_schema(ddl)
+
+    def run(it):
+        parts: dict[int, np.ndarray] = {}
+        for batch in it:
+            x = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            part = (x >> np.uint64(58)).astype(np.int64)
+            for p in np.unique(part).tolist():
+                own = parts.setdefault(p, np.zeros((1 << bits) // 512, dtype=np.uint8))
+                for at in places(x[part == p], bits):
+                    at = at & np.uint64((1 << (bits - 6)) - 1)
+                    np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        for p, own in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), pa.array([own.tobytes()], type=pa.binary())], schema=schema)
+
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    size = len(out) // 64
+    for r in keys.select("f").repartition(F.shiftrightunsigned("f", 58)).mapInArrow(run, ddl).toLocalIterator():
+        out[r["part"] * size : (r["part"] + 1) * size] |= np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return bits, out
+
+
+def places(x: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The bits of each key: its part, and two places there."""
+    part = (x >> np.uint64(58)) << np.uint64(bits - 6)
+    within = np.uint64((1 << (bits - 6)) - 1)
+    return [part | (x & within), part | ((x >> np.uint64(29)) & within)]
+
+
+def maybe(x: np.ndarray, filled: tuple[int, np.ndarray]) -> np.ndarray:
+    bits, data = filled
+    out = np.ones(len(x), dtype=bool)
+    for at in places(x, bits):
+        out &= (data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return out
 
 
-def gram_counts(train: DataFrame, symbols, contexts, order: int) -> DataFrame:
-    """gram long, c long: n-grams of `order` symbols whose context is a candidate and whose last
-    symbol is explicit. `contexts`: a broadcast of the sorted packed candidates."""
-    ddl = "gram long, c long"
+def gram_counts(train: DataFrame, order: int, contexts=None) -> DataFrame:
+    """ctx long, short long, c long: of all n-grams of `order` words the hash of the context and of
+    the suffix. `contexts`: a broadcast bitmap of the contexts that matter."""
+    ddl = "ctx long, short long, c long"
     schema = arrow_schema(ddl)
 
+    def found(held: list) -> list[pa.Array]:
+        ctx, short = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, first, c = np.unique(joined_hash(ctx, short), return_index=True, return_counts=True)
+        return [pa.array(ctx[first].view(np.int64)), pa.array(short[first].view(np.int64)), pa.array(c.astype(np.int64))]
+
+    def pieces(held: list):
+        whole = pa.RecordBatch.from_arrays(found(held), schema=schema)
+        for at in range(0, whole.num_rows, 100_000):
+            yield whole.slice(at, 100_000)
+
     def count(it):
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        hasher, held, n = Hasher(), [], 0
+        for batch in slices(it):
+            h, _ = hasher(texts(batch))
+            two, has2, _, has3 = hashed_grams(h)
+            if order == 2:
+                at = np.flatnonzero(has2)
+                ctx, short = h[at - 1], h[at]
+            else:
+                at = np.flatnonzero(has3)
+                ctx, short = two[at - 1], two[at]
+            if contexts is not None:
+                keep = maybe(ctx, contexts.value)
+                ctx, short = ctx[keep], short[keep]
+            held.append((ctx, short))
+            n += len(ctx)
+            if n > 1_500_000:  # a task's memory; the rest follow
+                yield from pieces(held)
+                held, n = [], 0
+        if held:
+            yield from pieces(held)
+
+    return train.select("text").mapInArrow(count, ddl).groupBy("ctx", "short").agg(F.sum("c").alias("c"))
+
+
+def _named(grams: DataFrame) -> DataFrame:
+    """The n-grams with their own hash f."""
+    ddl = ", ".join(["f long", *(f"{x.name} {x.dataType.simpleString()}" for x in grams.schema)])
+    schema = arrow_schema(ddl)
+
+    def run(it):
         for batch in it:
-            ids = [grams(_ids(t, symbols.value["ids"]), symbols.value["start"], order) for t in texts(batch)]
-            if not ids:
-                continue
-            context, last = np.concatenate([x[0] for x in ids]), np.concatenate([x[1] for x in ids])
-            keep = (last > 0) & member(context, contexts.value)
-            found.append(np.unique((context[keep] << _BITS) | last[keep], return_counts=True))
-            held += len(found[-1][0])
-            if held > 3_000_000:
-                found = [summed(found)]
-                held = len(found[0][0])
-                if held > 2_000_000:
-                    yield from _arrays(found[0], schema)
-                    found, held = [], 0
-        if found:
-            yield from _arrays(summed(found), schema)
+            ctx, short = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("ctx", "short"))
+            yield pa.RecordBatch.from_arrays([pa.array(joined_hash(ctx, short).view(np.int64)), *batch.columns], schema=schema)
+
+    return grams.mapInArrow(run, ddl)
+
+
+def grow(grams: DataFrame, totals: DataFrame, lower: DataFrame, s: Settings) -> DataFrame:
+    """f, ctx, short, c, logp, left of the explicit n-grams of the states of one depth. `grams` are
+    counted n-grams, `totals` (ctx, total) the candidates, `lower` (short, lower) what their suffix
+    gives to the same symbols."""
+    d = F.lit(s.discount)
+    sums = grams.groupBy("ctx").agg(F.sum(F.col("c") - d).alias("held"), F.count("*").alias("k"), F.sum("c").alias("seen")).join(totals, "ctx")
+    rest = F.greatest(1 - F.col("held") / F.col("total"), F.lit(1e-12))
+    sums = sums.select("ctx", "total", "k", "seen", rest.alias("rest"))
+    rows = staged(grams.join(sums, "ctx").join(lower, "short").withColumn("p", (F.col("c") - d) / F.col("total") + F.col("rest") * F.pow(F.lit(10.0), "lower")))
+    # divergence: explicit symbols one by one, the rest by the mass that is left over
+    gain = F.sum(F.col("c") * (F.log("p") - F.col("lower") * math.log(10)))
+    gain = gain + F.greatest(F.max("total") - F.max("seen"), F.lit(0)) * F.log(F.max("rest"))
+    retained = rows.groupBy("ctx").agg(gain.alias("gain"), F.max("k").alias("k")).where(F.col("gain") >= s.divergence * F.col("k")).select("ctx")
+    out = rows.join(retained, "ctx", "left_semi").select("ctx", "short", "c", "lower", F.log10("p").alias("logp"), F.log10("rest").alias("left"))
+    out = staged(_named(out))
+    unstage(rows)
+    return out
+
+
+def _collect(spark) -> None:
+    """Let Spark remove the shuffle files of what is staged by now: it does so when the driver's JVM
+    collects the frames that made them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@dataclass
+class Grown:
+    """Words (h, c; the start mark among them) and the explicit n-grams of each depth."""
 
-    return train.select("text").mapInArrow(count, ddl).groupBy("gram").agg(F.sum("c").alias("c"))
+    n: int
+    types: int
+    words: DataFrame
+    depths: list[DataFrame]
+
+
+def grown(train: DataFrame, counts: DataFrame, s: Settings) -> Grown:
+    spark = train.sparkSession
+    n, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    texts_n = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    start = spark.range(1).select(F.lit(int(_START.view(np.int64))).alias("h"), F.lit(texts_n).cast("long").alias("c"))
+    _collect(spark)
+    words = staged(counts.select(F.xxhash64("word").alias("h"), "c").unionByName(start.where("c > 0")))
+    out = Grown(n, types, words, [])
+    if not n:
+        return out
+    least, context = s.least(s.min_symbol / 4 if s.min_symbol < 1 else s.min_symbol, n), s.least(s.min_context, n)
+    totals = words.where(F.col("c") >= context).select(F.col("h").alias("ctx"), F.col("c").alias("total"))
+    lower = words.select(F.col("h").alias("short"), F.log10((F.col("c") - s.discount) / F.lit(float(n))).alias("lower"))
+    contexts = None
+    for order in range(2, s.depth + 2):
+        found = staged(gram_counts(train, order, contexts).where(F.col("c") >= least))
+        out.depths.append(grow(found, totals, lower, s))
+        unstage(found)
+        _collect(spark)
+        # a context is a candidate only with its suffix: the explicit n-grams of a state
+        totals = out.depths[-1].where(F.col("c") >= context).select(F.col("f").alias("ctx"), F.col("c").alias("total"))
+        lower = out.depths[-1].select(F.col("f").alias("short"), F.col("logp").alias("lower"))
+        if order <= s.depth:
+            contexts = spark.sparkContext.broadcast(bitmap(totals.select(F.col("ctx").alias("f")), s.bitmap_bits))
+    return out
 
 
-def _arrays(part: tuple[np.ndarray, np.ndarray], schema: pa.Schema, step: int = 100_000):
-    for i in range(0, len(part[0]), step):
-        yield pa.RecordBatch.from_arrays([pa.array(part[0][i : i + step]), pa.array(part[1][i : i + step].astype(np.int64))], schema=schema)
+def weights(g: Grown, s: Settings) -> DataFrame:
+    """f long, c long, weight double, base double, known int: of each word and n-gram; those of
+    words are what they have beyond an unknown one."""
+    unknown = _unknown(g, s)
+    own = F.log10((F.col("c") - s.discount) / F.lit(float(max(g.n, 1)))) - F.lit(unknown)
+    word = F.col("h") != F.lit(int(_START.view(np.int64)))
+    parts = [g.words.select(F.col("h").alias("f"), "c", F.when(word, own).otherwise(0.0).alias("weight"), F.when(word, F.log10(F.col("c") + 1)).otherwise(0.0).alias("base"), word.cast("int").alias("known"))]
+    zero = [F.lit(0.0).alias("base"), F.lit(0).alias("known")]
+    for rows in g.depths:
+        parts.append(rows.select("f", "c", (F.col("logp") - F.col("lower") - F.col("left")).alias("weight"), *zero))
+        # what a state leaves over, by its own hash; its count comes with the word or n-gram
+        parts.append(rows.groupBy("ctx").agg(F.max("left").alias("weight")).select(F.col("ctx").alias("f"), F.lit(0).cast("long").alias("c"), "weight", *zero))
+    whole = parts[0]
+    for x in parts[1:]:
+        whole = whole.unionByName(x)
+    return whole.groupBy("f").agg(F.max("c").alias("c"), F.sum("weight").alias("weight"), F.sum("base").alias("base"), F.max("known").alias("known"))
 
 
-def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if len(parts) == 1:
-        return parts[0]
-    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(where, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+def _unknown(g: Grown, s: Settings) -> float:
+    return math.log10(s.discount * g.types / g.n) if g.n else 0.0
 
 
 def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -190,74 +402,24 @@ class Tree:
         return value, rest & (ids == 0)
 
 
-def _candidates(keys: np.ndarray, counts: np.ndarray, least: float, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grams frequent enough to be contexts of the next order; nothing follows an end."""
-    keep = (counts >= least) & ((keys & ((1 << _BITS) - 1)) != end)
-    order = np.argsort(keys[keep])
-    return keys[keep][order], counts[keep][order]
-
-
-def _grow(tree: Tree, order: int, contexts: np.ndarray, totals: np.ndarray, keys: np.ndarray, counts: np.ndarray, s: Settings) -> None:
-    """Add the states of one depth: `contexts` are the candidates, `keys` their explicit n-grams."""
-    sort = np.argsort(keys)
-    keys, counts = keys[sort], counts[sort].astype(float)
-    of = np.searchsorted(contexts, keys >> _BITS)
-    last = keys & ((1 << _BITS) - 1)
-    d = s.discount
-    left = 1 - np.bincount(of, weights=np.maximum(counts - d, 0), minlength=len(contexts)) / totals
-    left = np.maximum(left, 1e-12)
-    # what the suffix gives to the same symbols
-    lower = tree.root(tree.counts[last])
-    if order > 2:
-        contexts2, left2 = tree.states[order - 3]
-        keys2, logp2 = tree.explicit[order - 3]
-        suffix = (keys >> _BITS) & ((1 << (_BITS * (order - 2))) - 1)
-        short = (suffix << _BITS) | last
-        inside, known = member(suffix, contexts2), member(short, keys2)
-        lower = np.where(inside & ~known, lower + left2[np.minimum(np.searchsorted(contexts2, suffix), max(len(contexts2) - 1, 0))] if len(contexts2) else lower, lower)
-        if len(keys2):
-            lower = np.where(inside & known, logp2[np.minimum(np.searchsorted(keys2, short), len(keys2) - 1)], lower)
-    p = np.maximum(counts - d, 0) / totals[of] + left[of] * 10**lower
-    # divergence: explicit symbols one by one, the rest by the mass that is left over
-    gain = np.bincount(of, weights=counts * (np.log(p) - lower * math.log(10)), minlength=len(contexts))
-    others = totals - np.bincount(of, weights=counts, minlength=len(contexts))
-    gain += np.maximum(others, 0) * np.log(left)
-    retained = gain >= s.divergence * np.bincount(of, minlength=len(contexts))
-    tree.states.append((contexts[retained], np.log10(left[retained])))
-    kept = retained[of] if len(keys) else np.zeros(0, dtype=bool)
-    tree.explicit.append((keys[kept], np.log10(p[kept])))
-
-
 def fit(train: DataFrame, counts: DataFrame, s: Settings = Settings()) -> Tree:
-    """The tree of training texts; `counts` are their word counts."""
-    spark = train.sparkSession
-    n, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.where(F.col("c") >= math.ceil(s.min_symbol * n)).collect() if n else []  # at most 1/min_symbol rows
-    head.sort(key=lambda r: (-r["c"], bytes(r["word"])))
-    symbols = {bytes(r["word"]): i + 1 for i, r in enumerate(head)}
-    tree = Tree(n, types, s.discount, symbols, np.array([0, *(r["c"] for r in head)], dtype=np.int64), start=len(symbols) + 1)
+    """The tree of a small corpus on the driver; `counts` are the word counts of the texts."""
+    g = grown(train, counts, s)
+    names = counts.select("word", F.xxhash64("word").alias("h"), "c").collect()
+    names.sort(key=lambda r: (-r["c"], bytes(r["word"])))
+    ids = {r["h"]: i + 1 for i, r in enumerate(names)}
+    tree = Tree(g.n, g.types, s.discount, {bytes(r["word"]): i + 1 for i, r in enumerate(names)}, np.array([0, *(r["c"] for r in names)], dtype=np.int64), start=len(names) + 1)
     assert tree.start < 1 << _BITS
-    if not n:
-        return tree
-    end = symbols.get(END, 0)
-    shared = spark.sparkContext.broadcast({"ids": symbols, "start": tree.start})
-    # one-word contexts: frequent words, and the start mark, which opens as many texts as end
-    texts_n = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    keys = np.concatenate([np.arange(1, tree.start), [tree.start]]).astype(np.int64)
-    contexts, totals = _candidates(keys, np.concatenate([tree.counts[1:], [texts_n]]), s.min_context * n, end)
-    for order in range(2, s.depth + 2):
-        if not len(contexts):
-            break
-        found = gram_counts(train, shared, spark.sparkContext.broadcast(contexts), order)
-        # what is too rare to matter as a symbol of any state stays with the suffix
-        rows = found.where(F.col("c") >= max(2, math.ceil(s.min_symbol * n / 4))).toPandas()
-        keys, c = rows["gram"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
-        _grow(tree, order, contexts, totals.astype(float), keys, c, s)
-        contexts, totals = _candidates(keys, c, s.min_context * n, end)
-        # a context is a candidate only with its suffix
-        if order == 2 and len(contexts):
-            ok = member(contexts & ((1 << _BITS) - 1), tree.states[0][0])
-            contexts, totals = contexts[ok], totals[ok]
+    ids[int(_START.view(np.int64))] = tree.start
+    packed = dict(ids)  # words and n-grams by hash
+    for rows in g.depths:
+        found = rows.collect()
+        mask = (1 << _BITS) - 1
+        packed = packed | {r["f"]: (packed[r["ctx"]] << _BITS) | (packed[r["short"]] & mask) for r in found}
+        states = sorted({(packed[r["ctx"]], r["left"]) for r in found})
+        explicit = sorted((packed[r["f"]], r["logp"]) for r in found)
+        for out, of in ((tree.states, states), (tree.explicit, explicit)):
+            out.append((np.array([k for k, _ in of], dtype=np.int64), np.array([v for _, v in of], dtype=float)))
     return tree
 
 
@@ -268,69 +430,68 @@ def score(docs: DataFrame, held_out: Column, s: Settings = Settings()) -> DataFr
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     train = rows.where(~F.col("held_out"))
     counts = staged(word_counts(train))
-    tree = fit(train, counts, s)
-    n, types = tree.n, tree.types
-    shared = spark.sparkContext.broadcast(tree)
+    g = grown(train, counts, s)
+    n = g.n
+    table = staged(weights(g, s))
+    for x in (counts, g.words, *g.depths):
+        unstage(x)
+    _collect(spark)
+    least = max(1, math.ceil(s.head * n))
+    top = table.where(F.col("c") >= least).toPandas().sort_values("f")
+    tail = table.where(F.col("c") < least)
+    shared = spark.sparkContext.broadcast({"f": top["f"].to_numpy(np.int64), **{c: top[c].to_numpy(float) for c in ("weight", "base", "known")}, "tail": bitmap(tail, s.bitmap_bits)})
+    unknown, base0 = _unknown(g, s), -math.log10(n + g.types + 1)
     kind = id_type(docs, "doc_id")
-    # A text gives a row with what the head decides, its word a name of its own, and a row for
-    # each word that the head doesn't hold.
-    ddl = f"row long, word binary, tf long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, value double"
+    # A text gives a row with what the head decides, under a name of its own, and a row for each
+    # word and n-gram that the tail may hold.
+    ddl = f"row long, f long, tf long, doc_id {kind}, held_out boolean, n_tokens long, n_known double, base double, value double"
     schema = arrow_schema(ddl)
 
     def emit(it):
         from pyspark import TaskContext
 
-        t = shared.value
-        get = t.symbols.get
-        head_base = np.log10((t.counts + 1) / (n + types + 1))
+        t, hasher = shared.value, Hasher()
         row = TaskContext.get().partitionId() << 33
-        for batch in it:
-            held = batch.column(2).to_pylist()
-            take, number, name, tf, total, known_n, base, value = [], [], [], [], [], [], [], []
-            for i, text in enumerate(texts(batch)):
-                row += 1
-                w = tokens(text)
-                x = np.array([get(v, 0) for v in w], dtype=np.int64)
-                known = x > 0
-                rare = Counter(w[j] for j in np.flatnonzero(~known).tolist())
-                take += [i, *[None] * len(rare)]
-                number += [row] * (1 + len(rare))
-                name += [b"\n%d" % row, *rare]
-                tf += [0, *rare.values()]
-                blank = [None] * len(rare)
-                total += [len(w), *blank]
-                known_n += [int(known.sum()), *blank]
-                base += [float(head_base[x[known]].sum()), *blank]
-                value += [float(t.score(x)[0].sum()), *blank]
-                if len(number) > 50_000:
-                    yield from piece(batch, held, take, number, name, tf, total, known_n, base, value)
-                    take, number, name, tf, total, known_n, base, value = [], [], [], [], [], [], [], []
-            yield from piece(batch, held, take, number, name, tf, total, known_n, base, value)
-
-    def piece(batch, held, take, number, name, tf, *rest):
-        where = pa.array(take, type=pa.int64())
-        flags = [None if i is None else held[i] for i in take]
-        columns = [number, name, tf, None, flags, *rest]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(where) if c is None else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        for part in slices(it):
+            yield from pieces(part, row, *hasher(texts(part)), t)
+            row += part.num_rows
+
+    def pieces(batch, row, h, size, t):
+        docs_n = batch.num_rows
+        two, has2, three, has3 = hashed_grams(h)
+        of = np.repeat(np.arange(docs_n), size)
+        of = np.concatenate([of, of[has2], of[has3]])
+        key = np.concatenate([h, two[has2], three[has3]])
+        inside = member(key.view(np.int64), t["f"])
+        at, to = np.searchsorted(t["f"], key[inside].view(np.int64)), of[inside]
+        known, base, value = (np.bincount(to, weights=t[c][at], minlength=docs_n) for c in ("known", "base", "weight"))
+        total = size - 1
+        own = np.arange(row, row + docs_n, dtype=np.int64)
+        blank = pa.nulls
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(mix(own.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(docs_n, dtype=np.int64)), batch.column(0), batch.column(2), *(pa.array(x) for x in (total, known, base + total * base0, value + total * unknown))], schema=schema)
+        key, of = key[~inside], of[~inside]
+        keep = maybe(key, t["tail"])
+        key, of = key[keep], of[keep]
+        _, first, tf = np.unique(key ^ mix(of.astype(np.uint64) + _STEP), return_index=True, return_counts=True)
+        first, tf = first[o := np.argsort(of[first], kind="stable")], tf[o].astype(np.int64)
+        for a in range(0, len(first), 100_000):
+            i = first[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own[of[i]]), pa.array(key[i].view(np.int64)), pa.array(tf[a : a + 100_000]), *(blank(len(i), x.type) for x in list(schema)[3:])], schema=schema)
 
     parts = rows.mapInArrow(emit, ddl)
-    tail = counts.select(F.col("word").alias("_word"), F.col("c").alias("_c"))
-    joined = parts.join(tail, parts["word"] == tail["_word"], "left")
-    c, tf = F.coalesce(F.col("_c"), F.lit(0)), F.col("tf")
-    unknown = math.log10(tree.discount * types / n) if n else 0.0
-    root = F.when(c > 0, F.log10((c - F.lit(tree.discount)) / F.lit(float(max(n, 1))))).otherwise(F.lit(unknown))
+    of = tail.select(F.col("f").alias("_f"), F.col("weight").alias("_weight"), F.col("base").alias("_base"), F.col("known").alias("_known"))
+    joined = parts.join(of, parts["f"] == of["_f"], "left")
+    more = {c: F.sum(F.col("tf") * F.coalesce(F.col(c), F.lit(0))) for c in ("_known", "_base", "_weight")}
     sums = joined.groupBy("row").agg(
         F.max(F.struct(F.col("n_tokens").isNotNull().alias("own"), "doc_id", "held_out", "n_tokens", "n_known", "base", "value")).alias("own"),
-        F.sum(F.when(c > 0, tf).otherwise(0)).alias("known"),
-        F.sum(tf * F.log10((c + 1) / F.lit(float(n + types + 1)))).alias("base"),
-        F.sum(tf * root).alias("value"),
+        *(x.alias(c) for c, x in more.items()),
     )
     return sums.select(
         "own.doc_id",
         "own.held_out",
         "own.n_tokens",
-        (F.col("own.n_known") + F.col("known")).alias("n_known"),
+        (F.col("own.n_known") + F.col("_known")).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("own.base") + F.col("base")).alias("base_score"),
-        (F.col("own.value") + F.col("value")).alias("score"),
+        (F.col("own.base") + F.col("_base")).alias("base_score"),
+        (F.col("own.value") + F.col("_weight")).alias("score"),
     )

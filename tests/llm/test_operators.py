@@ -157,6 +157,73 @@ def test_suffix_tree_distributions_sum_to_one(spark):
         assert total == pytest.approx(1.0, abs=1e-6), (context, names)
 
 
+def slow_suffix_tree(train, held, s):
+    """Scores by definition, contexts as tuples of words."""
+    c, start = Counter(w for t in train for w in t), (b" ",)
+    n = sum(c.values())
+    levels, p = [], {(w,): (c[w] - s.discount) / n for w in c}
+    total = {(w,): k for w, k in c.items()} | {start: len(train)}
+    for order in (2, 3):
+        g = Counter(x[i : i + order] for t in train for x in [(*start, *t)] for i in range(len(x) - order + 1))
+        by = defaultdict(dict)
+        for gram, k in g.items():
+            if k >= s.min_symbol:
+                by[gram[:-1]][gram] = k
+        left, explicit = {}, {}
+        for ctx, own in by.items():
+            if total.get(ctx, 0) < s.min_context:
+                continue
+            rest = max(1 - sum(k - s.discount for k in own.values()) / total[ctx], 1e-12)
+            q = {x: (k - s.discount) / total[ctx] + rest * p[x[1:]] for x, k in own.items()}
+            gain = sum(k * np.log(q[x] / p[x[1:]]) for x, k in own.items()) + (total[ctx] - sum(own.values())) * np.log(rest)
+            if gain >= s.divergence * len(own):
+                left[ctx], explicit = rest, explicit | q
+        levels.append((left, explicit))
+        p, total = explicit, {x: g[x] for x in explicit}
+
+    def prob(history, w):
+        factor = 1.0
+        for order in (3, 2):
+            left, explicit = levels[order - 2]
+            ctx = tuple(history[1 - order :])
+            if ctx in left:
+                if (*ctx, w) in explicit:
+                    return factor * explicit[(*ctx, w)]
+                factor *= left[ctx]
+        return factor * ((c[w] - s.discount) if w in c else s.discount * len(c)) / n
+
+    return [sum(np.log10(prob([*start, *t[:i]], w)) for i, w in enumerate(t)) for t in [*train, *held]], levels
+
+
+@pytest.mark.parametrize("head", [5e-6, 0.01, 0.9])
+def test_suffix_tree_against_definition(spark, head):
+    rnd = random.Random(21)
+    words = vocabulary(300)
+    lines = [prose(rnd, words, 12) for _ in range(12)]
+    texts = [prose(rnd, words, rnd.randint(0, 30)) + " " + rnd.choice(lines) for _ in range(150)] + [None, "", "unseenword"]
+    s = suffix_tree.Settings(head=head)
+    tokens = [suffix_tree.tokens(None if t is None else t.encode()) for t in texts]
+    held = [i for i in range(len(texts)) if i % 5 == 2]
+    train = [i for i in range(len(texts)) if i % 5 != 2]
+    want, levels = slow_suffix_tree([tokens[i] for i in train], [tokens[i] for i in held], s)
+    assert len(levels[0][0]) > 20 and len(levels[1][0]) > 20
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(frame(spark, texts), F.col("doc_id") % 5 == 2, s).collect()}
+    assert [got[i] for i in [*train, *held]] == pytest.approx(want)
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """Contexts of a fixed count stay contexts, however large the rest of the corpus is."""
+    rnd = random.Random(22)
+    rare = ["alpha beta gamma delta"] * 12
+    states = []
+    for other in (20, 5000):
+        df = frame(spark, rare + [" ".join(f"w{rnd.randrange(40)}" for _ in range(30)) for _ in range(other)])
+        tree = suffix_tree.fit(df, suffix_tree.word_counts(df))
+        names = {v: k for k, v in tree.symbols.items()}
+        states.append({names.get(x) for x in tree.states[0][0].tolist()})
+    assert all({b"alpha", b"beta", b"gamma"} <= x for x in states)
+
+
 # --- op4 -----------------------------------------------------------------------------------------
 
 
