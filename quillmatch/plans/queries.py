@@ -1,12 +1,14 @@
 """The engine's queries over the driver's tables, and the same in SQL.
 
-References are documents, turns of conversations and, where every pair's whole token lists are
-scored, items of the benchmark. All get ids of fixed width, so that their order as
-strings is that of the numbers.
+References are documents and turns of conversations; scoring and single-pass resolution are
+registered over items of the benchmark too, those over turns by names that end in `_turns`. All get
+ids of fixed width, so that their order as strings is that of the numbers.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -296,21 +298,21 @@ _GREEDY = (
 _KRIS = "kris AS (SELECT refID1, refID2, sum(sim * (m - i + 1) / (m * (m + 1) / 2)) AS score FROM steps GROUP BY 1, 2)"
 
 
-def _scores(spark, d, comparator: str, **changes) -> DataFrame:
+def _scores(spark, d, comparator: str, of=items, **changes) -> DataFrame:
     p = P.with_(comparator=comparator, **changes)
-    refs = items(spark, d)
+    refs = of(spark, d)
     freq = stats.token_frequency(refs)
     return scoring.score(blocking.candidate_pairs(refs, freq, p), blocking.comparison_tokens(refs, freq, p), p, restricted=False).select("refID1", "refID2", F.round("score", 8).alias("score"))
 
 
 @query(_with(*_PAIRS, _LISTS, then="SELECT refID1, refID2, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE list_sum([least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))) FOR x IN list_distinct(a)]) / sqrt(len(a)::DOUBLE * len(b)) END, 8) AS score FROM lists"))
-def cosine_pairs(spark, d):
-    return _scores(spark, d, "Cosine")
+def cosine_pairs(spark, d, of=items):
+    return _scores(spark, d, "Cosine", of)
 
 
 @query(_with(*_GREEDY, _KRIS, then="SELECT refID1, refID2, round(coalesce(score, 0), 8) AS score FROM lists LEFT JOIN kris USING (refID1, refID2)"))
-def kris_pairs(spark, d):
-    return _scores(spark, d, "ScoringMatrixKris")
+def kris_pairs(spark, d, of=items):
+    return _scores(spark, d, "ScoringMatrixKris", of)
 
 
 @query(
@@ -321,8 +323,8 @@ def kris_pairs(spark, d):
         then="SELECT refID1, refID2, round(coalesce(score, 0), 8) AS score FROM lists LEFT JOIN std USING (refID1, refID2)",
     )
 )
-def std_pairs(spark, d):
-    return _scores(spark, d, "ScoringMatrixStd")
+def std_pairs(spark, d, of=items):
+    return _scores(spark, d, "ScoringMatrixStd", of)
 
 
 @query(
@@ -334,8 +336,8 @@ def std_pairs(spark, d):
         then="SELECT refID1, refID2, round(coalesce(avg(s), 0), 8) AS score FROM lists LEFT JOIN best USING (refID1, refID2) GROUP BY 1, 2",
     )
 )
-def monge_pairs(spark, d):
-    return _scores(spark, d, "MongeElkan")
+def monge_pairs(spark, d, of=items):
+    return _scores(spark, d, "MongeElkan", of)
 
 
 @query(
@@ -344,8 +346,8 @@ def monge_pairs(spark, d):
         then="SELECT refID1, refID2, CAST(step AS INTEGER) AS step, a[i] AS token1, b[j] AS token2, round(sim, 8) AS sim, round((m - i + 1) / (m * (m + 1) / 2), 8) AS weight, round(sim * (m - i + 1) / (m * (m + 1) / 2), 8) AS weighted_sim, CAST(i - 1 AS INTEGER) AS row_index, CAST(j - 1 AS INTEGER) AS col_index FROM steps JOIN short USING (refID1, refID2) WHERE sim >= 0.01",
     )
 )
-def token_match_trace(spark, d):
-    refs = items(spark, d)
+def token_match_trace(spark, d, of=items):
+    refs = of(spark, d)
     freq = stats.token_frequency(refs)
     rows = reports.token_matches(blocking.candidate_pairs(refs, freq, P), refs, freq, P, restricted=False)
     return rows.select("refID1", "refID2", "step", "token1", "token2", *(F.round(c, 8).alias(c) for c in ("sim", "weight", "weighted_sim")), "row_index", "col_index")
@@ -367,20 +369,20 @@ def closure(spark, d):
 
 
 @query(_with(*_GREEDY, _KRIS, _LINKS, then="SELECT refID1, refID2, round(score, 8) AS score FROM links"))
-def er_one_iteration(spark, d):
-    refs = items(spark, d)
+def er_one_iteration(spark, d, of=items):
+    refs = of(spark, d)
     return one_iteration(refs, stats.token_frequency(refs), P, restricted=False).select("refID1", "refID2", F.round("score", 8).alias("score"))
 
 
 @query(_with(*_GREEDY, _KRIS, _LINKS, _CLUSTERS, then="SELECT clusterID, refID FROM clusters", recursive=True))
-def er_clusters(spark, d):
-    refs = items(spark, d)
+def er_clusters(spark, d, of=items):
+    refs = of(spark, d)
     return clusters_of(staged(one_iteration(refs, stats.token_frequency(refs), P, restricted=False)))
 
 
 @query()
 def er_full(spark, d):
-    return reports.link_index(resolve(items(spark, d), P.with_(runGlobalCorrection=True), words=_words(spark)).link)
+    return reports.link_index(resolve(turns(spark, d), P.with_(runGlobalCorrection=True), words=_words(spark)).link)
 
 
 def _talks(spark, d) -> DataFrame:
@@ -504,18 +506,37 @@ def cluster_json(spark, d):
 
 @query()
 def pair_comparison(spark, d):
-    refs = items(spark, d)
+    refs = turns(spark, d)
     freq = stats.token_frequency(refs)
     return reports.pair_comparison(blocking.candidate_pairs(refs, freq, P), refs, freq, P)
 
 
 @query()
 def report_row(spark, d):
-    result = resolve(items(spark, d), P.with_(inputFileName="benchmark"))
+    result = resolve(turns(spark, d), P.with_(inputFileName="conversations"))
     truth = result.refs.select("refID", F.element_at("tokens", 1).alias("truthID"))
     return reports.report_row(result, metrics.er_metrics(result.link, truth))
 
 
 @query()
 def run_log(spark, d):
-    return reports.run_log(resolve(items(spark, d), P))
+    return reports.run_log(resolve(turns(spark, d), P))
+
+
+# --- scoring and resolution over all turns -----------------------------------------------------------
+
+
+def _over_turns(f) -> None:
+    """The query also over turns. The SQL of greedy and best matches takes minutes on them, so the
+    cosine alone has one; the tests hold the others to it on a small table."""
+    QUERIES[f"{f.__name__}_turns"] = partial(f, of=turns)
+
+
+def turns_sql(name: str) -> str:
+    """A query's SQL with turns as the references."""
+    return ORACLES[name].replace(_ITEMS, _TURNS)
+
+
+for _f in (cosine_pairs, kris_pairs, std_pairs, monge_pairs, token_match_trace, er_one_iteration, er_clusters):
+    _over_turns(_f)
+ORACLES["cosine_pairs_turns"] = turns_sql("cosine_pairs")

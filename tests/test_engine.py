@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmatch.operators import blocking, correction, metrics, quality, stats
 from quillmatch.operators.block_correction import Fold
 from quillmatch.operators.closure import components
-from quillmatch.plans import reports
+from quillmatch.plans import queries, reports
 from quillmatch.plans.params import ParameterError, Params, parse
 from quillmatch.plans.resolve import resolve
 from quillmatch.sources.readers import parse_lines, read_aliases, read_references, read_truth, read_variants, read_word_list, resolve_duplicates
@@ -226,3 +226,20 @@ def test_captures(spark):
     assert reports.capture_path("out/", "S2G", "t", 3) == "out/S2G_t/iteration_03"
     assert [r[0] for r in reports.link_index_lines(spark.createDataFrame([("B", None), ("A", "A")], "refID string, clusterID string")).collect()] == ["A, A", "B, B"]
     assert reports.ref_capture(refs).where(F.col("refID") == "A").first()["tokens"] == "X, Y"
+
+
+def test_scoring_over_turns(spark, tmp_path):
+    """Every turn takes part in scoring and resolution; the SQL tells the results."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["Alpha beta gamma delta", "alpha betta gamma zulu", "omega sigma kappa", "omega sigma kapa lambda", "nothing here", None, "sigma omega", "delta gamma beta"]
+    rows = [(i // 3, i % 3, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("cosine_pairs", "kris_pairs", "std_pairs", "monge_pairs", "token_match_trace", "er_one_iteration", "er_clusters"):
+        got = sorted(map(tuple, queries.QUERIES[f"{name}_turns"](spark, str(tmp_path)).collect()))
+        want = sorted(con.execute(queries.turns_sql(name)).fetchall())
+        assert len(want) > 2 and len(got) == len(want)
+        for a, b in zip(got, want, strict=True):
+            assert all(x == (pytest.approx(y) if isinstance(y, float) else y) for x, y in zip(a, b, strict=True)), name
+    assert {r["refID"] for r in queries.QUERIES["er_full"](spark, str(tmp_path)).collect()} >= {"000000000000", "000000020001"}
