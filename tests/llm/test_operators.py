@@ -272,6 +272,21 @@ def test_substring_dedup(spark):
     assert sentence_spans.dedup_spans(frame(spark, [])).count() == 0
 
 
+def test_cuts_realign_after_a_difference(spark):
+    """A passage inside of a long sentence is found whatever number of words stands before it."""
+    rnd = random.Random(23)
+    words = [f"w{i}" for i in range(5000)]
+    texts, passages = [], []
+    for n in range(40):
+        passage = [rnd.choice(words) for _ in range(60)]
+        passages.append(" ".join(passage[12:48]))
+        for before in (7, 7 + n % 15 + 1):
+            texts.append(" ".join([*(rnd.choice(words) for _ in range(before)), *passage, *(rnd.choice(words) for _ in range(9))]))
+    got = {r["doc_id"]: r["text"] for r in sentence_spans.dedup_spans(frame(spark, texts)).collect()}
+    assert all(got[2 * n] == texts[2 * n] for n in range(40))
+    assert sum(passages[n] in got[2 * n + 1] for n in range(40)) == 0
+
+
 # --- op6 -----------------------------------------------------------------------------------------
 
 
