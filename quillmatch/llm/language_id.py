@@ -9,8 +9,8 @@ that the winner has against any other.
 
 The machines (squared hinge) are trained on a bounded sample of labelled rows: per language
 `per_language` documents at most by the order of a hash, of those as many as have `language_bytes`
-bytes together, at most `total` documents that the languages share equally, and at most
-`languages` languages, the most frequent first. Besides each sampled
+bytes together, and at most `total` documents that the languages share equally, but `least` of
+each language at least. Every language that a row is labelled with is learned. Besides each sampled
 text itself a short run out of its middle is learned from, so that short texts are known too.
 Every whole text is judged.
 
@@ -33,9 +33,9 @@ from .common import by_text, columns_of, id_type
 BUCKETS = 1 << 13
 PER_LANGUAGE = 400
 LANGUAGE_BYTES = 4_000_000
-LANGUAGES = 40
-#: Documents of all languages together; several languages share them equally.
+#: Documents of all languages together; several languages share them equally, with so many each at least.
 TOTAL = 1600
+LEAST = 40
 
 #: Families of languages by code; a language that isn't listed is its own family.
 FAMILIES = {
@@ -141,11 +141,11 @@ class Model:
         return lang, p * q
 
 
-def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, language_bytes: int = LANGUAGE_BYTES, languages: int = LANGUAGES, total: int = TOTAL) -> list[tuple[str, bytes]]:
+def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, language_bytes: int = LANGUAGE_BYTES, total: int = TOTAL, least: int = LEAST) -> list[tuple[str, bytes]]:
     """Language and text of the bounded sample; `learn` is a condition on doc_id."""
     rows = docs.select("doc_id", "lang", "text").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    known = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
-    per_language = min(per_language, -(-total // max(len(known), 1)))
+    known = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    per_language = min(per_language, max(least, -(-total // max(len(known), 1))))
     spark, order = docs.sparkSession, F.xxhash64("doc_id")
     sized = rows.select("doc_id", "lang", F.octet_length("text").alias("n"), order.alias("o"))
     chosen = []

@@ -112,6 +112,12 @@ def test_language(spark):
     assert language_id.identify(df.limit(0), F.col("doc_id") % 4 == 2).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(97 + i % 45 % 26) * 4}{chr(98 + i % 45 // 26) * 3} zq", f"x{i % 45:02d}") for i in range(45 * 3)]
+    found = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert {lang for lang, _ in found} == {lang for _, _, lang in rows} and len(found) == len(rows)
+
+
 # --- op3 -----------------------------------------------------------------------------------------
 
 
