@@ -99,8 +99,11 @@ def leaves(sig: np.ndarray, trees: int, depth: int, similarity: float):
     rows = np.arange(n)
     more = np.uint64(min(int((1 / similarity - 1) * 2**64), 2**64 - 1))
 
+    def place(key: np.ndarray, salt: int) -> np.ndarray:
+        return (mix(key + np.uint64(salt)) >> np.uint64(33)) % np.uint64(tokens)
+
     def child(key: np.ndarray, salt: int) -> np.ndarray:
-        at = (mix(key + np.uint64(salt)) >> np.uint64(33)) % np.uint64(tokens)
+        at = place(key, salt)
         return mix(mix(key * _STEP + at) + sig[rows, at.astype(np.int64)])
 
     for tree in range(trees):
@@ -109,7 +112,8 @@ def leaves(sig: np.ndarray, trees: int, depth: int, similarity: float):
             below = []
             for key, has in nodes:
                 below.append((child(key, 1), has))
-                both = has & (mix(key + np.uint64(2)) < more)
+                # a second choice of the same place would be the first child again
+                both = has & (mix(key + np.uint64(2)) < more) & (place(key, 1) != place(key, 3))
                 if both.any():
                     below.append((child(key, 3), both))
             nodes = below

@@ -480,6 +480,13 @@ def test_near_duplicates(spark, block, k, percent):
     assert all(got[i]["kept"] == (comp[i] == i) for i in got)
 
 
+def test_leaves_hold_a_row_once():
+    sig = np.random.default_rng(3).integers(0, 1 << 32, (40, 4), dtype=np.uint64).astype(np.uint32)
+    for row in range(len(sig)):
+        keys = [int(key[0]) for key, has in chosen_path.leaves(sig[row : row + 1], 16, 4, 0.6) if has[0]]
+        assert len(keys) == len(set(keys))
+
+
 def test_near_duplicates_edge_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "a b c d")], "doc_id long, text string")
     rows = chosen_path.near_duplicates(df).collect()
