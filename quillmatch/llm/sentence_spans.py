@@ -154,8 +154,10 @@ def dedup_spans(docs: DataFrame, **settings) -> DataFrame:
     (sentences), n_words_removed. Settings: sentences, span_words, sentence_words."""
     longest, least, words = _settings(settings)
     hashes = span_hashes(docs, **settings)
-    repeated = hashes.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("h").alias("_h"), "first")
-    later = hashes.join(repeated, (hashes["h"] == repeated["_h"]) & (hashes["doc_id"] > repeated["first"])).select("doc_id", "h")
+    # a null doc_id is before all others
+    repeated = hashes.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    repeated = repeated.where("first < last OR (unnamed AND first IS NOT NULL)").select(F.col("h").alias("_h"), "first", "unnamed")
+    later = hashes.join(repeated, (hashes["h"] == repeated["_h"]) & (repeated["unnamed"] | (hashes["doc_id"] > repeated["first"]))).where("doc_id IS NOT NULL").select("doc_id", "h")
     gone = later.groupBy("doc_id").agg(F.collect_set("h").alias("_gone")).withColumnRenamed("doc_id", "_id")
     own = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "n_words_removed")]
     rows = docs.select(*own).join(gone, docs["doc_id"] == gone["_id"], "left").drop("_id")

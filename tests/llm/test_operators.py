@@ -278,6 +278,13 @@ def test_substring_dedup(spark):
     assert sentence_spans.dedup_spans(frame(spark, [])).count() == 0
 
 
+def test_spans_of_a_null_doc_id_come_first(spark):
+    text = prose(random.Random(24), vocabulary(200), 60).rstrip(".") + "."
+    df = spark.createDataFrame([(1, text), (None, text), (None, text), (2, text + " Other words.")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"].strip()) for r in sentence_spans.dedup_spans(df).collect())
+    assert got == [(0, text), (0, text), (1, ""), (2, "Other words.")]
+
+
 def test_cuts_realign_after_a_difference(spark):
     """A passage inside of a long sentence is found whatever number of words stands before it."""
     rnd = random.Random(23)
