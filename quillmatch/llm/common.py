@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 MASK = (1 << 64) - 1
@@ -28,6 +29,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: The base of polynomial hashes modulo 2**64, and its inverse.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def powers(n: int, base: np.uint64) -> np.ndarray:
+    """base to the powers 0..n modulo 2**64."""
+    out = np.full(n + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial in BASE with these coefficients."""
+    terms = values * powers(max(len(values) - 1, 0), BASE)[: len(values)]
+    return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(terms, dtype=np.uint64)])
+
+
+def run_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of runs of bytes, raw[start:end]: polynomials, mixed. They are made over about
+    `step` bytes at once, or one run, so that memory doesn't grow with the text."""
+    out = np.zeros(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        at = int(start[i])
+        j = max(int(np.searchsorted(end, at + step, side="right")), i + 1)
+        sums = prefix_sums(raw[at : int(end[j - 1])].astype(np.uint64))
+        a, b = start[i:j] - at, end[i:j] - at
+        out[i:j] = mix((sums[b] - sums[a]) * powers(int(a[-1]), INVERSE)[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow form of a DDL schema, as mapInArrow returns it."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -62,6 +96,20 @@ def by_text(docs: DataFrame, carry: list[str], extra: str, make) -> DataFrame:
     return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, ddl)
 
 
+def slices(it, size: int = 1_000_000, column: int | None = None):
+    """Batches of about so many bytes of text, or one text. `column`: where the text is, if it isn't
+    named so."""
+    for batch in it:
+        text = batch.column(batch.schema.get_field_index("text") if column is None else column)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            to = max(to, at + 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def columns_of(rows: list[tuple], n: int) -> list:
     """Rows as n columns, also where there are none."""
     return list(zip(*rows, strict=True)) if rows else [[] for _ in range(n)]

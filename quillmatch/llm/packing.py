@@ -4,9 +4,9 @@ A document of n tokens is cut into whole sequences and a remainder. Remainders a
 of `width` tokens; that histogram (at most length/width rows) is all that the driver sees. A linear
 program over patterns, each a multiset of bins that fits a sequence, asks for the fewest sequences.
 Its columns are generated: the duals price the bins, a knapsack dynamic program finds the most
-valuable pattern, and generation ends when none is worth more than a sequence or the bound is
-within `gap`. Patterns are rounded down, then up where demand remains; what is left over is packed
-largest first. Documents are ranked within their bin (the rank within a task plus the ranks of the
+valuable patterns, and generation ends when none is worth more than a sequence or the bound is
+within `gap`. Patterns are rounded down, then up where demand remains, and the program is solved
+anew for what is left over until no pattern fits into that. Documents are ranked within their bin (the rank within a task plus the ranks of the
 tasks before it), and a rank's place among the patterns gives the sequence. Offsets are running
 sums within a sequence.
 
@@ -16,7 +16,10 @@ repeated rows are packed one by one; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -28,69 +31,173 @@ from pyspark.sql import functions as F
 
 from quillmatch.plans.staging import staged
 
-from .common import arrow_schema, id_type, texts
+from .common import arrow_schema, id_type, slices, texts
 
 LENGTH = 4096
 WIDTH = 8
 CLOSING_ID = 2
-#: Column generation ends at this share above its lower bound, or after so many columns.
+#: Column generation ends at this share above its lower bound.
 GAP = 2e-4
-MAX_COLUMNS = 9000
 #: Ids of whole sequences start here; those of packed remainders are below.
 WHOLE = 1 << 58
 
 
+#: The one normalizer and pre-tokenizer whose work on simple text is done here.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+#: Stands between the ids of words; ids below 2**16 never give these bytes, in any alignment.
+_BREAK = b"\xff" * 4
+
+
+class Remembered:
+    """A dictionary of two generations: when the young one holds `room` entries it becomes the old
+    one, and what is asked for again moves back. It holds at most 2 * room entries."""
+
+    def __init__(self, make, room: int):
+        self.make, self.room, self.young, self.old = make, room, {}, {}
+
+    def __call__(self, *lists: list) -> dict:
+        """A dictionary that has all the keys of the lists; `make` fills in those that are new."""
+        young = self.young
+        keys = set().union(*lists)
+        new = keys.difference(young)
+        if new:
+            if len(young) + len(new) > self.room:
+                self.old, self.young = young, {}
+                young, new = self.young, keys
+            old = self.old
+            young.update((w, old[w]) for w in new if w in old)
+            new = [w for w in new if w not in young]
+            young.update(zip(new, self.make(new), strict=True))
+        return young
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that never merges over white space. Ids of words (runs without
-    ASCII white space) are remembered up to a bounded number; others are encoded in batches."""
+    ASCII white space) are remembered, a bounded number of them, as are those of pre-tokens.
+
+    Where the tokenizer normalizes and pre-tokenizes in the one way that is known here and its
+    merges end words by a suffix, words of code points below 0x300 (NFC leaves them as they are)
+    that hold no special token are lower-cased and parted here and the merges alone are left to
+    the tokenizer's model; all other words go through the tokenizer as a whole."""
 
-    def __init__(self, path: str, closing: int, room: int = 300_000):
+    def __init__(self, path: str, closing: int, room: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.closing = np.array([closing], dtype="<u4").tobytes()
-        self.known: dict[bytes, bytes] = {}
-        self.room = room
-
-    def __call__(self, text: bytes | None) -> bytes:
-        """Little-endian unsigned 32-bit ids, the closing one included."""
-        words = text.split() if text else []
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > self.room:
-                known.clear()
-                new = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            for w, e in zip(new, found, strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words)) + self.closing
-
-
-def generate(demand: dict[int, int], capacity: int, gap: float = GAP, max_columns: int = MAX_COLUMNS) -> list[tuple[dict[int, int], float]]:
+        self.known = Remembered(self._words, room)
+        parts = json.loads(self.tokenizer.to_str())
+        suffix = parts["model"].get("end_of_word_suffix")
+        self.simple = parts["normalizer"] == _NORMALIZER and parts["pre_tokenizer"] == _PRE_TOKENIZER and parts["model"]["type"] == "BPE" and bool(suffix) and self.tokenizer.get_vocab_size() < 1 << 16
+        if not self.simple:
+            return
+        special = "".join(f"|{re.escape(x['content'])}" for x in parts["added_tokens"])
+        self.odd = re.compile(f"[^\x00-\u02ff]{special}")
+        letters, numbers = (_category(kind) for kind in "LN")
+        self.pattern = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r \x85\xa0{letters}{numbers}]+|\n")
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in parts["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        # the byte-level alphabet: printable bytes stand for themselves
+        other = iter(range(256, 512))
+        self.alphabet = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else chr(next(other)) for b in range(256)} | {32: " "}
+        self.parts = Remembered(self._parts, room)
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of lower-cased pre-tokens, each of which ends with its only token that has the suffix;
+        a line break's is the mark between words."""
+        if "\n" in parts:
+            at = parts.index("\n")
+            found = self._parts(parts[:at] + parts[at + 1 :])
+            return [*found[:at], _BREAK, *found[at:]]
+        if not parts:
+            return []
+        line = " ".join(parts).encode().decode("latin-1").translate(self.alphabet)
+        ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *at], at)]  # noqa: B905  the last end closes
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _simple_words(self, words: list[str]) -> list[bytes]:
+        """All words are parted in one go; a line break, which no word holds, closes each."""
+        parts = self.pattern.findall("\n".join([*words, ""]).lower())
+        known = self.parts(parts)
+        return b"".join(map(known.__getitem__, parts)).split(_BREAK)[:-1]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        plain = b"\n".join(words).decode()
+        if self.simple and not self.odd.search(plain):
+            return self._simple_words(plain.split("\n")) if words else []
+        plain = plain.split("\n")
+        odd = [w for w in plain if not self.simple or self.odd.search(w)]
+        out = dict(zip(odd, self._whole(odd), strict=True))
+        rest = [w for w in plain if w not in out]
+        if rest:
+            out.update(zip(rest, self._simple_words(rest), strict=True))
+        return [out[w] for w in plain]
+
+    def __call__(self, batch: list[bytes | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, the closing one included."""
+        parted = [text.split() if text else [] for text in batch]
+        known = self.known(*parted)
+        return [b"".join(map(known.__getitem__, words)) + self.closing for words in parted]
+
+
+def _category(kind: str) -> str:
+    """The code points below 0x300 of a Unicode category, as the inside of a character class."""
+    return "".join(re.escape(chr(c)) for c in range(0x300) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: A worker process keeps its encoders from task to task.
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder(path: str, closing: int) -> WordEncoder:
+    if (path, closing) not in _ENCODERS:
+        _ENCODERS[path, closing] = WordEncoder(path, closing)
+    return _ENCODERS[path, closing]
+
+
+def generate(demand: dict[int, int], capacity: int, gap: float = GAP) -> list[tuple[dict[int, int], float]]:
     """Patterns {size: count} of total at most capacity, and how often the relaxed program uses
-    each; their demand is met exactly. Revised simplex with an explicit inverse; it begins with a
-    pattern of each size alone."""
+    each; their demand is met. Revised simplex with an explicit inverse, which begins with the
+    patterns of _greedy(). A knapsack table yields the best pattern with each size; those worth
+    more than a sequence wait in a pool, which is priced anew for each pivot, and the knapsack is
+    solved again when the pool holds nothing of worth."""
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), dtype=np.int64)
     if not len(sizes):
         return []
-    d = np.array([demand[s] for s in sizes.tolist()], dtype=float)
     m = len(sizes)
+    # a little more than the demand, so that no two ratios are equal and no pivot is in vain
+    d = np.array([demand[s] for s in sizes.tolist()], dtype=float) + 1e-9 * (1 + np.arange(m) / m)
     material = float((sizes * d).sum()) / capacity
-    columns = [{i: int(capacity // s)} for i, s in enumerate(sizes.tolist())]
-    inverse = np.diag([1.0 / c[i] for i, c in enumerate(columns)])
-    x = inverse @ d
-    for _ in range(max_columns):
-        total = x.sum()
-        if total <= (1 + gap) * material:
-            break
-        value, pattern = _knapsack(sizes, inverse.sum(axis=0), capacity)
-        if value <= 1 + 1e-7 or total - total / value <= gap * total:
-            break
-        a = np.zeros(m)
-        for i, n in pattern.items():
-            a[i] = n
+    basis = _greedy(sizes, d, capacity)
+    inverse = np.linalg.inv(basis.T)
+    x = np.maximum(inverse @ d, 0)
+    pool = np.zeros((0, m))
+    while x.sum() > (1 + gap) * material:
+        duals = inverse.sum(axis=0)
+        worth = pool @ duals
+        if not len(pool) or worth.max() <= 1 + 1e-7:
+            best, pool = _knapsack(sizes, duals, capacity)
+            if best <= 1 + 1e-7 or x.sum() * (1 - 1 / best) <= gap * x.sum():
+                break
+            worth = pool @ duals
+        a = pool[int(worth.argmax())]
         u = inverse @ a
         up = np.flatnonzero(u > 1e-9)
         r = up[int(np.argmin(x[up] / u[up]))]
@@ -101,15 +208,57 @@ def generate(demand: dict[int, int], capacity: int, gap: float = GAP, max_column
         u[r] = 0
         inverse -= np.outer(u, row)
         inverse[r] = row
-        columns[r] = pattern
-    return [({int(sizes[i]): n for i, n in c.items()}, float(v)) for c, v in zip(columns, x, strict=True)]
+        basis[r] = a
+    return [({int(sizes[i]): int(c[i]) for i in np.flatnonzero(c)}, float(v)) for c, v in zip(basis, x, strict=True)]
+
+
+def _greedy(sizes: np.ndarray, d: np.ndarray, capacity: int) -> np.ndarray:
+    """A first basis, a pattern in each row: the largest size that is left, with the other sizes
+    left that fill the sequence most, is used as often (also in parts) as the demand of one of its
+    sizes lasts. Each pattern ends one size, so that together they are triangular."""
+    left, rows = d.copy(), []
+    live = np.ones(len(sizes), dtype=bool)
+    while live.any():
+        top = int(np.flatnonzero(live)[-1])
+        row = np.zeros(len(sizes))
+        row[top] = 1
+        room = capacity - int(sizes[top])
+        for i, n in _fill({int(i): (int(sizes[i]), capacity) for i in np.flatnonzero(live)}, room).items():
+            row[i] += n
+        used = np.flatnonzero(row)
+        ends = used[int(np.argmin(left[used] / row[used]))]
+        left = np.maximum(left - left[ends] / row[ends] * row, 0)
+        live[ends] = False
+        rows.append(row)
+    return np.array(rows)
+
+
+def _fill(sizes: dict, room: int) -> Counter:
+    """Of sizes {name: (size, number)} those that fill the room most, larger ones first."""
+    reach, steps, mask = 1, [], (1 << (room + 1)) - 1  # a bit for each total that can be reached
+    for name, (s, most) in sorted(sizes.items(), key=lambda x: -x[1][0]):
+        for _ in range(min(most, room // s)):
+            wider = (reach | reach << s) & mask
+            if wider == reach:
+                break
+            steps.append((name, s, reach))
+            reach = wider
+        if reach >> room & 1:
+            break
+    total, out = reach.bit_length() - 1, Counter()
+    for name, s, before in reversed(steps):
+        if not before >> total & 1:
+            out[name] += 1
+            total -= s
+    return out
 
 
-def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """The most valuable multiset of sizes, by index, within capacity."""
+def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int, most: int = 64) -> tuple[float, np.ndarray]:
+    """The greatest value of a multiset of sizes within capacity, and as rows the best multisets
+    with each size, of those that are worth more than 1 the best `most`."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1, dtype=np.int64)
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
         if n := fits[c]:
@@ -117,59 +266,65 @@ def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[floa
             k = int(worth.argmax())
             if worth[k] > best[c] + 1e-12:
                 best[c], took[c] = worth[k], k
-    pattern: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            pattern[int(took[c])] += 1
-            c -= int(sizes[took[c]])
-    return float(best[capacity]), dict(pattern)
-
-
-def _largest_first(left: Counter, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Each sequence takes the largest sizes that still fit; equal sequences are made together."""
-    left, used = Counter(left), []
-    rest = sorted((s for s, n in left.items() if n > 0), reverse=True)
-    while rest:
-        room, pattern = capacity, {}
-        for s in rest:
-            if n := min(room // s, left[s]):
-                pattern[s] = n
-                room -= n * s
+    each = value + best[capacity - sizes]
+    rows, size, took = {}, sizes.tolist(), took.tolist()
+    for first in np.argsort(-each, kind="stable")[:most].tolist():
+        if rows and each[first] <= 1 + 1e-7:
+            break
+        row = Counter([first])
+        c = capacity - size[first]
+        while c > 0:
+            if took[c] < 0:
+                c -= 1
+            else:
+                row[took[c]] += 1
+                c -= size[took[c]]
+        rows[tuple(sorted(row.items()))] = None
+    out = np.zeros((len(rows), len(sizes)))
+    for i, row in enumerate(rows):
+        for k, n in row:
+            out[i, k] = n
+    return float(best[capacity]), out
+
+
+def _fullest_first(left: Counter, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Each sequence takes the largest size that is left and the others that fill it most."""
+    left, used = Counter({s: n for s, n in left.items() if n > 0}), []
+    while left:
+        top = max(left)
+        left[top] -= 1
+        pattern = Counter([top]) + _fill({s: (s, n) for s, n in left.items() if n > 0}, capacity - top)
+        left[top] += 1
         times = min(left[s] // n for s, n in pattern.items())
-        used.append((pattern, times))
-        for s, n in pattern.items():
-            left[s] -= n * times
-        rest = [s for s in rest if left[s] > 0]
+        left = left - Counter({s: n * times for s, n in pattern.items()})
+        used.append((dict(pattern), times))
     return used
 
 
 def rounded(demand: dict[int, int], capacity: int, **settings) -> list[tuple[dict[int, int], int]]:
     """Patterns and whole numbers that meet the demand exactly: the relaxed program's, rounded
-    down, then once more each by what was cut off, as far as demand remains; the rest is packed
-    largest first. Where the program was ended by its bound on columns, or where few documents
-    leave little to round down, all is packed largest first if that takes fewer sequences."""
+    down, then once more each by what was cut off, as far as demand remains. The program is then
+    solved anew for the demand that is left, until none of its patterns fits into that; what
+    remains, less than a sequence of each pattern, fills sequences largest first."""
     left = Counter({s: n for s, n in demand.items() if n > 0})
     used: list[tuple[dict[int, int], int]] = []
 
-    def take(pattern: dict[int, int], times: int) -> None:
+    def take(pattern: dict[int, int], most: int) -> bool:
+        times = min([most, *(left[s] // n for s, n in pattern.items())])
         if times > 0:
             used.append((pattern, times))
-            for s, n in pattern.items():
-                left[s] -= n * times
+            left.subtract({s: n * times for s, n in pattern.items()})
+        return times > 0
 
-    found = sorted(generate(demand, capacity, **settings), key=lambda p: -p[1])
-    full = [p for p in found if sum(s * n for s, n in p[0].items()) >= 0.98 * capacity]
-    for pattern, x in found:
-        take(pattern, min([int(x + 1e-6), *(left[s] // n for s, n in pattern.items())]))
-    for pattern, _ in sorted(full, key=lambda p: -(p[1] % 1)):
-        if all(left[s] >= n for s, n in pattern.items()):
-            take(pattern, 1)
-    used += _largest_first(left, capacity)
-    plain = _largest_first(Counter({s: n for s, n in demand.items() if n > 0}), capacity)
-    return min(used, plain, key=lambda patterns: sum(times for _, times in patterns))
+    def full(pattern: dict[int, int]) -> bool:
+        return sum(s * n for s, n in pattern.items()) >= 0.98 * capacity
+
+    taken = True
+    while taken:
+        found = sorted(generate(left, capacity, **settings), key=lambda p: -p[1])
+        taken = any([take(pattern, int(x + 1e-6)) for pattern, x in found if full(pattern)])
+        taken |= any([take(pattern, 1) for pattern, x in sorted(found, key=lambda p: -(p[1] % 1)) if full(pattern)])
+    return used + _fullest_first(left, capacity)
 
 
 class Places:
@@ -205,14 +360,13 @@ def cut(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, width: int =
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = WordEncoder(tokenizer_path, closing)
+        encode = encoder(tokenizer_path, closing)
         ranks: Counter = Counter()
         first = part << 34
         step = 4 * length
-        for batch in it:
+        for batch in slices(it):
             rows = []
-            for text in texts(batch):
-                ids = encode(text)
+            for ids in encode(texts(batch)):
                 n = len(ids) // 4
                 k = n // length
                 rest = n - k * length
