@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import tempfile
 import uuid
 
@@ -13,9 +15,13 @@ _STAGED: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and all
+    runs on this machine. On a cluster executors would not see that, so an error says what is
+    missing."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _FOLDERS:
             _FOLDERS[app] = tempfile.mkdtemp(prefix="quillmatch-")
@@ -56,3 +62,10 @@ def unstage(df: DataFrame) -> None:
     path = getattr(df, "_staged_at", None)
     if path and _STAGED.pop(path, None) is not None:
         _remove(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and broadcasts of what is staged by now: it does so when the
+    driver's JVM collects the frames that made them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
