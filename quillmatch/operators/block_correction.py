@@ -4,9 +4,10 @@ Two references that share a token, or its next two, hint at each other's errors:
 token, a nickname, a missing token, a token that the other writes apart, a misspelt leading token.
 Every edit changes what later pairs see, so the fold over sorted pairs is sequential; pairs of
 different connected components share no reference, and each component is folded by itself. Only
-the frequency counts that break ties are common: a component starts from the counts of all
-references and adds its own edits to them. `exact` folds all pairs as one group, as a single
-machine would; it is meant for inputs of one task's size.
+the frequency counts that break ties are common. The rule for them: a component starts from the
+counts of all references and adds its own edits to them; edits elsewhere don't change its ties.
+`exact` folds all pairs as one group instead, so that edits change all later ties; as that is one
+task's work, it is refused beyond `most` references.
 """
 
 from __future__ import annotations
@@ -149,15 +150,18 @@ def fold_group(rows: pd.DataFrame) -> pd.DataFrame:
     fold = Fold(lists, freq, aliases)
     for a, b in sorted((r, x) for r, xs in zip(rows["refID"], rows["partners"], strict=True) for x in (xs if xs is not None else ())):
         fold.pair(a, b)
-    changed = sum(fold.changes.values())
-    return pd.DataFrame({"refID": list(lists), "tokens": list(lists.values()), "changes": [changed, *[0] * (len(lists) - 1)]})
+    edits = [{"old": old, "new": new, "n": n} for (old, new), n in fold.changes.items()]
+    return pd.DataFrame({"refID": list(lists), "tokens": list(lists.values()), "edits": [edits, *[[]] * (len(lists) - 1)]})
 
 
-def correct_blocks(refs: DataFrame, freq: DataFrame, pairs: DataFrame, aliases: DataFrame | None = None, exact: bool = True) -> tuple[int, DataFrame]:
-    """The number of edits, and refs (refID, tokens, ord) after them. aliases: alias, value."""
+def correct_blocks(refs: DataFrame, freq: DataFrame, pairs: DataFrame, aliases: DataFrame | None = None, exact: bool = False, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """The edits (old, new, n: how often; old is empty where a token was put in), and refs (refID,
+    tokens, ord) after them. aliases: alias, value."""
     real = pairs.where("refID1 <> refID2")
     group = components(real, "refID1", "refID2").select(F.col("node").alias("_id"), F.col("component").alias("g"))
     if exact:
+        if group.limit(most + 1).count() > most:
+            raise ValueError(f"exact block correction is for up to {most} paired references")
         group = group.withColumn("g", F.lit(""))
     partners = real.groupBy("refID1").agg(F.collect_list("refID2").alias("partners"))
     rows = refs.join(group, F.col("refID") == F.col("_id")).select("g", "refID", F.posexplode("tokens").alias("pos", "token"))
@@ -170,7 +174,7 @@ def correct_blocks(refs: DataFrame, freq: DataFrame, pairs: DataFrame, aliases:
     tokens = tokens.join(partners, F.col("refID") == F.col("refID1"), "left").select(
         "g", "refID", F.transform("t", lambda x: x["token"]).alias("tokens"), F.transform("t", lambda x: x["n"]).alias("counts"), F.transform("t", lambda x: x["value"]).alias("formal"), "partners"
     )
-    found = staged(tokens.groupBy("g").applyInPandas(fold_group, "refID string, tokens array<string>, changes long"))
-    changes = found.agg(F.coalesce(F.sum("changes"), F.lit(0))).first()[0]
+    found = staged(tokens.groupBy("g").applyInPandas(fold_group, "refID string, tokens array<string>, edits array<struct<old:string,new:string,n:long>>"))
+    edits = found.select(F.inline("edits")).groupBy("old", "new").agg(F.sum("n").alias("n"))
     new = found.select(F.col("refID").alias("_id"), F.col("tokens").alias("_t"))
-    return int(changes), refs.join(new, F.col("refID") == F.col("_id"), "left").select("refID", F.coalesce("_t", "tokens").alias("tokens"), "ord")
+    return edits, refs.join(new, F.col("refID") == F.col("_id"), "left").select("refID", F.coalesce("_t", "tokens").alias("tokens"), "ord")

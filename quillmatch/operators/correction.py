@@ -64,6 +64,11 @@ def learned_variants(variants: DataFrame, found: DataFrame) -> DataFrame:
     return old.unionByName(fresh).groupBy("std").agg(F.array_sort(F.collect_set("variant")).alias("variants"))
 
 
+def replaced(freq: DataFrame, found: DataFrame) -> DataFrame:
+    """old, new, n: how many occurrences of each token give way to its correction."""
+    return found.join(freq.select("token", "n"), F.col("bad") == F.col("token")).select(F.col("bad").alias("old"), F.col("std").alias("new"), "n")
+
+
 def apply_corrections(refs: DataFrame, found: DataFrame) -> DataFrame:
     """refs (refID, tokens, ord) with each token replaced once, and n_changed."""
     fix = found.select(F.col("bad").alias("_bad"), F.col("std").alias("_std"))

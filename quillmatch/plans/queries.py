@@ -255,6 +255,12 @@ def learn_variants(spark, d):
     return found.select("std", F.array_join("variants", " ").alias("variants"))
 
 
+@query(_with(_TURNS, _ROWS, _FREQ, _CLEAN, _CORR, then="SELECT bad AS old, std AS new, n FROM corr JOIN freq ON token = bad"))
+def global_edits(spark, d):
+    refs = turns(spark, d)
+    return correction.replaced(stats.token_frequency(refs), _corrections(spark, d, refs))
+
+
 @query(_with(_TURNS, _ROWS, _FREQ, _CLEAN, _CORR, f"known(std, bad) AS (VALUES {_VARIANT_ROWS})", then="SELECT coalesce(k.bad, c.bad) AS bad, coalesce(k.std, c.std) AS std FROM corr c FULL JOIN known k ON c.bad = k.bad"))
 def variant_override(spark, d):
     return correction.with_variants(_corrections(spark, d, turns(spark, d)), spark.createDataFrame(_VARIANTS, "std string, variant string"))
@@ -275,7 +281,7 @@ def block_correction(spark, d):
     refs = turns(spark, d)
     freq = stats.token_frequency(refs)
     pairs = blocking.candidate_pairs(refs, freq, P)
-    _, fixed = correct_blocks(refs, freq, staged(pairs), spark.createDataFrame(_ALIASES, "alias string, value string"), exact=False)
+    _, fixed = correct_blocks(refs, freq, staged(pairs), spark.createDataFrame(_ALIASES, "alias string, value string"))
     return fixed.select("refID", _joined())
 
 
@@ -491,6 +497,38 @@ def truth_capture(spark, d):
     return reports.pair_capture(blocking.candidate_pairs(refs, stats.token_frequency(refs), P), refs, truth)
 
 
+@query(_with(_TURNS, _ROWS, _FREQ, then="SELECT token, n FROM freq"))
+def token_capture(spark, d):
+    return reports.token_capture(stats.token_frequency(turns(spark, d)))
+
+
+_COSINE = "scored AS (SELECT refID1, refID2, a, b, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE list_sum([least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))) FOR x IN list_distinct(a)]) / sqrt(len(a)::DOUBLE * len(b)) END AS score FROM lists)"
+_HALF_TRUTH = "truth AS (SELECT refID, substr(refID, 1, 8) AS truthID FROM docs WHERE ord % 3 <> 0)"
+_TRUTHS = "CAST(coalesce(p.truthID = q.truthID, false) AS INTEGER) AS truth"
+
+
+def _half_truth(refs: DataFrame) -> DataFrame:
+    return refs.where("ord % 3 <> 0").select("refID", F.substring("refID", 1, 8).alias("truthID"))
+
+
+@query(_with(*_TURN_PAIRS, _LISTS, _COSINE, _HALF_TRUTH, then=f"SELECT refID1, refID2, array_to_string(x.tokens, ', ') AS tokens1, array_to_string(y.tokens, ', ') AS tokens2, {_TRUTHS} FROM scored JOIN docs x ON x.refID = refID1 JOIN docs y ON y.refID = refID2 LEFT JOIN truth p ON p.refID = refID1 LEFT JOIN truth q ON q.refID = refID2 WHERE score >= 0.5"))
+def linked_pair_capture(spark, d):
+    """Pairs that one round links by cosine, with their tokens and truth."""
+    refs = turns(spark, d)
+    links = one_iteration(refs, stats.token_frequency(refs), P.with_(comparator="Cosine"), restricted=False)
+    return reports.pair_capture(links.select("refID1", "refID2"), refs, _half_truth(refs))
+
+
+@query(_with(*_TURN_PAIRS, _LISTS, _COSINE, _HALF_TRUTH, then=f"SELECT refID1, refID2, array_to_string(a, ', ') AS tokens1, array_to_string(b, ', ') AS tokens2, round(score, 8) AS similarity, 0.5::DOUBLE AS mu, {_TRUTHS} FROM scored LEFT JOIN truth p ON p.refID = refID1 LEFT JOIN truth q ON q.refID = refID2"))
+def pair_comparison_cosine(spark, d):
+    """The comparison of all candidate pairs by cosine, with truth."""
+    refs = turns(spark, d)
+    freq = stats.token_frequency(refs)
+    p = P.with_(comparator="Cosine")
+    rows = reports.pair_comparison(blocking.candidate_pairs(refs, freq, p), refs, freq, p, _half_truth(refs))
+    return rows.withColumn("similarity", F.round("similarity", 8))
+
+
 @query(_with(_TURNS, _TALKS, "truth AS (SELECT refID, CAST(len(tokens) % 2 AS VARCHAR) AS truthID FROM docs WHERE ord % 3 <> 0)", "named AS (SELECT clusterID, coalesce(max(truthID) FILTER (WHERE refID = clusterID), arg_min(truthID, refID) FILTER (WHERE truthID IS NOT NULL)) AS t FROM talks LEFT JOIN truth USING (refID) GROUP BY 1)", then="SELECT clusterID, refID, array_to_string(tokens, ', ') AS tokens, CAST(coalesce(truthID = t, false) AS INTEGER) AS truth FROM talks JOIN docs USING (refID) JOIN named USING (clusterID) LEFT JOIN truth USING (refID)"))
 def cluster_capture(spark, d):
     refs = turns(spark, d)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmatch.operators.block_correction import correct_blocks
 from quillmatch.operators.blocking import candidate_pairs, comparison_tokens
 from quillmatch.operators.closure import components
-from quillmatch.operators.correction import apply_corrections, corrections, learned_variants, with_variants
+from quillmatch.operators.correction import apply_corrections, corrections, learned_variants, replaced, with_variants
 from quillmatch.operators.metrics import blocking_metrics, cluster_profile, er_metrics
 from quillmatch.operators.quality import entropy_quality
 from quillmatch.operators.scoring import linked, score
@@ -27,6 +27,9 @@ class Iteration:
     mu: float
     epsilon: float
     pairs: DataFrame
+    #: the pairs before block correction, in the round that has it
+    blocked: DataFrame | None = None
+    refs_blocked: DataFrame | None = None
     links: DataFrame | None = None
     clusters: DataFrame | None = None
     quality: DataFrame | None = None
@@ -38,7 +41,8 @@ class Iteration:
 
 @dataclass
 class Resolution:
-    """link: refID, clusterID for every reference; refs and freq as the loop left them."""
+    """link: refID, clusterID for every reference; refs and freq as the loop left them, refs_read and
+    freq_read as it got them. Edits are old, new, n: of global and of block correction."""
 
     params: Params
     link: DataFrame
@@ -47,6 +51,12 @@ class Resolution:
     iterations: list[Iteration] = field(default_factory=list)
     ended: str = ""
     variants: DataFrame | None = None
+    refs_read: DataFrame | None = None
+    freq_read: DataFrame | None = None
+    global_edits: DataFrame | None = None
+    #: references that global correction changed
+    refs_changed: int = 0
+    block_edits: DataFrame | None = None
 
 
 def one_iteration(refs: DataFrame, freq: DataFrame, p: Params, restricted: bool = True) -> DataFrame:
@@ -76,17 +86,21 @@ def resolve(refs: DataFrame, p: Params, words: DataFrame | None = None, aliases:
     p.checked()
     refs = staged(refs.select("refID", "tokens", "ord"))
     freq = staged(token_frequency(refs))
-    learned = None
+    learned = global_edits = None
+    refs_read, freq_read, refs_changed = refs, freq, 0
     if p.runGlobalCorrection:
         found = corrections(freq, p, words)
         known = variants if variants is not None else refs.sparkSession.createDataFrame([], "std string, variant string")
         found = staged(with_variants(found, known))
         if p.learnTokenVariants:
             learned = staged(learned_variants(known, found))
-        refs = staged(apply_corrections(refs, found).drop("n_changed"))
+        global_edits = staged(replaced(freq, found))
+        fixed = staged(apply_corrections(refs, found))
+        refs_changed = fixed.where("n_changed > 0").count()
+        refs = fixed.drop("n_changed")
         freq = staged(token_frequency(refs))
     link = staged(refs.select("refID", F.lit(None).cast("string").alias("clusterID")))
-    out = Resolution(p, link, refs, freq, variants=learned)
+    out = Resolution(p, link, refs, freq, variants=learned, refs_read=refs_read, freq_read=freq_read, global_edits=global_edits, refs_changed=refs_changed)
     mu, epsilon, first = p.mu, p.epsilon, True
     while True:
         now = p.with_(mu=mu, epsilon=epsilon)
@@ -100,8 +114,10 @@ def resolve(refs: DataFrame, p: Params, words: DataFrame | None = None, aliases:
             out.ended = "no candidate pairs"
             break
         if p.blockCorrection and first:
-            changed, refs_now = correct_blocks(refs, freq, pairs, aliases)
-            if changed:
+            edits, refs_now = correct_blocks(refs, freq, pairs, aliases)
+            out.block_edits = edits = staged(edits)
+            step.blocked, step.refs_blocked = pairs, refs
+            if not edits.isEmpty():
                 refs = staged(refs_now)
                 freq = staged(token_frequency(refs))
                 pairs = step.pairs = staged(candidate_pairs(refs.join(resolved, "refID", "left_anti"), freq, now))

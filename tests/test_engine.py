@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmatch.operators import blocking, correction, metrics, quality, stats
-from quillmatch.operators.block_correction import Fold
+from quillmatch.operators.block_correction import Fold, correct_blocks
 from quillmatch.operators.closure import components
 from quillmatch.plans import queries, reports
 from quillmatch.plans.params import ParameterError, Params, parse
 from quillmatch.plans.resolve import resolve
+from quillmatch.plans.run import batch
 from quillmatch.sources.readers import parse_lines, read_aliases, read_references, read_truth, read_variants, read_word_list, resolve_duplicates
 
 
@@ -19,8 +20,8 @@ def refs_of(spark, lists):
 
 
 def test_parameters():
-    p = parse("# c\ninputFileName=S2G.txt\ndelimiter=,\nbeta=6\nsigma=12\nmu=0.6\nblockByPairs=False\nrunClusterMetrics=True\n\nbeta=1\n")
-    assert (p.inputPrefix, p.beta, p.mu, p.blockByPairs) == ("S2G", 6, 0.6, False)
+    p = parse("# c\ninputFileName=people.txt\ndelimiter=,\nbeta=6\nsigma=12\nmu=0.6\nblockByPairs=False\nrunClusterMetrics=True\n\nbeta=1\n")
+    assert (p.inputPrefix, p.beta, p.mu, p.blockByPairs) == ("people", 6, 0.6, False)
     assert parse("delimiter=\t\n").delimiter == "\t"
     with pytest.raises(ParameterError) as e:
         parse("nonsense\nfoo=1\nbeta=x\ndelimiter=#\nmu=2\n")
@@ -223,7 +224,7 @@ def test_captures(spark):
     clusters = spark.createDataFrame([("C", "A"), ("C", "B"), ("C", "C")], "clusterID string, refID string")
     assert {(r["refID"], r["truth"]) for r in reports.cluster_capture(clusters, refs, truth).collect()} == {("A", 1), ("B", 1), ("C", 0)}
     assert [r["token"] for r in reports.token_capture(stats.token_frequency(refs)).collect()] == ["X", "Y"]
-    assert reports.capture_path("out/", "S2G", "t", 3) == "out/S2G_t/iteration_03"
+    assert reports.capture_path("out/", "people", "t", 3) == "out/people_t/iteration_03"
     assert [r[0] for r in reports.link_index_lines(spark.createDataFrame([("B", None), ("A", "A")], "refID string, clusterID string")).collect()] == ["A, A", "B, B"]
     assert reports.ref_capture(refs).where(F.col("refID") == "A").first()["tokens"] == "X, Y"
 
@@ -242,4 +243,82 @@ def test_scoring_over_turns(spark, tmp_path):
         assert len(want) > 2 and len(got) == len(want)
         for a, b in zip(got, want, strict=True):
             assert all(x == (pytest.approx(y) if isinstance(y, float) else y) for x, y in zip(a, b, strict=True)), name
+    for name in ("global_edits", "token_capture", "linked_pair_capture", "pair_comparison_cosine"):
+        assert sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(queries.ORACLES[name]).fetchall()), name
     assert {r["refID"] for r in queries.QUERIES["er_full"](spark, str(tmp_path)).collect()} >= {"000000000000", "000000020001"}
+
+
+def test_block_correction_by_component(spark):
+    """Components are folded apart and exactly as one group would be, where no tie is shared."""
+    lists = {
+        "A1": "JOHN SMITH MAPLE ROAD".split(), "A2": "JOHN SMYTH MAPLE ROAD".split(), "A3": "SMITH SMITH OTHER".split(),
+        "B1": "ANNA GREEN LONG LANE".split(), "B2": "ANNA GREEM LONG LANE".split(), "B3": "GREEN THING".split(),
+        "C1": "LONELY".split(),
+    }
+    refs = refs_of(spark, lists)
+    freq = stats.token_frequency(refs)
+    pairs = spark.createDataFrame([("A1", "A2"), ("B1", "B2"), ("B3", "B3")], "refID1 string, refID2 string")
+    results = []
+    for exact in (False, True):
+        edits, fixed = correct_blocks(refs, freq, pairs, exact=exact)
+        results.append((sorted(map(tuple, edits.collect())), {r["refID"]: r["tokens"] for r in fixed.collect()}))
+    assert results[0] == results[1]
+    assert results[0][0] == [("GREEM", "GREEN", 1), ("SMYTH", "SMITH", 1)]
+    assert results[0][1] == lists | {"A2": lists["A1"], "B2": lists["B1"]}
+    with pytest.raises(ValueError, match="up to 3"):
+        correct_blocks(refs, freq, pairs, exact=True, most=3)
+
+
+def test_batch_of_parameter_files(spark, tmp_path):
+    """Two files are run; every capture, report and log can be read."""
+    lines = ["RecID,name,street", "A1,JOHN SMITHE,12 MAPLE STREET", "A2,JOHN SMITHE,12 MAPLE STREET", "B1,ALICE WONDER,7 HARBOUR LANE", "B2,ALICE WONDEER,7 HARBOUR LANE", "C1,NOBODY KNOWS,"]
+    lines += [f"D{i},WONDER PARK,{i}{i} X{i}" for i in range(5)]
+    (tmp_path / "people.txt").write_text("\n".join(lines))
+    (tmp_path / "truth.csv").write_text("RecID,truth\nA1,1\nA2,1\nB1,2\nB2,2\nC1,3\n")
+    shared = "inputFileName=people.txt\nhasHeader=True\nbeta=4\nsigma=9\nmu=0.6\nmuIterate=0.2\n"
+    (tmp_path / "one.txt").write_text(shared + "truthFileName=truth.csv\naddRefsToLinkIndex=True\nrunIterationProfile=True\nrunGlobalCorrection=True\nglobalCorrectionDetail=True\nlearnTokenVariants=True\nblockCorrection=True\nblockCorrectionDetail=True\ncomparator=ScoringMatrixKris\n")
+    (tmp_path / "two.txt").write_text(shared + "comparator=Cosine\n")
+    (tmp_path / "list.txt").write_text("one.txt\ntwo.txt\n\nnone.txt\n")
+    results = batch(spark, str(tmp_path / "list.txt"), str(tmp_path / "out"), tag="t")
+    assert len(results) == 2
+    one, two = tmp_path / "out/people_t1", tmp_path / "out/people_t2"
+
+    def table(folder, name):
+        return [r.asDict() for r in spark.read.option("header", True).csv(str(folder / name)).collect()]
+
+    text = [r[0] for r in spark.read.text(str(one / "link_index")).collect()]
+    assert "RefID, ClusterID, Tokens" in text and "B2, B1, ALICE WONDER 7 HARBOUR LANE" in text
+    assert "RefID, ClusterID" in [r[0] for r in spark.read.text(str(two / "link_index")).collect()]
+    assert table(one, "global_edits") == [{"old": "WONDEER", "new": "WONDER", "n": "1"}]
+    assert {tuple(r) for r in read_variants(spark, str(one / "variants")).collect()} == {("WONDER", "WONDEER")}
+    assert spark.read.csv(str(one / "block_edits")).count() == 0 or table(one, "block_edits") == []
+    log = {(r["stage"], r["iteration"], r["name"]): r["value"] for r in table(one, "log")}
+    assert float(log["global_correction", "0", "edits"]) == 1 and float(log["global_correction", "0", "refs_changed"]) == 1
+    assert float(log["tokens_read", "0", "refs"]) == 10 and ("tokens_corrected", "0", "tokens") in log and ("quality", "1", "good_clusters") in log and ("blocking", "1", "precision") in log and ("metrics", "1", "f_measure") in log
+    assert table(one, "report")[0]["Sample"] == "people.txt" and table(two, "report")[0]["precision"] is None
+    first = one / "iteration_01"
+    assert {(r["refID1"], r["refID2"], r["truth"]) for r in table(first, "linked_pairs")} >= {("A1", "A2", "1"), ("B1", "B2", "1")}
+    assert {r["refID"] for r in table(first, "clusters")} >= {"A1", "A2"}
+    for name in ("block_pairs", "pairs_before_correction", "comparison", "token_matches", "link", "profile", "metrics"):
+        assert table(first, name), name
+    assert spark.read.json(str(first / "cluster_json")).count() and not (two / "iteration_01" / "token_matches").exists() and not (two / "global_edits").exists()
+    assert table(one, "refs") and table(one, "token_freq") and table(one, "profile") and table(one, "metrics")
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark):
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    from quillmatch.plans.staging import shared_folder
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+    assert shared_folder(spark)
