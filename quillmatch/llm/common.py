@@ -72,6 +72,18 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(kind)
 
 
+#: Bytes of rows that Spark hands to a Python worker at once, where the session doesn't say.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by rows alone unless the session bounds their bytes, and thousands of
+    long texts don't fit beside an executor's heap. A bound that is set stays as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def id_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
@@ -79,7 +91,9 @@ def id_type(df: DataFrame, name: str) -> str:
 def by_text(docs: DataFrame, carry: list[str], extra: str, make) -> DataFrame:
     """The columns `carry` of docs and those of the DDL `extra`, which a function of texts fills:
     make() is called once in each task and returns a function from a list of texts (bytes or None)
-    to a list of columns. A carried column that is named as an extra one is replaced."""
+    to a list of columns. Rows go back a slice at a time, so that a worker holds little more than
+    the batch it got. A carried column that is named as an extra one is replaced."""
+    bounded_batches(docs.sparkSession)
     added = arrow_schema(extra)
     carry = [c for c in carry if c not in added.names]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
@@ -87,7 +101,7 @@ def by_text(docs: DataFrame, carry: list[str], extra: str, make) -> DataFrame:
 
     def run(it):
         fill = make()
-        for batch in it:
+        for batch in slices(it):
             own = [batch.schema.get_field_index(c) for c in carry]
             new = [pa.array(c, type=f.type) for c, f in zip(fill(texts(batch)), added, strict=True)]
             schema = pa.schema([*(batch.schema.field(i) for i in own), *added])
