@@ -63,9 +63,40 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def damerau(a: list[str], b: list[str], restricted: bool = True) -> np.ndarray:
     """Distances of a[i] and b[i]. Restricted: no part is edited twice (optimal string alignment);
     else the full distance, which may edit between swapped characters."""
-    x, m = _codes(a)
-    y, n = _codes(b)
-    count, rows, cols = len(a), x.shape[1], y.shape[1]
+    return (_restricted if restricted else _full)(*_codes(a), *_codes(b))
+
+
+def _restricted(x: np.ndarray, m: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """By antidiagonals, all cells of one in step; four of them are held, by row."""
+    count, rows, cols = len(x), x.shape[1], y.shape[1]
+    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    out = np.zeros(count, dtype=np.int32)
+    held = [np.zeros((rows + 1, count), dtype=np.int32) for _ in range(5)]
+    for k in range(rows + cols + 1):
+        now, one, two, _, four = (held[(k - back) % 5] for back in range(5))
+        low, high = max(1, k - cols), min(rows, k - 1)  # rows of the cells off both edges
+        if low <= high:
+            p, q = x[low - 1 : high], y[k - high - 1 : k - low][::-1]
+            best = np.minimum(one[low - 1 : high], one[low : high + 1]) + 1
+            best = np.minimum(best, two[low - 1 : high] + (p != q))
+            # the two characters before, of both, the other way round
+            i, j = max(low, 2), min(high, k - 2)
+            if i <= j:
+                swap = (x[i - 1 : j] == y[k - j - 2 : k - i - 1][::-1]) & (x[i - 2 : j - 1] == y[k - j - 1 : k - i][::-1])
+                part = best[i - low : j - low + 1]
+                np.copyto(part, np.minimum(part, four[i - 2 : j - 1] + 1), where=swap)
+            now[low : high + 1] = best
+        if k <= cols:
+            now[0] = k
+        if k <= rows:
+            now[k] = k
+        done = np.flatnonzero(m + n == k)
+        out[done] = now[m[done], done]
+    return out
+
+
+def _full(x: np.ndarray, m: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    count, rows, cols = len(x), x.shape[1], y.shape[1]
     d = np.zeros((rows + 1, cols + 1, count), dtype=np.int32)
     d[:, 0] = np.arange(rows + 1)[:, None]
     d[0] = np.arange(cols + 1)[:, None]
@@ -76,77 +107,98 @@ def damerau(a: list[str], b: list[str], restricted: bool = True) -> np.ndarray:
         for j in range(1, cols + 1):
             same = x[:, i - 1] == y[:, j - 1]
             best = np.minimum(np.minimum(d[i - 1, j], d[i, j - 1]) + 1, d[i - 1, j - 1] + ~same)
-            if restricted:
-                if i > 1 and j > 1:
-                    swap = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
-                    best = np.where(swap, np.minimum(best, d[i - 2, j - 2] + 1), best)
-            else:
-                k, w = last[j - 1], match_col
-                both = (k > 0) & (w > 0)
-                if both.any():
-                    cost = d[np.maximum(k - 1, 0), np.maximum(w - 1, 0), every] + (i - k - 1) + 1 + (j - w - 1)
-                    best = np.where(both, np.minimum(best, cost), best)
-                match_col = np.where(same, j, match_col)
+            k, w = last[j - 1], match_col
+            both = (k > 0) & (w > 0)
+            if both.any():
+                cost = d[np.maximum(k - 1, 0), np.maximum(w - 1, 0), every] + (i - k - 1) + 1 + (j - w - 1)
+                best = np.where(both, np.minimum(best, cost), best)
+            match_col = np.where(same, j, match_col)
             d[i, j] = best
-        if not restricted:
-            last = np.where(y.T == x[:, i - 1], i, last)
+        last = np.where(y.T == x[:, i - 1], i, last)
     return d[m, n, every]
 
 
-def similarities(a: list[str], b: list[str], restricted: bool = True, step: int = 4096) -> np.ndarray:
-    """1 less the distance over the greater length; two empty tokens are alike."""
+def similarities(a: list[str], b: list[str], restricted: bool = True, cells: int = 4_000_000) -> np.ndarray:
+    """1 less the distance over the greater length; two empty tokens are alike. Pairs are compared
+    in blocks whose matrices have so many cells together, or one pair."""
     out = np.ones(len(a))
+    longest = np.array([max(len(p), len(q)) for p, q in zip(a, b, strict=True)], dtype=np.int64)
     # by length, so that a block's matrices are no larger than they must be
-    order = np.argsort([max(len(p), len(q)) for p, q in zip(a, b, strict=True)], kind="stable")
-    for at in range(0, len(a), step):
-        part = order[at : at + step]
-        p, q = [a[i] for i in part], [b[i] for i in part]
-        size = np.array([max(len(v), len(w)) for v, w in zip(p, q, strict=True)])
-        out[part] = np.where(size > 0, 1 - damerau(p, q, restricted) / np.maximum(size, 1), 1.0)
+    order = np.argsort(longest, kind="stable")
+    at = 0
+    while at < len(a):
+        # as many as fit if all were as long as the last of them
+        area = (longest[order[at : at + cells]] + 1) ** (1 if restricted else 2)
+        fit = np.flatnonzero(area * np.arange(1, len(area) + 1) <= (cells // 8 if restricted else cells))
+        part = order[at : at + max(int(fit[-1]) + 1 if len(fit) else 1, 1)]
+        d = damerau([a[i] for i in part], [b[i] for i in part], restricted)
+        out[part] = np.where(longest[part] > 0, 1 - d / np.maximum(longest[part], 1), 1.0)
+        at += len(part)
     return out
 
 
 class Cells:
-    """Similarities of all tokens of two lists; distinct token pairs are compared once and a
-    bounded number is remembered."""
+    """Similarities of all tokens of two lists. Tokens are named by numbers; distinct pairs of them
+    are compared once, and a list pair's cells are picked out of what was compared. What is
+    remembered is bounded: it is forgotten when it holds more than `room` pairs or tokens."""
 
     def __init__(self, number_rule: bool = False, initial_rule: bool = False, restricted: bool = True, room: int = 1_000_000):
         self.number_rule, self.initial_rule, self.restricted, self.room = number_rule, initial_rule, restricted, room
-        self.known: dict[tuple[str, str], float] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.names: dict[str, int] = {}
+        self.tokens: list[str] = []
+        self.keys, self.values = np.zeros(0, dtype=np.int64), np.zeros(0)
 
     def _exact(self, p: str, q: str) -> bool:
         if self.number_rule and p.isdigit() and q.isdigit():
             return True
         return self.initial_rule and (len(p) == 1 or len(q) == 1)
 
+    def _named(self, tokens: list[str]) -> np.ndarray:
+        names = self.names
+        for t in tokens:
+            if t not in names:
+                names[t] = len(names)
+                self.tokens.append(t)
+        return np.fromiter((names[t] for t in tokens), dtype=np.int64, count=len(tokens))
+
+    def _pairs(self, a: list[str], b: list[str]) -> np.ndarray:
+        p, q = self._named(a)[:, None], self._named(b)[None, :]
+        return (np.minimum(p, q) << 32) | np.maximum(p, q)
+
     def prepare(self, pairs: list[tuple[list[str], list[str]]]) -> None:
-        known = self.known
-        if len(known) > self.room:
-            known.clear()
-        wanted = {(p, q) if p < q else (q, p) for a, b in pairs for p in set(a) for q in set(b) if p != q}
-        new = [x for x in wanted if x not in known]
-        compare = [x for x in new if not self._exact(*x)]
-        known.update(dict.fromkeys(new, 0.0))
-        known.update(zip(compare, similarities([p for p, _ in compare], [q for _, q in compare], self.restricted).tolist(), strict=True))
+        """Compare what these list pairs need. Their cells together bound the memory."""
+        if len(self.keys) > self.room or len(self.tokens) > self.room:
+            self._forget()
+        parts = [np.unique(self._pairs(a, b)) for a, b in pairs if a and b]
+        if not parts:
+            return
+        wanted = np.setdiff1d(np.concatenate(parts), self.keys)
+        p, q = wanted >> 32, wanted & 0xFFFFFFFF
+        value = (p == q).astype(float)
+        other = [i for i in np.flatnonzero(p != q).tolist() if not ((self.number_rule or self.initial_rule) and self._exact(self.tokens[p[i]], self.tokens[q[i]]))]
+        value[other] = similarities([self.tokens[i] for i in p[other].tolist()], [self.tokens[i] for i in q[other].tolist()], self.restricted)
+        keys, values = np.concatenate([self.keys, wanted]), np.concatenate([self.values, value])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], values[order]
 
     def __call__(self, a: list[str], b: list[str]) -> np.ndarray:
-        known = self.known
-        return np.array([[1.0 if p == q else known[(p, q) if p < q else (q, p)] for q in b] for p in a])
+        return self.values[np.searchsorted(self.keys, self._pairs(a, b))]
 
 
 def greedy(cells: np.ndarray) -> list[tuple[int, int, float]]:
     """Row, column and value of the largest cell again and again, each row and column once; of
     equal cells the first by row, then column."""
     rows, cols = cells.shape
-    used_r, used_c = np.zeros(rows, dtype=bool), np.zeros(cols, dtype=bool)
+    left = np.array(cells, dtype=float)
     out = []
-    for at in np.argsort(-cells, axis=None, kind="stable").tolist():
-        i, j = divmod(at, cols)
-        if not used_r[i] and not used_c[j]:
-            used_r[i] = used_c[j] = True
-            out.append((i, j, float(cells[i, j])))
-            if len(out) == min(rows, cols):
-                break
+    for _ in range(min(rows, cols)):
+        i, j = divmod(int(left.argmax()), cols)
+        out.append((i, j, float(cells[i, j])))
+        left[i] = -1  # similarities aren't below 0
+        left[:, j] = -1
     return out
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +19,19 @@ def attach(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return pairs.join(left, "refID1").join(right, "refID2").select("refID1", "refID2", "tokens1", "tokens2")
 
 
-def _in_batches(rows: DataFrame, ddl: str, fields: list[tuple[str, pa.DataType]], judge, p: Params, restricted: bool, step: int = 256):
+def _in_batches(rows: DataFrame, ddl: str, fields: list[tuple[str, pa.DataType]], judge, p: Params, restricted: bool, most: int = 500_000):
+    """Rows are judged together as far as their matrices have `most` cells, or one row by itself."""
     schema = pa.schema(fields)
 
     def run(it):
         cells = Cells(p.matrixNumTokenRule, p.matrixInitialRule, restricted)
         for batch in it:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            area = np.cumsum(pc.multiply(pc.list_value_length(batch.column(2)).cast(pa.int64()), pc.list_value_length(batch.column(3)).cast(pa.int64())).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                to = max(int(np.searchsorted(area, (area[at - 1] if at else 0) + most, side="right")), at + 1)
+                part = batch.slice(at, to - at)
+                at = to
                 a, b = part.column(2).to_pylist(), part.column(3).to_pylist()
                 cells.prepare(list(zip(a, b, strict=True)))
                 values = [judge(x, y, cells) for x, y in zip(a, b, strict=True)]

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmatch.functions.similarity import Cells, cosine, damerau, greedy, matrix_mean, matrix_weighted, neighbours, one_edit
+from quillmatch.functions.similarity import Cells, cosine, damerau, greedy, matrix_mean, matrix_weighted, neighbours, one_edit, similarities
 
 
 def slow_distance(a, b, restricted):
@@ -95,3 +95,25 @@ def test_greedy_ties():
     c = Cells()
     c.prepare([(["A", "A"], ["A", "A"])])
     assert [(i, j) for i, j, _ in greedy(c(["A", "A"], ["A", "A"]))] == [(0, 0), (1, 1)]
+
+
+def test_long_tokens_in_bounded_blocks():
+    """One token of 5,000 characters, against itself with edits and against short ones."""
+    rnd = random.Random(3)
+    long = "".join(rnd.choice("abcd") for _ in range(5000))
+    edited = long[:100] + "x" + long[100:2000] + "y" + long[2001:]
+    found = similarities([long, long, "ab", ""], [edited, "abc", "ba", ""])
+    assert found.tolist() == pytest.approx([1 - 2 / 5001, 1 - 4997 / 5000, 0.5, 1.0], abs=1e-9)
+    words = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 9))) for _ in range(300)]
+    pairs = list(zip(words, words[1:], strict=False))
+    whole = similarities(*map(list, zip(*pairs, strict=True)))
+    assert similarities(*map(list, zip(*pairs, strict=True)), cells=64).tolist() == whole.tolist()
+
+
+def test_cells_forget():
+    cells = Cells(room=5)
+    lists = [(["AB", "CD", "AB"], ["CD", "AX"]), (["EF"], ["EG", "EF"]), (["AB"], ["AX"])]
+    for a, b in lists * 2:
+        cells.prepare([(a, b), ([], b)])
+        assert cells(a, b).tolist() == [[1.0 if p == q else similarities([p], [q])[0] for q in b] for p in a]
+    assert len(cells.keys) <= 5 + 6
