@@ -13,6 +13,7 @@ from quillmatch.functions.similarity import neighbours, swapped
 from quillmatch.functions.text import is_alpha
 from quillmatch.operators.stats import token_rows
 from quillmatch.plans.params import Params
+from quillmatch.plans.staging import staged
 
 #: Of the tokens by rank, this many are never corrected.
 UNTOUCHED = 2
@@ -33,7 +34,7 @@ def corrections(freq: DataFrame, p: Params, words: DataFrame | None = None) -> D
     """bad, std: for each error token the standard of highest rank that is one edit away. Rank is
     by frequency, then by first occurrence; the last of all is no standard, the first two no error.
     """
-    clean = clean_tokens(freq, words, p)
+    clean = staged(clean_tokens(freq, words, p))  # it is read four times
     rank = [F.desc("n"), F.asc("first")]
     first = clean.orderBy(*rank).limit(UNTOUCHED).select(F.col("token").alias("_x"))
     last = clean.orderBy(F.asc("n"), F.desc("first")).limit(1).select(F.col("token").alias("_x"))

@@ -20,7 +20,7 @@ from quillmatch.plans import reports
 from quillmatch.plans.params import Params
 from quillmatch.plans.resolve import clusters_of, one_iteration, resolve
 from quillmatch.plans.staging import staged
-from quillmatch.sources.readers import parse_lines, resolve_duplicates
+from quillmatch.sources.readers import parse_lines, resolve_duplicates, spread
 
 P = Params(beta=6, sigma=12, minBlkTokenLen=4, comparator="ScoringMatrixKris")
 
@@ -44,7 +44,12 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def documents(spark, d, p: Params = P) -> DataFrame:
     rows = _table(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("refID"), F.col("text").alias("body"), F.col("doc_id").alias("ord"))
-    return stats.tokenize(rows, p)
+    return stats.tokenize(spread(rows), p)
+
+
+def tokenized(spark, d) -> DataFrame:
+    """The tokens of all documents, written once: for queries that read them more than once."""
+    return staged(documents(spark, d))
 
 
 def turns(spark, d, p: Params = P) -> DataFrame:
@@ -175,19 +180,19 @@ def reference_reader(spark, d):
 
 @query(_with(_DOCS, _ROWS, _FREQ, _BT, then="SELECT refID, token, m FROM bt"))
 def blocking_tokens(spark, d):
-    refs = documents(spark, d)
+    refs = tokenized(spark, d)
     return blocking.blocking_tokens(refs, stats.token_frequency(refs), P)
 
 
 @query(_with(_DOCS, _ROWS, _FREQ, _BT, then="SELECT token, count(*) AS refs FROM bt GROUP BY 1 HAVING count(*) > 1"))
 def block_sizes(spark, d):
-    refs = documents(spark, d)
+    refs = tokenized(spark, d)
     return blocking.block_sizes(refs, stats.token_frequency(refs), P)
 
 
 @query(_with(_DOCS, _ROWS, _FREQ, _BT, then="SELECT DISTINCT a.refID AS refID1, b.refID AS refID2 FROM bt a JOIN bt b ON a.token = b.token AND (a.refID < b.refID OR (a.refID = b.refID AND a.m > 1))"))
 def block_pairs_single(spark, d):
-    refs = documents(spark, d)
+    refs = tokenized(spark, d)
     return blocking.candidate_pairs(refs, stats.token_frequency(refs), P.with_(blockByPairs=False))
 
 
@@ -199,13 +204,13 @@ def block_pairs_double(spark, d):
 
 @query(_with(_DOCS, _ROWS, _FREQ, _BT, then="SELECT a.refID AS refID1, b.refID AS refID2 FROM bt a JOIN bt b ON a.token = b.token AND a.refID < b.refID GROUP BY 1, 2 HAVING sum(least(a.m, b.m)) >= 2 UNION ALL SELECT refID, refID FROM bt GROUP BY 1 HAVING max(m) >= 3 OR (max(m) = 2 AND count(*) >= 2)"))
 def block_pairs_documents(spark, d):
-    refs = documents(spark, d)
+    refs = tokenized(spark, d)
     return blocking.candidate_pairs(refs, stats.token_frequency(refs), P)
 
 
 @query(_with(_DOCS, _ROWS, _FREQ, _CMP, then="SELECT refID, array_to_string(tokens, ' ') AS tokens FROM cmp"))
 def comparison_tokens(spark, d):
-    refs = documents(spark, d)
+    refs = tokenized(spark, d)
     return blocking.comparison_tokens(refs, stats.token_frequency(refs), P).select("refID", _joined())
 
 
@@ -472,7 +477,7 @@ def er_metrics(spark, d):
     )
 )
 def blocking_metrics(spark, d):
-    refs = documents(spark, d)
+    refs = tokenized(spark, d)
     pairs = blocking.candidate_pairs(refs, stats.token_frequency(refs), P.with_(blockByPairs=False))
     return metrics.blocking_metrics(pairs, refs, _truth(spark, d))
 

@@ -34,6 +34,13 @@ def from_table(df: DataFrame, ref: str, body: str, ord_: str | None = None) -> D
     return df.select(F.col(ref).cast("string").alias("refID"), F.col(body).cast("string").alias("body"), F.col(ord_ or ref).alias("ord"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores where it comes in fewer parts than there are: a small file, or one
+    of few row groups. A large table comes in more parts and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def resolve_duplicates(refs: DataFrame) -> DataFrame:
     """One row for each refID: the last one's tokens, at the place of the first."""
     return refs.groupBy("refID").agg(F.max_by("tokens", "ord").alias("tokens"), F.min("ord").alias("ord"))
