@@ -17,14 +17,18 @@ neither gathered in one task nor spelled out as pairs:
 2. Leaves that still hold several components, each set of classes once, are compared exhaustively:
    classes that have a partner in another component by the digests are brought together with their
    full sets, and those that are similar enough are linked, one link for each two components that
-   it joins. A leaf beyond `block` classes is dealt out as pairs of blocks, so that no task holds
-   more than two blocks.
+   it joins. A leaf beyond `block` classes is a node that is not small yet: it is branched on, up
+   to `deeper` levels further, until its children are small or hold one component. A pair of the
+   wanted similarity meets there still with probability 0.46 (at 8 levels) to 0.36 (at 12) a tree,
+   and all trees miss it with probability 5e-5 to 8e-4. What doesn't part by then, such as nodes
+   of much the same texts, is dealt out as pairs of blocks, so that no task holds more than two.
 
 The sets are not kept: those of the classes that meet are made anew from their texts.
 
 Defined results: a null text or one without words has an empty set and links with nothing; a null
-doc_id links with nothing and is kept; rows of equal doc_id are one node of the link graph, and
-each gets a row; other columns are ignored.
+doc_id links with nothing and is kept; rows of equal doc_id are one node of the link graph,
+so that their texts' classes are linked, and each gets a row (one without words has its own id as
+component); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 from quillmatch.operators.closure import components
 from quillmatch.plans.staging import staged, unstage
 
-from .common import LOWER, arrow_schema, columns_of, id_type, mix, texts
+from .common import arrow_schema, bounded_batches, columns_of, hashed_words, id_type, mix, slices, texts
 
 K = 3
 SIMILARITY = 85  # percent
@@ -46,6 +50,8 @@ TOKENS = 128
 TREES = 16
 DEPTH = 4
 BLOCK = 512
+#: Levels below DEPTH that nodes of more than BLOCK classes are branched on.
+DEEPER = 8
 #: Tokens in a digest, and how many of a digest fit one long.
 DIGEST, PER_LONG = 64, 16
 #: Up to so many ids of meeting classes are broadcast (8 bytes each); more are joined by a shuffle.
@@ -57,29 +63,16 @@ _MUL = _RNG.integers(0, 1 << 31, 1024, dtype=np.uint64).astype(np.uint32) * np.u
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Shingler:
-    """Hashes of shingles; word hashes are remembered up to a bounded number."""
-
-    def __init__(self, k: int, room: int = 300_000):
-        self.k, self.room, self.known = k, room, {}
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        """Sorted distinct 64-bit hashes."""
-        w = text.translate(LOWER).split() if text else []
-        if not w:
-            return np.zeros(0, dtype=np.uint64)
-        known = self.known
-        if len(known) > self.room:
-            known.clear()
-        for x in w:
-            if x not in known:
-                known[x] = xxhash.xxh64_intdigest(x)
-        h = np.fromiter(map(known.__getitem__, w), dtype=np.uint64, count=len(w))
-        k = min(self.k, len(w))
-        s = np.full(len(w) - k + 1, k, dtype=np.uint64)
-        for j in range(k):
-            s = mix(s * _STEP + h[j : len(w) - k + 1 + j])
-        return np.unique(s)
+def shingled(batch: list[bytes | None], k: int) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's shingles."""
+    h, n = hashed_words(batch)
+    first = np.cumsum(n) - n
+    width = np.minimum(n, k)  # a text of fewer words is one shingle
+    s = np.repeat(width, n).astype(np.uint64)
+    for j in range(k):
+        more = np.repeat(width > j, n)
+        s = np.where(more, mix(s * _STEP + np.append(h[j:], np.zeros(min(j, len(h)), dtype=np.uint64))), s)
+    return [np.unique(s[a : a + m - w + 1]) if m else s[:0] for a, m, w in zip(first.tolist(), n.tolist(), width.tolist(), strict=True)]
 
 
 def minwise(shingles: np.ndarray, tokens: int) -> np.ndarray:
@@ -93,30 +86,30 @@ def minwise(shingles: np.ndarray, tokens: int) -> np.ndarray:
     return out
 
 
-def leaves(sig: np.ndarray, trees: int, depth: int, similarity: float):
-    """For each leaf slot of each tree, the leaf of every row of sig and whether the row has it."""
+def children(sig: np.ndarray, key: np.ndarray, similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The first and the second child of each row's node, and whether the node has it."""
     n, tokens = sig.shape
-    rows = np.arange(n)
     more = np.uint64(min(int((1 / similarity - 1) * 2**64), 2**64 - 1))
 
-    def place(key: np.ndarray, salt: int) -> np.ndarray:
+    def place(salt: int) -> np.ndarray:
         return (mix(key + np.uint64(salt)) >> np.uint64(33)) % np.uint64(tokens)
 
-    def child(key: np.ndarray, salt: int) -> np.ndarray:
-        at = place(key, salt)
-        return mix(mix(key * _STEP + at) + sig[rows, at.astype(np.int64)])
+    def child(at: np.ndarray) -> np.ndarray:
+        return mix(mix(key * _STEP + at) + sig[np.arange(n), at.astype(np.int64)])
+
+    one, two = place(1), place(3)
+    # a second choice of the same place would be the first child again
+    return [(child(one), np.ones(n, dtype=bool)), (child(two), (mix(key + np.uint64(2)) < more) & (one != two))]
+
 
+def leaves(sig: np.ndarray, trees: int, depth: int, similarity: float):
+    """For each leaf slot of each tree, the leaf of every row of sig and whether the row has it."""
+    n = len(sig)
     for tree in range(trees):
         nodes = [(mix(np.full(n, tree + 1, dtype=np.uint64)), np.ones(n, dtype=bool))]
         for _ in range(depth):
-            below = []
-            for key, has in nodes:
-                below.append((child(key, 1), has))
-                # a second choice of the same place would be the first child again
-                both = has & (mix(key + np.uint64(2)) < more) & (place(key, 1) != place(key, 3))
-                if both.any():
-                    below.append((child(key, 3), both))
-            nodes = below
+            below = [(k, h & has) for key, has in nodes for k, h in children(sig, key, similarity)]
+            nodes = [(key, has) for key, has in below if has.any()]
         yield from nodes
 
 
@@ -126,11 +119,9 @@ def sketch(docs: DataFrame, k: int = K, tokens: int = TOKENS) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(it):
-        shingler = Shingler(k)
-        for batch in it:
+        for batch in slices(it):
             n, hi, lo, sig = [], [], [], []
-            for text in texts(batch):
-                s = shingler(text)
+            for s in shingled(texts(batch), k):
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
                 hi.append(int.from_bytes(digest[:8], "big", signed=True))
@@ -219,9 +210,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(it):
-        shingler = Shingler(k)
-        for batch in it:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingler(t).tobytes() for t in texts(batch)], type=pa.binary())], schema=schema)
+        for batch in slices(it):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingled(texts(batch), k)], type=pa.binary())], schema=schema)
 
     return rows.mapInArrow(run, ddl)
 
@@ -229,7 +219,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     ids = staged(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    bags = full_sets(docs, ids, k)
+    bags = staged(full_sets(docs, ids, k))
     left, right = bags.select(F.col("id").alias("_a"), F.col("bag").alias("bag_a")), bags.select(F.col("id").alias("_b"), F.col("bag").alias("bag_b"))
     rows = pairs.join(right, pairs["b"] == right["_b"]).select("a", "b", "bag_b")
     rows = rows.join(left, rows["a"] == left["_a"]).select("a", "b", "bag_a", "bag_b")
@@ -250,6 +240,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 
     out = staged(rows.mapInArrow(run, ddl))
     unstage(ids)
+    unstage(bags)
     return out
 
 
@@ -346,11 +337,12 @@ def similar(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, ddl).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILARITY, tokens: int = TOKENS, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK, least_agreement: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILARITY, tokens: int = TOKENS, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK, deeper: int = DEEPER, least_agreement: float | None = None) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept."""
     similarity = percent / 100
     # five standard errors of the agreement of a digest's tokens below the wanted similarity
     least = similarity - 5 * (similarity * (1 - similarity) / DIGEST) ** 0.5 if least_agreement is None else least_agreement
+    bounded_batches(docs.sparkSession)
     rows = staged(sketch(docs, k, tokens))
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
     reps = staged(classes)
@@ -360,11 +352,19 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILARITY, toke
     members = staged(spread.join(live, spread["leaf"] == live["_leaf"]).drop("_leaf"))
 
     stars = staged(star_links(members, least))
-    links = confirmed(docs, stars, k, percent)
+    links = confirmed(docs, stars, k, percent).unionByName(_several(rows, reps))
     unstage(stars)
     found = staged(components(links))
 
     mixed = staged(_mixed(members, found))
+    unstage(members)
+    for _ in range(deeper):
+        large = mixed.where(F.col("size") > block)
+        if large.isEmpty():
+            break
+        below = staged(_several_components(_below(large, reps, similarity)).unionByName(mixed.where(F.col("size") <= block)))
+        unstage(mixed)
+        mixed = below
     if not mixed.isEmpty():
         near = staged(with_partner(_blocks(mixed, block), least))
         bags = full_sets(docs, staged(near.select(F.col("rep").alias("id")).distinct()), k).withColumnRenamed("id", "_id")
@@ -372,24 +372,56 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILARITY, toke
         more = staged(similar(sets.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j"), percent))
         if not more.isEmpty():
             found = staged(components(links.unionByName(more)))
-    for x in (mixed, members):
-        unstage(x)
+    unstage(mixed)
 
     named = reps.select("hi", "lo", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.coalesce("component", "rep").alias("component_id"))
     joined = rows.join(named, (rows["hi"] == named["_hi"]) & (rows["lo"] == named["_lo"]), "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    # of a doc_id with several texts, the least component holds for all: they are one node
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _several(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """a, b: each doc_id that has texts of several classes, with those classes' representatives."""
+    own = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "hi", "lo")
+    both = own.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("p"), F.max(F.struct("hi", "lo")).alias("q")).where("p <> q").select("doc_id")
+    names = reps.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "rep")
+    found = own.join(both, "doc_id", "left_semi").distinct()
+    return found.join(names, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+
+
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     """leaf, rep, comp, size and digest, in leaves of three or more classes that hold several
     components; of leaves that hold the same classes one is enough."""
     found = found.select(F.col("node").alias("_node"), "component")
-    rows = members.where("size > 2").join(found, members["rep"] == found["_node"], "left").select("leaf", "rep", "size", "kind", F.coalesce("component", "rep").alias("comp"), *_MINI)
-    several = rows.groupBy("leaf", "size", "kind").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q")
-    one = several.groupBy("size", "kind").agg(F.min("leaf").alias("_leaf")).select("_leaf")
-    return rows.join(one, rows["leaf"] == one["_leaf"], "left_semi").drop("kind")
+    rows = members.where("size > 2").join(found, members["rep"] == found["_node"], "left").select("leaf", "rep", F.coalesce("component", "rep").alias("comp"), *_MINI)
+    return _several_components(rows)
+
+
+def _several_components(rows: DataFrame) -> DataFrame:
+    """rows (leaf, rep, comp and digest) of leaves that hold several components, with the leaf's
+    size; of leaves that hold the same classes one is enough."""
+    several = rows.groupBy("leaf").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("kind"), F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q")
+    one = several.groupBy("size", "kind").agg(F.min("leaf").alias("_leaf")).select("_leaf", "size")
+    return rows.join(one, rows["leaf"] == one["_leaf"]).select("leaf", "rep", "comp", "size", *_MINI)
+
+
+def _below(nodes: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """leaf, rep, comp and digest of the nodes' children."""
+    kind = id_type(reps, "rep")
+    ddl = ", ".join(["leaf long", f"rep {kind}", f"comp {kind}", *(f"{m} long" for m in _MINI)])
+    schema = arrow_schema(ddl)
+
+    def run(it):
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1)
+            for key, has in children(sig, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), similarity):
+                at = pa.array(np.flatnonzero(has))
+                yield pa.RecordBatch.from_arrays([pa.array(key[has].view(np.int64)), *(c.take(at) for c in batch.columns[2:])], schema=schema)
+
+    own = reps.select(F.col("rep").alias("_rep"), "sig")
+    return nodes.join(own, nodes["rep"] == own["_rep"]).select("sig", "leaf", "rep", "comp", *_MINI).mapInArrow(run, ddl)
 
 
 def _blocks(mixed: DataFrame, block: int) -> DataFrame:

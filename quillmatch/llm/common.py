@@ -72,6 +72,27 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(kind)
 
 
+_SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The hashes that hashed_words() gives to these words."""
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    end = np.cumsum(size + 1) - 1
+    return run_hashes(np.frombuffer(b" ".join(words), dtype=np.uint8), end - size, end)
+
+
+def hashed_words(batch: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of texts in a row (parted by ASCII white space, A-Z lower-cased), and
+    how many each text has."""
+    size = np.array([len(t or b"") for t in batch], dtype=np.int64)
+    raw = np.frombuffer((b" " + b" ".join([t or b"" for t in batch]) + b" ").translate(LOWER), dtype=np.uint8)
+    word = ~_SPACE[raw]
+    start, end = (np.flatnonzero(x) + 1 for x in (word[1:] & ~word[:-1], ~word[1:] & word[:-1]))
+    of = np.searchsorted(np.cumsum(size + 1), start, side="right")
+    return run_hashes(raw, start, end), np.bincount(of, minlength=len(batch))
+
+
 #: Bytes of rows that Spark hands to a Python worker at once, where the session doesn't say.
 BATCH_BYTES = 4 << 20
 
