@@ -8,8 +8,8 @@ the largest sum of margins. The score is the product, over both steps, of the le
 that the winner has against any other.
 
 The machines (squared hinge) are trained on a bounded sample of labelled rows: per language
-`per_language` documents at most by the order of a hash, of those as many as have `language_bytes`
-bytes together, and at most `total` documents that the languages share equally, but `least` of
+`per_language` documents at most by the order of a hash of id and text (repeated rows count once), of
+those as many as have `language_bytes` bytes together, and at most `total` documents that the languages share equally, but `least` of
 each language at least. Every language that a row is labelled with is learned. Besides each sampled
 text itself a short run out of its middle is learned from, so that short texts are known too.
 Every whole text is judged.
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, columns_of, id_type
+from .common import by_text, columns_of
 
 BUCKETS = 1 << 13
 PER_LANGUAGE = 400
@@ -144,30 +144,37 @@ class Model:
 def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, language_bytes: int = LANGUAGE_BYTES, total: int = TOTAL, least: int = LEAST) -> list[tuple[str, bytes]]:
     """Language and text of the bounded sample; `learn` is a condition on doc_id."""
     rows = docs.select("doc_id", "lang", "text").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    known = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("n")).orderBy("lang").collect()}
     per_language = min(per_language, max(least, -(-total // max(len(known), 1))))
-    spark, order = docs.sparkSession, F.xxhash64("doc_id")
-    sized = rows.select("doc_id", "lang", F.octet_length("text").alias("n"), order.alias("o"))
-    chosen = []
-    for lang in known:  # per_language rows each
-        size = 0
-        for r in sized.where(F.col("lang") == lang).orderBy("o", "doc_id", "n").limit(per_language).collect():
-            if size + r["n"] <= language_bytes:
-                size += r["n"]
-                chosen.append((r["doc_id"], lang))
+    if not known:
+        return []
+    spark = docs.sparkSession
+    # of each language the rows of least hash, by a share that leaves twice as many as are wanted
+    share = spark.createDataFrame([(lang, min(1.0, (2 * per_language + 50) / n)) for lang, n in known.items()], "_lang string, _share double")
+    low = F.pmod(F.col("o"), F.lit(1 << 53)) <= F.col("_share") * F.lit(float(1 << 53))
+    keyed = rows.select("lang", "text", F.octet_length("text").alias("n"), F.xxhash64("doc_id", "text").alias("o"))
+    near = keyed.join(F.broadcast(share), F.col("lang") == F.col("_lang")).where(low)
+    sized = near.groupBy("lang", "o").agg(F.min("n").alias("n")).collect()  # repeated rows count once
+    chosen, taken = [], dict.fromkeys(known, (0, 0))
+    for r in sorted(sized, key=lambda r: (r["lang"], r["o"] % (1 << 53), r["o"])):
+        k, size = taken[r["lang"]]
+        if k < per_language and size + r["n"] <= language_bytes:
+            taken[r["lang"]] = k + 1, size + r["n"]
+            chosen.append((r["lang"], r["o"]))
     if not chosen:
         return []
-    picked = spark.createDataFrame(chosen, f"_id {id_type(docs, 'doc_id')}, _lang string").distinct()
-    joined = rows.join(F.broadcast(picked), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))
-    found = joined.select(order.alias("o"), "doc_id", "lang", F.col("text").cast("binary").alias("text")).collect()
-    found = [(r["o"], r["doc_id"], r["lang"], bytes(r["text"])) for r in found]
-    return [(lang, text) for _, _, lang, text in sorted(found) if has_letter(text)]
+    picked = spark.createDataFrame(chosen, "_lang string, _o long")
+    joined = near.join(F.broadcast(picked.withColumnRenamed("_lang", "_of")), (F.col("lang") == F.col("_of")) & (F.col("o") == F.col("_o")))
+    found = joined.groupBy("lang", "o").agg(F.min(F.col("text").cast("binary")).alias("text")).collect()
+    found = sorted((r["o"], r["lang"], bytes(r["text"])) for r in found)
+    return [(lang, text) for _, lang, text in found if has_letter(text)]
 
 
 def identify(docs: DataFrame, held_out: Column, carry: tuple[str, ...] = ("doc_id", "held_out"), **bounds) -> DataFrame:
     """A row for each document: the columns `carry` and lang_pred, score. held_out is a condition
     on doc_id, and a column that can be carried; documents for which it is true are not learned
     from."""
-    model = docs.sparkSession.sparkContext.broadcast(Model(sample(docs, ~F.coalesce(held_out, F.lit(True)), **bounds)))
+    fitted = Model(sample(docs, ~F.coalesce(held_out, F.lit(True)), **bounds))
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     rows = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))) if "held_out" in carry else docs
     return by_text(rows, list(carry), "lang_pred string, score double", lambda: lambda batch: columns_of([model.value(t) for t in batch], 2))
