@@ -80,34 +80,60 @@ def as_string(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 2000, most_buckets: int = 4096) -> tuple[DataFrame, W]:
-    """docs (doc_id, text) dealt out in buckets of consecutive doc_ids, with `_extra` and a window
-    in which each document is followed by the next by doc_id, and the last one by the first. A
-    bucket ends with a copy (_extra is true) of the next bucket's first document, so no bucket
-    needs another. Null doc_ids come last; rows of equal doc_id are ordered by a hash of the text.
-    """
+def _cuts(docs: DataFrame, n: int, buckets: int) -> list:
+    """Up to buckets - 1 pairs (doc_id, hash of the text) that part the documents about evenly: from
+    a sample by hash, eight times as many."""
+    pairs = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tie"))
+    few = pairs.where(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(max(1, n // (8 * buckets)))) == 0).distinct()
+    found = few.orderBy("doc_id", "tie").collect()
+    return [tuple(found[i * len(found) // buckets]) for i in range(1, buckets)] if len(found) >= buckets else []
+
+
+def _pair(found: tuple, kind) -> Column:
+    return F.struct(F.lit(found[0]).cast(kind).alias("doc_id"), F.lit(found[1]).cast("long").alias("_tie"))
+
+
+def _bucket(cuts: list, row: Column, kind) -> Column:
+    """How many of the ascending cuts are at most `row`: first among every so many, then between."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, round(len(cuts) ** 0.5))
+
+    def array(of: list) -> Column:
+        return F.array(*(_pair(c, kind) for c in of))
+
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    block = F.size(F.filter(array([b[0] for b in blocks]), lambda c: c <= row))
+    inside = F.size(F.filter(F.element_at(F.array(*map(array, blocks)), F.greatest(block, F.lit(1))), lambda c: c <= row))
+    return F.greatest(block - 1, F.lit(0)) * step + inside
+
+
+def with_next(docs: DataFrame, rows_per_bucket: int = 2000) -> tuple[DataFrame, W]:
+    """docs (doc_id, text) dealt out in buckets of consecutive rows by doc_id and a hash of the text,
+    with `_extra` and a window in which each document is followed by the next by doc_id, and the
+    last one by the first. A bucket ends with a copy (_extra is true) of the next bucket's first
+    document, so no bucket needs another. Null doc_ids come last; rows of equal doc_id are ordered
+    by a hash of the text. A bucket has about `rows_per_bucket` documents, or as many as there are
+    buckets: both grow with the root of the table, and neither has a bound."""
     n = docs.count()
-    buckets = max(1, min(most_buckets, -(-n // rows_per_bucket)))
-    cuts: list = []
-    if buckets > 1:
-        found = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
-        cuts = sorted(set(found or []))
-    at = F.lit(0)
-    if cuts:
-        bounds = F.array(*(F.lit(c) for c in cuts))
-        at = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))))
-    rows = docs.select("doc_id", "text").withColumn("_bucket", at)
+    buckets = max(1, -(-n // max(rows_per_bucket, int(n**0.5))))
+    cuts = _cuts(docs, n, buckets) if buckets > 1 else []
+    tie, kind = F.xxhash64("text").alias("_tie"), docs.schema["doc_id"].dataType
+    at = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(_bucket(cuts, F.struct("doc_id", tie), kind))
+    rows = docs.select("doc_id", "text", tie, at.alias("_bucket"))
     # a row for each bucket
-    heads = sorted((r["_bucket"], r["head"]) for r in rows.groupBy("_bucket").agg(F.min("doc_id").alias("head")).collect() if r["head"] is not None)
+    first = rows.where("doc_id IS NOT NULL").groupBy("_bucket").agg(F.min(F.struct("doc_id", "_tie")).alias("head"))
+    heads = sorted((r["_bucket"], r["head"]) for r in first.collect())
     last = len(cuts)
     copies = F.array(F.struct(F.col("_bucket"), F.lit(False).alias("_extra")))
     if heads:
-        before = {head: heads[i - 1][0] if i else last for i, (_, head) in enumerate(heads)}
-        where = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-        again = F.struct(F.try_element_at(where, F.col("doc_id")).alias("_bucket"), F.lit(True).alias("_extra"))
-        copies = F.when(F.array_contains(F.array(*(F.lit(h) for h in before)), F.col("doc_id")), F.array(F.struct(F.col("_bucket"), F.lit(False).alias("_extra")), again)).otherwise(copies)
-    rows = rows.select("doc_id", "text", F.explode(copies).alias("_at")).select("doc_id", "text", "_at._bucket", "_at._extra")
-    return rows.withColumn("_tie", F.xxhash64("text")), W.partitionBy("_bucket").orderBy("_extra", F.asc_nulls_last("doc_id"), "_tie")
+        head_of, before = dict(heads), {b: heads[i - 1][0] if i else last for i, (b, _) in enumerate(heads)}
+        own = F.element_at(F.array(*(_pair(head_of.get(b, (None, None)), kind) for b in range(last + 1))), F.col("_bucket") + 1)
+        to = F.element_at(F.array(*(F.lit(before.get(b, last)) for b in range(last + 1))), F.col("_bucket") + 1)
+        again = F.struct(to.alias("_bucket"), F.lit(True).alias("_extra"))
+        copies = F.when(F.struct("doc_id", "_tie") == own, F.array(F.struct(F.col("_bucket"), F.lit(False).alias("_extra")), again)).otherwise(copies)
+    rows = rows.select("doc_id", "text", "_tie", F.explode(copies).alias("_at")).select("doc_id", "text", "_tie", "_at._bucket", "_at._extra")
+    return rows, W.partitionBy("_bucket").orderBy("_extra", F.asc_nulls_last("doc_id"), "_tie")
 
 
 def fingerprints(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
