@@ -5,14 +5,16 @@ Each class has a Kneser-Ney model of how its words are spelt: the probability of
 that have a word, so that one document's favourite words weigh little; they stand at the highest
 order only, less a discount of `CLASS_DISCOUNT`. Lower orders are continuation counts that both
 classes share, so an expression that neither class has often gets much the same probability from
-both. A word's evidence is its toxic less its ordinary log-likelihood, less the median of that over
-the text, which its language decides. A text is compared at several lengths: the greatest mean
-evidence over any run of `RUNS` consecutive words, and the evidence above `FLOOR` summed over its
-distinct words, as it is and by the text's length; a logistic calibration of these, fitted on half of the
-sample with models of the other half, gives the score.
+both. The leading evidence is the whole text's toxic less its ordinary log-likelihood by its
+number of words. As a few words decide in a long text, it is compared at other lengths too, by the
+words' evidence less its median over the text, which its language decides: the greatest mean over
+any run of `RUNS` consecutive words, and what is above `FLOOR` summed over distinct words, as it is
+and by the text's length. A logistic calibration of these, fitted on half of the sample with models
+of the other half, gives the score.
 
 The classifier is fitted on a bounded sample of labelled rows: per class, `per_class` documents at
-most by the order of a hash, and of those as many as have `class_bytes` bytes of text together.
+most by the order of a hash, and of those as many as have `class_bytes` bytes of text together
+(repeated rows count once, and of rows of one id with several texts a bounded number is looked at).
 Every whole text is scored.
 
 Defined results: a null text, or one without words, has no evidence and gets the prior of
@@ -36,7 +38,7 @@ DISCOUNT = 0.75
 CLASS_DISCOUNT = 2.0
 RUNS = (1, 4, 16)
 FLOOR, CEILING = 2.0, 8.0
-FEATURES = len(RUNS) + 3
+FEATURES = len(RUNS) + 4
 PER_CLASS = 3000
 CLASS_BYTES = 16_000_000
 THRESHOLD = 0.7
@@ -134,18 +136,19 @@ class Evidence:
         return np.fromiter(map(known.__getitem__, ws), dtype=float, count=len(ws))
 
     def features(self, text: bytes | None) -> list[float]:
-        """The greatest mean over runs of each length; evidence above the floor, in sum (its
-        logarithm) and by length; log of the length."""
+        """The mean over the whole text; less its median, the greatest mean over runs of each length;
+        evidence above the floor, in sum (its logarithm) and by length; log of the length."""
         ws = words(text)
         if not ws:
             return [0.0] * FEATURES
         each = self(ws)
+        whole = float(each.mean())
         each = each - np.median(each)
         total = np.concatenate([[0.0], np.cumsum(each)])
         n = len(ws)
         runs = [float((total[min(r, n) :] - total[: n + 1 - min(r, n)]).max()) / min(r, n) for r in RUNS]
         above = sum(dict(zip(ws, np.clip(each - FLOOR, 0, CEILING).tolist(), strict=True)).values())
-        return [*runs, float(np.log1p(above)), above / n, float(np.log(n))]
+        return [whole, *runs, float(np.log1p(above)), above / n, float(np.log(n))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
@@ -218,18 +221,20 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = P
     spark = docs.sparkSession
     kind = f"_id {id_type(labels, 'doc_id')}, _toxic int"
     rows = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(ids, kind)), F.col("doc_id") == F.col("_id"))
-    sizes = rows.select("doc_id", "_toxic", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"), order.alias("o")).collect()
-    sizes.sort(key=lambda r: (r["o"], r["doc_id"], r["n"]))
+    key = F.xxhash64("text").alias("key")
+    sizes = rows.groupBy("doc_id", "_toxic", key).agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")).withColumn("o", order)
     total, chosen = [0, 0], []
-    for r in sizes:
+    for r in sizes.orderBy("o", "doc_id", "key").limit(4 * per_class).collect():
         if total[r["_toxic"]] + r["n"] <= class_bytes:
             total[r["_toxic"]] += r["n"]
-            chosen.append((r["doc_id"], r["_toxic"]))
+            chosen.append((r["doc_id"], r["_toxic"], r["key"]))
     if not chosen:
         return []
-    texts_of = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(spark.createDataFrame(chosen, kind).distinct()), F.col("doc_id") == F.col("_id"))
-    found = [(r["o"], r["doc_id"], None if r["text"] is None else bytes(r["text"]), r["_toxic"]) for r in texts_of.withColumn("o", order).collect()]
-    return [(t, y) for _, _, t, y in sorted(found, key=lambda r: (r[0], r[1], r[2] or b""))]
+    picked = F.broadcast(spark.createDataFrame(chosen, f"{kind}, _key long"))
+    texts_of = docs.select("doc_id", "text", key).join(picked, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")))
+    texts_of = texts_of.groupBy("doc_id", "_toxic", "key").agg(F.min(F.col("text").cast("binary")).alias("text")).withColumn("o", order)
+    found = [(r["o"], r["doc_id"], r["key"], None if r["text"] is None else bytes(r["text"]), r["_toxic"]) for r in texts_of.collect()]
+    return [(t, y) for *_, t, y in sorted(found, key=lambda r: r[:3])]
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = THRESHOLD, **bounds) -> DataFrame:
