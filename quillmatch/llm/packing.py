@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.plans.staging import staged
 
-from .common import arrow_schema, id_type, slices, texts
+from .common import arrow_schema, bounded_batches, id_type, slices, texts
 
 LENGTH = 4096
 WIDTH = 8
@@ -382,6 +382,7 @@ def cut(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, width: int =
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, width: int = WIDTH, closing: int = CLOSING_ID, **settings) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    bounded_batches(docs.sparkSession)
     rows = staged(cut(docs, tokenizer_path, length, width, closing))
     rests = rows.where("rest > 0")
     # a row for each bin and task

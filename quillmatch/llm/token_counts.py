@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, id_type
+from .common import bounded_batches, columns_of, id_type
 
 LEAF = 64
 
@@ -197,6 +197,7 @@ def count_with(docs: DataFrame, edits, tokenizer_path: str) -> DataFrame:
 
 
 def _counted(rows: DataFrame, kind: str, tokenizer_path: str) -> DataFrame:
+    bounded_batches(rows.sparkSession)
     ddl = f"doc_id {kind}, n_pretokens long, n_tokens long, edited_tokens long, edited_chars long, n_encoded long"
 
     def run(it):
