@@ -18,7 +18,8 @@ neither gathered in one task nor spelled out as pairs:
    classes that have a partner in another component by the digests are brought together with their
    full sets, and those that are similar enough are linked, one link for each two components that
    it joins. A leaf beyond `block` classes is a node that is not small yet: it is branched on, up
-   to `deeper` levels further, until its children are small or hold one component. A pair of the
+   to `deeper` levels further, until its children are small or hold one component, or a level parts
+   little of what is left (near copies stay together, and their number grows on the way). A pair of the
    wanted similarity meets there still with probability 0.46 (at 8 levels) to 0.36 (at 12) a tree,
    and all trees miss it with probability 5e-5 to 8e-4. What doesn't part by then, such as nodes
    of much the same texts, is dealt out as pairs of blocks, so that no task holds more than two.
@@ -52,6 +53,8 @@ DEPTH = 4
 BLOCK = 512
 #: Levels below DEPTH that nodes of more than BLOCK classes are branched on.
 DEEPER = 8
+#: Branching ends where a level leaves more than this share of the classes in large nodes.
+PARTING = 0.75
 #: Tokens in a digest, and how many of a digest fit one long.
 DIGEST, PER_LONG = 64, 16
 #: Up to so many ids of meeting classes are broadcast (8 bytes each); more are joined by a shuffle.
@@ -358,10 +361,13 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = SIMILARITY, toke
 
     mixed = staged(_mixed(members, found))
     unstage(members)
+    before = None
     for _ in range(deeper):
         large = mixed.where(F.col("size") > block)
-        if large.isEmpty():
+        n = large.count()
+        if not n or (before is not None and n > PARTING * before):
             break
+        before = n
         below = staged(_several_components(_below(large, reps, similarity)).unionByName(mixed.where(F.col("size") <= block)))
         unstage(mixed)
         mixed = below
