@@ -96,6 +96,63 @@ def test_toxicity(spark):
     assert toxicity.score(frame(spark, []), lab, held).count() == 0
 
 
+def slow_evidence(toxic, ordinary, word):
+    """Toxic less ordinary log-likelihood of a word's spelling, by definition: n-grams of bytes over
+    padded words, a discounted class count at the highest order, below it continuation counts."""
+    order = toxicity.ORDER
+
+    def grams(w):
+        x = b" " * (order - 1) + w + b" "
+        return [x[i : i + order] for i in range(len(w) + 1)]
+
+    levels = [{g for w in {*toxic, *ordinary} for g in grams(w)}]
+    for _ in range(order - 1):
+        levels.append({g[1:] for g in levels[-1]})
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        above = levels[order - len(g) - 1]
+        same = Counter(x[1:] for x in above)
+        ctx = {k: c for k, c in same.items() if k[:-1] == g[:-1]}
+        if not ctx:
+            return shared(g[1:])
+        return (max(ctx.get(g, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(ctx) * shared(g[1:])) / sum(ctx.values())
+
+    def logp(counts, g):
+        c = Counter()
+        for w, n in counts.items():
+            for x in grams(w):
+                c[x] += n
+        total = sum(n for x, n in c.items() if x[:-1] == g[:-1])
+        own = {x: max(n - toxicity.CLASS_DISCOUNT, 0) / total for x, n in c.items() if x[:-1] == g[:-1]} if total else {}
+        return np.log(own.get(g, 0) + (1 - sum(own.values())) * shared(g[1:]))
+
+    return sum(logp(toxic, g) - logp(ordinary, g) for g in grams(word))
+
+
+def test_evidence_against_definition():
+    """Every likelihood ratio of words that are seen, in part or not at all, is the slow one."""
+    rnd = random.Random(36)
+    some = [w.encode() for w in vocabulary(40, seed=5)]
+    toxic, ordinary = (Counter({w: rnd.randint(1, 9) for w in rnd.sample(sorted(set(some)), 12)}) for _ in range(2))
+    fast = toxicity.Evidence(toxic, ordinary)
+    words = [*toxic, *ordinary, b"qqq", *(w + b"x" for w in toxic), b"k"]
+    assert fast.of_words(words).tolist() == pytest.approx([slow_evidence(toxic, ordinary, w) for w in words], abs=1e-9)
+    text = b" ".join([*list(toxic)[:5], b"qqq"])
+    assert fast.features(text)[0] == pytest.approx(np.mean([slow_evidence(toxic, ordinary, w) for w in text.split()]), abs=1e-9)
+    assert toxicity.Evidence(Counter(), Counter()).features(b"a b")[0] == 0.0
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Repeated rows count once; an id with many texts brings no more than the bound."""
+    docs = spark.createDataFrame([(1, f"t{i % 4} words") for i in range(80)] + [(2, "same words")] * 50 + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    found = toxicity.sample(docs, labels, F.lit(True))
+    assert Counter(y for _, y in found) == {1: 4, 0: 2}
+    assert len(toxicity.sample(docs, labels, F.lit(True), per_class=1)) <= 4
+
+
 def test_language(spark):
     rnd = random.Random(5)
     stems = {"en": ["the", "and", "thing", "ofwh", "ing"], "de": ["der", "und", "schung", "keit", "ä"], "fr": ["le", "et", "tion", "eaux", "ç"], "es": ["el", "y", "ción", "ando", "ñ"]}
@@ -118,6 +175,16 @@ def test_every_language_is_learned(spark):
     assert {lang for lang, _ in found} == {lang for _, _, lang in rows} and len(found) == len(rows)
 
 
+def test_language_sample_is_bounded(spark):
+    """Repeated rows and rows of one doc_id don't widen the sample."""
+    rows = [(i % 3, f"aaa bbb {i % 7}", "en") for i in range(500)] + [(i, f"ccc ddd {i}", "de") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = Counter(lang for lang, _ in language_id.sample(df, F.lit(True), per_language=30, total=60, least=5))
+    assert 18 <= found["en"] <= 21 and found["de"] == 30
+    few = language_id.sample(df, F.lit(True), language_bytes=25)
+    assert Counter(lang for lang, _ in few) == {"en": 2, "de": 2}
+
+
 # --- op3 -----------------------------------------------------------------------------------------
 
 
@@ -201,7 +268,7 @@ def slow_suffix_tree(train, held, s):
     return [sum(np.log10(prob([*start, *t[:i]], w)) for i, w in enumerate(t)) for t in [*train, *held]], levels
 
 
-@pytest.mark.parametrize("head", [0, 200, 1_500_000])
+@pytest.mark.parametrize("head", [0, 200, 500_000])
 def test_suffix_tree_against_definition(spark, head):
     rnd = random.Random(21)
     words = vocabulary(300)
@@ -422,6 +489,39 @@ def test_fingerprints_over_buckets(spark):
     assert {r["doc_id"]: r["n"] for r in rows} == {a: ids[(k + 1) % len(ids)] for k, a in enumerate(ids)}
 
 
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_fingerprints_of_other_ids_and_repeated_ones(spark, kind):
+    """Ids of any type; rows of one id are dealt out too, by a hash of their text."""
+    texts = [f"t{i} a b c d e f {i * i}" for i in range(60)]
+    df = spark.createDataFrame([(7 if i > 20 else i, t) for i, t in enumerate(texts)] + [(None, "z")], "doc_id int, text string").select(F.col("doc_id").cast(kind), "text")
+    rows, order = bottom_k.with_next(df, rows_per_bucket=5)
+    got = {r["text"]: r["n"] for r in rows.withColumn("n", F.lead("text").over(order)).where("not _extra").collect()}
+    tie = {r["text"]: r["x"] for r in df.select("text", F.xxhash64("text").alias("x")).collect()}
+    line = [r["text"] for r in sorted(df.where("doc_id IS NOT NULL").collect(), key=lambda r: (r["doc_id"], tie[r["text"]]))] + ["z"]
+    assert got == {a: b for a, b in zip(line, [*line[1:], line[0]], strict=True)}
+    assert rows.groupBy("_bucket").count().count() > 5
+    assert bottom_k.fingerprints(df).count() == 61
+
+
+def test_fingerprint_strings_against_sorting(spark):
+    """The strings hold the 128 smallest distinct hashes of shingles of five words, in order."""
+    rnd = random.Random(33)
+    texts = [prose(rnd, vocabulary(300), n) for n in (1, 4, 5, 6, 90, 130, 400)]
+    got = {r["doc_id"]: r["fingerprint"] for r in bottom_k.fingerprints(frame(spark, texts)).collect()}
+    shingles = []
+    for i, t in enumerate(texts):
+        w = t.lower().split()
+        shingles += [(i, len(w) >= 5, w[j : j + max(1, min(5, len(w)))]) for j in range(max(1, len(w) - 4))]
+    df = spark.createDataFrame(shingles, "i int, full boolean, w array<string>").withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    full = df.where("full").select("i", F.xxhash64(*(F.col("h")[j] for j in range(5))).alias("x"))
+    by = defaultdict(set)
+    for r in full.collect():
+        by[r["i"]].add(r["x"])
+    for i, xs in by.items():
+        assert got[i] == "".join(f"{x & (1 << 64) - 1:016x}" for x in sorted(xs)[:128]), i
+    assert len(by) == 5 and all(len(got[i]) == 16 for i in (0, 1))
+
+
 def test_sketches_merge(spark):
     parts = spark.createDataFrame([("g", " ".join(f"w{i}" for i in range(a, a + 300))) for a in (0, 200, 400)] + [("h", "")], "g string, t string")
     merged = bottom_k.merge(bottom_k.with_sketch(parts, "t", "sketch"), ["g"])
@@ -463,6 +563,27 @@ def test_edits_against_encoding_anew(spark):
     assert (got[1]["n_tokens"], got[2]["edited_tokens"], got[3]["n_encoded"]) == (0, 0, 0) and got[3]["n_tokens"] == got[3]["edited_tokens"]
 
 
+def test_token_counts_query(spark, tmp_path):
+    """The registered query's edits, applied to each text by hand and encoded as a whole."""
+    from tokenizers import Tokenizer
+
+    from quillmatch.llm import q08_token_counts
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    rnd = random.Random(37)
+    texts = [prose(rnd, vocabulary(90), n) for n in (1, 3, 20, 300)] + [None, "", "ü" * 7, "x " * 30_000]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in q08_token_counts.query(spark, str(tmp_path)).collect():
+        t = texts[r["doc_id"]] or ""
+        assert r["n_tokens"] == len(tok.encode(t, add_special_tokens=False).ids)
+        n = len(t)
+        for at, removed, inserted in ((n // 3, 7, ""), (n // 2, 0, " edit2 "), (n, 5, "'ll end.")):
+            at = min(at, len(t))
+            t = t[:at] + inserted + t[min(at + removed, len(t)) :]
+        assert (r["edited_chars"], r["edited_tokens"]) == (len(t), len(tok.encode(t, add_special_tokens=False).ids)), r["doc_id"]
+
+
 # --- op9 -----------------------------------------------------------------------------------------
 
 
@@ -532,4 +653,44 @@ def test_near_duplicates_edge_rows(spark):
     rows = chosen_path.near_duplicates(df).collect()
     assert len(rows) == 4 and sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows if r["doc_id"]) == [(1, 1, True), (1, 1, True), (2, 1, False)]
     assert [r["kept"] for r in rows if r["doc_id"] is None] == [True]
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Texts of one doc_id are one node, so that what is like either of them is linked."""
+    x, y = "a b c d e f", "p q r s t u"
+    df = spark.createDataFrame([(1, x), (1, y), (2, x), (3, y), (0, y), (4, "other words here")], "doc_id long, text string")
+    rows = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in chosen_path.near_duplicates(df).collect())
+    assert rows == [(0, 0, True), (1, 0, False), (1, 0, False), (2, 0, False), (3, 0, False), (4, 4, True)]
+
+
+def test_large_nodes_are_branched_on(spark):
+    """Leaves of more than a few classes are branched until they are small; what a plain comparison
+    of all sets links is found all the same."""
+    rnd = random.Random(35)
+    words = vocabulary(120, seed=2)
+    base = [rnd.choice(words) for _ in range(60)]
+    texts = []
+    for _ in range(90):  # many that are alike to some degree, in several groups
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 2, 9])):
+            w[rnd.randrange(60)] = rnd.choice(words)
+        texts.append(" ".join(w))
+    rows = chosen_path.near_duplicates(frame(spark, texts), percent=85, block=4).collect()
+    sets = [set(zip(w, w[1:], w[2:], strict=False)) for w in (t.split() for t in texts)]
+    parent = list(range(90))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(90):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: root(i) for i in range(90)}
+
+
+def test_near_duplicates_of_nothing(spark):
+    df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d")], "doc_id long, text string")
     assert chosen_path.near_duplicates(df.limit(0)).count() == 0
