@@ -33,5 +33,5 @@ def test_name_address(spark):
 
 
 def test_base_name():
-    assert base_name("a/b.c/S2G.txt") == "S2G"
+    assert base_name("a/b.c/people.txt") == "people"
     assert base_name("plain") == "plain"
