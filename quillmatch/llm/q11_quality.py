@@ -1,0 +1,14 @@
+"""op11: quality of every document."""
+
+from pyspark.sql import functions as F
+
+from .common import table
+from .passage_attention import score
+
+NAME = "op11_quality"
+ORACLE = None
+
+
+def query(spark, sf_dir):
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)

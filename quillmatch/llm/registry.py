@@ -15,11 +15,12 @@ from . import (
     q08_token_counts,
     q09_url_filter,
     q10_near_duplicates,
+    q11_quality,
     q12_source_divergence,
     q13_whitening,
 )
 
-_MODULES = (q01_decontamination, q02_toxicity, q03_lm_scoring, q04_substring_dedup, q05_language_id, q06_packing, q07_fingerprints, q08_token_counts, q09_url_filter, q10_near_duplicates, q12_source_divergence, q13_whitening)
+_MODULES = (q01_decontamination, q02_toxicity, q03_lm_scoring, q04_substring_dedup, q05_language_id, q06_packing, q07_fingerprints, q08_token_counts, q09_url_filter, q10_near_duplicates, q11_quality, q12_source_divergence, q13_whitening)
 
 
 def queries() -> dict:

@@ -151,7 +151,7 @@ class Evidence:
         return [whole, *runs, float(np.log1p(above)), above / n, float(np.log(n))]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
     """Weights and intercept by damped Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -195,7 +195,7 @@ class Model:
                     x[i] = other.features(t)
         y = np.array([y for _, y in sample], dtype=float)
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        self.weights = _logistic((x - self.mean) / self.scale, y)
+        self.weights = logistic((x - self.mean) / self.scale, y)
         self.evidence = fitted({0, 1})
 
     def __call__(self, text: bytes | None) -> float:
@@ -206,9 +206,10 @@ class Model:
         return p if text and words(text) else min(p, 0.5)
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> list[tuple[bytes | None, int]]:
-    """Texts and labels of the bounded sample; `learn` is a condition on doc_id."""
-    marked = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(learn & F.col("doc_id").isNotNull())
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES, label: str = "toxic") -> list[tuple[bytes | None, int]]:
+    """Texts and labels (of the column `label`) of the bounded sample; `learn` is a condition on
+    doc_id."""
+    marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("toxic")).where(learn & F.col("doc_id").isNotNull())
     order = F.xxhash64("doc_id")
     picked = None
     for y in (0, 1):
