@@ -2,23 +2,66 @@
 
 Two references that share a token, or its next two, hint at each other's errors: a misspelt middle
 token, a nickname, a missing token, a token that the other writes apart, a misspelt leading token.
-Every edit changes what later pairs see, so the fold over sorted pairs is sequential; pairs of
-different connected components share no reference, and each component is folded by itself. Only
-the frequency counts that break ties are common. The rule for them: a component starts from the
-counts of all references and adds its own edits to them; edits elsewhere don't change its ties.
-`exact` folds all pairs as one group instead, so that edits change all later ties; as that is one
-task's work, it is refused beyond `most` references.
+Every edit changes what later pairs see, and how often a token occurs, which decides between two
+spellings. The result is that of one fold over all pairs, sorted by their ids; it is found without
+folding them one after another.
+
+Pairs of one first reference stand together in the order. They are folded in units of `UNIT` pairs,
+so that a task holds that reference and one partner at a time. All units run at once, each on the
+lists as far as they are known, and what they write is kept by the place in the order: versions of
+lists, a log of edits, and the tokens whose counts a unit has compared. Each further round looks
+up, as of its place, which versions a unit should have read and how many edits before it have
+written the tokens that it asked for, and folds those units again for which that has changed. When
+none has, every unit has read what the fold over all pairs would have shown it: the first unit
+reads nothing that others write, and what each later one reads comes from units before it. Rounds
+follow the longest chain of edits that depend on each other, not the number of pairs.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from bisect import bisect_left
+from itertools import count
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.functions.similarity import damerau
-from quillmatch.operators.closure import components
-from quillmatch.plans.staging import staged
+from quillmatch.operators.stats import token_rows
+from quillmatch.plans.staging import staged, unstage
+
+#: Pairs that are folded in one go, as a power of two.
+UNIT = 6
+#: Row kinds of what units read: counts to add, the first reference, its partners; and of what they write.
+ADDED, FIRST, PARTNER = -1, 0, 1
+VERSION, EDIT, ASKED = 0, 1, 2
+
+_WRITES = "unit long, what int, ref string, seq long, tokens array<string>, counts array<long>, formal array<string>, old string, new string, extra long"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+_SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (field.split(" ") for field in _WRITES.split(", "))])
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether one letter changed, added, dropped or two neighbours swapped make a into b."""
+    if len(a) == len(b):
+        at = [i for i in range(len(a)) if a[i] != b[i]]
+        return len(at) == 1 or (len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]])
+    if len(a) > len(b):
+        a, b = b, a
+    i = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
+    return len(b) == len(a) + 1 and a[i:] == b[i + 1 :]
+
+
+class Places:
+    """Where a list has each token, and where each two tokens follow which token."""
+
+    def __init__(self, tokens: list[str]):
+        self.of: dict[str, list[int]] = {}
+        self.before: dict[tuple[str, str], dict[str, list[int]]] = {}
+        for i, t in enumerate(tokens):
+            self.of.setdefault(t, []).append(i)
+            if i + 2 < len(tokens):
+                self.before.setdefault((tokens[i + 1], tokens[i + 2]), {}).setdefault(t, []).append(i)
 
 
 class Fold:
@@ -26,38 +69,62 @@ class Fold:
 
     def __init__(self, lists: dict[str, list[str]], freq: dict[str, int], aliases: dict[str, str]):
         self.lists, self.freq, self.aliases = lists, freq, aliases
-        self.changes: dict[tuple[str, str], int] = {}
+        self.edits: list[tuple[str, str]] = []
+        self.asked: set[str] = set()
+        self._places: Places | None = None
 
     def _record(self, old: str, new: str) -> None:
-        self.changes[old, new] = self.changes.get((old, new), 0) + 1
+        self.edits.append((old, new))
         self.freq[new] = self.freq.get(new, 0) + 1
+        self._places = None
+
+    def _count(self, token: str) -> int:
+        self.asked.add(token)
+        return self.freq.get(token, 0)
 
     def _is_alias(self, a: str, b: str) -> bool:
         return a in self.aliases and self.aliases[a].lower() == b.lower()
 
     @staticmethod
     def _typo(a: str, b: str) -> bool:
-        return len(a) > 2 and len(b) > 2 and abs(len(a) - len(b)) < 2 and int(damerau([a], [b])[0]) == 1
+        return len(a) > 2 and len(b) > 2 and abs(len(a) - len(b)) < 2 and one_edit(a, b)
 
     def pair(self, first: str, second: str) -> None:
         """Correct the two references by each other; a reference never corrects itself."""
         j, k = self.lists[first], self.lists[second]
         if first == second or j == k:
             return
+        self._places = None
         seen_j = None
         at = 0
         while at < len(j):  # lists grow and shrink on the way, as later positions see
             lead = j[at]
             seen_k = None
-            other = 0
-            while other < len(k):
+            other = self._next(j, at, k, 0, lead, seen_j)
+            while other is not None:
                 if lead == k[other]:
                     seen_j, seen_k = self._same_lead(j, at, k, other, lead, seen_j, seen_k)
                 else:
                     self._other_lead(j, at, k, other, lead)
-                other += 1
+                other = self._next(j, at, k, other + 1, lead, seen_j)
             at += 1
 
+    def _next(self, j, at, k, start, lead, seen_j) -> int | None:
+        """The next place of k from `start` on where a rule can apply: it has the same token, which
+        was not handled with these two behind it just before, or a misspelling of it before the
+        same two tokens."""
+        if at + 2 >= len(j):
+            return None
+        if self._places is None:
+            self._places = Places(k)
+        two = j[at + 1], j[at + 2]
+        found = []
+        if lead != two[0] and (lead, *two) != seen_j:
+            found.append(self._places.of.get(lead, ()))
+        found += [places for t, places in self._places.before.get(two, {}).items() if t != lead and not (lead.isnumeric() and t.isnumeric()) and self._typo(lead, t)]
+        nexts = [x[i] for x in found if (i := bisect_left(x, start)) < len(x)]
+        return min(nexts, default=None)
+
     def _same_lead(self, j, at, k, other, lead, seen_j, seen_k):
         """Rules for a shared token that both follow by two more."""
         if at + 2 >= len(j) or other + 2 >= len(k):
@@ -89,7 +156,7 @@ class Fold:
         nickname to the formal name."""
         if j1 != k1 and len(j1) > 2 and len(k1) > 2:
             if self._typo(j1, k1):
-                fj, fk = self.freq.get(j1, 0), self.freq.get(k1, 0)
+                fj, fk = self._count(j1), self._count(k1)
                 if fj < fk:
                     j[at + 1] = k1
                     self._record(j1, k1)
@@ -133,7 +200,7 @@ class Fold:
             return
         if j[at + 1] != k[other + 1] or j[at + 2] != k[other + 2] or not self._typo(lead, mine):
             return
-        if self.freq.get(lead, 0) < self.freq.get(mine, 0):
+        if self._count(lead) < self._count(mine):
             j[at] = mine
             self._record(lead, mine)
         else:
@@ -141,40 +208,171 @@ class Fold:
             self._record(mine, lead)
 
 
-def fold_group(rows: pd.DataFrame) -> pd.DataFrame:
-    """rows of one group: refID with its tokens, their frequencies and aliases, and the partners
-    of the pairs that it stands first in."""
-    lists = {r: list(t) for r, t in zip(rows["refID"], rows["tokens"], strict=True)}
-    freq = {t: int(n) for ts, ns in zip(rows["tokens"], rows["counts"], strict=True) for t, n in zip(ts, ns, strict=True)}
-    aliases = {t: a for ts, al in zip(rows["tokens"], rows["formal"], strict=True) for t, a in zip(ts, al, strict=True) if a is not None}
-    fold = Fold(lists, freq, aliases)
-    for a, b in sorted((r, x) for r, xs in zip(rows["refID"], rows["partners"], strict=True) for x in (xs if xs is not None else ())):
-        fold.pair(a, b)
-    edits = [{"old": old, "new": new, "n": n} for (old, new), n in fold.changes.items()]
-    return pd.DataFrame({"refID": list(lists), "tokens": list(lists.values()), "edits": [edits, *[[]] * (len(lists) - 1)]})
-
-
-def correct_blocks(refs: DataFrame, freq: DataFrame, pairs: DataFrame, aliases: DataFrame | None = None, exact: bool = False, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """The edits (old, new, n: how often; old is empty where a token was put in), and refs (refID,
-    tokens, ord) after them. aliases: alias, value."""
-    real = pairs.where("refID1 <> refID2")
-    group = components(real, "refID1", "refID2").select(F.col("node").alias("_id"), F.col("component").alias("g"))
-    if exact:
-        if group.limit(most + 1).count() > most:
-            raise ValueError(f"exact block correction is for up to {most} paired references")
-        group = group.withColumn("g", F.lit(""))
-    partners = real.groupBy("refID1").agg(F.collect_list("refID2").alias("partners"))
-    rows = refs.join(group, F.col("refID") == F.col("_id")).select("g", "refID", F.posexplode("tokens").alias("pos", "token"))
-    rows = rows.join(freq.select("token", "n"), "token", "left")
+def fold_units(it):
+    """Folds units, whose rows stand together: counts to add first, then the first reference, then
+    its partners in order. Only the first reference and one partner are held, and the counts and
+    formal names of a unit's tokens."""
+    out: list[tuple] = []
+    room = 200_000
+
+    def batch():
+        nonlocal out, room
+        columns = list(zip(*out, strict=True)) if out else [()] * len(_SCHEMA)
+        out, room = [], 200_000
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+
+    unit = fold = None
+    extra: dict[str, int] = {}
+    before: list[str] = []
+    last = 0
+
+    def version(ref: str, seq: int):
+        nonlocal room
+        tokens = list(fold.lists[ref])
+        room -= len(tokens)
+        out.append((unit, VERSION, ref, seq, tokens, [base.get(t, 0) for t in tokens], [fold.aliases.get(t) for t in tokens], None, None, None))
+
+    def close():
+        if fold is None:
+            return
+        if first is not None and fold.lists[first] != before:
+            version(first, last)
+        out.extend((unit, ASKED, None, None, None, None, None, None, t, extra.get(t, 0)) for t in sorted(fold.asked))
+
+    first, base = None, {}
+    for rows in it:
+        for i in range(rows.num_rows):
+            u, kind, seq, ref, tokens, counts, formal = (c[i].as_py() for c in rows.columns)
+            if u != unit:
+                close()
+                unit, fold, first, extra, base, last = u, Fold({}, {}, {}), None, {}, {}, 0
+            if kind == ADDED:
+                extra = dict(zip(tokens, counts, strict=True))
+                continue
+            for t, n, name in zip(tokens, counts, formal, strict=True):
+                if t not in base:
+                    base[t] = n
+                    fold.freq[t] = fold.freq.get(t, 0) + n + extra.get(t, 0)
+                    if name is not None:
+                        fold.aliases[t] = name
+            fold.lists[ref] = tokens
+            if kind == FIRST:
+                first, before = ref, list(tokens)
+            elif first is not None:
+                own = list(tokens)
+                fold.pair(first, ref)
+                last = seq
+                if fold.lists[ref] != own:
+                    version(ref, seq)
+                out.extend((unit, EDIT, None, seq, None, None, None, old, new, None) for old, new in fold.edits)
+                fold.edits = []
+                del fold.lists[ref]
+            if room < 0 or len(out) > 20_000:
+                yield batch()
+    close()
+    yield batch()
+
+
+class Corrected(NamedTuple):
+    """edits: old, new, n (how often; old is empty where a token was put in). refs: refID, tokens, ord
+    after them. rounds: how many the fold took."""
+
+    edits: DataFrame
+    refs: DataFrame
+    rounds: int
+
+
+def _reads(pairs: DataFrame, unit: int) -> DataFrame:
+    """unit, kind, seq, ref: what each unit reads, and the place in the order of pairs from which it
+    does so. A unit is named by the place of its first pair."""
+    order = staged(pairs.repartitionByRange("refID1", "refID2").sortWithinPartitions("refID1", "refID2").withColumn("seq", F.monotonically_increasing_id()))
+    own = Window.partitionBy("refID1", F.shiftright("seq", unit))
+    rows = order.withColumn("unit", F.min("seq").over(own))
+    partners = rows.select("unit", F.lit(PARTNER).alias("kind"), "seq", F.col("refID2").alias("ref"))
+    firsts = rows.where("seq = unit").select("unit", F.lit(FIRST).alias("kind"), "seq", F.col("refID1").alias("ref"))
+    return partners.unionByName(firsts)
+
+
+def _base(refs: DataFrame, freq: DataFrame, reads: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """ref, at (-1) and the tokens of each reference that is read, with counts and formal names."""
+    ids = reads.select(F.col("ref").alias("refID")).distinct()
+    rows = token_rows(refs.join(ids, "refID", "left_semi")).join(freq.select("token", "n"), "token", "left")
     if aliases is None:
         rows = rows.withColumn("value", F.lit(None).cast("string"))
     else:
         rows = rows.join(aliases.select(F.col("alias").alias("_a"), "value"), F.col("token") == F.col("_a"), "left")
-    tokens = rows.groupBy("g", "refID").agg(F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("n", F.lit(0)).alias("n"), "value"))).alias("t"))
-    tokens = tokens.join(partners, F.col("refID") == F.col("refID1"), "left").select(
-        "g", "refID", F.transform("t", lambda x: x["token"]).alias("tokens"), F.transform("t", lambda x: x["n"]).alias("counts"), F.transform("t", lambda x: x["value"]).alias("formal"), "partners"
-    )
-    found = staged(tokens.groupBy("g").applyInPandas(fold_group, "refID string, tokens array<string>, edits array<struct<old:string,new:string,n:long>>"))
-    edits = found.select(F.inline("edits")).groupBy("old", "new").agg(F.sum("n").alias("n"))
-    new = found.select(F.col("refID").alias("_id"), F.col("tokens").alias("_t"))
-    return edits, refs.join(new, F.col("refID") == F.col("_id"), "left").select("refID", F.coalesce("_t", "tokens").alias("tokens"), "ord")
+    t = rows.groupBy("refID").agg(F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("n", F.lit(0)).alias("n"), "value"))).alias("t"))
+    return t.select(F.col("refID").alias("ref"), F.lit(-1).cast("long").alias("at"), F.col("t.token").alias("tokens"), F.col("t.n").alias("counts"), F.col("t.value").alias("formal"))
+
+
+def _as_of(reads: DataFrame, versions: DataFrame) -> DataFrame:
+    """unit, kind, seq, at, born: of reads of references that were edited before their place, the
+    place and the round of the edit that they see."""
+    edited = reads.join(versions.select("ref").distinct(), "ref", "left_semi")
+    none = F.lit(None).cast("struct<at:long,born:int>")
+    events = edited.select("ref", "seq", F.lit(0).alias("writes"), "unit", "kind", none.alias("v"))
+    events = events.unionByName(versions.select("ref", "seq", F.lit(1).alias("writes"), F.lit(None).cast("long").alias("unit"), F.lit(None).cast("int").alias("kind"), F.struct(F.col("seq").alias("at"), "born").alias("v")))
+    seen = F.last("v", ignorenulls=True).over(Window.partitionBy("ref").orderBy("seq", "writes").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = events.withColumn("v", seen).where("writes = 0 AND v IS NOT NULL")
+    return found.select("unit", "kind", "seq", "v.at", "v.born")
+
+
+def _added(state: DataFrame) -> DataFrame:
+    """unit, token, assumed, extra: of each count that a unit compared, how many edits before the
+    unit have written the token. Counts run within parts of the order and then over the parts."""
+    edits = state.where(F.col("what") == EDIT).select(F.col("new").alias("token"), "seq", F.lit(1).alias("k"), F.lit(None).cast("long").alias("unit"), F.lit(None).cast("long").alias("assumed"))
+    asked = state.where(F.col("what") == ASKED).select(F.col("new").alias("token"), F.col("unit").alias("seq"), F.lit(0).alias("k"), "unit", F.col("extra").alias("assumed"))
+    part = F.shiftright("seq", 33)  # the partition that numbered the pair
+    events = edits.unionByName(asked).withColumn("part", part)
+    within = F.sum("k").over(Window.partitionBy("token", "part").orderBy("seq", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.sum("k").over(Window.partitionBy("token").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = events.groupBy("token", "part").agg(F.sum("k").alias("k")).select("token", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    rows = events.withColumn("within", within).where("unit IS NOT NULL").join(parts, ["token", "part"])
+    return rows.select("unit", "token", "assumed", (F.col("within") + F.col("before")).alias("extra"))
+
+
+def _folded(todo: DataFrame, lists: DataFrame, added: DataFrame | None) -> DataFrame:
+    """What the units write whose reads are given (unit, kind, seq, ref, at)."""
+    rows = todo.join(lists, ["ref", "at"]).select("unit", "kind", "seq", "ref", "tokens", "counts", "formal")
+    if added is not None:
+        extra = added.where("extra > 0").groupBy("unit").agg(F.collect_list(F.struct("token", "extra")).alias("x"))
+        extra = extra.select("unit", F.lit(ADDED).alias("kind"), F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("ref"), F.col("x.token").alias("tokens"), F.col("x.extra").alias("counts"), F.lit(None).cast("array<string>").alias("formal"))
+        rows = rows.unionByName(extra)
+    return rows.repartition("unit").sortWithinPartitions("unit", "kind", "seq").mapInArrow(fold_units, _WRITES)
+
+
+def correct_blocks(refs: DataFrame, freq: DataFrame, pairs: DataFrame, aliases: DataFrame | None = None, unit: int = UNIT) -> Corrected:
+    """References corrected by their candidate pairs (refID1, refID2). aliases: alias, value.
+
+    Repeated pairs count once; a pair of a reference with itself, and a reference without tokens,
+    corrects nothing; a token that freq doesn't hold has count 0."""
+    reads = staged(_reads(pairs.where("refID1 <> refID2").select("refID1", "refID2").distinct(), unit))
+    base = staged(_base(refs, freq, reads, aliases))
+    state = staged(_folded(reads.withColumn("at", F.lit(-1).cast("long")), base, None).withColumn("born", F.lit(1)))
+    used: DataFrame | None = None
+    for number in count(2):
+        versions = state.where(F.col("what") == VERSION)
+        now = staged(_as_of(reads, versions.select("ref", "seq", "born")))
+        added = staged(_added(state))
+        if used is None:
+            moved = now.select("unit")
+        else:
+            moved = now.exceptAll(used).select("unit").unionByName(used.exceptAll(now).select("unit"))
+        changed = staged(moved.unionByName(added.where("assumed <> extra").select("unit")).distinct())
+        if changed.isEmpty():
+            break
+        todo = reads.join(changed, "unit", "left_semi").join(now.drop("born"), ["unit", "kind", "seq"], "left").withColumn("at", F.coalesce("at", F.lit(-1).cast("long")))
+        lists = base.unionByName(versions.select("ref", F.col("seq").alias("at"), "tokens", "counts", "formal"))
+        fresh = staged(_folded(todo, lists, added.join(changed, "unit", "left_semi")))
+        # a version that is as it was is no news to those that read it
+        old = versions.select("unit", "ref", "seq", F.col("tokens").alias("_tokens"), F.col("born").alias("_born"))
+        same = fresh.where(F.col("what") == VERSION).join(old, ["unit", "ref", "seq"], "left").withColumn("born", F.when(F.col("tokens") == F.col("_tokens"), F.col("_born")).otherwise(F.lit(number)))
+        rest = fresh.where(F.col("what") != VERSION).withColumn("born", F.lit(number))
+        after = staged(state.join(changed, "unit", "left_anti").unionByName(same.select(state.columns)).unionByName(rest))
+        for x in (state, fresh, changed, added, *([used] if used is not None else [])):
+            unstage(x)
+        state, used = after, now
+    edits = state.where(F.col("what") == EDIT).groupBy("old", "new").agg(F.count("*").alias("n"))
+    new = state.where(F.col("what") == VERSION).groupBy(F.col("ref").alias("_id")).agg(F.max_by("tokens", "seq").alias("_t"))
+    fixed = refs.join(new, F.col("refID") == F.col("_id"), "left").select("refID", F.coalesce("_t", "tokens").alias("tokens"), "ord")
+    return Corrected(edits, fixed, number - 1)

@@ -281,13 +281,26 @@ def alias_lookup(spark, d):
     return freq.join(aliases, F.col("token") == F.col("alias")).drop("alias")
 
 
+def _corrected(spark, refs):
+    freq = staged(stats.token_frequency(refs))
+    pairs = staged(blocking.candidate_pairs(refs, freq, P))
+    return correct_blocks(refs, freq, pairs, spark.createDataFrame(_ALIASES, "alias string, value string"))
+
+
 @query()
 def block_correction(spark, d):
-    refs = turns(spark, d)
-    freq = stats.token_frequency(refs)
-    pairs = blocking.candidate_pairs(refs, freq, P)
-    _, fixed = correct_blocks(refs, freq, staged(pairs), spark.createDataFrame(_ALIASES, "alias string, value string"))
-    return fixed.select("refID", _joined())
+    return _corrected(spark, staged(turns(spark, d))).refs.select("refID", _joined())
+
+
+@query()
+def block_correction_documents(spark, d):
+    return _corrected(spark, tokenized(spark, d)).refs.select("refID", _joined())
+
+
+@query()
+def block_edits(spark, d):
+    """How often block correction makes each edit in documents."""
+    return _corrected(spark, tokenized(spark, d)).edits
 
 
 # --- scoring ---------------------------------------------------------------------------------------

@@ -57,6 +57,8 @@ class Resolution:
     #: references that global correction changed
     refs_changed: int = 0
     block_edits: DataFrame | None = None
+    #: rounds that block correction took
+    block_rounds: int = 0
 
 
 def one_iteration(refs: DataFrame, freq: DataFrame, p: Params, restricted: bool = True) -> DataFrame:
@@ -114,7 +116,7 @@ def resolve(refs: DataFrame, p: Params, words: DataFrame | None = None, aliases:
             out.ended = "no candidate pairs"
             break
         if p.blockCorrection and first:
-            edits, refs_now = correct_blocks(refs, freq, pairs, aliases)
+            edits, refs_now, out.block_rounds = correct_blocks(refs, freq, pairs, aliases)
             out.block_edits = edits = staged(edits)
             step.blocked, step.refs_blocked = pairs, refs
             if not edits.isEmpty():

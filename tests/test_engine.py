@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 from itertools import combinations
 from math import log2
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillmatch.functions.similarity import damerau
 from quillmatch.operators import blocking, correction, metrics, quality, stats
 from quillmatch.operators.block_correction import Fold, correct_blocks
 from quillmatch.operators.closure import components
@@ -248,25 +250,78 @@ def test_scoring_over_turns(spark, tmp_path):
     assert {r["refID"] for r in queries.QUERIES["er_full"](spark, str(tmp_path)).collect()} >= {"000000000000", "000000020001"}
 
 
-def test_block_correction_by_component(spark):
-    """Components are folded apart and exactly as one group would be, where no tie is shared."""
-    lists = {
-        "A1": "JOHN SMITH MAPLE ROAD".split(), "A2": "JOHN SMYTH MAPLE ROAD".split(), "A3": "SMITH SMITH OTHER".split(),
-        "B1": "ANNA GREEN LONG LANE".split(), "B2": "ANNA GREEM LONG LANE".split(), "B3": "GREEN THING".split(),
-        "C1": "LONELY".split(),
-    }
+class SlowFold(Fold):
+    """Looks at every two places of two lists, and measures distances in full."""
+
+    @staticmethod
+    def _typo(a, b):
+        return len(a) > 2 and len(b) > 2 and int(damerau([a], [b])[0]) == 1
+
+    def pair(self, first, second):
+        j, k = self.lists[first], self.lists[second]
+        if first == second or j == k:
+            return
+        seen_j, at = None, 0
+        while at < len(j):
+            lead, seen_k, other = j[at], None, 0
+            while other < len(k):
+                if lead == k[other]:
+                    seen_j, seen_k = self._same_lead(j, at, k, other, lead, seen_j, seen_k)
+                else:
+                    self._other_lead(j, at, k, other, lead)
+                other += 1
+            at += 1
+
+
+def slow_correction(lists, freq, pairs, aliases):
+    f = SlowFold({r: list(t) for r, t in lists.items()}, dict(freq), dict(aliases))
+    for a, b in sorted(set(pairs)):
+        f.pair(a, b)
+    return f.lists, sorted((old, new, f.edits.count((old, new))) for old, new in set(f.edits))
+
+
+@pytest.mark.parametrize(("seed", "unit"), [(1, 0), (2, 1), (3, 6), (4, 2)])
+def test_block_correction_equals_the_fold_over_all_pairs(spark, seed, unit):
+    rnd = random.Random(seed)
+    words = ["SMITH", "SMYTH", "SMITT", "JONES", "JONS", "BOB", "ROBERT", "AB", "CD", "ABCD", "12", "34", "1234", "1243", "ROAD", "ROADS", "LANE", "X"]
+    phrase = [rnd.choice(words) for _ in range(12)]
+    lists = {}
+    for i in range(60):
+        t = list(phrase[rnd.randrange(4) : rnd.randrange(7, 13)])
+        for _ in range(rnd.randrange(4)):
+            at = rnd.randrange(len(t))
+            t[at : at + rnd.randrange(2)] = rnd.choice([[rnd.choice(words)], ["AB", "CD"], []])
+            t = t or ["X"]
+        lists[f"r{i:02d}"] = t
+    freq = Counter(w for t in lists.values() for w in t)
+    pairs = [tuple(sorted(rnd.sample(sorted(lists), 2))) for _ in range(150)] + [("r01", "r01")]
+    aliases = {"BOB": "Robert", "X": "Lane"}
     refs = refs_of(spark, lists)
+    out = correct_blocks(refs, stats.token_frequency(refs), spark.createDataFrame([*pairs, pairs[0]], "refID1 string, refID2 string").repartition(3), spark.createDataFrame(list(aliases.items()), "alias string, value string"), unit=unit)
+    want, edits = slow_correction(lists, freq, pairs, aliases)
+    assert {r["refID"]: r["tokens"] for r in out.refs.collect()} == want
+    assert sorted(map(tuple, out.edits.collect())) == edits and len(edits) > 5
+    assert out.rounds > 2  # edits depended on others
+
+
+def test_fold_equals_the_slow_one_on_longer_lists():
+    rnd = random.Random(8)
+    for _ in range(300):
+        words = ["AAA", "AAB", "ABA", "BAA", "AA", "A", "11", "12", "1112"][: rnd.randint(2, 9)]
+        lists = {r: [rnd.choice(words) for _ in range(rnd.randrange(25))] for r in "JK"}
+        freq = {w: rnd.randrange(4) for w in words}
+        fast = Fold({r: list(t) for r, t in lists.items()}, dict(freq), {"AAA": "aa"})
+        fast.pair("J", "K")
+        slow, edits = slow_correction(lists, freq, [("J", "K")], {"AAA": "aa"})
+        assert fast.lists == slow and sorted(set(fast.edits)) == [e[:2] for e in edits]
+
+
+def test_block_correction_of_nothing(spark):
+    refs = refs_of(spark, {"A": ["X"], "B": []})
     freq = stats.token_frequency(refs)
-    pairs = spark.createDataFrame([("A1", "A2"), ("B1", "B2"), ("B3", "B3")], "refID1 string, refID2 string")
-    results = []
-    for exact in (False, True):
-        edits, fixed = correct_blocks(refs, freq, pairs, exact=exact)
-        results.append((sorted(map(tuple, edits.collect())), {r["refID"]: r["tokens"] for r in fixed.collect()}))
-    assert results[0] == results[1]
-    assert results[0][0] == [("GREEM", "GREEN", 1), ("SMYTH", "SMITH", 1)]
-    assert results[0][1] == lists | {"A2": lists["A1"], "B2": lists["B1"]}
-    with pytest.raises(ValueError, match="up to 3"):
-        correct_blocks(refs, freq, pairs, exact=True, most=3)
+    for pairs in ([], [("A", "A")], [("A", "B")], [("A", "gone")]):
+        out = correct_blocks(refs, freq, spark.createDataFrame(pairs, "refID1 string, refID2 string"))
+        assert out.edits.count() == 0 and out.rounds == 1 and {r["refID"]: r["tokens"] for r in out.refs.collect()} == {"A": ["X"], "B": []}
 
 
 def test_batch_of_parameter_files(spark, tmp_path):
