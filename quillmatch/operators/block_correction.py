@@ -4,22 +4,22 @@ Two references that share a token, or its next two, hint at each other's errors:
 token, a nickname, a missing token, a token that the other writes apart, a misspelt leading token.
 Every edit changes what later pairs see, and how often a token occurs, which decides between two
 spellings. The result is that of one fold over all pairs, sorted by their ids; it is found without
-folding them one after another.
-
-Pairs of one first reference stand together in the order. They are folded in units of `UNIT` pairs,
-so that a task holds that reference and one partner at a time. All units run at once, each on the
-lists as far as they are known, and what they write is kept by the place in the order: versions of
-lists, a log of edits, and the tokens whose counts a unit has compared. Each further round looks
-up, as of its place, which versions a unit should have read and how many edits before it have
-written the tokens that it asked for, and folds those units again for which that has changed. When
-none has, every unit has read what the fold over all pairs would have shown it: the first unit
-reads nothing that others write, and what each later one reads comes from units before it. Rounds
-follow the longest chain of edits that depend on each other, not the number of pairs.
+one task that folds them all.
+
+The order of pairs is cut into units whose references have `UNIT_TOKENS` tokens together, or one
+pair's. All units run at once, each on the lists as far as they are known, and what they write is
+kept by unit: the lists that they changed, the edits that they made, and the tokens whose counts
+they compared. Each further round looks up which unit before it was the last to write a list that a
+unit read, and how many edits before it have written the tokens that it asked for, and folds those
+units again for which that has changed. When none has, every unit has read what the fold over all
+pairs would have shown it: the first reads nothing that others write, and what each later one reads
+comes from units before it. Rounds follow the longest chain of units that need each other's edits.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from itertools import count
 from typing import NamedTuple
 
@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from quillmatch.operators.stats import token_rows
 from quillmatch.plans.staging import staged, unstage
 
-#: Pairs that are folded in one go, as a power of two.
-UNIT = 6
-#: Row kinds of what units read: counts to add, the first reference, its partners; and of what they write.
-ADDED, FIRST, PARTNER = -1, 0, 1
+#: Tokens of all references that a unit reads; a task holds those of one unit.
+UNIT_TOKENS = 2_000_000
+#: Kinds of rows that units read: counts to add, lists, pairs; and that they write: lists, edits, asked counts.
+ADDED, LIST, PAIR = 0, 1, 2
 VERSION, EDIT, ASKED = 0, 1, 2
 
-_WRITES = "unit long, what int, ref string, seq long, tokens array<string>, counts array<long>, formal array<string>, old string, new string, extra long"
+_WRITES = "unit long, what int, ref string, tokens array<string>, counts array<long>, formal array<string>, old string, new string, n long"
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
 _SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (field.split(" ") for field in _WRITES.split(", "))])
 
@@ -56,12 +56,31 @@ class Places:
     """Where a list has each token, and where each two tokens follow which token."""
 
     def __init__(self, tokens: list[str]):
+        self.tokens = tokens
         self.of: dict[str, list[int]] = {}
+        self.followed: dict[tuple[str, str], list[int]] = {}
         self.before: dict[tuple[str, str], dict[str, list[int]]] = {}
         for i, t in enumerate(tokens):
-            self.of.setdefault(t, []).append(i)
-            if i + 2 < len(tokens):
-                self.before.setdefault((tokens[i + 1], tokens[i + 2]), {}).setdefault(t, []).append(i)
+            if t in self.of:
+                self.of[t].append(i)
+            else:
+                self.of[t] = [i]
+        for i, two in enumerate(zip(tokens[1:], tokens[2:])):  # noqa: B905  the first is longer
+            if two in self.followed:
+                self.followed[two].append(i)
+            else:
+                self.followed[two] = [i]
+
+    def leads(self, two: tuple[str, str]) -> dict[str, list[int]]:
+        """The places of the tokens that these two follow, by token."""
+        if two not in self.followed:
+            return {}
+        if two not in self.before:
+            found: dict[str, list[int]] = {}
+            for i in self.followed[two]:
+                found.setdefault(self.tokens[i], []).append(i)
+            self.before[two] = found
+        return self.before[two]
 
 
 class Fold:
@@ -69,14 +88,16 @@ class Fold:
 
     def __init__(self, lists: dict[str, list[str]], freq: dict[str, int], aliases: dict[str, str]):
         self.lists, self.freq, self.aliases = lists, freq, aliases
-        self.edits: list[tuple[str, str]] = []
+        self.edits: Counter[tuple[str, str]] = Counter()
         self.asked: set[str] = set()
         self._places: Places | None = None
 
-    def _record(self, old: str, new: str) -> None:
-        self.edits.append((old, new))
+    def _record(self, old: str, new: str, second: bool) -> None:
+        """second: whether the edit is in the second list, whose places are looked up."""
+        self.edits[old, new] += 1
         self.freq[new] = self.freq.get(new, 0) + 1
-        self._places = None
+        if second:
+            self._places = None
 
     def _count(self, token: str) -> int:
         self.asked.add(token)
@@ -121,7 +142,7 @@ class Fold:
         found = []
         if lead != two[0] and (lead, *two) != seen_j:
             found.append(self._places.of.get(lead, ()))
-        found += [places for t, places in self._places.before.get(two, {}).items() if t != lead and not (lead.isnumeric() and t.isnumeric()) and self._typo(lead, t)]
+        found += [places for t, places in self._places.leads(two).items() if t != lead and not (lead.isnumeric() and t.isnumeric()) and self._typo(lead, t)]
         nexts = [x[i] for x in found if (i := bisect_left(x, start)) < len(x)]
         return min(nexts, default=None)
 
@@ -142,11 +163,11 @@ class Fold:
         elif j1 == k2 and j2 != k1:
             if len(j2) > 2 and len(k1) > 2:
                 j.insert(at + 1, k1)
-                self._record("", k1)
+                self._record("", k1, False)
         elif j2 == k1 and j1 != k2:
             if len(j1) > 2 and len(k2) > 2:
                 k.insert(other + 1, j1)
-                self._record("", j1)
+                self._record("", j1, True)
         else:
             self._apart(j, at, k, other, j1, j2)
         return seen_j, seen_k
@@ -159,28 +180,28 @@ class Fold:
                 fj, fk = self._count(j1), self._count(k1)
                 if fj < fk:
                     j[at + 1] = k1
-                    self._record(j1, k1)
+                    self._record(j1, k1, False)
                 elif fj > fk:
                     k[other + 1] = j1
-                    self._record(k1, j1)
+                    self._record(k1, j1, True)
         elif self._is_alias(j1, k1):
             j[at + 1] = k1
-            self._record(j1, k1)
+            self._record(j1, k1, False)
         elif self._is_alias(k1, j1):
             k[other + 1] = j1
-            self._record(k1, j1)
+            self._record(k1, j1, True)
 
     def _apart(self, j, at, k, other, j1, j2):
         """k writes in several tokens what j writes as one before the next shared token: numbers
         are joined in k, words are parted in j. A run needs three tokens behind it in k."""
         limit = len(k)
         parts, places = [k[other + 1]], [other + 1]
-        end = other + 2
+        end, size = other + 2, len(k[other + 1])
         following = k[end]
-        while end + 3 < limit:
+        while end + 3 < limit and j1.startswith(parts[-1], size - len(parts[-1])):  # else no more parts can help
             parts.append(following)
             places.append(end)
-            end += 1
+            end, size = end + 1, size + len(following)
             following = k[end]
             if following == j2 and "".join(parts) == j1:
                 if j1.isdigit():
@@ -190,7 +211,7 @@ class Fold:
                             del k[i]
                 else:
                     j[at + 1 : at + 2] = parts
-                self._record("".join(parts), j1)
+                self._record("".join(parts), j1, j1.isdigit())
                 return
 
     def _other_lead(self, j, at, k, other, lead):
@@ -202,16 +223,36 @@ class Fold:
             return
         if self._count(lead) < self._count(mine):
             j[at] = mine
-            self._record(lead, mine)
+            self._record(lead, mine, False)
         else:
             k[other] = lead
-            self._record(mine, lead)
+            self._record(mine, lead, True)
+
+
+def cut_units(most: int):
+    """A function of batches of pairs in order (seq, the two ids, their numbers of tokens) that names
+    each pair's unit, by the place of the unit's first pair: unit, seq, refID1, refID2."""
+    schema = pa.schema([("unit", pa.int64()), ("seq", pa.int64()), ("refID1", pa.string()), ("refID2", pa.string())])
+
+    def run(it):
+        unit, held, size = -1, set(), 0
+        for batch in it:
+            seq, a, b, n, m = (c.to_pylist() for c in batch.columns)
+            units = []
+            for s, x, y, nx, ny in zip(seq, a, b, n, m, strict=True):
+                more = (0 if x in held else nx) + (0 if y in held else ny)
+                if unit < 0 or size + more > most:
+                    unit, held, size, more = s, set(), 0, nx + ny
+                held.update((x, y))
+                size += more
+                units.append(unit)
+            yield pa.RecordBatch.from_arrays([pa.array(units, type=pa.int64()), *batch.columns[:3]], schema=schema)
+
+    return run
 
 
 def fold_units(it):
-    """Folds units, whose rows stand together: counts to add first, then the first reference, then
-    its partners in order. Only the first reference and one partner are held, and the counts and
-    formal names of a unit's tokens."""
+    """Folds units, whose rows stand together: counts to add first, then lists, then pairs in order."""
     out: list[tuple] = []
     room = 200_000
 
@@ -222,54 +263,41 @@ def fold_units(it):
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     unit = fold = None
-    extra: dict[str, int] = {}
-    before: list[str] = []
-    last = 0
-
-    def version(ref: str, seq: int):
-        nonlocal room
-        tokens = list(fold.lists[ref])
-        room -= len(tokens)
-        out.append((unit, VERSION, ref, seq, tokens, [base.get(t, 0) for t in tokens], [fold.aliases.get(t) for t in tokens], None, None, None))
+    extra, base, same, read = {}, {}, {}, {}
 
     def close():
+        nonlocal room
         if fold is None:
             return
-        if first is not None and fold.lists[first] != before:
-            version(first, last)
-        out.extend((unit, ASKED, None, None, None, None, None, None, t, extra.get(t, 0)) for t in sorted(fold.asked))
+        for ref, tokens in fold.lists.items():
+            if tokens != read[ref]:
+                room -= len(tokens)
+                out.append((unit, VERSION, ref, tokens, [base.get(t, 0) for t in tokens], [fold.aliases.get(t) for t in tokens], None, None, None))
+                if room < 0:
+                    yield batch()
+        out.extend((unit, EDIT, None, None, None, None, old, new, n) for (old, new), n in fold.edits.items())
+        out.extend((unit, ASKED, None, None, None, None, None, t, extra.get(t, 0)) for t in sorted(fold.asked))
 
-    first, base = None, {}
     for rows in it:
         for i in range(rows.num_rows):
-            u, kind, seq, ref, tokens, counts, formal = (c[i].as_py() for c in rows.columns)
+            u, kind, _, ref, other, tokens, counts, formal = (c[i].as_py() for c in rows.columns)
             if u != unit:
-                close()
-                unit, fold, first, extra, base, last = u, Fold({}, {}, {}), None, {}, {}, 0
+                yield from close()
+                unit, fold, extra, base, same, read = u, Fold({}, {}, {}), {}, {}, {}, {}
             if kind == ADDED:
                 extra = dict(zip(tokens, counts, strict=True))
-                continue
-            for t, n, name in zip(tokens, counts, formal, strict=True):
-                if t not in base:
-                    base[t] = n
-                    fold.freq[t] = fold.freq.get(t, 0) + n + extra.get(t, 0)
-                    if name is not None:
-                        fold.aliases[t] = name
-            fold.lists[ref] = tokens
-            if kind == FIRST:
-                first, before = ref, list(tokens)
-            elif first is not None:
-                own = list(tokens)
-                fold.pair(first, ref)
-                last = seq
-                if fold.lists[ref] != own:
-                    version(ref, seq)
-                out.extend((unit, EDIT, None, seq, None, None, None, old, new, None) for old, new in fold.edits)
-                fold.edits = []
-                del fold.lists[ref]
-            if room < 0 or len(out) > 20_000:
-                yield batch()
-    close()
+            elif kind == LIST:
+                tokens = [same.setdefault(t, t) for t in tokens]  # a token is held once
+                for t, n, name in zip(tokens, counts, formal, strict=True):
+                    if t not in base:
+                        base[t] = n
+                        fold.freq[t] = n + extra.get(t, 0)
+                        if name is not None:
+                            fold.aliases[t] = name
+                fold.lists[ref], read[ref] = tokens, list(tokens)
+            elif ref in fold.lists and other in fold.lists:
+                fold.pair(ref, other)
+    yield from close()
     yield batch()
 
 
@@ -282,15 +310,13 @@ class Corrected(NamedTuple):
     rounds: int
 
 
-def _reads(pairs: DataFrame, unit: int) -> DataFrame:
-    """unit, kind, seq, ref: what each unit reads, and the place in the order of pairs from which it
-    does so. A unit is named by the place of its first pair."""
-    order = staged(pairs.repartitionByRange("refID1", "refID2").sortWithinPartitions("refID1", "refID2").withColumn("seq", F.monotonically_increasing_id()))
-    own = Window.partitionBy("refID1", F.shiftright("seq", unit))
-    rows = order.withColumn("unit", F.min("seq").over(own))
-    partners = rows.select("unit", F.lit(PARTNER).alias("kind"), "seq", F.col("refID2").alias("ref"))
-    firsts = rows.where("seq = unit").select("unit", F.lit(FIRST).alias("kind"), "seq", F.col("refID1").alias("ref"))
-    return partners.unionByName(firsts)
+def _ordered(pairs: DataFrame, refs: DataFrame, most: int) -> DataFrame:
+    """unit, seq, refID1, refID2."""
+    size = [refs.select(F.col("refID").alias(f"_{i}"), F.size("tokens").alias(f"n{i}")) for i in (1, 2)]
+    rows = pairs.join(size[0], F.col("refID1") == F.col("_1")).join(size[1], F.col("refID2") == F.col("_2"))
+    rows = rows.repartitionByRange("refID1", "refID2").sortWithinPartitions("refID1", "refID2")
+    rows = rows.select(F.monotonically_increasing_id().alias("seq"), "refID1", "refID2", "n1", "n2")
+    return rows.mapInArrow(cut_units(most), "unit long, seq long, refID1 string, refID2 string")
 
 
 def _base(refs: DataFrame, freq: DataFrame, reads: DataFrame, aliases: DataFrame | None) -> DataFrame:
@@ -306,73 +332,68 @@ def _base(refs: DataFrame, freq: DataFrame, reads: DataFrame, aliases: DataFrame
 
 
 def _as_of(reads: DataFrame, versions: DataFrame) -> DataFrame:
-    """unit, kind, seq, at, born: of reads of references that were edited before their place, the
-    place and the round of the edit that they see."""
+    """unit, ref, at, born: of lists that a unit before has changed, that unit (the last such one) and
+    the round in which it wrote this."""
     edited = reads.join(versions.select("ref").distinct(), "ref", "left_semi")
-    none = F.lit(None).cast("struct<at:long,born:int>")
-    events = edited.select("ref", "seq", F.lit(0).alias("writes"), "unit", "kind", none.alias("v"))
-    events = events.unionByName(versions.select("ref", "seq", F.lit(1).alias("writes"), F.lit(None).cast("long").alias("unit"), F.lit(None).cast("int").alias("kind"), F.struct(F.col("seq").alias("at"), "born").alias("v")))
-    seen = F.last("v", ignorenulls=True).over(Window.partitionBy("ref").orderBy("seq", "writes").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = events.withColumn("v", seen).where("writes = 0 AND v IS NOT NULL")
-    return found.select("unit", "kind", "seq", "v.at", "v.born")
+    events = edited.select("ref", "unit", F.lit(0).alias("writes"), F.lit(None).cast("int").alias("born"))
+    events = events.unionByName(versions.select("ref", "unit", F.lit(1).alias("writes"), "born"))
+    written = F.when(F.col("writes") == 1, F.struct(F.col("unit").alias("at"), "born"))
+    seen = F.last(written, ignorenulls=True).over(Window.partitionBy("ref").orderBy("unit", "writes"))
+    return events.withColumn("v", seen).where("writes = 0 AND v IS NOT NULL").select("unit", "ref", "v.at", "v.born")
 
 
 def _added(state: DataFrame) -> DataFrame:
-    """unit, token, assumed, extra: of each count that a unit compared, how many edits before the
-    unit have written the token. Counts run within parts of the order and then over the parts."""
-    edits = state.where(F.col("what") == EDIT).select(F.col("new").alias("token"), "seq", F.lit(1).alias("k"), F.lit(None).cast("long").alias("unit"), F.lit(None).cast("long").alias("assumed"))
-    asked = state.where(F.col("what") == ASKED).select(F.col("new").alias("token"), F.col("unit").alias("seq"), F.lit(0).alias("k"), "unit", F.col("extra").alias("assumed"))
-    part = F.shiftright("seq", 33)  # the partition that numbered the pair
-    events = edits.unionByName(asked).withColumn("part", part)
-    within = F.sum("k").over(Window.partitionBy("token", "part").orderBy("seq", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.sum("k").over(Window.partitionBy("token").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = events.groupBy("token", "part").agg(F.sum("k").alias("k")).select("token", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    rows = events.withColumn("within", within).where("unit IS NOT NULL").join(parts, ["token", "part"])
-    return rows.select("unit", "token", "assumed", (F.col("within") + F.col("before")).alias("extra"))
-
-
-def _folded(todo: DataFrame, lists: DataFrame, added: DataFrame | None) -> DataFrame:
-    """What the units write whose reads are given (unit, kind, seq, ref, at)."""
-    rows = todo.join(lists, ["ref", "at"]).select("unit", "kind", "seq", "ref", "tokens", "counts", "formal")
+    """unit, token, assumed, extra: of each count that a unit compared, how many edits in units before
+    it have written the token."""
+    edits = state.where(F.col("what") == EDIT).groupBy(F.col("new").alias("token"), "unit").agg(F.sum("n").alias("k"))
+    asked = state.where(F.col("what") == ASKED).select(F.col("new").alias("token"), "unit", F.col("n").alias("assumed"))
+    events = edits.withColumn("assumed", F.lit(None).cast("long")).unionByName(asked.withColumn("k", F.lit(0).cast("long")))
+    before = F.sum("k").over(Window.partitionBy("token").orderBy("unit", F.col("assumed").isNull()))
+    return events.withColumn("extra", before).where("assumed IS NOT NULL").select("unit", "token", "assumed", "extra")
+
+
+def _folded(order: DataFrame, todo: DataFrame, lists: DataFrame, added: DataFrame | None) -> DataFrame:
+    """What units write: todo are their reads (unit, ref, at), order their pairs."""
+    none = {c: F.lit(None).cast(k).alias(c) for c, k in (("ref", "string"), ("other", "string"), ("tokens", "array<string>"), ("counts", "array<long>"), ("formal", "array<string>"))}
+    zero = F.lit(0).cast("long").alias("seq")
+    rows = todo.join(lists, ["ref", "at"]).select("unit", F.lit(LIST).alias("kind"), zero, "ref", none["other"], "tokens", "counts", "formal")
+    rows = rows.unionByName(order.select("unit", F.lit(PAIR).alias("kind"), "seq", F.col("refID1").alias("ref"), F.col("refID2").alias("other"), none["tokens"], none["counts"], none["formal"]))
     if added is not None:
         extra = added.where("extra > 0").groupBy("unit").agg(F.collect_list(F.struct("token", "extra")).alias("x"))
-        extra = extra.select("unit", F.lit(ADDED).alias("kind"), F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("ref"), F.col("x.token").alias("tokens"), F.col("x.extra").alias("counts"), F.lit(None).cast("array<string>").alias("formal"))
-        rows = rows.unionByName(extra)
+        rows = rows.unionByName(extra.select("unit", F.lit(ADDED).alias("kind"), zero, none["ref"], none["other"], F.col("x.token").alias("tokens"), F.col("x.extra").alias("counts"), none["formal"]))
     return rows.repartition("unit").sortWithinPartitions("unit", "kind", "seq").mapInArrow(fold_units, _WRITES)
 
 
-def correct_blocks(refs: DataFrame, freq: DataFrame, pairs: DataFrame, aliases: DataFrame | None = None, unit: int = UNIT) -> Corrected:
+def correct_blocks(refs: DataFrame, freq: DataFrame, pairs: DataFrame, aliases: DataFrame | None = None, unit_tokens: int = UNIT_TOKENS) -> Corrected:
     """References corrected by their candidate pairs (refID1, refID2). aliases: alias, value.
 
-    Repeated pairs count once; a pair of a reference with itself, and a reference without tokens,
-    corrects nothing; a token that freq doesn't hold has count 0."""
-    reads = staged(_reads(pairs.where("refID1 <> refID2").select("refID1", "refID2").distinct(), unit))
+    Repeated pairs count once; a pair of a reference with itself or with an unknown one, and a
+    reference without tokens, corrects nothing; a token that freq doesn't hold has count 0."""
+    order = staged(_ordered(pairs.where("refID1 <> refID2").select("refID1", "refID2").distinct(), refs, unit_tokens))
+    reads = staged(order.select("unit", F.explode(F.array("refID1", "refID2")).alias("ref")).distinct())
     base = staged(_base(refs, freq, reads, aliases))
-    state = staged(_folded(reads.withColumn("at", F.lit(-1).cast("long")), base, None).withColumn("born", F.lit(1)))
+    state = staged(_folded(order, reads.withColumn("at", F.lit(-1).cast("long")), base, None).withColumn("born", F.lit(1)))
     used: DataFrame | None = None
     for number in count(2):
         versions = state.where(F.col("what") == VERSION)
-        now = staged(_as_of(reads, versions.select("ref", "seq", "born")))
+        now = staged(_as_of(reads, versions.select("ref", "unit", "born")))
         added = staged(_added(state))
-        if used is None:
-            moved = now.select("unit")
-        else:
-            moved = now.exceptAll(used).select("unit").unionByName(used.exceptAll(now).select("unit"))
+        moved = now.select("unit") if used is None else now.exceptAll(used).unionByName(used.exceptAll(now)).select("unit")
         changed = staged(moved.unionByName(added.where("assumed <> extra").select("unit")).distinct())
         if changed.isEmpty():
             break
-        todo = reads.join(changed, "unit", "left_semi").join(now.drop("born"), ["unit", "kind", "seq"], "left").withColumn("at", F.coalesce("at", F.lit(-1).cast("long")))
-        lists = base.unionByName(versions.select("ref", F.col("seq").alias("at"), "tokens", "counts", "formal"))
-        fresh = staged(_folded(todo, lists, added.join(changed, "unit", "left_semi")))
-        # a version that is as it was is no news to those that read it
-        old = versions.select("unit", "ref", "seq", F.col("tokens").alias("_tokens"), F.col("born").alias("_born"))
-        same = fresh.where(F.col("what") == VERSION).join(old, ["unit", "ref", "seq"], "left").withColumn("born", F.when(F.col("tokens") == F.col("_tokens"), F.col("_born")).otherwise(F.lit(number)))
+        todo = reads.join(changed, "unit", "left_semi").join(now.drop("born"), ["unit", "ref"], "left").withColumn("at", F.coalesce("at", F.lit(-1).cast("long")))
+        lists = base.unionByName(versions.select("ref", F.col("unit").alias("at"), "tokens", "counts", "formal"))
+        fresh = staged(_folded(order.join(changed, "unit", "left_semi"), todo, lists, added.join(changed, "unit", "left_semi")))
+        # a list that is written as it was is no news to those that read it
+        old = versions.select("unit", "ref", F.col("tokens").alias("_tokens"), F.col("born").alias("_born"))
+        same = fresh.where(F.col("what") == VERSION).join(old, ["unit", "ref"], "left").withColumn("born", F.when(F.col("tokens") == F.col("_tokens"), F.col("_born")).otherwise(F.lit(number)))
         rest = fresh.where(F.col("what") != VERSION).withColumn("born", F.lit(number))
         after = staged(state.join(changed, "unit", "left_anti").unionByName(same.select(state.columns)).unionByName(rest))
         for x in (state, fresh, changed, added, *([used] if used is not None else [])):
             unstage(x)
         state, used = after, now
-    edits = state.where(F.col("what") == EDIT).groupBy("old", "new").agg(F.count("*").alias("n"))
-    new = state.where(F.col("what") == VERSION).groupBy(F.col("ref").alias("_id")).agg(F.max_by("tokens", "seq").alias("_t"))
+    edits = state.where(F.col("what") == EDIT).groupBy("old", "new").agg(F.sum("n").alias("n"))
+    new = state.where(F.col("what") == VERSION).groupBy(F.col("ref").alias("_id")).agg(F.max_by("tokens", "unit").alias("_t"))
     fixed = refs.join(new, F.col("refID") == F.col("_id"), "left").select("refID", F.coalesce("_t", "tokens").alias("tokens"), "ord")
     return Corrected(edits, fixed, number - 1)
