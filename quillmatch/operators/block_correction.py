@@ -120,6 +120,10 @@ class Fold:
         at = 0
         while at < len(j):  # lists grow and shrink on the way, as later positions see
             lead = j[at]
+            if (passed := self._passes(j, at, k, lead, seen_j)) is not None:
+                seen_j = passed
+                at += 1
+                continue
             seen_k = None
             other = self._next(j, at, k, 0, lead, seen_j)
             while other is not None:
@@ -130,6 +134,26 @@ class Fold:
                 other = self._next(j, at, k, other + 1, lead, seen_j)
             at += 1
 
+    def _passes(self, j, at, k, lead, seen_j):
+        """What seen_j becomes at a place where no rule changes anything, as is so nearly everywhere;
+        None where one may. Of places with the same token only the first that it isn't repeated at
+        counts, as all others find this token and its next two handled."""
+        if at + 2 >= len(j):
+            return seen_j or ()
+        if self._places is None:
+            self._places = Places(k)
+        j1, j2 = j[at + 1], j[at + 2]
+        if any(t != lead for t in self._places.leads((j1, j2))):
+            return None
+        if lead == j1 or (tri := (lead, j1, j2)) == seen_j:
+            return seen_j or ()
+        for i in self._places.of.get(lead, ()):
+            if i + 2 < len(k) and k[i + 1] != lead:
+                k1, k2 = k[i + 1], k[i + 2]
+                same = j2 == k2 and j1 == k1 and j1 not in self.aliases
+                return tri if same or not (j2 == k2 or j1 == k2 or j2 == k1 or j1.startswith(k1)) else None
+        return seen_j or ()
+
     def _next(self, j, at, k, start, lead, seen_j) -> int | None:
         """The next place of k from `start` on where a rule can apply: it has the same token, which
         was not handled with these two behind it just before, or a misspelling of it before the

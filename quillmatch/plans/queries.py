@@ -299,8 +299,8 @@ def block_correction_documents(spark, d):
 
 @query()
 def block_edits(spark, d):
-    """How often block correction makes each edit in documents."""
-    return _corrected(spark, tokenized(spark, d)).edits
+    """How often block correction makes each edit in turns."""
+    return _corrected(spark, staged(turns(spark, d))).edits
 
 
 # --- scoring ---------------------------------------------------------------------------------------
