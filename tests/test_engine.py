@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmatch.functions.similarity import damerau
-from quillmatch.operators import blocking, correction, metrics, quality, stats
+from quillmatch.operators import blocking, closure, correction, metrics, quality, stats
 from quillmatch.operators.block_correction import Fold, correct_blocks
 from quillmatch.operators.closure import components
 from quillmatch.plans import queries, reports
@@ -87,6 +87,38 @@ def test_closure(spark):
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+@pytest.mark.parametrize("name", [str, lambda i: i])
+def test_closure_of_many_chunks_and_hubs(spark, name):
+    """A hub of many links, above and below them in order, paths and random links, in small chunks."""
+    rnd = random.Random(12)
+    ids = rnd.sample(range(1000, 9000), 900)
+    hub_low, hub_high = min(ids) - 1, max(ids) + 1
+    edges = [(hub_low, x) for x in ids[:300]] + [(hub_high, x) for x in ids[300:600]] + list(zip(ids[600:700], ids[601:701], strict=True)) + [tuple(rnd.sample(ids[700:], 2)) for _ in range(120)] + [(ids[0], hub_low)] * 50
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in edges:
+        p, q = sorted((find(name(x)), find(name(y))))
+        root[q] = p
+    kind = "string" if name is str else "long"
+    links = spark.createDataFrame([(name(x), name(y)) for x, y in edges], f"a {kind}, b {kind}")
+    assert {tuple(r) for r in components(links, chunk=40, hub=25).collect()} == {(x, find(x)) for x in list(root)}
+
+
+def test_no_hub_is_shuffled_to(spark):
+    edges = spark.createDataFrame([(i, 0) for i in range(1, 200)] + [(500, 499)], "u long, v long")
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumnRenamed("u", "k")
+    hot, rest = closure._with_lowest(both, low, 50)
+    assert hot.count() == 199 and {r["u"] for r in hot.collect()} == {0} and rest.where("u = 0").count() == 0 and rest.count() == 201
+    plan = rest._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("isnull(_hub") > plan.index("Join Inner")  # hubs are filtered below the join that shuffles
+
+
 def test_closure_against_union_find(spark):
     rnd = random.Random(11)
     edges = [(i, i + 1) for i in range(0, 40) if i % 13] + [(rnd.randrange(100, 180), rnd.randrange(100, 180)) for _ in range(60)]
