@@ -37,6 +37,30 @@ def neighbours(token: Column) -> Column:
     return F.array_distinct(F.when(n > 0, F.array_append(lost, token)).otherwise(F.array(token)))
 
 
+#: Tokens of more letters meet by segments.
+SHORT = 24
+
+
+def edit_keys(token: Column, probe: bool) -> Column:
+    """Hashes of which a token (probe=False) and one that is one edit from it (probe=True) have one in
+    common. Up to SHORT letters they are of what the token becomes by losing one letter; from SHORT on,
+    of its thirds with their place: an edit touches two of them at most, if it swaps letters at their
+    border, and one that it leaves alone stands where it stood, or one letter further on or back."""
+    n = F.length(token)
+    lost = F.transform(neighbours(token), lambda x: F.xxhash64(x))
+
+    def third(length: Column, i: int, shift: Column) -> Column:
+        start, end = F.floor(length * i / 3).cast("int"), F.floor(length * (i + 1) / 3).cast("int")
+        return F.xxhash64(length, F.lit(i), F.substring(token, start + shift + 1, end - start))
+
+    zero = F.lit(0)
+    keys = [third(n, i, zero) for i in range(3)]
+    if probe:  # the other token may be a letter shorter or longer
+        keys += [third(n - by, i, s) for by in (-1, 1) for i in range(3) for s in (zero, F.lit(by))]
+    none = F.array().cast("array<bigint>")
+    return F.array_distinct(F.concat(F.when(n <= SHORT, lost).otherwise(none), F.when(n >= SHORT, F.array(*keys)).otherwise(none)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Multiset overlap over the geometric mean of the sizes; 0 if either is empty."""
     shared = F.aggregate(
@@ -184,52 +208,81 @@ class Cells:
         order = np.argsort(keys, kind="stable")
         self.keys, self.values = keys[order], values[order]
 
-    def __call__(self, a: list[str], b: list[str]) -> np.ndarray:
-        return self.values[np.searchsorted(self.keys, self._pairs(a, b))]
-
-
-def greedy(cells: np.ndarray) -> list[tuple[int, int, float]]:
-    """Row, column and value of the largest cell again and again, each row and column once; of
-    equal cells the first by row, then column."""
-    rows, cols = cells.shape
-    left = np.array(cells, dtype=float)
-    out = []
-    for _ in range(min(rows, cols)):
-        i, j = divmod(int(left.argmax()), cols)
-        out.append((i, j, float(cells[i, j])))
-        left[i] = -1  # similarities aren't below 0
-        left[:, j] = -1
-    return out
-
-
-def matrix_mean(cells: np.ndarray, mu: float) -> float:
-    """The mean of the greedy cells, or of the first of them whose mean is below mu."""
-    total = 0.0
-    picked = greedy(cells)
-    for n, (_, _, v) in enumerate(picked, 1):
-        total += v
-        if total / n < mu:
-            return total / n
-    return total / len(picked)
-
-
-def matrix_weighted(cells: np.ndarray) -> tuple[float, list[tuple[int, int, float, float]]]:
-    """The greedy cells weighted by row, the first row most; and row, column, value, weight."""
-    rows = cells.shape[0]
-    base = rows * (rows + 1) / 2
-    steps = [(i, j, v, (rows - i) / base) for i, j, v in greedy(cells)]
-    return sum(v * w for _, _, v, w in steps), steps
-
-
-def monge_elkan(cells: np.ndarray) -> float:
-    """The mean over the first list's tokens of their best match in the second."""
-    return float(cells.max(axis=1).mean())
-
-
-#: Comparators over matrices of cells: list a, list b, cells, mu -> score.
-MATRIX_COMPARATORS: dict[str, Callable] = {
-    "ScoringMatrixStd": lambda a, b, cells, mu: matrix_mean(cells(a, b), mu),
-    "ScoringMatrixKris": lambda a, b, cells, mu: matrix_weighted(cells(a, b) if len(a) <= len(b) else cells(b, a))[0],
-    "MongeElkan": lambda a, b, cells, mu: monge_elkan(cells(a, b)),
+    def of(self, pairs: list[tuple[list[str], list[str]]]) -> Matrices:
+        """The matrices of list pairs that prepare() got."""
+        rows, cols = (np.array([len(x[k]) for x in pairs], dtype=np.int64) for k in (0, 1))
+        keys = [self._pairs(a, b).ravel() for a, b in pairs]
+        return Matrices(rows, cols, self.values[np.searchsorted(self.keys, np.concatenate([np.zeros(0, dtype=np.int64), *keys]))])
+
+
+class Matrices:
+    """Cells of many matrices, row by row and one matrix after another, none of them empty, and what
+    greedy matching picks of all of them at once: the largest cell of a matrix again and again, each
+    row and column once; of equal cells the first by row, then column. A cell is picked when it
+    comes first, in that order, in its row and in its column; those rows and columns go, and so on:
+    that needs far fewer rounds than there are picks."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray):
+        self.rows, self.cols, self.values = rows, cols, values
+        size = rows * cols
+        self.of = np.repeat(np.arange(len(rows)), size)
+        local = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
+        self.row, self.col = np.divmod(local, np.repeat(cols, size)) if len(values) else (local, local)
+
+    def picks(self) -> tuple[np.ndarray, np.ndarray]:
+        """The cells that are picked, by matrix and then in the order of picking, and each one's step."""
+        order = np.lexsort((self.col, self.row, -self.values, self.of))
+        row = (np.cumsum(self.rows) - self.rows)[self.of[order]] + self.row[order]
+        col = (np.cumsum(self.cols) - self.cols)[self.of[order]] + self.col[order]
+        first_row, first_col = np.empty(int(self.rows.sum()), dtype=np.int64), np.empty(int(self.cols.sum()), dtype=np.int64)
+        left, found = np.arange(len(order)), []
+        while len(left):
+            r, c, back = row[left], col[left], left[::-1]
+            first_row[row[back]] = back  # the last that is written is the first in order
+            first_col[col[back]] = back
+            chosen = left[(first_row[r] == left) & (first_col[c] == left)]
+            found.append(chosen)
+            gone_row, gone_col = np.zeros(len(first_row), dtype=bool), np.zeros(len(first_col), dtype=bool)
+            gone_row[row[chosen]] = gone_col[col[chosen]] = True
+            left = left[~(gone_row[r] | gone_col[c])]
+        cells = order[np.sort(np.concatenate(found))] if found else order
+        steps = np.minimum(self.rows, self.cols)
+        return cells, np.arange(len(cells)) - np.repeat(np.cumsum(steps) - steps, steps)
+
+    def means(self, mu: float) -> np.ndarray:
+        """Of each matrix the mean of the greedy cells, or of the first of them whose mean is below mu."""
+        cells, step = self.picks()
+        many = np.minimum(self.rows, self.cols)
+        value, first = self.values[cells], np.cumsum(many) - many
+        total, mean, going = np.zeros(len(many)), np.zeros(len(many)), np.arange(len(many))
+        for n in range(int(many.max(initial=0))):
+            going = going[many[going] > n]
+            total[going] += value[first[going] + n]
+            mean[going] = total[going] / (n + 1)
+            going = going[mean[going] >= mu]
+        return mean
+
+    def weights(self, cells: np.ndarray) -> np.ndarray:
+        """The weights of cells by row: the first row's is the greatest."""
+        m = self.rows[self.of[cells]]
+        return (m - self.row[cells]) / (m * (m + 1) / 2)
+
+    def weighted(self) -> np.ndarray:
+        """Of each matrix the sum of the greedy cells with their weights."""
+        cells, _ = self.picks()
+        return np.bincount(self.of[cells], weights=self.values[cells] * self.weights(cells), minlength=len(self.rows))
+
+    def best_of_rows(self) -> np.ndarray:
+        """Of each matrix the mean over its rows of their largest cells."""
+        starts = np.cumsum(np.repeat(self.cols, self.rows)) - np.repeat(self.cols, self.rows)
+        best = np.maximum.reduceat(self.values, starts) if len(starts) else self.values
+        return np.bincount(np.repeat(np.arange(len(self.rows)), self.rows), weights=best, minlength=len(self.rows)) / np.maximum(self.rows, 1)
+
+
+#: Comparators over matrices: of those of a batch and mu, the scores. Whether the shorter list makes the rows.
+MATRIX_COMPARATORS: dict[str, tuple[Callable[[Matrices, float], np.ndarray], bool]] = {
+    "ScoringMatrixStd": (lambda m, mu: m.means(mu), False),
+    "ScoringMatrixKris": (lambda m, mu: m.weighted(), True),
+    "MongeElkan": (lambda m, mu: m.best_of_rows(), False),
 }
 COMPARATORS = (*MATRIX_COMPARATORS, "Cosine")

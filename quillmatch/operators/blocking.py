@@ -3,7 +3,7 @@
 In single mode two references are a pair if they share a blocking token, in pair mode if they share
 two. No list of token pairs is built: a join on the token gives, for each pair of references, how
 often they agree, and pair mode asks for two agreements. A blocking token has at most beta
-occurrences, so no key of the join is hot.
+occurrences, so no key of that join is hot; the most frequent tokens are dropped before any shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmatch.functions.text import is_digit
-from quillmatch.operators.stats import token_rows
+from quillmatch.operators.stats import token_rows, without_heaviest
 from quillmatch.plans.params import Params
 
 
@@ -22,7 +22,8 @@ def blocking_tokens(refs: DataFrame, freq: DataFrame, p: Params) -> DataFrame:
     rare = freq.where(F.col("n").between(2, p.beta) & (F.char_length(token) >= p.minBlkTokenLen))
     if p.excludeNumericBlocks:
         rare = rare.where(~is_digit(token))
-    return token_rows(refs).join(rare.select("token"), "token").groupBy("refID", "token").agg(F.count("*").alias("m"))
+    rows = without_heaviest(token_rows(refs), freq, p.beta + 1)
+    return rows.join(rare.select("token"), "token").groupBy("refID", "token").agg(F.count("*").alias("m"))
 
 
 def candidate_pairs(refs: DataFrame, freq: DataFrame, p: Params) -> DataFrame:
@@ -57,7 +58,8 @@ def comparison_tokens(refs: DataFrame, freq: DataFrame, p: Params) -> DataFrame:
         drop = drop | (F.char_length(token) < p.minBlkTokenLen)
         if p.excludeNumericBlocks:
             drop = drop | is_digit(token)
-    rows = token_rows(refs).join(freq.select("token", "n"), "token", "left").where(~drop)
+    rows = without_heaviest(token_rows(refs), freq, p.sigma)
+    rows = rows.join(freq.select("token", "n"), "token", "left").where(~drop)
     kept = rows.groupBy("refID").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
     kept = kept.select(F.col("refID").alias("_id"), F.transform("t", lambda x: x["token"]).alias("t"))
     tokens = F.coalesce(F.col("t"), F.array().cast("array<string>"))

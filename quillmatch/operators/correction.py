@@ -1,7 +1,8 @@
 """Global token correction: rare tokens that are one edit from a frequent one are replaced by it.
 
-Standard and error tokens meet on what they become by losing one character, so no pair is compared
-that isn't nearly equal; the distance then confirms.
+Standard and error tokens meet on what they become by losing one character, long ones on a third of
+their letters that one edit leaves alone, so no pair is compared that isn't nearly equal; the
+distance then confirms.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.functions.similarity import neighbours, swapped
+from quillmatch.functions.similarity import edit_keys, swapped
 from quillmatch.functions.text import is_alpha
 from quillmatch.operators.stats import token_rows
 from quillmatch.plans.params import Params
@@ -17,6 +18,8 @@ from quillmatch.plans.staging import staged
 
 #: Of the tokens by rank, this many are never corrected.
 UNTOUCHED = 2
+#: A table of corrections of at most so many rows and bytes of text is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16_000_000
 
 
 def clean_tokens(freq: DataFrame, words: DataFrame | None, p: Params) -> DataFrame:
@@ -40,8 +43,8 @@ def corrections(freq: DataFrame, p: Params, words: DataFrame | None = None) -> D
     last = clean.orderBy(F.asc("n"), F.desc("first")).limit(1).select(F.col("token").alias("_x"))
     std = clean.where(F.col("n") >= p.minFreqStdToken).join(F.broadcast(last), F.col("token") == F.col("_x"), "left_anti")
     err = clean.where(F.col("n") <= p.maxFreqErrToken).join(F.broadcast(first), F.col("token") == F.col("_x"), "left_anti")
-    std = std.select(F.col("token").alias("std"), F.struct((-F.col("n")).alias("n"), "first").alias("rank"), F.explode(neighbours(F.lower("token"))).alias("key"))
-    err = err.select(F.col("token").alias("bad"), F.explode(neighbours(F.lower("token"))).alias("key"))
+    std = std.select(F.col("token").alias("std"), F.struct((-F.col("n")).alias("n"), "first").alias("rank"), F.explode(edit_keys(F.lower("token"), probe=True)).alias("key"))
+    err = err.select(F.col("token").alias("bad"), F.explode(edit_keys(F.lower("token"), probe=False)).alias("key"))
     a, b = F.lower("std"), F.lower("bad")
     distance = F.levenshtein(a, b, 2)
     near = (distance == 1) | ((distance == 2) & swapped(F.col("std"), F.col("bad")))
@@ -70,11 +73,15 @@ def replaced(freq: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(freq.select("token", "n"), F.col("bad") == F.col("token")).select(F.col("bad").alias("old"), F.col("std").alias("new"), "n")
 
 
-def apply_corrections(refs: DataFrame, found: DataFrame) -> DataFrame:
-    """refs (refID, tokens, ord) with each token replaced once, and n_changed."""
-    fix = found.select(F.col("bad").alias("_bad"), F.col("std").alias("_std"))
-    rows = token_rows(refs).join(fix, F.col("token") == F.col("_bad"), "left")
-    new = rows.groupBy("refID").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_std", "token").alias("token")))).alias("_t"), F.count("_std").alias("_n"))
+def apply_corrections(refs: DataFrame, found: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """refs (refID, tokens, ord) with each token replaced once, and n_changed. Corrections of at most
+    `rows` rows and `size` bytes go to the tokens; beyond that, tokens and corrections are joined by
+    a shuffle, in which adaptive execution splits a frequent token."""
+    fix = staged(found.select(F.col("bad").alias("_bad"), F.col("std").alias("_std")))
+    total = fix.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_bad") + F.octet_length("_std")), F.lit(0)).alias("size")).first()
+    if total["n"] <= rows and total["size"] <= size:
+        fix = F.broadcast(fix)
+    new = token_rows(refs).join(fix, F.col("token") == F.col("_bad"), "left").groupBy("refID").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_std", "token").alias("token")))).alias("_t"), F.count("_std").alias("_n"))
     new = new.select(F.col("refID").alias("_id"), F.transform("_t", lambda x: x["token"]).alias("_t"), "_n")
     joined = refs.join(new, F.col("refID") == F.col("_id"), "left")
     return joined.select("refID", F.coalesce("_t", "tokens").alias("tokens"), "ord", F.coalesce("_n", F.lit(0)).alias("n_changed"))

@@ -25,6 +25,18 @@ def token_frequency(refs: DataFrame) -> DataFrame:
     return token_rows(refs).groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("first"))
 
 
+#: So many of the most frequent tokens at most are broadcast, none of more letters than this.
+HEAVIEST, LETTERS = 20_000, 256
+
+
+def without_heaviest(rows: DataFrame, freq: DataFrame, least: int, most: int = HEAVIEST) -> DataFrame:
+    """rows (with a token) without those of the `most` most frequent tokens that freq has `least`
+    times or more, dropped where the rows are made. Each token that remains has at most one in
+    `most` of all occurrences, so that no key of a later join by token is hot."""
+    heavy = freq.where((F.col("n") >= least) & (F.char_length("token") <= LETTERS)).orderBy(F.desc("n")).limit(most).select("token")
+    return rows.join(F.broadcast(heavy), "token", "left_anti")
+
+
 def token_statistics(refs: DataFrame, freq: DataFrame | None = None) -> DataFrame:
     """One row of counts and ratios, frequencies over distinct tokens (population deviation) and
     lengths over occurrences (sample deviation); null where they don't exist."""

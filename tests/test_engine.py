@@ -190,6 +190,35 @@ def test_corrections(spark):
     assert learned == {"SMITH": ["SMIHT", "SMTIH"], "A": ["B"], "SECOND": ["SECONDX"]}
 
 
+def test_a_long_token_is_corrected(spark):
+    rnd = random.Random(13)
+    long = "".join(rnd.choice("ABCDEFGH") for _ in range(20_000))
+    typo = long[:5000] + long[5001] + long[5000] + long[5002:] if long[5000] != long[5001] else long[:5000] + "X" + long[5001:]
+    refs = refs_of(spark, {"r": ["FIRST"] * 9 + ["SECOND"] * 8 + [long] * 5 + [typo, "LASTONE"]})
+    assert {(r["bad"], r["std"]) for r in correction.corrections(stats.token_frequency(refs), Params()).collect()} == {(typo, long)}
+
+
+def test_frequent_tokens_are_not_shuffled(spark):
+    """They go where the rows are made; what is blocked and compared stays the same."""
+    refs = refs_of(spark, {f"r{i}": ["COMMON", "COMMON", f"RARE{i // 2}", "1234"] for i in range(30)})
+    freq = stats.token_frequency(refs)
+    p = Params(beta=3, sigma=12)
+    for rows, count in ((blocking.blocking_tokens(refs, freq, p), 30), (blocking.comparison_tokens(refs, freq, p), 30)):
+        assert rows.count() == count
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" in plan and plan.index("LeftAnti") > plan.rindex("Join Inner" if "Join Inner" in plan else "Join LeftOuter, (t")
+    kept = stats.without_heaviest(stats.token_rows(refs), freq, 12, most=1)
+    assert {r["token"] for r in kept.select("token").distinct().collect()} == {f"RARE{i}" for i in range(15)} | {"1234"}
+
+
+def test_corrections_are_broadcast_or_joined(spark):
+    refs = refs_of(spark, {"a": ["X", "Y", "X"], "b": [], "c": ["Z"]})
+    found = spark.createDataFrame([("X", "XX"), ("Z", "ZZ")], "bad string, std string")
+    few, many = correction.apply_corrections(refs, found), correction.apply_corrections(refs, found, rows=1)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and {r["refID"]: r["n_changed"] for r in few.collect()} == {"a": 2, "b": 0, "c": 1}
+    assert ["ResolvedHint" in x._jdf.queryExecution().analyzed().toString() for x in (few, many)] == [True, False]
+
+
 def fold(j, k, freq=None, aliases=None):
     f = Fold({"J": list(j), "K": list(k)}, dict(freq or {}), dict(aliases or {}))
     f.pair("J", "K")

@@ -1,12 +1,13 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmatch.functions.similarity import Cells, cosine, damerau, greedy, matrix_mean, matrix_weighted, neighbours, one_edit, similarities
+from quillmatch.functions.similarity import Cells, Matrices, cosine, damerau, edit_keys, neighbours, one_edit, similarities
 
 
 def slow_distance(a, b, restricted):
@@ -70,31 +71,76 @@ def test_cosine(spark):
     assert [round(r[0], 6) for r in df.select(cosine(F.col("a"), F.col("b"))).collect()] == [round(1 / 6**0.5, 6), 0.0]
 
 
-def cells(a, b, **rules):
+def matrices(*pairs, **rules):
     c = Cells(**rules)
-    c.prepare([(a, b)])
-    return c(a, b)
+    c.prepare(list(pairs))
+    return c.of(list(pairs))
 
 
 def test_weighted_matrix():
-    assert matrix_weighted(cells(["AAA", "BBB"], ["AAA", "BBB"]))[0] == pytest.approx(1.0)
-    assert matrix_weighted(cells(["AAA", "BBB"], ["AAA", "CCC"]))[0] == pytest.approx(2 / 3)
+    found = matrices((["AAA", "BBB"], ["AAA", "BBB"]), (["AAA", "BBB"], ["AAA", "CCC"])).weighted()
+    assert found.tolist() == [pytest.approx(1.0), pytest.approx(2 / 3)]
 
 
 def test_mean_matrix_stops_below_mu():
-    assert matrix_mean(cells(["AAA", "BBB"], ["AAA", "CCC"]), 0.5) == pytest.approx(0.5)
-    assert matrix_mean(cells(["AAA", "BBB", "DDD"], ["AAA", "CCC", "EEE"]), 0.9) == pytest.approx(0.5)
+    assert matrices((["AAA", "BBB"], ["AAA", "CCC"])).means(0.5).tolist() == [pytest.approx(0.5)]
+    assert matrices((["AAA", "BBB", "DDD"], ["AAA", "CCC", "EEE"])).means(0.9).tolist() == [pytest.approx(0.5)]
 
 
 def test_rules():
-    assert cells(["12"], ["13"], number_rule=True)[0, 0] == 0 and cells(["12"], ["13"])[0, 0] == 0.5
-    assert cells(["A"], ["AB"], initial_rule=True)[0, 0] == 0
-
-
-def test_greedy_ties():
-    c = Cells()
-    c.prepare([(["A", "A"], ["A", "A"])])
-    assert [(i, j) for i, j, _ in greedy(c(["A", "A"], ["A", "A"]))] == [(0, 0), (1, 1)]
+    assert matrices((["12"], ["13"]), number_rule=True).values.tolist() == [0] and matrices((["12"], ["13"])).values.tolist() == [0.5]
+    assert matrices((["A"], ["AB"]), initial_rule=True).values.tolist() == [0]
+
+
+def slow_greedy(m):
+    """The largest cell of a matrix again and again, the first by row and column of equal ones."""
+    left, out = {(i, j): v for i, row in enumerate(m) for j, v in enumerate(row)}, []
+    while left:
+        i, j = min(left, key=lambda k: (-left[k], k))
+        out.append((i, j, left[i, j]))
+        left = {k: v for k, v in left.items() if k[0] != i and k[1] != j}
+    return out
+
+
+def test_greedy_picks_of_many_matrices():
+    rnd = random.Random(2)
+    for _ in range(40):
+        tables = [[[rnd.choice([0.0, 0.25, 0.5, 0.5, 1.0, rnd.random()]) for _ in range(n)] for _ in range(m)] for m, n in ((rnd.randint(1, 7), rnd.randint(1, 7)) for _ in range(rnd.randint(1, 6)))]
+        m = Matrices(np.array([len(t) for t in tables]), np.array([len(t[0]) for t in tables]), np.array([v for t in tables for row in t for v in row]))
+        cells, step = m.picks()
+        want = [(k, n, i, j, v) for k, t in enumerate(tables) for n, (i, j, v) in enumerate(slow_greedy(t))]
+        assert list(zip(*(x.tolist() for x in (m.of[cells], step, m.row[cells], m.col[cells], m.values[cells])), strict=True)) == want
+        for mu in (0.0, 0.3, 0.6, 1.0):
+            means = []
+            for t in tables:
+                values = [v for _, _, v in slow_greedy(t)]
+                prefix = [sum(values[: n + 1]) / (n + 1) for n in range(len(values))]
+                means.append(next((p for p in prefix if p < mu), prefix[-1]))
+            assert m.means(mu).tolist() == pytest.approx(means)
+        assert m.weighted().tolist() == pytest.approx([sum(v * (len(t) - i) for i, _, v in slow_greedy(t)) / (len(t) * (len(t) + 1) / 2) for t in tables])
+        assert m.best_of_rows().tolist() == pytest.approx([sum(map(max, t)) / len(t) for t in tables])
+
+
+def test_no_matrices():
+    m = matrices()
+    assert m.picks()[0].tolist() == m.means(0.5).tolist() == m.weighted().tolist() == m.best_of_rows().tolist() == []
+
+
+def edited(rnd, w):
+    at, c = rnd.randrange(len(w) - 1), rnd.choice("abc")
+    return rnd.choice([w[:at] + c + w[at:], w[:at] + w[at + 1 :], w[:at] + c + w[at + 1 :], w[:at] + w[at + 1] + w[at] + w[at + 2 :], w + c, c + w, w[1:], w[:-1]])
+
+
+def test_edit_keys(spark):
+    """Tokens one edit apart share a key whatever their lengths; the keys of long ones are few."""
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdéf") for _ in range(n)) for n in [*range(2, 60), *[23, 24, 25] * 30]]
+    rows = [(w, edited(rnd, w)) for w in words for _ in range(6)] + [(w, w) for w in words]
+    keys = spark.createDataFrame(rows, "a string, b string").select("a", "b", F.arrays_overlap(edit_keys(F.col("a"), True), edit_keys(F.col("b"), False)))
+    assert [r[:2] for r in keys.collect() if not r[2]] == []
+    long = "".join(rnd.choice("abcdefgh") for _ in range(100_000))
+    row = spark.createDataFrame([(long, long[:70_000] + "x" + long[70_000:])], "a string, b string").select(edit_keys(F.col("a"), True).alias("p"), edit_keys(F.col("b"), False).alias("q")).first()
+    assert len(row["p"]) <= 15 and len(row["q"]) == 3 and set(row["p"]) & set(row["q"])
 
 
 def test_long_tokens_in_bounded_blocks():
@@ -115,5 +161,5 @@ def test_cells_forget():
     lists = [(["AB", "CD", "AB"], ["CD", "AX"]), (["EF"], ["EG", "EF"]), (["AB"], ["AX"])]
     for a, b in lists * 2:
         cells.prepare([(a, b), ([], b)])
-        assert cells(a, b).tolist() == [[1.0 if p == q else similarities([p], [q])[0] for q in b] for p in a]
+        assert cells.of([(a, b)]).values.tolist() == [1.0 if p == q else similarities([p], [q])[0] for p in a for q in b]
     assert len(cells.keys) <= 5 + 6
