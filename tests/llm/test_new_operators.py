@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmatch.llm import passage_attention, source_divergence, toxicity, whitening
+from quillmatch.llm import language_id, passage_attention, source_divergence, toxicity, whitening
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -213,3 +213,83 @@ def test_lobpcg_finds_leading_eigenvectors(spectrum):
     e, u, _, residual = whitening.lobpcg(lambda b: a @ b, 150, 8, 4)
     assert np.allclose(e, np.sort(spectrum)[::-1][:8], atol=1e-11) and residual.max() <= whitening.TOLERANCE
     assert np.abs(a @ u - u * e).max() < 1e-11 and np.allclose(u.T @ u, np.eye(8), atol=1e-12)
+
+
+# --- op5: any number of languages ------------------------------------------------------------------
+
+
+def tongue(seed):
+    """A made-up language: a function that writes a text of so many words."""
+    rnd = random.Random(seed)
+    parts = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(1, 3))) for _ in range(14)]
+    return lambda n: " ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 3))) for _ in range(n))
+
+
+def slow_machine(x, y, cost=10.0, steps=150):
+    """The same descent, row by row, in double precision."""
+    share = {1.0: sum(v > 0 for v in y), -1.0: sum(v < 0 for v in y)}
+    w = v = np.zeros(x.shape[1] + 1)
+    for t in range(1, steps + 1):
+        g = np.append(1e-3 * v[:-1], 0.0)
+        for row, side in zip(x, y, strict=True):
+            short = max(0.0, 1 - side * (row @ v[:-1] + v[-1])) * 0.5 * cost / share[side] * side
+            g -= 2 * short * np.append(row, 1.0)
+        new = v - g / (1e-3 + 4 * cost)
+        v, w = new + (t - 1) / (t + 2) * (new - w), new
+    return w
+
+
+def slow_identify(step, families_below, x):
+    """Language and score of features x by counting votes one by one, down the steps."""
+    wins, margins, lead = Counter(), Counter(), {}
+    k = 0
+    for i in range(step.votes.count):
+        for j in range(i + 1, step.votes.count):
+            m = sum(float(a) * float(b) for a, b in zip(x, step.votes.weights[:-1, k], strict=True) if a) + float(step.votes.weights[-1, k])
+            wins[i if m >= 0 else j] += 1
+            margins[i] += m
+            margins[j] -= m
+            lead[i, j], lead[j, i] = m, -m
+            k += 1
+    best = max(range(step.votes.count), key=lambda c: (wins[c], margins[c]))
+    p = min((1 / (1 + np.exp(-4 * np.clip(lead[best, c], -10, 10))) for c in range(step.votes.count) if c != best), default=1.0)
+    below = step.below[best]
+    if isinstance(below, str):
+        return below, p
+    lang, q = slow_identify(below, families_below, x)
+    return lang, p * q
+
+
+def test_machines_and_votes_equal_slow_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(20, 9)).astype(np.float32), np.repeat([1.0, -1.0], [8, 12])
+    found = language_id.machine(x, y, steps=40)
+    monkeypatch.setattr(language_id, "FEW", 0)
+    assert np.allclose(found, language_id.machine(x, y, steps=40), atol=1e-3) and np.allclose(found, slow_machine(x, y, steps=40), atol=1e-3)
+
+
+def test_language_of_many_codes_step_by_step():
+    tongues = {f"q{i:02d}": tongue(i) for i in range(40)}
+    texts = [(lang, write(60).encode()) for lang, write in tongues.items() for _ in range(6)]
+    model = language_id.Model(texts)
+    machines = 0
+    steps = [model.first]
+    while steps:
+        s = steps.pop()
+        machines += s.votes.weights.shape[1]
+        assert s.votes.count <= language_id.MOST
+        steps += [b for b in s.below if not isinstance(b, str)]
+    assert machines <= 5 * len(tongues)
+    fresh = [(lang, write(50).encode()) for lang, write in tongues.items()]
+    assert sum(model(t)[0] == lang for lang, t in fresh) >= 0.95 * len(fresh)
+    for _, t in fresh[:6]:
+        lang, score = slow_identify(model.first, None, language_id.features(t))
+        assert model(t) == (lang, pytest.approx(score, abs=1e-4))
+
+
+def test_language_sample_is_bounded_in_all(spark):
+    rows = [(i, f"q{i % 50}", "x" * 1000) for i in range(500)]
+    found = language_id.sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), F.lit(True), total=100, least=1, total_bytes=150_000)
+    assert {n for n in Counter(lang for lang, _ in found).values()} == {2}
+    few = language_id.sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), F.lit(True), total=1000, total_bytes=150_000)
+    assert sum(len(t) for _, t in few) <= 150_000
