@@ -73,13 +73,16 @@ class Index:
     def __init__(self, window: int = WINDOW):
         self.window, self.size, self.searchers = window, 0, {}
 
-    def add(self, item: str, text: bytes | None) -> None:
-        w = words(text)
-        if not w:
-            return
+    def add(self, item: str, w: list[bytes], start: int = 0, most: int | None = None) -> int:
+        """Adds the windows of an item's words from `start` on while the index has fewer than `most`;
+        returns where the next window begins."""
         length = min(self.window, len(w))
-        searcher = self.searchers.setdefault(length, WuManber(length))
-        self.size += sum(searcher.add(tuple(w[i : i + length]), item) for i in range(len(w) - length + 1))
+        last = len(w) - length + 1 if w else 0
+        while start < last and (most is None or self.size < most):
+            searcher = self.searchers.setdefault(length, WuManber(length))
+            self.size += searcher.add(tuple(w[start : start + length]), item)
+            start += 1
+        return start if start < last else len(w)
 
     def hits(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Disjoint spans of hit words, and the items found."""
@@ -107,12 +110,13 @@ def _digest(items) -> str:
 
 
 def blocks(benchmark: DataFrame, window: int, block_windows: int) -> Iterator[Index]:
-    """The items as indexes of bounded size; an item longer than a block makes a block of its own."""
+    """The items as indexes of `block_windows` windows at most; a long item's are spread over several."""
     index = Index(window)
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text"))
     for row in rows.toLocalIterator():
-        index.add(row["item"], None if row["text"] is None else bytes(row["text"]))
-        if index.size >= block_windows:
+        w = words(None if row["text"] is None else bytes(row["text"]))
+        at = 0
+        while (at := index.add(row["item"], w, at, block_windows)) < len(w):
             yield index
             index = Index(window)
     yield index

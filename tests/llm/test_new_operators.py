@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmatch.llm import language_id, passage_attention, source_divergence, toxicity, whitening
+from quillmatch.llm import decontamination, language_id, passage_attention, source_divergence, toxicity, whitening
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -293,3 +293,17 @@ def test_language_sample_is_bounded_in_all(spark):
     assert {n for n in Counter(lang for lang, _ in found).values()} == {2}
     few = language_id.sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), F.lit(True), total=1000, total_bytes=150_000)
     assert sum(len(t) for _, t in few) <= 150_000
+
+
+# --- op1: a long item ------------------------------------------------------------------------------
+
+
+def test_a_long_item_is_spread_over_blocks(spark):
+    rnd = random.Random(1)
+    w = [f"w{rnd.randrange(3000)}" for _ in range(20_000)]
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, "a b c"), (3, " ".join(w[500:600])), (4, None), (5, "")], "item_id long, text string")
+    sizes = [i.size for i in decontamination.blocks(bench, 10, 7000)]
+    assert max(sizes) <= 7000 and len(sizes) == 3
+    docs = spark.createDataFrame([(1, " ".join(["x", *w[495:620], "y"])), (2, " ".join(w[6990:7020])), (3, " ".join(w[:9])), (4, "z a b c z")], "doc_id long, text string")
+    few, many = ({r["doc_id"]: r for r in decontamination.decontaminate(docs, bench, block_windows=n).collect()} for n in (7000, 100_000))
+    assert few == many and [few[i]["n_hit"] for i in (1, 2, 3, 4)] == [125, 30, 0, 3] and [few[i]["n_items"] for i in (1, 2, 3, 4)] == [2, 1, 0, 1]
