@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,23 @@ def cluster_profile(link: DataFrame) -> DataFrame:
     return sizes.groupBy("size").agg(F.count("*").alias("clusters"), F.sum("size").alias("refs"))
 
 
+def profile_with_total(link: DataFrame) -> DataFrame:
+    """The profile and, where size is null, its total over all sizes."""
+    sizes = link.groupBy(F.coalesce("clusterID", F.lit("")).alias("c")).agg(F.count("*").alias("size"))
+    return sizes.rollup("size").agg(F.count("*").alias("clusters"), F.coalesce(F.sum(sizes["size"]), F.lit(0)).alias("refs"))
+
+
+def pair_sets(link: DataFrame, truth: DataFrame) -> DataFrame:
+    """by, groups, refs, largest, pairs: of the references by cluster, by truth and by both, made in
+    one pass over counts; pairs are those within groups: the linked, expected and true ones."""
+    own = truth.select(F.col("refID").alias("_id"), F.col("truthID").alias("_t"))
+    rows = link.join(own, F.col("refID") == F.col("_id"), "left").select(F.coalesce("clusterID", F.lit("")).alias("c"), F.coalesce("_t", F.lit("x")).alias("t"))
+    each = rows.groupBy("c", "t").agg(F.count("*").alias("k"))
+    n = each.groupingSets([[F.col("c")], [F.col("t")], [F.col("c"), F.col("t")]], F.col("c"), F.col("t")).agg(F.grouping_id("c", "t").alias("g"), F.sum("k").alias("n"))
+    by = F.when(F.col("g") == 1, "cluster").when(F.col("g") == 2, "truth").otherwise("both")
+    return n.groupBy(by.alias("by")).agg(F.count("*").alias("groups"), F.sum("n").alias("refs"), F.max("n").alias("largest"), F.sum(F.expr("n * (n - 1) div 2")).cast("long").alias("pairs"))
+
+
 def pair_count(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """One row: the pairs within the groups."""
     n = df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -66,13 +83,19 @@ def blocking_metrics(pairs: DataFrame, refs: DataFrame, truth: DataFrame) -> Dat
     return _with_ratios(joined, "candidate_pairs").select("true_pairs", "expected_pairs", "candidate_pairs", "precision", "recall", "f_measure")
 
 
-def iteration_counters(quality: DataFrame, epsilon: float) -> DataFrame:
-    """One row: clusters, refs, clusters of several members, and of good quality with their refs."""
+def quality_counters(epsilon: float) -> dict[str, Column]:
+    """Aggregates over clusters (size, quality): clusters, refs, clusters of several members, and of
+    good quality with their refs."""
     good = F.col("quality") >= epsilon
-    return quality.agg(
-        F.count("*").alias("clusters"),
-        F.coalesce(F.sum("size"), F.lit(0)).alias("refs"),
-        F.count_if(F.col("size") > 1).alias("several"),
-        F.count_if(good).alias("good_clusters"),
-        F.coalesce(F.sum(F.when(good, F.col("size"))), F.lit(0)).alias("good_refs"),
-    )
+    return {
+        "clusters": F.count("*"),
+        "refs": F.coalesce(F.sum("size"), F.lit(0)),
+        "several": F.count_if(F.col("size") > 1),
+        "good_clusters": F.count_if(good),
+        "good_refs": F.coalesce(F.sum(F.when(good, F.col("size"))), F.lit(0)),
+    }
+
+
+def iteration_counters(quality: DataFrame, epsilon: float) -> DataFrame:
+    """One row of quality_counters."""
+    return quality.agg(*(c.alias(name) for name, c in quality_counters(epsilon).items()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmatch.functions.text import is_digit, tokenizer
@@ -37,31 +37,35 @@ def without_heaviest(rows: DataFrame, freq: DataFrame, least: int, most: int = H
     return rows.join(F.broadcast(heavy), "token", "left_anti")
 
 
-def token_statistics(refs: DataFrame, freq: DataFrame | None = None) -> DataFrame:
-    """One row of counts and ratios, frequencies over distinct tokens (population deviation) and
-    lengths over occurrences (sample deviation); null where they don't exist."""
-    freq = token_frequency(refs) if freq is None else freq
-    size = F.char_length("token")
-    digit = is_digit(F.col("token"))
-    n = F.col("n")
+def frequency_statistics() -> dict[str, Column]:
+    """Aggregates over token frequencies: counts and ratios, frequencies over distinct tokens
+    (population deviation) and lengths over occurrences (sample deviation); null where they don't
+    exist."""
+    size, digit, n = F.char_length("token"), is_digit(F.col("token")), F.col("n")
     # length statistics from the distinct tokens, each weighted by its occurrences
     total, sum1, sum2 = F.sum("n"), F.sum(n * size), F.sum(n * size * size)
     variance = F.try_divide(sum2 - F.try_divide(sum1 * sum1, total), total - 1)
-    stats = freq.agg(
-        F.coalesce(total, F.lit(0)).alias("tokens"),
-        F.count("*").alias("unique_tokens"),
-        F.round(F.try_divide(F.count("*").cast("double"), total), 4).alias("unique_ratio"),
-        F.coalesce(F.sum(F.when(digit, n)), F.lit(0)).alias("numeric_tokens"),
-        F.round(F.try_divide(F.coalesce(F.sum(F.when(digit, n)), F.lit(0)).cast("double"), total), 4).alias("numeric_ratio"),
-        F.min("n").alias("min_freq"),
-        F.max("n").alias("max_freq"),
-        F.round(F.avg("n"), 4).alias("avg_freq"),
-        F.round(F.stddev_pop("n"), 4).alias("std_freq"),
-        F.min(size).cast("long").alias("min_len"),
-        F.max(size).cast("long").alias("max_len"),
-        F.round(F.try_divide(sum1.cast("double"), total), 4).alias("avg_len"),
-        F.round(F.sqrt(F.when(variance >= 0, variance)), 4).alias("std_len"),
-    )
+    return {
+        "tokens": F.coalesce(total, F.lit(0)),
+        "unique_tokens": F.count("*"),
+        "unique_ratio": F.round(F.try_divide(F.count("*").cast("double"), total), 4),
+        "numeric_tokens": F.coalesce(F.sum(F.when(digit, n)), F.lit(0)),
+        "numeric_ratio": F.round(F.try_divide(F.coalesce(F.sum(F.when(digit, n)), F.lit(0)).cast("double"), total), 4),
+        "min_freq": F.min("n"),
+        "max_freq": F.max("n"),
+        "avg_freq": F.round(F.avg("n"), 4),
+        "std_freq": F.round(F.stddev_pop("n"), 4),
+        "min_len": F.min(size).cast("long"),
+        "max_len": F.max(size).cast("long"),
+        "avg_len": F.round(F.try_divide(sum1.cast("double"), total), 4),
+        "std_len": F.round(F.sqrt(F.when(variance >= 0, variance)), 4),
+    }
+
+
+def token_statistics(refs: DataFrame, freq: DataFrame | None = None) -> DataFrame:
+    """One row: refs, and the statistics of their tokens' frequencies."""
+    freq = token_frequency(refs) if freq is None else freq
+    stats = freq.agg(*(c.alias(name) for name, c in frequency_statistics().items()))
     # both sides are one row
     counts = refs.agg(F.count("*").alias("refs"))
     return counts.withColumn("_k", F.lit(1)).join(stats.withColumn("_k", F.lit(1)), "_k").drop("_k")

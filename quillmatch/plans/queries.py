@@ -175,6 +175,19 @@ def reference_reader(spark, d):
     return parse_lines(c.select(line.alias("value"), F.col("c_custkey").alias("ord")), "|").drop("ord")
 
 
+@query(
+    _with(
+        f"l AS (SELECT lpad(CAST(conv_id AS VARCHAR), 8, '0') AS refID, conv_id * 10000 + turn AS ord, {_SPLIT} AS tokens FROM conversations)",
+        then="SELECT refID, array_to_string(arg_max(tokens, ord), ' ') AS tokens, min(ord) AS ord FROM l GROUP BY refID",
+    )
+)
+def duplicate_ids(spark, d):
+    """The turns of a conversation as lines of one id: the last one's tokens at the first one's place."""
+    t = _table(spark, d, "conversations")
+    rows = t.select(F.lpad(F.col("conv_id").cast("string"), 8, "0").alias("refID"), F.col("text").alias("body"), (F.col("conv_id") * 10000 + F.col("turn")).alias("ord"))
+    return resolve_duplicates(stats.tokenize(rows, P)).select("refID", _joined(), "ord")
+
+
 # --- blocking --------------------------------------------------------------------------------------
 
 
@@ -462,6 +475,22 @@ def cluster_profile(spark, d):
     return metrics.cluster_profile(_linked_documents(spark, d))
 
 
+@query(_with(_LINKED, "s AS (SELECT count(*) AS size FROM link GROUP BY coalesce(clusterID, ''))", then="SELECT size, count(*) AS clusters, CAST(coalesce(sum(size), 0) AS BIGINT) AS refs FROM s GROUP BY size UNION ALL SELECT NULL, count(*), CAST(coalesce(sum(size), 0) AS BIGINT) FROM s"))
+def cluster_profile_total(spark, d):
+    return metrics.profile_with_total(_linked_documents(spark, d))
+
+
+_SETS = " UNION ALL ".join(
+    f"SELECT '{name}' AS by, count(*) AS groups, CAST(sum(n) AS BIGINT) AS refs, CAST(max(n) AS BIGINT) AS largest, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM (SELECT count(*) AS n FROM b GROUP BY {keys})"
+    for name, keys in (("cluster", "c"), ("truth", "t"), ("both", "c, t"))
+)
+
+
+@query(_with(_LINKED, _TRUTH, "b AS (SELECT coalesce(clusterID, '') AS c, coalesce(truthID, 'x') AS t FROM link LEFT JOIN truth USING (refID))", then=_SETS))
+def pair_sets(spark, d):
+    return metrics.pair_sets(_linked_documents(spark, d), _truth(spark, d))
+
+
 @query(
     _with(
         _LINKED,

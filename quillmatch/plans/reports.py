@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions.text import split_name_address
 from quillmatch.operators.blocking import comparison_tokens
-from quillmatch.operators.metrics import cluster_profile, iteration_counters
 from quillmatch.operators.scoring import attach, score, trace
 from quillmatch.operators.stats import token_statistics
 from quillmatch.plans.params import Params
 from quillmatch.plans.resolve import Resolution
+from quillmatch.sources.workbook import Workbook
 
 #: The columns of a report row.
 REPORT_COLUMNS = (
@@ -121,35 +121,22 @@ def report_row(result: Resolution, metrics: DataFrame | None) -> DataFrame:
 def run_log(result: Resolution) -> DataFrame:
     """stage, iteration, name, value: what a run counted. Statistics of the tokens as read and, where
     they were corrected, after that; of each round the thresholds, pairs, blocks' measures, links,
-    clusters and those kept; the sizes of the final clusters. Each value is made by Spark and one row."""
-    spark = result.link.sparkSession
+    clusters and those kept; the sizes of the final clusters. All of it was seen while the run's
+    tables were written, so the log needs no job of its own."""
     rows = [("end", len(result.iterations), result.ended or "", 0.0)]
 
-    def add(stage: str, number: int, df: DataFrame) -> None:
-        rows.extend((stage, number, name, None if v is None else float(v)) for name, v in df.first().asDict().items())
+    def add(stage: str, number: int, values: dict) -> None:
+        rows.extend((stage, number, name, None if v is None else float(v)) for name, v in values.items())
 
-    def edits(stage: str, df: DataFrame | None) -> None:
-        if df is not None:
-            add(stage, 0, df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edits"), F.count("*").alias("distinct_edits")))
-
-    add("tokens_read", 0, token_statistics(result.refs_read, result.freq_read))
-    edits("global_correction", result.global_edits)
+    for stage in ("tokens_read", "global_correction", "block_correction", "tokens_corrected", "clusters"):
+        add(stage, 0, result.seen.get(stage, {}))
     if result.global_edits is not None:
-        rows.append(("global_correction", 0, "refs_changed", float(result.refs_changed)))
-    edits("block_correction", result.block_edits)
-    if result.global_edits is not None or result.block_edits is not None:
-        add("tokens_corrected", 0, token_statistics(result.refs, result.freq))
+        add("global_correction", 0, {"refs_changed": result.refs_changed})
     for i in result.iterations:
-        rows += [("iteration", i.number, "mu", float(i.mu)), ("iteration", i.number, "epsilon", float(i.epsilon))]
-        rows += [("iteration", i.number, name, float(df.count())) for name, df in (("pairs", i.pairs), ("pairs_before_correction", i.blocked), ("links", i.links), ("clustered", i.clusters)) if df is not None]
-        if i.quality is not None:
-            add("quality", i.number, iteration_counters(i.quality, i.epsilon))
-        if i.blocking is not None:
-            add("blocking", i.number, i.blocking)
-        if i.metrics is not None:
-            add("metrics", i.number, i.metrics)
-    add("clusters", 0, cluster_profile(result.link).agg(F.coalesce(F.sum("clusters"), F.lit(0)).alias("clusters"), F.coalesce(F.sum("refs"), F.lit(0)).alias("refs"), F.max("size").alias("largest")))
-    return spark.createDataFrame(rows, "stage string, iteration int, name string, value double")
+        add("iteration", i.number, {"mu": i.mu, "epsilon": i.epsilon} | {name: i.seen[name]["n"] for name in ("pairs", "pairs_before_correction", "links", "clustered") if name in i.seen})
+        for stage in ("quality", "blocking", "metrics"):
+            add(stage, i.number, i.seen.get(stage, {}))
+    return result.link.sparkSession.createDataFrame(rows, "stage string, iteration int, name string, value double")
 
 
 def capture_path(folder: str, base: str, tag: str, iteration: int | None = None) -> str:
@@ -180,6 +167,12 @@ def append_report(row: DataFrame, path: str) -> None:
     row.write.mode("append").option("header", True).csv(path)
 
 
+def append_workbook(rows: DataFrame, path: str) -> None:
+    """Report rows below those that a spreadsheet has."""
+    rows.sparkSession.dataSource.register(Workbook)
+    rows.write.format("workbook").mode("append").save(path)
+
+
 def write_variants(variants: DataFrame, path: str) -> None:
     """A JSON object by standard, indented, as read_variants() reads it. It is made on the driver:
     variants are a small, curated table."""

@@ -11,10 +11,10 @@ from quillmatch.operators.block_correction import correct_blocks
 from quillmatch.operators.blocking import candidate_pairs, comparison_tokens
 from quillmatch.operators.closure import components
 from quillmatch.operators.correction import apply_corrections, corrections, learned_variants, replaced, with_variants
-from quillmatch.operators.metrics import blocking_metrics, cluster_profile, er_metrics
+from quillmatch.operators.metrics import blocking_metrics, cluster_profile, er_metrics, quality_counters
 from quillmatch.operators.quality import entropy_quality
 from quillmatch.operators.scoring import linked, score
-from quillmatch.operators.stats import token_frequency
+from quillmatch.operators.stats import frequency_statistics, token_frequency
 from quillmatch.plans.params import Params
 from quillmatch.plans.staging import staged
 
@@ -37,6 +37,8 @@ class Iteration:
     profile: DataFrame | None = None
     metrics: DataFrame | None = None
     blocking: DataFrame | None = None
+    #: what was counted while the frames were staged, by frame
+    seen: dict[str, dict] = field(default_factory=dict)
 
 
 @dataclass
@@ -59,6 +61,10 @@ class Resolution:
     block_edits: DataFrame | None = None
     #: rounds that block correction took
     block_rounds: int = 0
+    #: sizes of the final clusters
+    profile: DataFrame | None = None
+    #: what was counted while the frames were staged, by frame
+    seen: dict[str, dict] = field(default_factory=dict)
 
 
 def one_iteration(refs: DataFrame, freq: DataFrame, p: Params, restricted: bool = True) -> DataFrame:
@@ -78,6 +84,22 @@ def upsert(link: DataFrame, new: DataFrame) -> DataFrame:
     return link.join(fresh, F.col("refID") == F.col("_id"), "left").select("refID", F.coalesce("_c", "clusterID").alias("clusterID"))
 
 
+def _frequencies(refs: DataFrame, seen: dict[str, dict], name: str) -> DataFrame:
+    """The staged frequencies of staged references; their statistics go to seen."""
+    freq = staged(token_frequency(refs), **frequency_statistics())
+    seen[name] = refs.seen | freq.seen
+    return freq
+
+
+def _row(df: DataFrame) -> DataFrame:
+    """One row, staged, and seen."""
+    return staged(df, **{c: F.max(c) for c in df.columns})
+
+
+def _edits(df: DataFrame) -> DataFrame:
+    return staged(df, edits=F.coalesce(F.sum("n"), F.lit(0)), distinct_edits=F.count("*"))
+
+
 def resolve(refs: DataFrame, p: Params, words: DataFrame | None = None, aliases: DataFrame | None = None, variants: DataFrame | None = None, truth: DataFrame | None = None, restricted: bool = True) -> Resolution:
     """Resolve tokenized references (refID unique, tokens, ord).
 
@@ -86,8 +108,9 @@ def resolve(refs: DataFrame, p: Params, words: DataFrame | None = None, aliases:
     or to link, where mu passes 1, or where a round resolved nothing and neither threshold moves.
     References that stay open become clusters of their own."""
     p.checked()
-    refs = staged(refs.select("refID", "tokens", "ord"))
-    freq = staged(token_frequency(refs))
+    rows, seen = {"refs": F.count("*")}, {}
+    refs = staged(refs.select("refID", "tokens", "ord"), **rows)
+    freq = _frequencies(refs, seen, "tokens_read")
     learned = global_edits = None
     refs_read, freq_read, refs_changed = refs, freq, 0
     if p.runGlobalCorrection:
@@ -96,49 +119,63 @@ def resolve(refs: DataFrame, p: Params, words: DataFrame | None = None, aliases:
         found = staged(with_variants(found, known))
         if p.learnTokenVariants:
             learned = staged(learned_variants(known, found))
-        global_edits = staged(replaced(freq, found))
-        fixed = staged(apply_corrections(refs, found))
-        refs_changed = fixed.where("n_changed > 0").count()
+        global_edits = _edits(replaced(freq, found))
+        seen["global_correction"] = global_edits.seen
+        fixed = staged(apply_corrections(refs, found), changed=F.count_if(F.col("n_changed") > 0), **rows)
+        refs_changed = fixed.seen["changed"]
         refs = fixed.drop("n_changed")
-        freq = staged(token_frequency(refs))
+        refs.seen = {"refs": fixed.seen["refs"]}
+        freq = _frequencies(refs, seen, "tokens_corrected")
     link = staged(refs.select("refID", F.lit(None).cast("string").alias("clusterID")))
-    out = Resolution(p, link, refs, freq, variants=learned, refs_read=refs_read, freq_read=freq_read, global_edits=global_edits, refs_changed=refs_changed)
+    out = Resolution(p, link, refs, freq, variants=learned, refs_read=refs_read, freq_read=freq_read, global_edits=global_edits, refs_changed=refs_changed, seen=seen)
     mu, epsilon, first = p.mu, p.epsilon, True
     while True:
         now = p.with_(mu=mu, epsilon=epsilon)
         resolved = link.where("clusterID IS NOT NULL").select("refID")
-        pairs = staged(candidate_pairs(refs.join(resolved, "refID", "left_anti"), freq, now))
+        many = {"n": F.count("*")}
+        pairs = staged(candidate_pairs(refs.join(resolved, "refID", "left_anti"), freq, now), **many)
         step = Iteration(len(out.iterations) + 1, mu, epsilon, pairs)
+        step.seen["pairs"] = pairs.seen
         out.iterations.append(step)
         if truth is not None:
-            step.blocking = blocking_metrics(pairs, refs, truth)
-        if pairs.isEmpty():
+            step.blocking = _row(blocking_metrics(pairs, refs, truth))
+            step.seen["blocking"] = step.blocking.seen
+        if not pairs.seen["n"]:
             out.ended = "no candidate pairs"
             break
         if p.blockCorrection and first:
             edits, refs_now, out.block_rounds = correct_blocks(refs, freq, pairs, aliases)
-            out.block_edits = edits = staged(edits)
+            out.block_edits = edits = _edits(edits)
+            seen["block_correction"] = edits.seen | {"rounds": out.block_rounds}
             step.blocked, step.refs_blocked = pairs, refs
-            if not edits.isEmpty():
-                refs = staged(refs_now)
-                freq = staged(token_frequency(refs))
-                pairs = step.pairs = staged(candidate_pairs(refs.join(resolved, "refID", "left_anti"), freq, now))
+            step.seen["pairs_before_correction"] = pairs.seen
+            if edits.seen["edits"]:
+                refs = staged(refs_now, **rows)
+                freq = _frequencies(refs, seen, "tokens_corrected")
+                pairs = step.pairs = staged(candidate_pairs(refs.join(resolved, "refID", "left_anti"), freq, now), **many)
+                step.seen["pairs"] = pairs.seen
                 if truth is not None:
-                    step.blocking = blocking_metrics(pairs, refs, truth)
+                    step.blocking = _row(blocking_metrics(pairs, refs, truth))
+                    step.seen["blocking"] = step.blocking.seen
+            else:
+                seen["tokens_corrected"] = seen.get("tokens_corrected", seen["tokens_read"])
         first = False
-        links = step.links = staged(linked(score(pairs, comparison_tokens(refs, freq, now), now, restricted), mu))
-        if links.isEmpty():
+        links = step.links = staged(linked(score(pairs, comparison_tokens(refs, freq, now), now, restricted), mu), **many)
+        step.seen["links"] = links.seen
+        if not links.seen["n"]:
             out.ended = "no linked pairs"
             break
-        clusters = step.clusters = staged(clusters_of(links))
-        quality = step.quality = staged(entropy_quality(clusters, refs))
+        clusters = step.clusters = staged(clusters_of(links), **many)
+        quality = step.quality = staged(entropy_quality(clusters, refs), **quality_counters(epsilon))
+        step.seen |= {"clustered": clusters.seen, "quality": quality.seen}
         good = quality.where(F.col("quality") >= epsilon).select("clusterID")
         kept = clusters.join(good, "clusterID", "left_semi")
         step.link = upsert(link, clusters)
         if p.runIterationProfile:
             step.profile = cluster_profile(step.link)
             if truth is not None:
-                step.metrics = er_metrics(step.link, truth)
+                step.metrics = _row(er_metrics(step.link, truth))
+                step.seen["metrics"] = step.metrics.seen
         none_new = kept.isEmpty()
         link = staged(upsert(link, kept))
         mu, epsilon = round(mu + p.muIterate, 2), round(epsilon + p.epsilonIterate, 2)
@@ -150,4 +187,6 @@ def resolve(refs: DataFrame, p: Params, words: DataFrame | None = None, aliases:
             break
     out.link = link.select("refID", F.coalesce("clusterID", "refID").alias("clusterID"))
     out.refs, out.freq = refs, freq
+    out.profile = staged(cluster_profile(out.link), clusters=F.coalesce(F.sum("clusters"), F.lit(0)), refs=F.coalesce(F.sum("refs"), F.lit(0)), largest=F.max("size"))
+    seen["clusters"] = out.profile.seen
     return out

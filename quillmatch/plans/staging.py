@@ -8,7 +8,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _FOLDERS: dict[str, str] = {}
 _STAGED: dict[str, SparkSession] = {}
@@ -45,14 +45,19 @@ def _clean() -> None:
             pass
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, **seen: Column) -> DataFrame:
     """df written as Parquet in the shared folder and read again: this cuts lineage, and the rows
-    survive the loss of any executor. Removed by unstage(), or when Python ends."""
+    survive the loss of any executor. Removed by unstage(), or when Python ends. `seen` are
+    aggregates that are made on the way, without a job of their own; the result has them in a dict,
+    `seen`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    watch = Observation() if seen else None
+    rows = df.observe(watch, *(c.alias(name) for name, c in seen.items())) if watch is not None else df
+    rows.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    out.seen = watch.get if watch is not None else {}
     _STAGED[path] = spark
     return out
 

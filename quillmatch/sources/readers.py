@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmatch.plans.staging import staged
+
+#: White space that is stripped from lines, but for a delimiter.
+BLANKS = " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+#: Blocks of files up to which their line numbers are broadcast.
+BROADCAST_BLOCKS = 200_000
+
 
 def parse_lines(lines: DataFrame, delimiter: str = ",") -> DataFrame:
     """refID, body, ord, malformed of lines (value, ord).
 
     The id is what stands before the first delimiter, the body all behind it. A line without a
     delimiter is malformed: its id is the line but for its last character, its body the line."""
-    line = F.trim(F.col("value"))
+    line = F.btrim(F.col("value"), F.lit("".join(c for c in BLANKS if c not in delimiter)))
     at = F.instr(line, delimiter)
     bad = at == 0
     ref = F.when(bad, F.substring(line, F.lit(1), F.greatest(F.length(line) - 1, F.lit(0)))).otherwise(F.substring(line, F.lit(1), at - 1))
@@ -21,12 +28,24 @@ def parse_lines(lines: DataFrame, delimiter: str = ",") -> DataFrame:
     return lines.select(ref.alias("refID"), body.alias("body"), "ord", bad.alias("malformed"))
 
 
-def read_references(spark: SparkSession, path: str, delimiter: str = ",", has_header: bool = False) -> DataFrame:
-    """refID, body, ord, malformed of a delimited text file; carriage returns, line feeds and both
-    end lines. ord is the line's place, and a header is the first line."""
-    numbered = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord"))
-    rows = numbered.where("ord > 0") if has_header else numbered
-    return parse_lines(rows, delimiter)
+def numbered_lines(spark: SparkSession, path: str | list[str], few: int = BROADCAST_BLOCKS) -> DataFrame:
+    """value, ord, first of text files: ord counts lines through all files in the order of their
+    names, first is true of each file's first line. Files are read in blocks by as many tasks; lines
+    are counted for each block first, and a line's number is its block's start and its place there."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    blocks = staged(lines.groupBy("file", "block").agg(F.min("i").alias("low"), F.count("*").alias("n")), blocks=F.count("*"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select(F.col("file").alias("_f"), F.col("block").alias("_b"), "low", F.coalesce(before, F.lit(0)).alias("before"))
+    starts = F.broadcast(starts) if blocks.seen["blocks"] <= few else starts
+    rows = lines.join(starts, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+    return rows.select("value", (F.col("before") + F.col("i") - F.col("low")).alias("ord"), ((F.col("block") == 0) & (F.col("i") == F.col("low"))).alias("first"))
+
+
+def read_references(spark: SparkSession, path: str | list[str], delimiter: str = ",", has_header: bool = False) -> DataFrame:
+    """refID, body, ord, malformed of delimited text files; carriage returns, line feeds and both end
+    lines. ord is the line's place, and a header is the first line of each file."""
+    rows = numbered_lines(spark, path)
+    return parse_lines(rows.where("NOT first") if has_header else rows, delimiter)
 
 
 def from_table(df: DataFrame, ref: str, body: str, ord_: str | None = None) -> DataFrame:

@@ -1,7 +1,10 @@
 import random
+import threading
+import zipfile
 from collections import Counter
 from itertools import combinations
 from math import log2
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,11 +13,12 @@ from quillmatch.functions.similarity import damerau
 from quillmatch.operators import blocking, closure, correction, metrics, quality, stats
 from quillmatch.operators.block_correction import Fold, correct_blocks
 from quillmatch.operators.closure import components
-from quillmatch.plans import queries, reports
+from quillmatch.plans import queries, reports, run
 from quillmatch.plans.params import ParameterError, Params, parse
 from quillmatch.plans.resolve import resolve
 from quillmatch.plans.run import batch
-from quillmatch.sources.readers import parse_lines, read_aliases, read_references, read_truth, read_variants, read_word_list, resolve_duplicates
+from quillmatch.sources import workbook
+from quillmatch.sources.readers import numbered_lines, parse_lines, read_aliases, read_references, read_truth, read_variants, read_word_list, resolve_duplicates
 
 
 def refs_of(spark, lists):
@@ -385,6 +389,106 @@ def test_block_correction_of_nothing(spark):
         assert out.edits.count() == 0 and out.rounds == 1 and {r["refID"]: r["tokens"] for r in out.refs.collect()} == {"A": ["X"], "B": []}
 
 
+def sheet_of(path):
+    """The cells of a spreadsheet's first sheet."""
+    name = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(path) as z:
+        assert set(z.namelist()) >= {"[Content_Types].xml", "_rels/.rels", "xl/workbook.xml", "xl/styles.xml"}
+        root = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+    assert [p.attrib["state"] for p in root.iter(f"{name}pane")] == ["frozen"]
+    rows = []
+    for number, row in enumerate(root.iter(f"{name}row"), 1):
+        assert row.attrib["r"] == str(number)
+        cells = []
+        for c in row:
+            v = c.find(f"{name}v")
+            kind = c.attrib.get("t")
+            cells.append("".join(t.text or "" for t in c.iter(f"{name}t")) if kind == "inlineStr" else None if v is None else v.text == "1" if kind == "b" else float(v.text))
+        rows.append(cells)
+    return rows
+
+
+def test_workbook(spark, tmp_path):
+    path = str(tmp_path / "r.xlsx")
+    df = spark.createDataFrame([("a <b> & \x01c", 1, 0.5, True), (None, None, float("nan"), None)], "s string, n long, x double, f boolean")
+    reports.append_workbook(df.coalesce(1), path)
+    reports.append_workbook(df.limit(1), path)
+    first = ["a <b> &  c", 1.0, 0.5, True]
+    assert sheet_of(path) == [["s", "n", "x", "f"], first, [None, None, "nan", None], first]
+    df.limit(1).write.format("workbook").mode("overwrite").save(path)
+    assert sheet_of(path) == [["s", "n", "x", "f"], first]
+    with pytest.raises(Exception, match="at most"):
+        reports.append_workbook(spark.range(workbook.ROWS).coalesce(1), path)
+    assert len(sheet_of(path)) == 2
+
+
+def test_runs_of_a_batch_overlap_and_fail_apart(spark, tmp_path, monkeypatch):
+    (tmp_path / "list.txt").write_text("a.txt\nb.txt\nbad.txt\n")
+    both, pools = threading.Barrier(2, timeout=60), []
+
+    def one(spark, path, out, tag, **settings):
+        if path.endswith("bad.txt"):
+            raise ValueError("no such run")
+        both.wait()  # passes only while two runs are going on
+        pools.append(spark.sparkContext.getLocalProperty("spark.scheduler.pool"))
+        return path, spark.createDataFrame([(tag,)], "Sample string")
+
+    monkeypatch.setattr(run, "_run", one)
+    found = batch(spark, str(tmp_path / "list.txt"), str(tmp_path / "out"), tag="t")
+    assert [o.result and o.result[-5:] for o in found] == ["a.txt", "b.txt", None] and str(found[2].error) == "no such run" and sorted(pools) == ["t1", "t2"]
+    assert sheet_of(tmp_path / "out/report.xlsx") == [["Sample"], ["t1"], ["t2"]]
+
+
+def test_the_log_starts_no_job(spark):
+    lists = {"A1": "JOHN SMITHE 12 MAPLE".split(), "A2": "JOHN SMITHE 12 MAPLE".split(), "A3": "JOHN SMITHEE 12 MAPLE".split(), "B1": ["LONELY"]}
+    truth = spark.createDataFrame([("A1", "1"), ("A2", "1"), ("B1", "2")], "refID string, truthID string")
+    p = Params(beta=4, sigma=6, mu=0.6, comparator="ScoringMatrixKris", blockCorrection=True, runGlobalCorrection=True, runIterationProfile=True)
+    result = resolve(refs_of(spark, lists), p, truth=truth)
+    spark.sparkContext.setJobGroup("the log", "")
+    log = reports.run_log(result)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("the log")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    found = {(r["stage"], r["iteration"], r["name"]): r["value"] for r in log.collect()}
+    want = stats.token_statistics(result.refs_read).first().asDict()
+    assert {k[2]: v for k, v in found.items() if k[0] == "tokens_read"} == pytest.approx({k: None if v is None else float(v) for k, v in want.items()})
+    step = result.iterations[0]
+    assert found["iteration", 1, "pairs"] == step.pairs.count() and found["iteration", 1, "links"] == step.links.count() and found["iteration", 1, "clustered"] == step.clusters.count()
+    assert found["quality", 1, "clusters"] == step.quality.count() and found["clusters", 0, "refs"] == 4 and found["blocking", 1, "expected_pairs"] == 1
+    assert ("end", len(result.iterations), result.ended) in found
+
+
+def test_lines_are_numbered_over_files_and_blocks(spark, tmp_path):
+    """Small blocks, so that each file is read by several tasks; every file has its header."""
+    folder, want = tmp_path / "refs", []
+    folder.mkdir()
+    for name, n, end in (("b.txt", 300, "\r\n"), ("a.txt", 500, "\n"), ("c.txt", 0, "\n"), ("d.txt", 200, "\r")):
+        lines = ["RecID,text"] + [f"{name[0]}{i % 70},\tBODY {i} \t" for i in range(n)]
+        (folder / name).write_bytes(end.join(lines).encode())
+    for name, n in (("a", 500), ("b", 300), ("d", 200)):
+        want += [(f"{name}{i % 70}", f"\tBODY {i}") for i in range(n)]
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        rows = read_references(spark, str(folder), ",", True)
+        few, many = (numbered_lines(spark, str(folder), few=n).orderBy("ord").collect() for n in (0, 100))
+        assert few == many and [r["ord"] for r in few] == list(range(1004)) and sum(r["first"] for r in few) == 4
+        assert [(r["refID"], r["body"]) for r in rows.orderBy("ord").collect()] == want
+        last = {}
+        for ref, body in want:
+            last[ref] = body.split()
+        assert {r["refID"]: r["tokens"] for r in resolve_duplicates(stats.tokenize(rows, Params())).collect()} == last
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_totals(spark):
+    link = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", None), ("e", None)], "refID string, clusterID string")
+    assert {tuple(r) for r in metrics.profile_with_total(link).collect()} == {(2, 2, 4), (1, 1, 1), (None, 3, 5)}
+    truth = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "refID string, truthID string")
+    assert {tuple(r) for r in metrics.pair_sets(link, truth).collect()} == {("cluster", 3, 5, 2, 2), ("truth", 2, 5, 3, 4), ("both", 3, 5, 2, 2)}
+
+
 def test_batch_of_parameter_files(spark, tmp_path):
     """Two files are run; every capture, report and log can be read."""
     lines = ["RecID,name,street", "A1,JOHN SMITHE,12 MAPLE STREET", "A2,JOHN SMITHE,12 MAPLE STREET", "B1,ALICE WONDER,7 HARBOUR LANE", "B2,ALICE WONDEER,7 HARBOUR LANE", "C1,NOBODY KNOWS,"]
@@ -396,7 +500,9 @@ def test_batch_of_parameter_files(spark, tmp_path):
     (tmp_path / "two.txt").write_text(shared + "comparator=Cosine\n")
     (tmp_path / "list.txt").write_text("one.txt\ntwo.txt\n\nnone.txt\n")
     results = batch(spark, str(tmp_path / "list.txt"), str(tmp_path / "out"), tag="t")
-    assert len(results) == 2
+    assert [(r.path, r.error) for r in results] == [("one.txt", None), ("two.txt", None)]
+    sheet = sheet_of(tmp_path / "out/report.xlsx")
+    assert sheet[0] == list(reports.REPORT_COLUMNS) and [r[0] for r in sheet[1:]] == ["people.txt"] * 2 and sheet[2][1] is None and sheet[1][1] == 1.0
     one, two = tmp_path / "out/people_t1", tmp_path / "out/people_t2"
 
     def table(folder, name):
