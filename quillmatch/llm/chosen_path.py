@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from quillmatch.operators.closure import components
 from quillmatch.plans.staging import staged, unstage
 
-from .common import arrow_schema, bounded_batches, columns_of, hashed_words, id_type, mix, slices, texts
+from .common import arrow_schema, bounded_batches, columns_of, hashed_words, id_type, mix, slices, texts, trimmed
 
 K = 3
 SIMILARITY = 85  # percent
@@ -122,7 +122,7 @@ def sketch(docs: DataFrame, k: int = K, tokens: int = TOKENS) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(it):
-        for batch in slices(it):
+        for batch in slices(trimmed(it)):
             n, hi, lo, sig = [], [], [], []
             for s in shingled(texts(batch), k):
                 digest = xxhash.xxh3_128_digest(s.tobytes())
@@ -213,7 +213,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(it):
-        for batch in slices(it):
+        for batch in slices(trimmed(it)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingled(texts(batch), k)], type=pa.binary())], schema=schema)
 
     return rows.mapInArrow(run, ddl)
@@ -230,7 +230,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     schema = arrow_schema(ddl)
 
     def run(it):
-        for batch in it:
+        for batch in trimmed(it):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -145,6 +147,19 @@ def slices(it, size: int = 1_000_000, column: int | None = None):
             at = to
 
 
+def trimmed(it):
+    """Batches, after each of which the memory that it needed and no longer needs goes back to the
+    system: a worker process serves one stage after another, and would keep the most that any
+    of them took."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in it:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if give_back is not None:
+            give_back(0)
+
+
 def columns_of(rows: list[tuple], n: int) -> list:
     """Rows as n columns, also where there are none."""
     return list(zip(*rows, strict=True)) if rows else [[] for _ in range(n)]

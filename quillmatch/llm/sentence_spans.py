@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.plans.staging import release, staged, unstage
 
-from .common import INVERSE, arrow_schema, bounded_batches, id_type, mix, powers, prefix_sums, run_hashes, slices, texts
+from .common import INVERSE, arrow_schema, bounded_batches, id_type, mix, powers, prefix_sums, run_hashes, slices, texts, trimmed
 
 SENTENCES = 3
 SPAN_WORDS = 20
@@ -147,7 +147,7 @@ def span_hashes(docs: DataFrame, **settings) -> DataFrame:
     longest, least, words = _settings(settings)
 
     def run(it):
-        for batch in slices(it):
+        for batch in slices(trimmed(it)):
             p = Parted(texts(batch), longest)
             of, _, _, h = p.spans(least, words)
             order = np.lexsort((h, of))
@@ -201,7 +201,7 @@ def dedup_spans(docs: DataFrame, **settings) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(it):
-        for batch in slices(it, column=text_at):
+        for batch in slices(trimmed(it), column=text_at):
             columns = list(batch.columns[: len(own)])
             removals, n, again = (c.to_pylist() for c in batch.columns[len(own) :])
             counts = np.zeros((len(added), batch.num_rows), dtype=np.int64)
