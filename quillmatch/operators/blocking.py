@@ -18,18 +18,35 @@ from quillmatch.plans.params import Params
 
 def blocking_tokens(refs: DataFrame, freq: DataFrame, p: Params) -> DataFrame:
     """refID, token, m: the rare tokens of each reference and how often it has them."""
+    return _rare_rows(refs, freq, p).groupBy("refID", "token").agg(F.count("*").alias("m"))
+
+
+def _rare_rows(refs: DataFrame, freq: DataFrame, p: Params) -> DataFrame:
+    """refID, pos, token: the occurrences of blocking tokens."""
     token = F.col("token")
     rare = freq.where(F.col("n").between(2, p.beta) & (F.char_length(token) >= p.minBlkTokenLen))
     if p.excludeNumericBlocks:
         rare = rare.where(~is_digit(token))
-    rows = without_heaviest(token_rows(refs), freq, p.beta + 1)
-    return rows.join(rare.select("token"), "token").groupBy("refID", "token").agg(F.count("*").alias("m"))
+    return without_heaviest(token_rows(refs), freq, p.beta + 1).join(rare.select("token"), "token").select("refID", "pos", "token")
+
+
+def _spelt_out_pairs(refs: DataFrame, freq: DataFrame, p: Params) -> DataFrame:
+    """Candidate pairs by keys of two tokens written together, so that different tokens can make one
+    key. A reference of k blocking tokens has k * (k - 1) / 2 of them."""
+    rows = _rare_rows(refs, freq, p)
+    a, b = rows.select("refID", F.col("pos").alias("p1"), F.col("token").alias("t1")), rows.select("refID", F.col("pos").alias("p2"), F.col("token").alias("t2"))
+    keys = a.join(b, "refID").where("p1 < p2").groupBy("refID", F.concat(F.least("t1", "t2"), F.greatest("t1", "t2")).alias("key")).agg(F.count("*").alias("m"))
+    one, two = keys.select(F.col("refID").alias("refID1"), "key"), keys.select(F.col("refID").alias("refID2"), "key")
+    cross = one.join(two, "key").where("refID1 < refID2").select("refID1", "refID2").distinct()
+    return cross.unionByName(keys.where("m > 1").select(F.col("refID").alias("refID1"), F.col("refID").alias("refID2")).distinct())
 
 
 def candidate_pairs(refs: DataFrame, freq: DataFrame, p: Params) -> DataFrame:
     """refID1, refID2: distinct, refID1 <= refID2. A reference that repeats blocking tokens enough
     to share a key with itself pairs with itself. `refs` are those not resolved yet; `freq` counts
     all."""
+    if p.blockByPairs and p.strictBlockKeys:
+        return _spelt_out_pairs(refs, freq, p)
     bt = blocking_tokens(refs, freq, p)
     a, b = bt.select(F.col("refID").alias("refID1"), "token", F.col("m").alias("m1")), bt.select(F.col("refID").alias("refID2"), "token", F.col("m").alias("m2"))
     joined = a.join(b, "token").where("refID1 < refID2")

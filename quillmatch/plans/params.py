@@ -32,6 +32,8 @@ class Params:
     maxFreqErrToken: int = 3
     beta: int = 2
     blockByPairs: bool = True
+    #: pairs of tokens make one key without a separator, as AB with CDEF and ABC with DEF
+    strictBlockKeys: bool = False
     minBlkTokenLen: int = 4
     excludeNumericBlocks: bool = True
     blockCorrection: bool = False

@@ -111,7 +111,16 @@ def tok_compress(spark, d):
     return documents(spark, d, P.with_(tokenizerType="Compress")).select("refID", _joined())
 
 
-@query()
+@query(
+    rf"""WITH f AS (SELECT doc_id, unnest(range(1, len(fs) + 1)) AS i, unnest(fs) AS field FROM (SELECT doc_id, string_split({_UPPER}, ',') AS fs FROM documents)
+), v AS (SELECT doc_id, i, list_transform(list_filter(regexp_split_to_array(field, '[\s\x0B]+'), lambda x: x <> ''), lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}_]+', '', 'g')) AS ws FROM f
+), w AS (SELECT doc_id, i, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS w FROM v
+), d AS (SELECT *, regexp_matches(w, '^\p{{Nd}}+$') AS d FROM w
+), g AS (SELECT *, CASE WHEN d THEN pos - row_number() OVER (PARTITION BY doc_id, i, d ORDER BY pos) ELSE -pos END AS grp FROM d
+), r AS (SELECT doc_id, i, min(pos) AS pos, string_agg(w, '' ORDER BY pos) AS t FROM g GROUP BY doc_id, i, d, grp
+), j AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i, pos) AS tokens FROM r GROUP BY doc_id)
+SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS refID, coalesce(j.tokens, '') AS tokens FROM documents LEFT JOIN j USING (doc_id)"""
+)
 def tok_compressnbr(spark, d):
     return documents(spark, d, P.with_(tokenizerType="CompressNbr")).select("refID", _joined())
 

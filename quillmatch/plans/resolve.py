@@ -16,6 +16,7 @@ from quillmatch.operators.quality import entropy_quality
 from quillmatch.operators.scoring import linked, score
 from quillmatch.operators.stats import frequency_statistics, token_frequency
 from quillmatch.plans.params import Params
+from quillmatch.plans.rounds import Rounds
 from quillmatch.plans.staging import staged
 
 
@@ -91,23 +92,25 @@ def _frequencies(refs: DataFrame, seen: dict[str, dict], name: str) -> DataFrame
     return freq
 
 
-def _row(df: DataFrame) -> DataFrame:
-    """One row, staged, and seen."""
-    return staged(df, **{c: F.max(c) for c in df.columns})
-
-
 def _edits(df: DataFrame) -> DataFrame:
     return staged(df, edits=F.coalesce(F.sum("n"), F.lit(0)), distinct_edits=F.count("*"))
 
 
-def resolve(refs: DataFrame, p: Params, words: DataFrame | None = None, aliases: DataFrame | None = None, variants: DataFrame | None = None, truth: DataFrame | None = None, restricted: bool = True) -> Resolution:
+def resolve(refs: DataFrame, p: Params, words: DataFrame | None = None, aliases: DataFrame | None = None, variants: DataFrame | None = None, truth: DataFrame | None = None, restricted: bool = True, folder: str | None = None) -> Resolution:
     """Resolve tokenized references (refID unique, tokens, ord).
 
     Each round blocks the references that are still open, links, closes and keeps the clusters of
     quality epsilon or more; mu and epsilon then grow. The loop ends where nothing is left to pair
     or to link, where mu passes 1, or where a round resolved nothing and neither threshold moves.
-    References that stay open become clusters of their own."""
+    References that stay open become clusters of their own.
+
+    `folder`: where rounds are kept (a folder that all executors share); a later call with the same
+    parameters and folder goes on after the last whole round, on the references as they were read
+    then."""
     p.checked()
+    store = Rounds(refs.sparkSession, folder, p)
+    if done := store.found():
+        return _rounds(_resumed(store, done, p), store, truth, aliases, restricted, done[-1])
     rows, seen = {"refs": F.count("*")}, {}
     refs = staged(refs.select("refID", "tokens", "ord"), **rows)
     freq = _frequencies(refs, seen, "tokens_read")
@@ -128,65 +131,113 @@ def resolve(refs: DataFrame, p: Params, words: DataFrame | None = None, aliases:
         freq = _frequencies(refs, seen, "tokens_corrected")
     link = staged(refs.select("refID", F.lit(None).cast("string").alias("clusterID")))
     out = Resolution(p, link, refs, freq, variants=learned, refs_read=refs_read, freq_read=freq_read, global_edits=global_edits, refs_changed=refs_changed, seen=seen)
-    mu, epsilon, first = p.mu, p.epsilon, True
-    while True:
-        now = p.with_(mu=mu, epsilon=epsilon)
-        resolved = link.where("clusterID IS NOT NULL").select("refID")
-        many = {"n": F.count("*")}
-        pairs = staged(candidate_pairs(refs.join(resolved, "refID", "left_anti"), freq, now), **many)
-        step = Iteration(len(out.iterations) + 1, mu, epsilon, pairs)
-        step.seen["pairs"] = pairs.seen
-        out.iterations.append(step)
-        if truth is not None:
-            step.blocking = _row(blocking_metrics(pairs, refs, truth))
-            step.seen["blocking"] = step.blocking.seen
-        if not pairs.seen["n"]:
-            out.ended = "no candidate pairs"
-            break
-        if p.blockCorrection and first:
-            edits, refs_now, out.block_rounds = correct_blocks(refs, freq, pairs, aliases)
-            out.block_edits = edits = _edits(edits)
-            seen["block_correction"] = edits.seen | {"rounds": out.block_rounds}
-            step.blocked, step.refs_blocked = pairs, refs
-            step.seen["pairs_before_correction"] = pairs.seen
-            if edits.seen["edits"]:
-                refs = staged(refs_now, **rows)
-                freq = _frequencies(refs, seen, "tokens_corrected")
-                pairs = step.pairs = staged(candidate_pairs(refs.join(resolved, "refID", "left_anti"), freq, now), **many)
-                step.seen["pairs"] = pairs.seen
-                if truth is not None:
-                    step.blocking = _row(blocking_metrics(pairs, refs, truth))
-                    step.seen["blocking"] = step.blocking.seen
-            else:
-                seen["tokens_corrected"] = seen.get("tokens_corrected", seen["tokens_read"])
-        first = False
-        links = step.links = staged(linked(score(pairs, comparison_tokens(refs, freq, now), now, restricted), mu), **many)
-        step.seen["links"] = links.seen
-        if not links.seen["n"]:
-            out.ended = "no linked pairs"
-            break
-        clusters = step.clusters = staged(clusters_of(links), **many)
-        quality = step.quality = staged(entropy_quality(clusters, refs), **quality_counters(epsilon))
-        step.seen |= {"clustered": clusters.seen, "quality": quality.seen}
-        good = quality.where(F.col("quality") >= epsilon).select("clusterID")
-        kept = clusters.join(good, "clusterID", "left_semi")
-        step.link = upsert(link, clusters)
-        if p.runIterationProfile:
+    return _rounds(out, store, truth, aliases, restricted)
+
+
+#: Tables of a run that are kept with its first round, beside references and frequencies.
+_OF_RUN = ("refs_read", "freq_read", "variants", "global_edits", "block_edits")
+#: Tables of a round.
+_OF_ROUND = ("pairs", "blocked", "refs_blocked", "links", "clusters", "quality", "link", "metrics", "blocking")
+
+
+def _resumed(store: Rounds, done: list[dict], p: Params) -> Resolution:
+    """What a run had after its last whole round."""
+    first, last = done[0], done[-1]
+    own = {name: store.table(name, 1) for name in first["of_run"]}
+    out = Resolution(p, store.table("link", last["number"]), store.table("refs", 1), store.table("freq", 1), seen=last["run_seen"], refs_changed=first["refs_changed"], block_rounds=first["block_rounds"], **own)
+    for m in done:
+        tables = {name: store.table(f"round_{name}", m["number"]) for name in m["of_round"]}
+        step = Iteration(m["number"], m["mu"], m["epsilon"], seen=m["seen"], **tables)
+        if p.runIterationProfile and step.link is not None:
             step.profile = cluster_profile(step.link)
-            if truth is not None:
-                step.metrics = _row(er_metrics(step.link, truth))
-                step.seen["metrics"] = step.metrics.seen
-        none_new = kept.isEmpty()
-        link = staged(upsert(link, kept))
+        out.iterations.append(step)
+    return out
+
+
+def _rounds(out: Resolution, store: Rounds, truth: DataFrame | None, aliases: DataFrame | None, restricted: bool, last: dict | None = None) -> Resolution:
+    """The rounds that are left, and the end."""
+    p = out.params
+    mu, epsilon = (last["next_mu"], last["next_epsilon"]) if last else (p.mu, p.epsilon)
+    out.ended = last["ended"] if last else ""
+    while not out.ended:
+        step = _round(out, store, len(out.iterations) + 1, mu, epsilon, truth, aliases, restricted)
         mu, epsilon = round(mu + p.muIterate, 2), round(epsilon + p.epsilonIterate, 2)
-        if mu > 1.0:
+        if not out.ended and mu > 1.0:
             out.ended = "mu above 1"
-            break
-        if none_new and not p.muIterate and not p.epsilonIterate:
-            out.ended = "nothing resolved, thresholds fixed"
-            break
-    out.link = link.select("refID", F.coalesce("clusterID", "refID").alias("clusterID"))
-    out.refs, out.freq = refs, freq
+        if store.folder:
+            if step.number == 1:
+                out.refs, out.freq = store.keep(out.refs, "refs", 1), store.keep(out.freq, "freq", 1)
+                for name in _OF_RUN:
+                    if getattr(out, name) is not None:
+                        setattr(out, name, store.keep(getattr(out, name), name, 1))
+            out.link = store.keep(out.link, "link", step.number)
+            store.end(
+                step.number, mu=step.mu, epsilon=step.epsilon, next_mu=mu, next_epsilon=epsilon, ended=out.ended, seen=step.seen, run_seen=out.seen, refs_changed=out.refs_changed, block_rounds=out.block_rounds,
+                of_run=[n for n in _OF_RUN if getattr(out, n) is not None], of_round=[n for n in _OF_ROUND if getattr(step, n) is not None],
+            )
+    out.link = out.link.select("refID", F.coalesce("clusterID", "refID").alias("clusterID"))
     out.profile = staged(cluster_profile(out.link), clusters=F.coalesce(F.sum("clusters"), F.lit(0)), refs=F.coalesce(F.sum("refs"), F.lit(0)), largest=F.max("size"))
-    seen["clusters"] = out.profile.seen
+    out.seen["clusters"] = out.profile.seen
     return out
+
+
+def _round(out: Resolution, store: Rounds, number: int, mu: float, epsilon: float, truth: DataFrame | None, aliases: DataFrame | None, restricted: bool) -> Iteration:
+    """One round: what it made, and in `out` what it changed; out.ended says if it was the last."""
+    p, seen = out.params, out.seen
+    now, many = p.with_(mu=mu, epsilon=epsilon), {"n": F.count("*")}
+    resolved = out.link.where("clusterID IS NOT NULL").select("refID")
+
+    def keep(df: DataFrame, name: str, **counts) -> DataFrame:
+        return store.keep(df, f"round_{name}", number, **counts)
+
+    def blocked(name: str) -> DataFrame:
+        return keep(candidate_pairs(out.refs.join(resolved, "refID", "left_anti"), out.freq, now), name, **many)
+
+    def row(df: DataFrame, name: str) -> DataFrame:
+        kept = keep(df, name, **{c: F.max(c) for c in df.columns})  # one row
+        step.seen[name] = kept.seen
+        return kept
+
+    correct, edited = p.blockCorrection and number == 1, False
+    pairs = blocked("blocked" if correct else "pairs")
+    step = Iteration(number, mu, epsilon, pairs)
+    step.seen["pairs"] = pairs.seen
+    out.iterations.append(step)
+    if correct and pairs.seen["n"]:
+        edits, refs_now, out.block_rounds = correct_blocks(out.refs, out.freq, pairs, aliases)
+        out.block_edits = edits = _edits(edits)
+        seen["block_correction"] = edits.seen | {"rounds": out.block_rounds}
+        step.blocked, step.refs_blocked = pairs, keep(out.refs, "refs_blocked")
+        step.seen["pairs_before_correction"] = pairs.seen
+        edited = bool(edits.seen["edits"])
+        if edited:
+            out.refs = staged(refs_now, refs=F.count("*"))
+            out.freq = _frequencies(out.refs, seen, "tokens_corrected")
+        else:
+            seen["tokens_corrected"] = seen.get("tokens_corrected", seen["tokens_read"])
+    if correct:
+        pairs = step.pairs = blocked("pairs") if edited else keep(pairs, "pairs", **many)
+        step.seen["pairs"] = pairs.seen
+    if truth is not None:
+        step.blocking = row(blocking_metrics(pairs, out.refs, truth), "blocking")
+    if not pairs.seen["n"]:
+        out.ended = "no candidate pairs"
+        return step
+    links = step.links = keep(linked(score(pairs, comparison_tokens(out.refs, out.freq, now), now, restricted), mu), "links", **many)
+    step.seen["links"] = links.seen
+    if not links.seen["n"]:
+        out.ended = "no linked pairs"
+        return step
+    clusters = step.clusters = keep(clusters_of(links), "clusters", **many)
+    quality = step.quality = keep(entropy_quality(clusters, out.refs), "quality", **quality_counters(epsilon))
+    step.seen |= {"clustered": clusters.seen, "quality": quality.seen}
+    good = clusters.join(quality.where(F.col("quality") >= epsilon).select("clusterID"), "clusterID", "left_semi")
+    step.link = keep(upsert(out.link, clusters), "link")
+    if p.runIterationProfile:
+        step.profile = cluster_profile(step.link)
+        if truth is not None:
+            step.metrics = row(er_metrics(step.link, truth), "metrics")
+    out.link = staged(upsert(out.link, good))
+    if not quality.seen["good_clusters"] and not p.muIterate and not p.epsilonIterate:
+        out.ended = "nothing resolved, thresholds fixed"
+    return step

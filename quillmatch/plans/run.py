@@ -11,6 +11,7 @@ don't overwrite each other:
     profile             sizes of the clusters; metrics: against the truth, where there is one
     global_edits, block_edits   with globalCorrectionDetail, blockCorrectionDetail
     variants            a JSON object, with learnTokenVariants
+    rounds/             with resume: tables by iteration=NN, and a manifest for each whole round
     iteration_NN/       block_pairs, pairs_before_correction, linked_pairs, comparison, token_matches
                         (matrix of greedy matches only), clusters, cluster_json, link and,
                         with runIterationProfile, profile and metrics
@@ -37,15 +38,16 @@ from quillmatch.plans.staging import staged
 from quillmatch.sources.readers import read_aliases, read_references, read_truth, read_variants, read_word_list, resolve_duplicates
 
 
-def run(spark: SparkSession, params_path: str, out: str, words_path: str | None = None, aliases_path: str | None = None, variants_path: str | None = None, tag: str = "run") -> Resolution:
+def run(spark: SparkSession, params_path: str, out: str, words_path: str | None = None, aliases_path: str | None = None, variants_path: str | None = None, tag: str = "run", resume: bool = False) -> Resolution:
     """Resolve what a parameter file names. `out`: a folder that Spark can write, for the outputs;
-    word list, aliases and variants are optional files."""
-    result, row = _run(spark, params_path, out, words_path, aliases_path, variants_path, tag)
+    word list, aliases and variants are optional files. With `resume`, rounds are kept in the run's
+    folder, and one that was lost goes on after its last whole round."""
+    result, row = _run(spark, params_path, out, words_path, aliases_path, variants_path, tag, resume)
     reports.append_workbook(row, f"{out.rstrip('/')}/report.xlsx")
     return result
 
 
-def _run(spark, params_path, out, words_path=None, aliases_path=None, variants_path=None, tag="run") -> tuple[Resolution, DataFrame]:
+def _run(spark, params_path, out, words_path=None, aliases_path=None, variants_path=None, tag="run", resume=False) -> tuple[Resolution, DataFrame]:
     p = load(params_path)
     near = Path(params_path).parent
     refs = resolve_duplicates(tokenize(read_references(spark, _beside(near, p.inputFileName), p.delimiter, p.hasHeader), p))
@@ -53,8 +55,9 @@ def _run(spark, params_path, out, words_path=None, aliases_path=None, variants_p
     words = read_word_list(spark, words_path) if words_path else None
     aliases = read_aliases(spark, aliases_path) if aliases_path else None
     variants = read_variants(spark, variants_path) if variants_path else None
-    result = resolve(refs, p, words=words, aliases=aliases, variants=variants, truth=truth)
-    return result, write(result, reports.capture_path(out, base_name(p.inputFileName), tag), truth)
+    folder = reports.capture_path(out, base_name(p.inputFileName), tag)
+    result = resolve(refs, p, words=words, aliases=aliases, variants=variants, truth=truth, folder=f"{folder}/rounds" if resume else None)
+    return result, write(result, folder, truth)
 
 
 @dataclass

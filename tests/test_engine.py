@@ -14,6 +14,7 @@ from quillmatch.operators import blocking, closure, correction, metrics, quality
 from quillmatch.operators.block_correction import Fold, correct_blocks
 from quillmatch.operators.closure import components
 from quillmatch.plans import queries, reports, run
+from quillmatch.plans import resolve as resolving
 from quillmatch.plans.params import ParameterError, Params, parse
 from quillmatch.plans.resolve import resolve
 from quillmatch.plans.run import batch
@@ -61,20 +62,18 @@ def literal_pairs(lists, freq, p):
     keys = {}
     for r, tokens in lists.items():
         own = [t for t in tokens if 2 <= freq[t] <= p.beta and len(t) >= p.minBlkTokenLen and not (p.excludeNumericBlocks and t.isdigit())]
-        for key in [tuple(sorted(x)) for x in combinations(own, 2)] if p.blockByPairs else own:
+        for key in [("" if p.strictBlockKeys else " ").join(sorted(x)) for x in combinations(own, 2)] if p.blockByPairs else own:
             keys.setdefault(key, []).append(r)
     return {tuple(sorted(x)) for rs in keys.values() for x in combinations(rs, 2)}
 
 
-@pytest.mark.parametrize("by_pairs", [True, False])
-def test_blocking_against_spelt_out_keys(spark, by_pairs):
+@pytest.mark.parametrize(("by_pairs", "strict"), [(True, False), (False, False), (True, True)])
+def test_blocking_against_spelt_out_keys(spark, by_pairs, strict):
     rnd = random.Random(7)
-    lists = {f"r{i:03d}": [rnd.choice(["AAAA", "BBBB", "CCCC", "DDDD", "EEEE", "1234", "ZZ", *(f"T{k:04d}" for k in range(60))]) for _ in range(rnd.randint(0, 6))] for i in range(120)}
-    freq = {}
-    for ts in lists.values():
-        for t in ts:
-            freq[t] = freq.get(t, 0) + 1
-    p = Params(beta=8, sigma=12, blockByPairs=by_pairs)
+    lists = {f"r{i:03d}": [rnd.choice(["AAAA", "AAAAB", "BBBBB", "BBBB", "CCCC", "DDDD", "EEEE", "1234", "ZZ", *(f"T{k:04d}" for k in range(60))]) for _ in range(rnd.randint(0, 6))] for i in range(120)}
+    p = Params(beta=8, sigma=12, blockByPairs=by_pairs, strictBlockKeys=strict)
+    lists |= {"x1": ["AAAAA", "BBBBX"], "x2": ["AAAA", "ABBBBX"], "x3": ["AAAAA", "ABBBBX", "BBBBX"]}
+    freq = Counter(t for ts in lists.values() for t in ts)
     refs = refs_of(spark, lists)
     found = {tuple(r) for r in blocking.candidate_pairs(refs, stats.token_frequency(refs), p).collect()}
     assert found == literal_pairs(lists, freq, p)
@@ -457,6 +456,34 @@ def test_the_log_starts_no_job(spark):
     assert ("end", len(result.iterations), result.ended) in found
 
 
+def test_a_lost_run_goes_on_after_its_last_round(spark, tmp_path, monkeypatch):
+    lists = {f"A{i}": ["JOHN", "SMITHE", "MAPLE", f"X{i // 2}YZ"] for i in range(4)} | {"B1": ["ALICE", "WONDER", "LANE"], "B2": ["ALICE", "WONDAR", "LANE"], "B3": ["ALICE", "WONDER", "ROAD"], "C": ["NOBODY"]}
+    refs = refs_of(spark, lists)
+    truth = spark.createDataFrame([("A0", "1"), ("A1", "1"), ("B1", "2"), ("B2", "2")], "refID string, truthID string")
+    p = Params(beta=6, sigma=9, mu=0.5, muIterate=0.2, epsilon=0.9, blockCorrection=True, runIterationProfile=True, comparator="ScoringMatrixKris", removeExcludedBlkTokens=False)
+    whole = resolve(refs, p, truth=truth)
+    assert len(whole.iterations) > 1
+    folder, before = str(tmp_path / "rounds"), resolving._round
+
+    def lost(out, store, number, *rest):
+        if number == 2:
+            before(out, store, number, *rest)  # a round without a manifest
+            raise RuntimeError("the driver is lost")
+        return before(out, store, number, *rest)
+
+    monkeypatch.setattr(resolving, "_round", lost)
+    with pytest.raises(RuntimeError, match="lost"):
+        resolve(refs, p, truth=truth, folder=folder)
+    monkeypatch.setattr(resolving, "_round", before)
+    for again in (resolve(refs.limit(0), p, truth=truth, folder=folder), resolve(refs.limit(0), p, truth=truth, folder=folder)):
+        assert sorted(map(tuple, again.link.collect())) == sorted(map(tuple, whole.link.collect())) and again.ended == whole.ended
+        assert sorted(map(str, reports.run_log(again).collect())) == sorted(map(str, reports.run_log(whole).collect()))
+        for a, b in zip(again.iterations, whole.iterations, strict=True):
+            assert [sorted(map(str, x.collect())) if x is not None else None for x in (a.pairs, a.links, a.clusters, a.quality, a.link, a.metrics, a.profile, a.blocked)] == [sorted(map(str, x.collect())) if x is not None else None for x in (b.pairs, b.links, b.clusters, b.quality, b.link, b.metrics, b.profile, b.blocked)]
+    other = resolve(refs, p.with_(mu=0.9), truth=truth, folder=folder)  # other parameters start anew
+    assert other.iterations[0].mu == 0.9
+
+
 def test_lines_are_numbered_over_files_and_blocks(spark, tmp_path):
     """Small blocks, so that each file is read by several tasks; every file has its header."""
     folder, want = tmp_path / "refs", []
