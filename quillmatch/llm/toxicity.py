@@ -26,6 +26,7 @@ of several labels of a document the greatest holds; without labels of both class
 from __future__ import annotations
 
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -125,15 +126,20 @@ class Evidence:
         each = np.where(seen, self.value[at], np.where(known, self.unseen[ctx], 0.0)) if len(self.keys) else np.zeros(len(key))
         return np.bincount(owner, weights=each, minlength=len(ws))
 
-    def __call__(self, ws: list[bytes], room: int = 300_000) -> np.ndarray:
+    def __call__(self, ws: list[bytes], room: int = 300_000, longest: int = 64) -> np.ndarray:
+        """The evidence of each word. Up to `room` words of `longest` bytes are remembered, and when
+        they are more, the half that was met first is forgotten."""
         known = self.known
         new = [w for w in set(ws) if w not in known]
-        if new:
-            if len(known) > room:
-                known.clear()
-                new = list(set(ws))
-            known.update(zip(new, self.of_words(new).tolist(), strict=True))
-        return np.fromiter(map(known.__getitem__, ws), dtype=float, count=len(ws))
+        if not new:
+            return np.fromiter(map(known.__getitem__, ws), dtype=float, count=len(ws))
+        fresh = dict(zip(new, self.of_words(new).tolist(), strict=True))
+        found = np.fromiter((fresh[w] if w in fresh else known[w] for w in ws), dtype=float, count=len(ws))
+        if len(known) > room:
+            for w in list(islice(known, room // 2)):
+                del known[w]
+        known.update((w, v) for w, v in fresh.items() if len(w) <= longest)
+        return found
 
     def features(self, text: bytes | None) -> list[float]:
         """The mean over the whole text; less its median, the greatest mean over runs of each length;

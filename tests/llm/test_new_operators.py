@@ -5,10 +5,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from quillmatch.llm import decontamination, language_id, passage_attention, source_divergence, toxicity, whitening
+from quillmatch.llm import bottom_k, decontamination, language_id, passage_attention, source_divergence, suffix_tree, token_counts, toxicity, whitening
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -307,3 +309,65 @@ def test_a_long_item_is_spread_over_blocks(spark):
     docs = spark.createDataFrame([(1, " ".join(["x", *w[495:620], "y"])), (2, " ".join(w[6990:7020])), (3, " ".join(w[:9])), (4, "z a b c z")], "doc_id long, text string")
     few, many = ({r["doc_id"]: r for r in decontamination.decontaminate(docs, bench, block_windows=n).collect()} for n in (7000, 100_000))
     assert few == many and [few[i]["n_hit"] for i in (1, 2, 3, 4)] == [125, 30, 0, 3] and [few[i]["n_items"] for i in (1, 2, 3, 4)] == [2, 1, 0, 1]
+
+
+# --- very long texts, null and repeated ids ----------------------------------------------------------
+
+
+def long_texts(spark):
+    """A text of 200,000 words, one word of a megabyte, and small ones, with null and repeated ids."""
+    rnd = random.Random(14)
+    many = prose(rnd, 200_000)
+    rows = [(1, many), (2, "x" * 1_000_000), (3, "ka lo mi"), (3, "ka lo mi"), (3, "tu ré"), (None, "ka lo"), (4, None), (5, "")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+
+
+def test_long_texts_in_toxicity(spark):
+    rows, docs = long_texts(spark)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    found = toxicity.score(docs, labels, F.col("doc_id") == 5).collect()
+    assert len(found) == len(rows) and all(0 <= r["score"] <= 1 for r in found)
+    same = [r["score"] for r in found if r["doc_id"] == 3]
+    assert len(same) == 3 and len(set(same)) <= 2
+
+
+def test_long_texts_in_the_suffix_tree(spark):
+    rows, docs = long_texts(spark)
+    found = suffix_tree.score(docs, F.col("doc_id") == 5).collect()
+    assert sorted((r["n_tokens"] for r in found), reverse=True)[0] == 200_001 and len(found) == len(rows)
+    assert all(np.isfinite(r["score"]) and np.isfinite(r["base_score"]) for r in found)
+
+
+def test_long_texts_in_fingerprints(spark):
+    rows, docs = long_texts(spark)
+    found = bottom_k.fingerprints(docs).collect()
+    assert sorted(r["n_chars"] for r in found) == sorted(len(t or "") for _, t in rows)
+    assert len({r["fingerprint"] for r in found if r["doc_id"] == 3}) == 2
+
+
+def test_long_texts_in_token_counts(spark):
+    """Edits of a long text, of a megabyte of one letter, and of rows that share an id or have none,
+    against encoding the edited text anew."""
+    rows, docs = long_texts(spark)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    edits = spark.createDataFrame([(1, [(600_000, 4, " new ")]), (2, [(500_000, 2, "y")]), (3, [(0, 2, "")]), (None, [(0, 0, "a")]), (9, [(0, 0, "b")])], "doc_id long, edits array<struct<at:long,removed:long,inserted:string>>")
+    found = token_counts.count_edited(docs, edits, path).collect()
+    tokenizer = Tokenizer.from_file(path)
+    known = {1: (600_000, 4, " new "), 2: (500_000, 2, "y"), 3: (0, 2, "")}
+    want = []
+    for i, t in rows:
+        t = t or ""
+        at, removed, inserted = known.get(i, (0, 0, ""))
+        want.append((i is None, i or 0, len(tokenizer.encode(t, add_special_tokens=False).ids), len(tokenizer.encode(t[:at] + inserted + t[at + removed :], add_special_tokens=False).ids)))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["edited_tokens"]) for r in found) == sorted(want)
+    assert token_counts.count_edited(docs.limit(0), edits, path).count() == 0
+
+
+def test_words_that_are_remembered_are_bounded():
+    e = toxicity.Evidence(Counter({b"bad": 3}), Counter({b"good": 3}))
+    words = [f"w{i}".encode() for i in range(50)] + [b"x" * 100, b"bad"]
+    want = e.of_words(words).tolist()
+    for _ in range(3):
+        for i in range(0, len(words), 7):
+            assert e(words[i : i + 7], room=10).tolist() == pytest.approx(want[i : i + 7])
+        assert len(e.known) <= 10 + 7 and max(map(len, e.known)) <= 64
