@@ -128,7 +128,7 @@ class Evidence:
 
     def __call__(self, ws: list[bytes], room: int = 300_000, longest: int = 64) -> np.ndarray:
         """The evidence of each word. Up to `room` words of `longest` bytes are remembered, and when
-        they are more, the half that was met first is forgotten."""
+        they are more, those that were met first are forgotten, but for half as many."""
         known = self.known
         new = [w for w in set(ws) if w not in known]
         if not new:
@@ -136,7 +136,7 @@ class Evidence:
         fresh = dict(zip(new, self.of_words(new).tolist(), strict=True))
         found = np.fromiter((fresh[w] if w in fresh else known[w] for w in ws), dtype=float, count=len(ws))
         if len(known) > room:
-            for w in list(islice(known, room // 2)):
+            for w in list(islice(known, len(known) - room // 2)):
                 del known[w]
         known.update((w, v) for w, v in fresh.items() if len(w) <= longest)
         return found
