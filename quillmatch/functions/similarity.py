@@ -8,6 +8,7 @@ token pairs once, all of them in step, then each pair of lists picks its cells.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column
@@ -74,14 +75,41 @@ def cosine(a: Column, b: Column) -> Column:
 # --- Damerau-Levenshtein over many pairs at once ---------------------------------------------
 
 
+class Words(NamedTuple):
+    """Words as code points one after another, where each starts, how many it has, and which of 64
+    classes of code points it has at all."""
+
+    flat: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    letters: np.ndarray
+
+    @staticmethod
+    def of(words: list[str]) -> Words:
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
+        letters = np.zeros(len(words), dtype=np.int64)
+        np.bitwise_or.at(letters, np.repeat(np.arange(len(words)), size), np.int64(1) << (flat & 63).astype(np.int64))
+        return Words(flat, np.cumsum(size) - size, size, letters)
+
+    def more(self, words: list[str]) -> Words:
+        """These words and others behind them."""
+        new = Words.of(words)
+        new = new._replace(start=new.start + len(self.flat))
+        return Words(*(np.concatenate(two) for two in zip(self, new, strict=True)))
+
+    def codes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code points of these words, a row for each, and their sizes."""
+        size = self.size[which]
+        place = np.arange(int(size.max(initial=0)))
+        inside = place < size[:, None]
+        out = np.zeros(inside.shape, dtype=np.int32)
+        out[inside] = self.flat[(self.start[which][:, None] + place)[inside]]
+        return out, size
+
+
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    out = np.zeros((len(words), int(sizes.max(initial=0))), dtype=np.int32)
-    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
-    row = np.repeat(np.arange(len(words)), sizes)
-    col = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out[row, col] = flat
-    return out, sizes
+    return Words.of(words).codes(np.arange(len(words)))
 
 
 def damerau(a: list[str], b: list[str], restricted: bool = True) -> np.ndarray:
@@ -129,34 +157,40 @@ def _full(x: np.ndarray, m: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndar
     for i in range(1, rows + 1):
         match_col = np.zeros(count, dtype=np.int32)  # last column in this row that matched
         for j in range(1, cols + 1):
-            same = x[:, i - 1] == y[:, j - 1]
-            best = np.minimum(np.minimum(d[i - 1, j], d[i, j - 1]) + 1, d[i - 1, j - 1] + ~same)
-            k, w = last[j - 1], match_col
-            both = (k > 0) & (w > 0)
-            if both.any():
-                cost = d[np.maximum(k - 1, 0), np.maximum(w - 1, 0), every] + (i - k - 1) + 1 + (j - w - 1)
-                best = np.where(both, np.minimum(best, cost), best)
-            match_col = np.where(same, j, match_col)
-            d[i, j] = best
-        last = np.where(y.T == x[:, i - 1], i, last)
+            same, best = x[:, i - 1] == y[:, j - 1], d[i, j]
+            np.minimum(d[i - 1, j], d[i, j - 1], out=best)
+            best += 1
+            np.minimum(best, d[i - 1, j - 1] + ~same, out=best)
+            both = np.flatnonzero((last[j - 1] > 0) & (match_col > 0))  # few pairs have such a swap
+            if len(both):
+                k, w = last[j - 1, both], match_col[both]
+                best[both] = np.minimum(best[both], d[k - 1, w - 1, both] + (i - k) + (j - w) - 1)
+            match_col[same] = j
+        last[y.T == x[:, i - 1]] = i
     return d[m, n, every]
 
 
 def similarities(a: list[str], b: list[str], restricted: bool = True, cells: int = 4_000_000) -> np.ndarray:
-    """1 less the distance over the greater length; two empty tokens are alike. Pairs are compared
-    in blocks whose matrices have so many cells together, or one pair."""
-    out = np.ones(len(a))
-    longest = np.array([max(len(p), len(q)) for p, q in zip(a, b, strict=True)], dtype=np.int64)
+    """1 less the distance over the greater length; two empty tokens are alike."""
+    return compared(Words.of([*a, *b]), np.arange(len(a)), np.arange(len(a), 2 * len(a)), restricted, cells)
+
+
+def compared(words: Words, p: np.ndarray, q: np.ndarray, restricted: bool = True, cells: int = 4_000_000) -> np.ndarray:
+    """Similarities of the words p[i] and q[i]. Words without a common letter differ in all of the
+    longer one; others are compared in blocks whose matrices have so many cells together, or one pair."""
+    longest = np.maximum(words.size[p], words.size[q])
+    out = (longest == 0).astype(float)
+    some = np.flatnonzero(words.letters[p] & words.letters[q])
     # by length, so that a block's matrices are no larger than they must be
-    order = np.argsort(longest, kind="stable")
+    order = some[np.argsort(longest[some], kind="stable")]
     at = 0
-    while at < len(a):
+    while at < len(order):
         # as many as fit if all were as long as the last of them
         area = (longest[order[at : at + cells]] + 1) ** (1 if restricted else 2)
         fit = np.flatnonzero(area * np.arange(1, len(area) + 1) <= (cells // 8 if restricted else cells))
         part = order[at : at + max(int(fit[-1]) + 1 if len(fit) else 1, 1)]
-        d = damerau([a[i] for i in part], [b[i] for i in part], restricted)
-        out[part] = np.where(longest[part] > 0, 1 - d / np.maximum(longest[part], 1), 1.0)
+        d = (_restricted if restricted else _full)(*words.codes(p[part]), *words.codes(q[part]))
+        out[part] = 1 - d / longest[part]
         at += len(part)
     return out
 
@@ -164,7 +198,8 @@ def similarities(a: list[str], b: list[str], restricted: bool = True, cells: int
 class Cells:
     """Similarities of all tokens of two lists. Tokens are named by numbers; distinct pairs of them
     are compared once, and a list pair's cells are picked out of what was compared. What is
-    remembered is bounded: it is forgotten when it holds more than `room` pairs or tokens."""
+    remembered is bounded: it is forgotten when it holds more than `room` pairs or tokens, or eight
+    times as many letters."""
 
     def __init__(self, number_rule: bool = False, initial_rule: bool = False, restricted: bool = True, room: int = 1_000_000):
         self.number_rule, self.initial_rule, self.restricted, self.room = number_rule, initial_rule, restricted, room
@@ -173,6 +208,7 @@ class Cells:
     def _forget(self) -> None:
         self.names: dict[str, int] = {}
         self.tokens: list[str] = []
+        self.words = Words.of([])
         self.keys, self.values = np.zeros(0, dtype=np.int64), np.zeros(0)
 
     def _exact(self, p: str, q: str) -> bool:
@@ -194,7 +230,7 @@ class Cells:
 
     def prepare(self, pairs: list[tuple[list[str], list[str]]]) -> None:
         """Compare what these list pairs need. Their cells together bound the memory."""
-        if len(self.keys) > self.room or len(self.tokens) > self.room:
+        if len(self.keys) > self.room or len(self.tokens) > self.room or len(self.words.flat) > 8 * self.room:
             self._forget()
         parts = [np.unique(self._pairs(a, b)) for a, b in pairs if a and b]
         if not parts:
@@ -202,8 +238,11 @@ class Cells:
         wanted = np.setdiff1d(np.concatenate(parts), self.keys)
         p, q = wanted >> 32, wanted & 0xFFFFFFFF
         value = (p == q).astype(float)
-        other = [i for i in np.flatnonzero(p != q).tolist() if not ((self.number_rule or self.initial_rule) and self._exact(self.tokens[p[i]], self.tokens[q[i]]))]
-        value[other] = similarities([self.tokens[i] for i in p[other].tolist()], [self.tokens[i] for i in q[other].tolist()], self.restricted)
+        other = np.flatnonzero(p != q)
+        if self.number_rule or self.initial_rule:
+            other = np.array([i for i in other.tolist() if not self._exact(self.tokens[p[i]], self.tokens[q[i]])], dtype=np.int64)
+        self.words = self.words.more(self.tokens[len(self.words.size) :])
+        value[other] = compared(self.words, p[other], q[other], self.restricted)
         keys, values = np.concatenate([self.keys, wanted]), np.concatenate([self.values, value])
         order = np.argsort(keys, kind="stable")
         self.keys, self.values = keys[order], values[order]

@@ -19,6 +19,14 @@ def attach(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return pairs.join(left, "refID1").join(right, "refID2").select("refID1", "refID2", "tokens1", "tokens2")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of pairs over all cores, whatever their bytes, and those of one reference over all tasks:
+    a matrix costs far more than moving its lists, and what adaptive execution joins into few tasks
+    by size would be compared by as few."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "refID1", "refID2")
+
+
 def _in_batches(rows: DataFrame, ddl: str, fields: list[tuple[str, pa.DataType]], judge, none, shorter: bool, p: Params, restricted: bool, most: int = 500_000):
     """Rows are judged together as far as their matrices have `most` cells, or one row by itself. A row
     of which either list is empty gets `none`."""
@@ -44,7 +52,7 @@ def _in_batches(rows: DataFrame, ddl: str, fields: list[tuple[str, pa.DataType]]
                         values[i] = value
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(values, type=fields[2][1])], schema=schema)
 
-    return rows.mapInArrow(run, ddl)
+    return _dealt(rows).mapInArrow(run, ddl)
 
 
 def score(pairs: DataFrame, tokens: DataFrame, p: Params, restricted: bool = True) -> DataFrame:
