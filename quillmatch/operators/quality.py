@@ -15,17 +15,19 @@ from quillmatch.functions.text import split_name_address
 NAME, ADDRESS = 0.76, 0.24
 
 
-def entropy_quality(clusters: DataFrame, refs: DataFrame) -> DataFrame:
+def entropy_quality(clusters: DataFrame, refs: DataFrame, halves: bool = True) -> DataFrame:
     """clusterID, size, quality of clusters (clusterID, refID), 1 for one of a single member.
 
     Members are split before their first token with a digit; a half has quality 1 if it has no
-    tokens, and of two halves with tokens the weighted mean counts."""
+    tokens, and of two halves with tokens the weighted mean counts. Without `halves`, members stay
+    whole and one quality is taken over all of their tokens."""
     sizes = clusters.groupBy("clusterID").agg(F.count("*").alias("size"))
     many = sizes.where("size > 1")
     name, address = split_name_address(F.col("tokens"))
     members = clusters.join(many, "clusterID").join(refs.select("refID", "tokens"), "refID")
-    halves = members.select("clusterID", "size", "refID", F.explode(F.array(F.struct(F.lit(0).alias("half"), name.alias("t")), F.struct(F.lit(1).alias("half"), address.alias("t")))).alias("h"))
-    tokens = halves.select("clusterID", "size", "refID", F.col("h.half").alias("half"), F.explode("h.t").alias("token"))
+    parts = (name, address) if halves else (F.col("tokens"),)
+    rows = members.select("clusterID", "size", "refID", F.explode(F.array(*(F.struct(F.lit(i).alias("half"), t.alias("t")) for i, t in enumerate(parts)))).alias("h"))
+    tokens = rows.select("clusterID", "size", "refID", F.col("h.half").alias("half"), F.explode("h.t").alias("token"))
     # a token of count m in a member stands in its layers 1 to m
     counts = tokens.groupBy("clusterID", "size", "half", "refID", "token").agg(F.count("*").cast("int").alias("m"))
     layers = counts.select("clusterID", "size", "half", "token", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("layer"))
