@@ -165,7 +165,7 @@ def test_entropy(spark):
             r = f"{c:02d}-{m}"
             lists[r] = [rnd.choice("ABC") for _ in range(rnd.randint(0, 4))] + [rnd.choice(["1", "D", "2"]) for _ in range(rnd.randint(0, 3))]
             clusters.append((f"{c:02d}-0", r))
-    found = {r["clusterID"]: r["quality"] for r in quality.entropy_quality(spark.createDataFrame(clusters, "clusterID string, refID string"), refs_of(spark, lists)).collect()}
+    found, whole = ({r["clusterID"]: r["quality"] for r in quality.entropy_quality(spark.createDataFrame(clusters, "clusterID string, refID string"), refs_of(spark, lists), halves).collect()} for halves in (True, False))
     for cid in found:
         members = [lists[r] for c, r in clusters if c == cid]
         cut = [next((i for i, t in enumerate(m) if any(ch.isdigit() for ch in t)), len(m)) for m in members]
@@ -177,6 +177,7 @@ def test_entropy(spark):
         else:
             want = slow_entropy(name if any(name) else address)
         assert found[cid] == pytest.approx(want), cid
+        assert whole[cid] == pytest.approx(slow_entropy(members) if len(members) > 1 else 1.0), cid
 
 
 def test_corrections(spark):
