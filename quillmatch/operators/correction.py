@@ -48,7 +48,9 @@ def corrections(freq: DataFrame, p: Params, words: DataFrame | None = None) -> D
     a, b = F.lower("std"), F.lower("bad")
     distance = F.levenshtein(a, b, 2)
     near = (distance == 1) | ((distance == 2) & swapped(F.col("std"), F.col("bad")))
-    return std.join(err, "key").where(near).groupBy("bad").agg(F.min_by("std", "rank").alias("std"))
+    # a staged table's size is that of its compressed files, before tokens become keys: by that size
+    # hundreds of MB of keys would be broadcast
+    return std.join(err.hint("merge"), "key").where(near).groupBy("bad").agg(F.min_by("std", "rank").alias("std"))
 
 
 def with_variants(found: DataFrame, variants: DataFrame) -> DataFrame:
@@ -76,11 +78,12 @@ def replaced(freq: DataFrame, found: DataFrame) -> DataFrame:
 def apply_corrections(refs: DataFrame, found: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """refs (refID, tokens, ord) with each token replaced once, and n_changed. Corrections of at most
     `rows` rows and `size` bytes go to the tokens; beyond that, tokens and corrections are joined by
-    a shuffle, in which adaptive execution splits a frequent token."""
+    a shuffle, in which adaptive execution splits a frequent token. They are dealt out before it, so
+    that they count by their bytes there, not by those of the compressed files they come from."""
     fix = staged(found.select(F.col("bad").alias("_bad"), F.col("std").alias("_std")))
     total = fix.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_bad") + F.octet_length("_std")), F.lit(0)).alias("size")).first()
-    if total["n"] <= rows and total["size"] <= size:
-        fix = F.broadcast(fix)
+    few = total["n"] <= rows and total["size"] <= size
+    fix = F.broadcast(fix) if few else fix.repartition(fix.sparkSession.sparkContext.defaultParallelism)
     new = token_rows(refs).join(fix, F.col("token") == F.col("_bad"), "left").groupBy("refID").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_std", "token").alias("token")))).alias("_t"), F.count("_std").alias("_n"))
     new = new.select(F.col("refID").alias("_id"), F.transform("_t", lambda x: x["token"]).alias("_t"), "_n")
     joined = refs.join(new, F.col("refID") == F.col("_id"), "left")

@@ -223,6 +223,15 @@ def test_corrections_are_broadcast_or_joined(spark):
     assert ["ResolvedHint" in x._jdf.queryExecution().analyzed().toString() for x in (few, many)] == [True, False]
 
 
+def test_keys_of_corrections_are_not_broadcast(spark):
+    """However small the files are that the tokens come from: their keys are many times as large."""
+    tokens = ["FIRST"] * 9 + ["SECOND"] * 8 + ["SMITH"] * 5 + ["SMIHT", "LASTONE"]
+    found = correction.corrections(stats.token_frequency(refs_of(spark, {"r": tokens})), Params())
+    assert [tuple(r) for r in found.collect()] == [("SMIHT", "SMITH")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key#" in plan and "BroadcastHashJoin [key#" not in plan
+
+
 def fold(j, k, freq=None, aliases=None):
     f = Fold({"J": list(j), "K": list(k)}, dict(freq or {}), dict(aliases or {}))
     f.pair("J", "K")
