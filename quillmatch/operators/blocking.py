@@ -76,7 +76,8 @@ def comparison_tokens(refs: DataFrame, freq: DataFrame, p: Params) -> DataFrame:
         if p.excludeNumericBlocks:
             drop = drop | is_digit(token)
     rows = without_heaviest(token_rows(refs), freq, p.sigma)
-    rows = rows.join(freq.select("token", "n"), "token", "left").where(~drop)
+    # of the frequencies only those that drop a token are joined, which are few of all
+    rows = rows.join(freq.where(F.col("n") >= p.sigma).select("token", "n"), "token", "left").where(~drop)
     kept = rows.groupBy("refID").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
     kept = kept.select(F.col("refID").alias("_id"), F.transform("t", lambda x: x["token"]).alias("t"))
     tokens = F.coalesce(F.col("t"), F.array().cast("array<string>"))

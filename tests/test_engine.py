@@ -232,6 +232,15 @@ def test_keys_of_corrections_are_not_broadcast(spark):
     assert "SortMergeJoin [key#" in plan and "BroadcastHashJoin [key#" not in plan
 
 
+def test_only_frequencies_that_drop_a_token_are_compared(spark):
+    refs = refs_of(spark, {"a": ["OFTEN", "SELDOM", "UNKNOWN"], "b": []})
+    freq = spark.createDataFrame([("OFTEN", 12), ("SELDOM", 11)], "token string, n long")
+    rows = blocking.comparison_tokens(refs, freq, Params(sigma=12))
+    assert {r["refID"]: r["tokens"] for r in rows.collect()} == {"a": ["SELDOM", "UNKNOWN"], "b": []}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(">= 12") >= 2  # the most frequent tokens', and all others'
+
+
 def fold(j, k, freq=None, aliases=None):
     f = Fold({"J": list(j), "K": list(k)}, dict(freq or {}), dict(aliases or {}))
     f.pair("J", "K")
