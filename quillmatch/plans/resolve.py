@@ -20,6 +20,10 @@ from quillmatch.plans.rounds import Rounds
 from quillmatch.plans.staging import staged
 
 
+#: Comparators whose scores depend on mu.
+BY_MU = ("ScoringMatrixStd",)
+
+
 @dataclass
 class Iteration:
     """What one round made; the frames are staged, so they can be read again."""
@@ -62,6 +66,8 @@ class Resolution:
     block_edits: DataFrame | None = None
     #: rounds that block correction took
     block_rounds: int = 0
+    #: scores of all pairs of this session's first round, where they don't depend on mu
+    scored: DataFrame | None = None
     #: sizes of the final clusters
     profile: DataFrame | None = None
     #: what was counted while the frames were staged, by frame
@@ -85,6 +91,14 @@ def upsert(link: DataFrame, new: DataFrame) -> DataFrame:
     return link.join(fresh, F.col("refID") == F.col("_id"), "left").select("refID", F.coalesce("_c", "clusterID").alias("clusterID"))
 
 
+def _open(pairs: DataFrame, resolved: DataFrame, mu: float | None = None) -> DataFrame:
+    """Pairs, or those with a score of mu or more, whose references are both unresolved."""
+    rows = pairs if mu is None else linked(pairs, mu)
+    for i in ("refID1", "refID2"):
+        rows = rows.join(resolved.select(F.col("refID").alias(i)), i, "left_anti")
+    return rows.select(*pairs.columns)
+
+
 def _frequencies(refs: DataFrame, seen: dict[str, dict], name: str) -> DataFrame:
     """The staged frequencies of staged references; their statistics go to seen."""
     freq = staged(token_frequency(refs), **frequency_statistics())
@@ -186,6 +200,9 @@ def _round(out: Resolution, store: Rounds, number: int, mu: float, epsilon: floa
     p, seen = out.params, out.seen
     now, many = p.with_(mu=mu, epsilon=epsilon), {"n": F.count("*")}
     resolved = out.link.where("clusterID IS NOT NULL").select("refID")
+    # pairs and scores follow from the two references and all frequencies, which change no more after
+    # the first round: later rounds go on with those whose references are both still open
+    before = out.iterations[-1].pairs if out.iterations else None
 
     def keep(df: DataFrame, name: str, **counts) -> DataFrame:
         return store.keep(df, f"round_{name}", number, **counts)
@@ -199,7 +216,7 @@ def _round(out: Resolution, store: Rounds, number: int, mu: float, epsilon: floa
         return kept
 
     correct, edited = p.blockCorrection and number == 1, False
-    pairs = blocked("blocked" if correct else "pairs")
+    pairs = blocked("blocked" if correct else "pairs") if before is None else keep(_open(before, resolved), "pairs", **many)
     step = Iteration(number, mu, epsilon, pairs)
     step.seen["pairs"] = pairs.seen
     out.iterations.append(step)
@@ -223,7 +240,10 @@ def _round(out: Resolution, store: Rounds, number: int, mu: float, epsilon: floa
     if not pairs.seen["n"]:
         out.ended = "no candidate pairs"
         return step
-    links = step.links = keep(linked(score(pairs, comparison_tokens(out.refs, out.freq, now), now, restricted), mu), "links", **many)
+    scored = _open(out.scored, resolved, mu) if out.scored is not None else score(pairs, comparison_tokens(out.refs, out.freq, now), now, restricted)
+    if out.scored is None and p.comparator not in BY_MU:
+        scored = out.scored = staged(scored)
+    links = step.links = keep(linked(scored, mu), "links", **many)
     step.seen["links"] = links.seen
     if not links.seen["n"]:
         out.ended = "no linked pairs"

@@ -590,3 +590,26 @@ def test_staging_needs_a_shared_folder_on_a_cluster(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
     assert shared_folder(spark)
+
+
+def test_pairs_are_scored_once_for_all_rounds(spark, monkeypatch):
+    """Later rounds go on with the pairs and scores of the first whose references are still open."""
+    from quillmatch.plans import resolve as plan
+
+    calls = Counter()
+
+    def seen(name, f):
+        def run(*args, **kwargs):
+            calls[name] += 1
+            return f(*args, **kwargs)
+
+        monkeypatch.setattr(plan, name, run)
+
+    seen("score", plan.score)
+    seen("candidate_pairs", plan.candidate_pairs)
+    tokens = {f"r{i}": [f"ANNA{i // 2}", f"SMITH{i // 2}", f"STREET{i // 2}", *(["ODD", "EVEN"][i % 2] + str(i) for _ in range(i // 2))] for i in range(8)}
+    p = Params(beta=6, sigma=12, minBlkTokenLen=4, comparator="ScoringMatrixKris", mu=0.5, muIterate=0.2, epsilon=0.9, blockCorrection=False)
+    out = resolve(refs_of(spark, tokens), p)
+    assert len(out.iterations) > 1 and calls == {"score": 1, "candidate_pairs": 1}
+    for step in out.iterations:
+        assert step.pairs.columns == ["refID1", "refID2"] and step.links.where(f"score < {step.mu}").count() == 0
