@@ -6,38 +6,44 @@ Every edit changes what later pairs see, and how often a token occurs, which dec
 spellings. The result is that of one fold over all pairs, sorted by their ids; it is found without
 one task that folds them all.
 
-The order of pairs is cut into units whose references have `UNIT_TOKENS` tokens together, or one
-pair's. All units run at once, each on the lists as far as they are known, and what they write is
-kept by unit: the lists that they changed, the edits that they made, and the tokens whose counts
-they compared. Each further round looks up which unit before it was the last to write a list that a
-unit read, and how many edits before it have written the tokens that it asked for, and folds those
-units again for which that has changed. When none has, every unit has read what the fold over all
-pairs would have shown it: the first reads nothing that others write, and what each later one reads
-comes from units before it. Rounds follow the longest chain of units that need each other's edits.
+The order of pairs is cut into slabs, which follow one another, and the pairs of a slab into units that
+share no reference: a slab ends before its largest unit's references would have more than
+`UNIT_TOKENS` tokens together. A unit folds its pairs in order on the lists that the slab before left,
+all units at once. A list goes from the slab that had it to the next one that needs it, so it moves
+once for each slab that it is in, packed, and most units of a sparse graph are few references. As pairs per
+reference, not references, make the slabs, their number does not grow with the table.
+
+What units of a slab share are counts. Each comparison is kept with its place; after a slab was folded,
+the counts are made up from all edits before that place, and units of which a comparison comes out
+otherwise are folded again, with the edits of others that its tokens need. The first comparison in the
+order that was wrong is then right and all before it stay, so this ends, with what the fold over all
+pairs would have done; then the slab is never folded again.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import json
+import zlib
+from bisect import bisect_left, insort
 from collections import Counter
-from itertools import count
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.operators.stats import token_rows
+from quillmatch.operators.stats import HEAVIEST, LETTERS
 from quillmatch.plans.staging import staged, unstage
 
-#: Tokens of all references that a unit reads; a task holds those of one unit.
+#: Tokens of all references of a unit, as they were before any edit, but for one pair's; a task holds those of one unit.
 UNIT_TOKENS = 2_000_000
-#: Kinds of rows that units read: counts to add, lists, pairs; and that they write: lists, edits, asked counts.
-ADDED, LIST, PAIR = 0, 1, 2
-VERSION, EDIT, ASKED = 0, 1, 2
+#: Pairs that one task cuts into slabs.
+CUT_PAIRS = 500_000
+#: Kinds of rows that units read: where references go next, counts to add, lists, pairs; and that they write.
+NEXT, ADDED, LIST, PAIR, EDIT, COMPARED = 0, 1, 2, 3, 4, 5
 
-_WRITES = "unit long, what int, ref string, tokens array<string>, counts array<long>, formal array<string>, old string, new string, n long"
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+_WRITES = "unit long, kind int, seq long, old string, new string, n long, low int, high int, ref string, slab long, next long, edited boolean, list binary, tokens array<string>"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
 _SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (field.split(" ") for field in _WRITES.split(", "))])
 
 
@@ -53,23 +59,33 @@ def one_edit(a: str, b: str) -> bool:
 
 
 class Places:
-    """Where a list has each token, and where each two tokens follow which token."""
+    """Where a list has each token, and where each two tokens follow which token. Places are keys that
+    rise along the list, so that an edit moves none but its own."""
+
+    GAP = 1 << 40
 
     def __init__(self, tokens: list[str]):
         self.tokens = tokens
+        self._number()
+
+    def _number(self) -> None:
+        self.keys = list(range(0, len(self.tokens) * self.GAP, self.GAP))
         self.of: dict[str, list[int]] = {}
         self.followed: dict[tuple[str, str], list[int]] = {}
         self.before: dict[tuple[str, str], dict[str, list[int]]] = {}
-        for i, t in enumerate(tokens):
+        for key, t in zip(self.keys, self.tokens, strict=True):
             if t in self.of:
-                self.of[t].append(i)
+                self.of[t].append(key)
             else:
-                self.of[t] = [i]
-        for i, two in enumerate(zip(tokens[1:], tokens[2:])):  # noqa: B905  the first is longer
+                self.of[t] = [key]
+        for key, two in zip(self.keys, zip(self.tokens[1:], self.tokens[2:])):  # noqa: B905  the first are longer
             if two in self.followed:
-                self.followed[two].append(i)
+                self.followed[two].append(key)
             else:
-                self.followed[two] = [i]
+                self.followed[two] = [key]
+
+    def at(self, key: int) -> int:
+        return bisect_left(self.keys, key)
 
     def leads(self, two: tuple[str, str]) -> dict[str, list[int]]:
         """The places of the tokens that these two follow, by token."""
@@ -77,31 +93,79 @@ class Places:
             return {}
         if two not in self.before:
             found: dict[str, list[int]] = {}
-            for i in self.followed[two]:
-                found.setdefault(self.tokens[i], []).append(i)
+            for key in self.followed[two]:
+                found.setdefault(self.tokens[self.at(key)], []).append(key)
             self.before[two] = found
         return self.before[two]
 
+    @staticmethod
+    def _drop(places: dict, what, key: int) -> None:
+        keys = places[what]
+        if len(keys) == 1:
+            del places[what]
+        else:
+            del keys[bisect_left(keys, key)]
+
+    def put(self, low: int, high: int, new: list[str]) -> None:
+        """Has `new` in place of the tokens from low up to high."""
+        tokens, keys = self.tokens, self.keys
+        first = max(0, low - 2)
+        for i in range(first, min(high, len(tokens) - 2)):
+            two = tokens[i + 1], tokens[i + 2]
+            self._drop(self.followed, two, keys[i])
+            self.before.pop(two, None)
+        for i in range(low, high):
+            self._drop(self.of, tokens[i], keys[i])
+        before = keys[low - 1] if low else -self.GAP
+        after = keys[high] if high < len(keys) else (keys[-1] if keys else 0) + self.GAP * (len(new) + 1)
+        step = (after - before) // (len(new) + 1)
+        tokens[low:high] = new
+        if not step:
+            self._number()
+            return
+        keys[low:high] = [before + step * i for i in range(1, len(new) + 1)]
+        for i in range(low, low + len(new)):
+            insort(self.of.setdefault(tokens[i], []), keys[i])
+        for i in range(first, min(low + len(new), len(tokens) - 2)):
+            two = tokens[i + 1], tokens[i + 2]
+            insort(self.followed.setdefault(two, []), keys[i])
+            self.before.pop(two, None)
+
 
 class Fold:
-    """Edits token lists pair by pair."""
+    """Edits token lists pair by pair. freq and aliases hold what is known of tokens, common the counts
+    of those that freq doesn't hold."""
 
-    def __init__(self, lists: dict[str, list[str]], freq: dict[str, int], aliases: dict[str, str]):
-        self.lists, self.freq, self.aliases = lists, freq, aliases
+    def __init__(self, lists: dict[str, list[str]], freq: dict[str, int], aliases: dict[str, str], common: dict[str, int] | None = None):
+        self.lists, self.freq, self.aliases, self.common = lists, freq, aliases, common or {}
         self.edits: Counter[tuple[str, str]] = Counter()
-        self.asked: set[str] = set()
+        self.compared: list[tuple[str, str, int, int, int]] = []
+        self._now: dict[str, int] = {}
         self._places: Places | None = None
 
-    def _record(self, old: str, new: str, second: bool) -> None:
-        """second: whether the edit is in the second list, whose places are looked up."""
+    def _record(self, old: str, new: str) -> None:
         self.edits[old, new] += 1
-        self.freq[new] = self.freq.get(new, 0) + 1
-        if second:
-            self._places = None
-
-    def _count(self, token: str) -> int:
-        self.asked.add(token)
-        return self.freq.get(token, 0)
+        self._now[new] = self._now.get(new, 0) + 1
+        self.freq[new] = self.count(new) + 1
+
+    def count(self, token: str) -> int:
+        return self.freq[token] if token in self.freq else self.common.get(token, 0)
+
+    def _compare(self, a: str, b: str, ties: bool) -> int:
+        """Less than 0, 0 or more by which of two tokens is rarer. What was found is kept: the tokens,
+        how often each was written by this pair so far, and the signs that lead to the same edit.
+        ties: whether equal counts do what a more frequent first token does."""
+        n = self.count(a) - self.count(b)
+        sign = (n > 0) - (n < 0)
+        self.compared.append((a, b, self._now.get(a, 0) - self._now.get(b, 0), sign if sign < 0 or not ties else 0, 1 if ties and sign >= 0 else sign))
+        return sign
+
+    def _put(self, k: list[str], low: int, high: int, new: list[str]) -> None:
+        """Edits the second list, whose places are looked up."""
+        if self._places is None:
+            k[low:high] = new
+        else:
+            self._places.put(low, high, new)
 
     def _is_alias(self, a: str, b: str) -> bool:
         return a in self.aliases and self.aliases[a].lower() == b.lower()
@@ -115,7 +179,7 @@ class Fold:
         j, k = self.lists[first], self.lists[second]
         if first == second or j == k:
             return
-        self._places = None
+        self._places, self._now = None, {}
         seen_j = None
         at = 0
         while at < len(j):  # lists grow and shrink on the way, as later positions see
@@ -147,7 +211,8 @@ class Fold:
             return None
         if lead == j1 or (tri := (lead, j1, j2)) == seen_j:
             return seen_j or ()
-        for i in self._places.of.get(lead, ()):
+        for key in self._places.of.get(lead, ()):
+            i = self._places.at(key)
             if i + 2 < len(k) and k[i + 1] != lead:
                 k1, k2 = k[i + 1], k[i + 2]
                 same = j2 == k2 and j1 == k1 and j1 not in self.aliases
@@ -167,8 +232,11 @@ class Fold:
         if lead != two[0] and (lead, *two) != seen_j:
             found.append(self._places.of.get(lead, ()))
         found += [places for t, places in self._places.leads(two).items() if t != lead and not (lead.isnumeric() and t.isnumeric()) and self._typo(lead, t)]
+        if start >= len(k):
+            return None
+        start = self._places.keys[start]
         nexts = [x[i] for x in found if (i := bisect_left(x, start)) < len(x)]
-        return min(nexts, default=None)
+        return self._places.at(min(nexts)) if nexts else None
 
     def _same_lead(self, j, at, k, other, lead, seen_j, seen_k):
         """Rules for a shared token that both follow by two more."""
@@ -187,11 +255,11 @@ class Fold:
         elif j1 == k2 and j2 != k1:
             if len(j2) > 2 and len(k1) > 2:
                 j.insert(at + 1, k1)
-                self._record("", k1, False)
+                self._record("", k1)
         elif j2 == k1 and j1 != k2:
             if len(j1) > 2 and len(k2) > 2:
-                k.insert(other + 1, j1)
-                self._record("", j1, True)
+                self._put(k, other + 1, other + 1, [j1])
+                self._record("", j1)
         else:
             self._apart(j, at, k, other, j1, j2)
         return seen_j, seen_k
@@ -201,19 +269,19 @@ class Fold:
         nickname to the formal name."""
         if j1 != k1 and len(j1) > 2 and len(k1) > 2:
             if self._typo(j1, k1):
-                fj, fk = self._count(j1), self._count(k1)
-                if fj < fk:
+                sign = self._compare(j1, k1, False)
+                if sign < 0:
                     j[at + 1] = k1
-                    self._record(j1, k1, False)
-                elif fj > fk:
-                    k[other + 1] = j1
-                    self._record(k1, j1, True)
+                    self._record(j1, k1)
+                elif sign > 0:
+                    self._put(k, other + 1, other + 2, [j1])
+                    self._record(k1, j1)
         elif self._is_alias(j1, k1):
             j[at + 1] = k1
-            self._record(j1, k1, False)
+            self._record(j1, k1)
         elif self._is_alias(k1, j1):
-            k[other + 1] = j1
-            self._record(k1, j1, True)
+            self._put(k, other + 1, other + 2, [j1])
+            self._record(k1, j1)
 
     def _apart(self, j, at, k, other, j1, j2):
         """k writes in several tokens what j writes as one before the next shared token: numbers
@@ -229,13 +297,13 @@ class Fold:
             following = k[end]
             if following == j2 and "".join(parts) == j1:
                 if j1.isdigit():
-                    k[places[0]] = j1
+                    self._put(k, places[0], places[0] + 1, [j1])
                     for i in places[1:]:  # one by one, each from the list as it then is
                         if i < len(k):
-                            del k[i]
+                            self._put(k, i, i + 1, [])
                 else:
                     j[at + 1 : at + 2] = parts
-                self._record("".join(parts), j1, j1.isdigit())
+                self._record("".join(parts), j1)
                 return
 
     def _other_lead(self, j, at, k, other, lead):
@@ -245,89 +313,166 @@ class Fold:
             return
         if j[at + 1] != k[other + 1] or j[at + 2] != k[other + 2] or not self._typo(lead, mine):
             return
-        if self._count(lead) < self._count(mine):
+        if self._compare(lead, mine, True) < 0:
             j[at] = mine
-            self._record(lead, mine, False)
+            self._record(lead, mine)
         else:
-            k[other] = lead
-            self._record(mine, lead, True)
+            self._put(k, other, other + 1, [lead])
+            self._record(mine, lead)
+
 
+def pack(value) -> bytes:
+    """Lists as they move between tasks: an array of strings takes 16 bytes and more for each token."""
+    return zlib.compress(json.dumps(value, ensure_ascii=False).encode(), 1)
 
-def cut_units(most: int):
+
+def unpack(value: bytes):
+    return json.loads(zlib.decompress(value))
+
+
+def pack_tokens(it):
+    """refID, list of batches of refID, tokens."""
+    for rows in it:
+        packed = [pack(x.as_py()) for x in rows.column(1)]
+        yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.string()), pa.array(packed, type=pa.binary())], names=["refID", "list"])
+
+
+def pack_lists(it):
+    """ref, slab, next, edited, list of batches of ref, slab, next, packed tokens, and their rare ones
+    with counts and formal names."""
+    for rows in it:
+        packed = []
+        for tokens, rare, counts, formal in zip(*rows.columns[3:], strict=True):
+            rare, counts, formal = rare.as_py() or [], counts.as_py() or [], formal.as_py() or []
+            packed.append(pack([unpack(tokens.as_py()), rare, counts, [0] * len(rare), formal]))
+        yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([False] * rows.num_rows), pa.array(packed, type=pa.binary())], names=["ref", "slab", "next", "edited", "list"])
+
+
+def cut_slabs(most: int):
     """A function of batches of pairs in order (seq, the two ids, their numbers of tokens) that names
-    each pair's unit, by the place of the unit's first pair: unit, seq, refID1, refID2."""
-    schema = pa.schema([("unit", pa.int64()), ("seq", pa.int64()), ("refID1", pa.string()), ("refID2", pa.string())])
+    each pair's slab and unit, both by the place of their first pair: slab, unit, seq, refID1, refID2."""
+    schema = pa.schema([("slab", pa.int64()), ("unit", pa.int64()), ("seq", pa.int64()), ("refID1", pa.string()), ("refID2", pa.string())])
 
     def run(it):
-        unit, held, size = -1, set(), 0
+        held: list[tuple[int, str, str]] = []
+        up: dict[str, str] = {}
+        size: dict[str, int] = {}
+
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def close():
+            first: dict[str, int] = {}
+            for s, x, _ in held:
+                first.setdefault(top(x), s)
+            seq, a, b = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([seq[0]] * len(seq)), pa.array([first[top(x)] for x in a]), pa.array(seq), pa.array(a), pa.array(b)], schema=schema)
+
         for batch in it:
-            seq, a, b, n, m = (c.to_pylist() for c in batch.columns)
-            units = []
-            for s, x, y, nx, ny in zip(seq, a, b, n, m, strict=True):
-                more = (0 if x in held else nx) + (0 if y in held else ny)
-                if unit < 0 or size + more > most:
-                    unit, held, size, more = s, set(), 0, nx + ny
-                held.update((x, y))
-                size += more
-                units.append(unit)
-            yield pa.RecordBatch.from_arrays([pa.array(units, type=pa.int64()), *batch.columns[:3]], schema=schema)
+            for s, x, y, nx, ny in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one, two = (top(r) if r in up else r for r in (x, y))
+                if held and one != two and size.get(one, nx) + size.get(two, ny) > most:
+                    yield close()
+                    held, up, size = [], {}, {}
+                    one, two = x, y
+                for r, n in ((x, nx), (y, ny)):
+                    if r not in up:
+                        up[r], size[r] = r, n
+                if one != two:
+                    if size[one] < size[two]:
+                        one, two = two, one
+                    up[two] = one
+                    size[one] += size.pop(two)
+                held.append((s, x, y))
+        if held:
+            yield close()
 
     return run
 
 
-def fold_units(it):
-    """Folds units, whose rows stand together: counts to add first, then lists, then pairs in order."""
-    out: list[tuple] = []
-    room = 200_000
-
-    def batch():
-        nonlocal out, room
-        columns = list(zip(*out, strict=True)) if out else [()] * len(_SCHEMA)
-        out, room = [], 200_000
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
-
-    unit = fold = None
-    extra, base, same, read = {}, {}, {}, {}
+def fold_units(common: dict[str, tuple[int, str | None]]):
+    """A function that folds units, whose rows stand together: where references go next, then counts to
+    add, lists, and pairs in order. common: count and formal name of tokens that no list brings."""
 
-    def close():
-        nonlocal room
-        if fold is None:
-            return
-        for ref, tokens in fold.lists.items():
-            if tokens != read[ref]:
+    def run(it):
+        out: list[dict] = []
+        room = 200_000
+        counts_of = {t: n for t, (n, _) in common.items()}
+        formal_of = {t: name for t, (_, name) in common.items() if name is not None}
+        unit = fold = None
+        nexts, base, edited, added, pending = {}, {}, set(), [], []
+
+        def close():
+            nonlocal out, room
+            if fold is None:
+                return
+            for ref, tokens in fold.lists.items():
+                slab, following = nexts.get(ref, (None, None))
+                if slab is None and ref not in edited:
+                    continue
+                row = {"unit": unit, "kind": LIST, "ref": ref, "slab": slab, "next": following, "edited": ref in edited}
+                if slab is None:
+                    row["tokens"] = tokens
+                else:
+                    rare = [t for t in dict.fromkeys(tokens) if t not in common]
+                    row["list"] = pack([tokens, rare, [base.get(t, 0) for t in rare], [fold.freq.get(t, 0) - base.get(t, 0) for t in rare], [fold.aliases.get(t) for t in rare]])
+                out.append(row)
                 room -= len(tokens)
-                out.append((unit, VERSION, ref, tokens, [base.get(t, 0) for t in tokens], [fold.aliases.get(t) for t in tokens], None, None, None))
                 if room < 0:
-                    yield batch()
-        out.extend((unit, EDIT, None, None, None, None, old, new, n) for (old, new), n in fold.edits.items())
-        out.extend((unit, ASKED, None, None, None, None, None, t, extra.get(t, 0)) for t in sorted(fold.asked))
+                    yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+                    out, room = [], 200_000
 
-    for rows in it:
-        for i in range(rows.num_rows):
-            u, kind, _, ref, other, tokens, counts, formal = (c[i].as_py() for c in rows.columns)
-            if u != unit:
+        for row in (row for rows in it for i in range(0, rows.num_rows, 16) for row in rows.slice(i, 16).to_pylist()):
+            kind = row["kind"]
+            if row["unit"] != unit:
                 yield from close()
-                unit, fold, extra, base, same, read = u, Fold({}, {}, {}), {}, {}, {}, {}
-            if kind == ADDED:
-                extra = dict(zip(tokens, counts, strict=True))
+                unit, fold = row["unit"], Fold({}, {}, dict(formal_of), counts_of)
+                nexts, base, edited, added, pending, exact = {}, {}, set(), [], [], set()
+                same: dict[str, str] = {}
+            if kind == NEXT:
+                nexts[row["ref"]] = row["slab"], row["next"]
+            elif kind == ADDED:
+                exact.add(row["ref"])
+                pending.append((row["seq"], row["ref"], row["n"]))
             elif kind == LIST:
-                tokens = [same.setdefault(t, t) for t in tokens]  # a token is held once
-                for t, n, name in zip(tokens, counts, formal, strict=True):
-                    if t not in base:
-                        base[t] = n
-                        fold.freq[t] = n + extra.get(t, 0)
-                        if name is not None:
-                            fold.aliases[t] = name
-                fold.lists[ref], read[ref] = tokens, list(tokens)
-            elif ref in fold.lists and other in fold.lists:
-                fold.pair(ref, other)
-    yield from close()
-    yield batch()
+                tokens, *known = unpack(row["list"])
+                for t, n, more, name in zip(*known, strict=True):
+                    t = same.setdefault(t, t)
+                    base[t] = n
+                    # of several guesses of what other units added the largest is the latest
+                    fold.freq[t] = n if t in exact else max(n + more, fold.freq.get(t, 0))
+                    if name is not None:
+                        fold.aliases[t] = name
+                fold.lists[row["ref"]] = [same.setdefault(t, t) for t in tokens]
+                if row["edited"]:
+                    edited.add(row["ref"])
+            elif row["ref"] in fold.lists and row["other"] in fold.lists:
+                if pending and not added:
+                    added, pending = sorted(pending, reverse=True), []
+                while added and added[-1][0] < row["seq"]:
+                    _, t, n = added.pop()
+                    fold.freq[t] = fold.count(t) + n
+                one, two = row["ref"], row["other"]
+                fold.edits, fold.compared = Counter(), []
+                before = [list(fold.lists[x]) for x in (one, two)]
+                fold.pair(one, two)
+                if fold.edits:
+                    edited.update(x for x, was in zip((one, two), before, strict=True) if fold.lists[x] != was)
+                out += [{"unit": unit, "kind": EDIT, "seq": row["seq"], "old": old, "new": new, "n": n} for (old, new), n in fold.edits.items()]
+                # the counts that all knew at first and this pair's own edits; what others before it added is found later
+                out += [{"unit": unit, "kind": COMPARED, "seq": row["seq"], "old": a, "new": b, "n": own + base.get(a, counts_of.get(a, 0)) - base.get(b, counts_of.get(b, 0)), "low": low, "high": high} for a, b, own, low, high in fold.compared]
+        yield from close()
+        yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+
+    return run
 
 
 class Corrected(NamedTuple):
     """edits: old, new, n (how often; old is empty where a token was put in). refs: refID, tokens, ord
-    after them. rounds: how many the fold took."""
+    after them. rounds: how many times units were folded, one after another."""
 
     edits: DataFrame
     refs: DataFrame
@@ -335,57 +480,89 @@ class Corrected(NamedTuple):
 
 
 def _ordered(pairs: DataFrame, refs: DataFrame, most: int) -> DataFrame:
-    """unit, seq, refID1, refID2."""
-    size = [refs.select(F.col("refID").alias(f"_{i}"), F.size("tokens").alias(f"n{i}")) for i in (1, 2)]
-    rows = pairs.join(size[0], F.col("refID1") == F.col("_1")).join(size[1], F.col("refID2") == F.col("_2"))
-    rows = rows.repartitionByRange("refID1", "refID2").sortWithinPartitions("refID1", "refID2")
+    """slab, unit, seq, refID1, refID2."""
+    size = [refs.where(F.size("tokens") > 0).select(F.col("refID").alias(f"_{i}"), F.size("tokens").alias(f"n{i}")) for i in (1, 2)]
+    rows = staged(pairs.join(size[0], F.col("refID1") == F.col("_1")).join(size[1], F.col("refID2") == F.col("_2")).select("refID1", "refID2", "n1", "n2"), n=F.count("*"))
+    parts = max(1, -(-rows.seen["n"] // CUT_PAIRS))
+    rows = rows.repartitionByRange(parts, "refID1", "refID2").sortWithinPartitions("refID1", "refID2")
     rows = rows.select(F.monotonically_increasing_id().alias("seq"), "refID1", "refID2", "n1", "n2")
-    return rows.mapInArrow(cut_units(most), "unit long, seq long, refID1 string, refID2 string")
-
-
-def _base(refs: DataFrame, freq: DataFrame, reads: DataFrame, aliases: DataFrame | None) -> DataFrame:
-    """ref, at (-1) and the tokens of each reference that is read, with counts and formal names."""
-    ids = reads.select(F.col("ref").alias("refID")).distinct()
-    rows = token_rows(refs.join(ids, "refID", "left_semi")).join(freq.select("token", "n"), "token", "left")
-    if aliases is None:
-        rows = rows.withColumn("value", F.lit(None).cast("string"))
-    else:
-        rows = rows.join(aliases.select(F.col("alias").alias("_a"), "value"), F.col("token") == F.col("_a"), "left")
-    t = rows.groupBy("refID").agg(F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("n", F.lit(0)).alias("n"), "value"))).alias("t"))
-    return t.select(F.col("refID").alias("ref"), F.lit(-1).cast("long").alias("at"), F.col("t.token").alias("tokens"), F.col("t.n").alias("counts"), F.col("t.value").alias("formal"))
-
-
-def _as_of(reads: DataFrame, versions: DataFrame) -> DataFrame:
-    """unit, ref, at, born: of lists that a unit before has changed, that unit (the last such one) and
-    the round in which it wrote this."""
-    edited = reads.join(versions.select("ref").distinct(), "ref", "left_semi")
-    events = edited.select("ref", "unit", F.lit(0).alias("writes"), F.lit(None).cast("int").alias("born"))
-    events = events.unionByName(versions.select("ref", "unit", F.lit(1).alias("writes"), "born"))
-    written = F.when(F.col("writes") == 1, F.struct(F.col("unit").alias("at"), "born"))
-    seen = F.last(written, ignorenulls=True).over(Window.partitionBy("ref").orderBy("unit", "writes"))
-    return events.withColumn("v", seen).where("writes = 0 AND v IS NOT NULL").select("unit", "ref", "v.at", "v.born")
-
-
-def _added(state: DataFrame) -> DataFrame:
-    """unit, token, assumed, extra: of each count that a unit compared, how many edits in units before
-    it have written the token."""
-    edits = state.where(F.col("what") == EDIT).groupBy(F.col("new").alias("token"), "unit").agg(F.sum("n").alias("k"))
-    asked = state.where(F.col("what") == ASKED).select(F.col("new").alias("token"), "unit", F.col("n").alias("assumed"))
-    events = edits.withColumn("assumed", F.lit(None).cast("long")).unionByName(asked.withColumn("k", F.lit(0).cast("long")))
-    before = F.sum("k").over(Window.partitionBy("token").orderBy("unit", F.col("assumed").isNull()))
-    return events.withColumn("extra", before).where("assumed IS NOT NULL").select("unit", "token", "assumed", "extra")
-
-
-def _folded(order: DataFrame, todo: DataFrame, lists: DataFrame, added: DataFrame | None) -> DataFrame:
-    """What units write: todo are their reads (unit, ref, at), order their pairs."""
-    none = {c: F.lit(None).cast(k).alias(c) for c, k in (("ref", "string"), ("other", "string"), ("tokens", "array<string>"), ("counts", "array<long>"), ("formal", "array<string>"))}
-    zero = F.lit(0).cast("long").alias("seq")
-    rows = todo.join(lists, ["ref", "at"]).select("unit", F.lit(LIST).alias("kind"), zero, "ref", none["other"], "tokens", "counts", "formal")
-    rows = rows.unionByName(order.select("unit", F.lit(PAIR).alias("kind"), "seq", F.col("refID1").alias("ref"), F.col("refID2").alias("other"), none["tokens"], none["counts"], none["formal"]))
+    return rows.mapInArrow(cut_slabs(most), "slab long, unit long, seq long, refID1 string, refID2 string")
+
+
+def _where(order: DataFrame) -> DataFrame:
+    """ref, slab, unit, and the slab and unit that have ref next, or null."""
+    reads = order.select("slab", "unit", F.explode(F.array("refID1", "refID2")).alias("ref")).distinct()
+    following = F.lead(F.struct("slab", "unit")).over(Window.partitionBy("ref").orderBy("slab"))
+    first = F.row_number().over(Window.partitionBy("ref").orderBy("slab")) == 1
+    return reads.select("ref", "slab", "unit", following.alias("f"), first.alias("first")).select("ref", "slab", "unit", F.col("f.slab").alias("next_slab"), F.col("f.unit").alias("next_unit"), "first")
+
+
+def _base(refs: DataFrame, freq: DataFrame, where: DataFrame, aliases: DataFrame | None) -> tuple[DataFrame, dict[str, tuple[int, str | None]]]:
+    """The list of each reference that is read with the slab and unit that has it first, its rare
+    tokens, their counts and formal names; and the same of the `HEAVIEST` most frequent tokens, which
+    lists don't bring."""
+    names = None if aliases is None else aliases.groupBy(F.col("alias").alias("_a")).agg(F.max("value").alias("value"))
+
+    def named(rows):
+        return rows.withColumn("value", F.lit(None).cast("string")) if names is None else rows.join(names, F.col("token") == F.col("_a"), "left").drop("_a")
+
+    heavy = staged(named(freq.where(F.char_length("token") <= LETTERS).orderBy(F.desc("n"), "token").limit(HEAVIEST).select("token", "n")))
+    common = {r["token"]: (r["n"], r["value"]) for r in heavy.collect()}  # so many at most
+    first = where.where("first").select(F.col("ref").alias("_r"), "slab", F.col("unit").alias("next"))
+    read = refs.select("refID", "tokens").join(first.select("_r"), F.col("refID") == F.col("_r"), "left_semi")
+    tokens = read.select(F.col("refID").alias("ref"), F.explode("tokens").alias("token")).join(F.broadcast(heavy.select("token")), "token", "left_anti").distinct()
+    tokens = named(tokens.join(freq.select("token", "n"), "token", "left"))
+    rare = tokens.groupBy(F.col("ref").alias("_ref")).agg(F.collect_list(F.struct("token", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "value")).alias("t"))
+    # packed before they are dealt out
+    lists = refs.select("refID", "tokens").mapInArrow(pack_tokens, "refID string, list binary")
+    rows = lists.join(first, F.col("refID") == F.col("_r")).join(rare, F.col("refID") == F.col("_ref"), "left")
+    rows = rows.select(F.col("refID").alias("ref"), "slab", "next", "list", F.col("t.token").alias("rare"), F.col("t.n").alias("counts"), F.col("t.value").alias("formal"))
+    return rows.mapInArrow(pack_lists, "ref string, slab long, next long, edited boolean, list binary"), common
+
+
+def _folded(order: DataFrame, where: DataFrame, lists: DataFrame, added: DataFrame | None, common) -> DataFrame:
+    """What the units of a slab write: order are their pairs, where their references."""
+    kinds = {"unit": "long", "kind": "int", "seq": "long", "ref": "string", "other": "string", "n": "long", "slab": "long", "next": "long", "edited": "boolean", "list": "binary"}
+
+    def rows(df: DataFrame, kind: int, **columns) -> DataFrame:
+        columns["kind"] = F.lit(kind)
+        return df.select(*(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+
+    own = {c: F.col(c) for c in kinds}
+    lists = rows(lists, LIST, **{c: own[c] for c in ("ref", "edited", "list")}, unit=F.col("next"))
+    every = lists.unionByName(rows(where, NEXT, unit=own["unit"], ref=own["ref"], slab=F.col("next_slab"), next=F.col("next_unit")))
+    every = every.unionByName(rows(order, PAIR, unit=own["unit"], seq=own["seq"], ref=F.col("refID1"), other=F.col("refID2")))
     if added is not None:
-        extra = added.where("extra > 0").groupBy("unit").agg(F.collect_list(F.struct("token", "extra")).alias("x"))
-        rows = rows.unionByName(extra.select("unit", F.lit(ADDED).alias("kind"), zero, none["ref"], none["other"], F.col("x.token").alias("tokens"), F.col("x.extra").alias("counts"), none["formal"]))
-    return rows.repartition("unit").sortWithinPartitions("unit", "kind", "seq").mapInArrow(fold_units, _WRITES)
+        every = every.unionByName(rows(added, ADDED, unit=own["unit"], seq=own["seq"], ref=F.col("token"), n=own["n"]))
+    return every.repartition("unit").sortWithinPartitions("unit", "kind", "seq").mapInArrow(fold_units(common), _WRITES)
+
+
+def _wrong(now: DataFrame, before: DataFrame) -> DataFrame:
+    """unit, token: of comparisons that come out otherwise if all edits before them count. before: how
+    often slabs before have written a token."""
+    compared = now.where(F.col("kind") == COMPARED).select("unit", "seq", "old", "new", "n", "low", "high", F.monotonically_increasing_id().alias("id"))
+    compared = staged(compared)
+    sides = [compared.select(F.col(c).alias("token"), "seq", "unit", "id", F.lit(sign).alias("sign")) for c, sign in (("old", 1), ("new", -1))]
+    asked = sides[0].unionByName(sides[1])
+    none = {"unit": F.lit(None).cast("long"), "id": F.lit(None).cast("long"), "sign": F.lit(0)}
+    written = now.where(F.col("kind") == EDIT).groupBy(F.col("new").alias("token"), "seq").agg(F.sum("n").alias("k"))
+    written = written.unionByName(before.select("token", F.lit(-1).cast("long").alias("seq"), F.col("n").alias("k")))
+    written = written.join(asked.select("token").distinct(), "token", "left_semi")
+    events = asked.withColumn("k", F.lit(0).cast("long")).unionByName(written.withColumns(none))
+    total = F.coalesce(F.sum("k").over(Window.partitionBy("token").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    extra = events.withColumn("extra", total).where("id IS NOT NULL").groupBy("id").agg(F.sum(F.col("sign") * F.col("extra")).alias("extra"))
+    sign = F.signum(F.col("n") + F.col("extra"))
+    bad = compared.join(extra, "id").where((sign < F.col("low")) | (sign > F.col("high")))
+    return bad.select("unit", F.explode(F.array("old", "new")).alias("token")).distinct()
+
+
+def _added(now: DataFrame, before: DataFrame, exact: DataFrame) -> DataFrame:
+    """unit, token, seq, n: what other units of the slab, and the slabs before (seq -1), have written of
+    the tokens that units are to count exactly; a token has a row even if nobody wrote it."""
+    written = now.where(F.col("kind") == EDIT).groupBy(F.col("new").alias("token"), F.col("unit").alias("by"), "seq").agg(F.sum("n").alias("n"))
+    own = exact.join(written, "token").where("by <> unit").select("unit", "token", "seq", "n")
+    start = exact.join(before, "token", "left").select("unit", "token", F.lit(-1).cast("long").alias("seq"), F.coalesce("n", F.lit(0)).alias("n"))
+    return own.unionByName(start)
 
 
 def correct_blocks(refs: DataFrame, freq: DataFrame, pairs: DataFrame, aliases: DataFrame | None = None, unit_tokens: int = UNIT_TOKENS) -> Corrected:
@@ -394,30 +571,53 @@ def correct_blocks(refs: DataFrame, freq: DataFrame, pairs: DataFrame, aliases:
     Repeated pairs count once; a pair of a reference with itself or with an unknown one, and a
     reference without tokens, corrects nothing; a token that freq doesn't hold has count 0."""
     order = staged(_ordered(pairs.where("refID1 <> refID2").select("refID1", "refID2").distinct(), refs, unit_tokens))
-    reads = staged(order.select("unit", F.explode(F.array("refID1", "refID2")).alias("ref")).distinct())
-    base = staged(_base(refs, freq, reads, aliases))
-    state = staged(_folded(order, reads.withColumn("at", F.lit(-1).cast("long")), base, None).withColumn("born", F.lit(1)))
-    used: DataFrame | None = None
-    for number in count(2):
-        versions = state.where(F.col("what") == VERSION)
-        now = staged(_as_of(reads, versions.select("ref", "unit", "born")))
-        added = staged(_added(state))
-        moved = now.select("unit") if used is None else now.exceptAll(used).unionByName(used.exceptAll(now)).select("unit")
-        changed = staged(moved.unionByName(added.where("assumed <> extra").select("unit")).distinct())
-        if changed.isEmpty():
-            break
-        todo = reads.join(changed, "unit", "left_semi").join(now.drop("born"), ["unit", "ref"], "left").withColumn("at", F.coalesce("at", F.lit(-1).cast("long")))
-        lists = base.unionByName(versions.select("ref", F.col("unit").alias("at"), "tokens", "counts", "formal"))
-        fresh = staged(_folded(order.join(changed, "unit", "left_semi"), todo, lists, added.join(changed, "unit", "left_semi")))
-        # a list that is written as it was is no news to those that read it
-        old = versions.select("unit", "ref", F.col("tokens").alias("_tokens"), F.col("born").alias("_born"))
-        same = fresh.where(F.col("what") == VERSION).join(old, ["unit", "ref"], "left").withColumn("born", F.when(F.col("tokens") == F.col("_tokens"), F.col("_born")).otherwise(F.lit(number)))
-        rest = fresh.where(F.col("what") != VERSION).withColumn("born", F.lit(number))
-        after = staged(state.join(changed, "unit", "left_anti").unionByName(same.select(state.columns)).unionByName(rest))
-        for x in (state, fresh, changed, added, *([used] if used is not None else [])):
-            unstage(x)
-        state, used = after, now
-    edits = state.where(F.col("what") == EDIT).groupBy("old", "new").agg(F.sum("n").alias("n"))
-    new = state.where(F.col("what") == VERSION).groupBy(F.col("ref").alias("_id")).agg(F.max_by("tokens", "unit").alias("_t"))
-    fixed = refs.join(new, F.col("refID") == F.col("_id"), "left").select("refID", F.coalesce("_t", "tokens").alias("tokens"), "ord")
-    return Corrected(edits, fixed, number - 1)
+    where = staged(_where(order))
+    rows, common = _base(refs, freq, where, aliases)
+    base = staged(rows, by="slab")
+    slabs = [r["slab"] for r in order.select("slab").distinct().orderBy("slab").collect()]  # a slab holds many pairs
+    kept: list[DataFrame] = []  # what the folds of slabs before have written and later ones didn't replace
+    before: DataFrame | None = None
+    rounds = 0
+    lists_of = ("ref", "next", "edited", "list")
+    for slab in slabs:
+        mine, own = order.where(F.col("slab") == slab), where.where(F.col("slab") == slab)
+        lists = base.where(F.col("slab") == slab).select(*lists_of)
+        for x in kept:
+            lists = lists.unionByName(x.where((F.col("slab") == slab) & (F.col("kind") == LIST)).select(*lists_of))
+        layers = [staged(_folded(mine, own, lists, None, common), by="slab")]
+        exact = None
+        rounds += 1
+        if before is None:
+            before = order.sparkSession.createDataFrame([], "token string, n long")
+        while True:
+            wrong = staged(_wrong(_union(layers), before), n=F.count("*"))
+            if not wrong.seen["n"]:
+                break
+            exact = staged(wrong if exact is None else exact.unionByName(wrong).distinct())
+            units = F.broadcast(staged(wrong.select("unit").distinct()))
+            added = staged(_added(_union(layers), before, exact.join(units, "unit", "left_semi")))
+            again = [x.join(units, "unit", "left_semi") for x in (mine, own)]
+            only = lists.join(units, F.col("next") == F.col("unit"), "left_semi")
+            fresh = staged(_folded(*again, only, added, common), by="slab")
+            layers = [*(x.join(units, "unit", "left_anti") for x in layers), fresh]
+            rounds += 1
+        kept += layers
+        written = _union(layers).where(F.col("kind") == EDIT).select(F.col("new").alias("token"), "n")
+        before = staged(before.unionByName(written).groupBy("token").agg(F.sum("n").alias("n")))
+    if not kept:
+        none = order.sparkSession.createDataFrame([], "old string, new string, n long")
+        return Corrected(none, refs.select("refID", "tokens", "ord"), 1)
+    unstage(base)
+    done = _union(kept)
+    edits = done.where(F.col("kind") == EDIT).groupBy("old", "new").agg(F.sum("n").alias("n"))
+    new = done.where((F.col("kind") == LIST) & F.col("slab").isNull() & F.col("edited")).select(F.col("ref").alias("_id"), F.col("tokens").alias("_t"))
+    whole = refs.join(new.select("_id"), F.col("refID") == F.col("_id"), "left_anti").select("refID", "tokens", "ord")
+    fixed = refs.select("refID", "ord").join(new, F.col("refID") == F.col("_id")).select("refID", F.col("_t").alias("tokens"), "ord")
+    return Corrected(edits, whole.unionByName(fixed), rounds)
+
+
+def _union(layers: list[DataFrame]) -> DataFrame:
+    out = layers[0]
+    for x in layers[1:]:
+        out = out.unionByName(x)
+    return out

@@ -45,16 +45,17 @@ def _clean() -> None:
             pass
 
 
-def staged(df: DataFrame, at: str | None = None, **seen: Column) -> DataFrame:
+def staged(df: DataFrame, at: str | None = None, by: str | None = None, **seen: Column) -> DataFrame:
     """df written as Parquet in the shared folder and read again: this cuts lineage, and the rows
     survive the loss of any executor. Removed by unstage(), or when Python ends. `seen` are
     aggregates that are made on the way, without a job of their own; the result has them in a dict,
-    `seen`. `at`: where it is written instead, to stay; what was there is replaced."""
+    `seen`. `at`: where it is written instead, to stay; what was there is replaced. `by`: a column of few
+    values by which files are parted, so that those of one value are read alone."""
     spark = df.sparkSession
     path = at or f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     watch = Observation() if seen else None
     rows = df.observe(watch, *(c.alias(name) for name, c in seen.items())) if watch is not None else df
-    rows.write.mode("overwrite" if at else "error").option("compression", "zstd").parquet(path)
+    rows.write.mode("overwrite" if at else "error").option("compression", "zstd").parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     out.seen = watch.get if watch is not None else {}

@@ -6,12 +6,13 @@ from itertools import combinations
 from math import log2
 from xml.etree import ElementTree
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillmatch.functions.similarity import damerau
 from quillmatch.operators import blocking, closure, correction, metrics, quality, stats
-from quillmatch.operators.block_correction import Fold, correct_blocks
+from quillmatch.operators.block_correction import Fold, Places, correct_blocks, cut_slabs
 from quillmatch.operators.closure import components
 from quillmatch.plans import queries, reports, run
 from quillmatch.plans import resolve as resolving
@@ -399,6 +400,55 @@ def test_fold_equals_the_slow_one_on_longer_lists():
         assert fast.lists == slow and sorted((*e, n) for e, n in fast.edits.items()) == edits
 
 
+def test_slabs_hold_units_that_share_nothing_and_are_few():
+    rnd = random.Random(2)
+    for most, refs in ((60, 300), (100, 40), (5, 40)):
+        size = {f"r{i:03d}": rnd.randint(1, 8) for i in range(refs)}
+        pairs = sorted({tuple(sorted(rnd.sample(sorted(size), 2))) for _ in range(400)})
+        rows = [(i, a, b, size[a], size[b]) for i, (a, b) in enumerate(pairs)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 90], strict=True)], names=list("sabnm")) for i in range(0, len(rows), 90)]
+        out = [tuple(r.values()) for b in cut_slabs(most)(iter(batches)) for r in b.to_pylist()]
+        assert [(a, b) for _, _, _, a, b in out] == pairs and [s for s, *_ in out] == sorted(s for s, *_ in out)
+        units: dict = {}
+        of: dict = {}
+        for slab, unit, _, a, b in out:
+            units.setdefault((slab, unit), set()).update((a, b))
+            for x in (a, b):
+                assert of.setdefault((slab, x), unit) == unit
+        pair_of = Counter((s, u) for s, u, *_ in out)
+        assert all(sum(size[x] for x in held) <= most or pair_of[key] == 1 for key, held in units.items())
+        # of a sparse graph most units are small and stand beside others
+        assert refs < 300 or len({s for s, _ in units}) < len(units) / 3
+
+
+def test_places_after_edits_are_those_of_the_edited_list():
+    rnd = random.Random(4)
+    for gap in (Places.GAP, 4):
+        for _ in range(200):
+            p = Places([rnd.choice("ABC") for _ in range(rnd.randrange(12))])
+            p.GAP = gap
+            p._number()
+            for _ in range(12):
+                low = rnd.randrange(len(p.tokens) + 1)
+                p.leads(("A", "B"))
+                p.put(low, min(len(p.tokens), low + rnd.randrange(2)), [rnd.choice("ABC") for _ in range(rnd.randrange(3))])
+                fresh = Places(list(p.tokens))
+                for mine, want in ((p.of, fresh.of), (p.followed, fresh.followed), (p.leads(("A", "B")), fresh.leads(("A", "B")))):
+                    assert {t: [p.at(x) for x in keys] for t, keys in mine.items()} == {t: [fresh.at(x) for x in keys] for t, keys in want.items()}
+
+
+def test_block_correction_counts_what_units_beside_it_wrote(spark):
+    # two units of one slab: the first writes SMYTH twice, so that in the second SMYTH outnumbers SMITH
+    lists = {"a1": ["ONE", "SMYTT", "TWO"], "a2": ["ONE", "SMYTH", "TWO"], "a3": ["SIX", "SMYTT", "TEN"], "a4": ["SIX", "SMYTH", "TEN"], "b1": ["RED", "SMITH", "BLUE"], "b2": ["RED", "SMYTH", "BLUE"]}
+    pairs = [("a1", "a2"), ("a3", "a4"), ("b1", "b2")]
+    refs = refs_of(spark, lists)
+    freq = spark.createDataFrame([("SMYTT", 1), ("SMYTH", 3), ("SMITH", 4)], "token string, n long")
+    out = correct_blocks(refs, freq, spark.createDataFrame(pairs, "refID1 string, refID2 string"))
+    want, edits = slow_correction(lists, {"SMYTT": 1, "SMYTH": 3, "SMITH": 4}, pairs, {})
+    assert {r["refID"]: r["tokens"] for r in out.refs.collect()} == want and want["b1"][1] == "SMYTH"
+    assert sorted(map(tuple, out.edits.collect())) == edits and out.rounds == 2
+
+
 def test_block_correction_of_nothing(spark):
     refs = refs_of(spark, {"A": ["X"], "B": []})
     freq = stats.token_frequency(refs)
